@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import flac, ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": ngram_join.query}
+    return {
+        "op1_ngram_jaccard_join": ngram_join.query,
+        "op9_flac_media_columns": flac.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
