@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, line_dedup, ngram_join, pii
+from . import chat_format, flac, line_dedup, ngram_join, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_chat_formatting": chat_format.query,
         "op4_fuzzy_line_dedup": line_dedup.query,
         "op7_pii_anchor_expansion": pii.query,
         "op9_flac_media_columns": flac.query,
