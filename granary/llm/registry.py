@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, flac, line_dedup, ngram_join, pii
+from . import chat_format, flac, language_id, line_dedup, ngram_join, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fuzzy_line_dedup": line_dedup.query,
         "op7_pii_anchor_expansion": pii.query,
         "op9_flac_media_columns": flac.query,
+        "op10_byte_gru_language_id": language_id.query,
     }
 
 
