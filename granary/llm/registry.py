@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, flac, language_id, line_dedup, ngram_join, pii
+from . import chat_format, flac, language_id, line_dedup, ngram_join, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": ngram_join.query,
         "op2_chat_formatting": chat_format.query,
         "op4_fuzzy_line_dedup": line_dedup.query,
+        "op6_quality_discriminant": quality.query,
         "op7_pii_anchor_expansion": pii.query,
         "op9_flac_media_columns": flac.query,
         "op10_byte_gru_language_id": language_id.query,
