@@ -17,30 +17,31 @@ from pyspark.sql import functions as F
 
 from ._core import U64, id_bytes, id_values, mix, partitions_for, written
 
-#: Buckets up to this size are compared whole at once; larger ones first with their pivots, then across components.
-SMALL = 32
-PIVOTS = 6
-#: A larger bucket is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
+#: A larger bucket than this is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
 BLOCK = 2048
 ENTRIES = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
-def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Entries (key, owner) as one blob for each hash range of keys; ids and sizes describe the owners."""
+def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, place: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries (key, owner) as one blob for each hash range of keys; ids and sizes describe the owners.
+
+    place: a byte for each entry, the key's rank among the owner's keys in 256ths of its size, rounded down.
+    """
+    place = np.zeros(len(keys), np.uint8) if place is None else place
     part = ((keys & U64(0xFFFFFFFF)) * U64(parts) >> U64(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    keys, owner, part = keys[order], owner[order], part[order]
+    keys, owner, part, place = keys[order], owner[order], part[order], place[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     names, blobs = [], []
     for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
         own, local = np.unique(owner[a:b], return_inverse=True)
         head = np.array([b - a, len(own)], np.int64)
-        blobs.append(head.tobytes() + keys[a:b].tobytes() + local.astype(np.uint32).tobytes() + ids[own].tobytes() + sizes[own].astype(np.uint32).tobytes())
+        blobs.append(head.tobytes() + keys[a:b].tobytes() + local.astype(np.uint32).tobytes() + ids[own].tobytes() + sizes[own].astype(np.uint32).tobytes() + place[a:b].tobytes())
         names.append(int(part[a]))
     return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=ENTRIES)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(blob, np.int64, 2)
     at = 16
     keys = np.frombuffer(blob, U64, n, at)
@@ -50,20 +51,40 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.frombuffer(blob, U64, 2 * m, at).reshape(-1, 2)
     at += 16 * m
     sizes = np.frombuffer(blob, np.uint32, m, at)
-    return keys, local, np.column_stack([ids, sizes.astype(U64)])
+    return keys, local, np.column_stack([ids, sizes.astype(U64)]), np.frombuffer(blob, np.uint8, n, at + 4 * m)
+
+
+def _partnered(owner_size: np.ndarray, place: np.ndarray, cut: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of buckets have a partner in their bucket that their sizes and ranks allow.
+
+    A shared key that is the first one of two sets leaves min(|A| - rank, |B| - rank) keys to share at most.  A pair that this
+    refuses in one bucket, though it links, is allowed in the bucket of its first shared key.
+    """
+    keep = np.ones(len(owner_size), bool)
+    left = owner_size - (place.astype(np.int64) * owner_size >> 8)
+    for k in np.unique(size[(size > 1) & (size <= 1024)]).tolist():
+        some, step = cut[size == k], max(1, (1 << 21) // k**2)
+        for a in range(0, len(some), step):
+            at = some[a : a + step, None] + np.arange(k)
+            n, rest = owner_size[at], left[at]
+            fits = 100 * np.minimum(n[:, :, None], n[:, None, :]) >= percent * np.maximum(n[:, :, None], n[:, None, :])
+            fits &= np.minimum(rest[:, :, None], rest[:, None, :]) * (100 + percent) >= percent * (n[:, :, None] + n[:, None, :])
+            fits[:, np.arange(k), np.arange(k)] = False
+            keep[at] = fits.any(2)
+    return keep
 
 
 LIVE = "bucket binary, id binary, n long"
 
 
-def live_buckets(entries: DataFrame, parts: int) -> DataFrame:
-    """Rows (bucket, id, n) of the keys that at least two classes hold; equal member sets are one bucket."""
+def live_buckets(entries: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Rows (bucket, id, n) of the keys that at least two fitting classes hold; equal member sets are one bucket."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, tables, base, seen = [], [], [], 0, {}
+        keys, owners, places, tables, base, seen = [], [], [], [], 0, {}
         for batch in batches:
             for blob in batch.column(1):
-                k, o, t = _unpack(blob.as_buffer())
+                k, o, t, p = _unpack(blob.as_buffer())
                 # an owner is named once for the whole partition, whatever number of blobs it comes in
                 names = np.fromiter((seen.setdefault(x.tobytes(), len(seen)) for x in t), np.uint32, len(t))
                 if len(seen) > base:
@@ -72,24 +93,32 @@ def live_buckets(entries: DataFrame, parts: int) -> DataFrame:
                     base = len(seen)
                 keys.append(k.copy())
                 owners.append(names[o])
+                places.append(p.copy())
         if not keys:
             return
-        key, owner, table = np.concatenate(keys), np.concatenate(owners), np.concatenate(tables)
-        del keys, owners, tables, seen
+        key, owner, place, table = np.concatenate(keys), np.concatenate(owners), np.concatenate(places), np.concatenate(tables)
+        del keys, owners, places, tables, seen
         order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
+        key, owner, place = key[order], owner[order], place[order]
         del order
         same = key[1:] == key[:-1]
         touched = np.zeros(len(key), bool)
         touched[1:] |= same
         touched[:-1] |= same
-        key, owner = key[touched], owner[touched]
+        key, owner, place = key[touched], owner[touched], place[touched]
         if not len(key):
             return
         order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
+        key, owner, place = key[order], owner[order], place[order]
         fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-        key, owner = key[fresh], owner[fresh]
+        key, owner, place = key[fresh], owner[fresh], place[fresh]
+        for _ in range(2):
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[cut, len(key)])
+            fits = _partnered(table[owner, 2].astype(np.int64), place, cut, size, percent) & np.repeat(size > 1, size)
+            key, owner, place = key[fits], owner[fits], place[fits]
+            if not len(key):
+                return
         cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[cut, len(key)])
         name = mix(table[owner, 0] ^ U64(0x2545F4914F6CDD1D)), mix(table[owner, 1] + U64(0x9E6C63D0676A9A99))
@@ -106,11 +135,12 @@ def live_buckets(entries: DataFrame, parts: int) -> DataFrame:
                 own = table[owner[rows[a : a + (1 << 18)]]]
                 yield pa.record_batch([id_bytes(bucket[a : a + (1 << 18)]), id_bytes(own[:, :2]), pa.array(own[:, 2].astype(np.int64))], names=["bucket", "id", "n"])
 
-    # only two rows of a pair that could pass the size filter matter, but a size filter needs the whole bucket: see search()
     return entries.repartition(parts, "part").mapInArrow(reduce, LIVE).dropDuplicates(["bucket", "id"])
 
 
-Search = Callable[[np.ndarray, list | None, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: From sizes, features and, for the second search, component numbers: positions of the pairs to verify.  Without component
+#: numbers (the first search) a few pairs for each member that will join most of a group.
+Search = Callable[[np.ndarray, list | None, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 
 def _tiles(live: DataFrame) -> DataFrame:
@@ -123,23 +153,21 @@ def _tiles(live: DataFrame) -> DataFrame:
     return out.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
 
 
-def _pairs(tiles: DataFrame, feature: str | None, search: Search, pivots: bool) -> DataFrame:
-    """Candidate pairs (a, b) of every tile, a < b; with pivots, large tiles give only pairs with a pivot."""
+def _pairs(tiles: DataFrame, feature: DataFrame | None, search: Search, first: bool) -> DataFrame:
+    """Candidate pairs (a, b) of every tile, a < b: a few for each member at first, then all between components.
+
+    feature: (id, feature) of every id, joined to the rows of the tiles for the search.
+    """
 
     def tile(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
         ids = id_values(table.column("id"))
-        n = table.column("n").to_numpy()
-        k = len(ids)
-        same = table.column("ta")[0].as_py() == table.column("tb")[0].as_py()
-        side = np.zeros(k, np.int8) if same else table.column("side").to_numpy()
-        feats = table.column("feature").to_pylist() if feature else None
-        group = np.arange(k) if pivots else np.unique(table.column("comp").to_numpy(zero_copy_only=False).astype("S16"), return_inverse=True)[1]
-        left, right = search(n, feats, group, np.array([PIVOTS if pivots and k > SMALL else 0]))
-        if not same:
-            keep = side[left] != side[right]
-            if pivots and k > SMALL:
-                keep |= True
+        side = table.column("side").to_numpy()
+        feats = table.column("feature").to_pylist() if "feature" in table.schema.names else None
+        group = None if first else np.unique(id_values(table.column("comp")), axis=0, return_inverse=True)[1]
+        left, right = search(table.column("n").to_numpy(), feats, group)
+        if not first and table.column("ta")[0].as_py() != table.column("tb")[0].as_py():
+            keep = side[left] != side[right]  # pairs within a block are another tile's work
             left, right = left[keep], right[keep]
         if not len(left):
             return None
@@ -178,7 +206,9 @@ def _pairs(tiles: DataFrame, feature: str | None, search: Search, pivots: bool)
 
     keys = ["bucket", "ta", "tb"]
     spark = tiles.sparkSession
-    dealt = tiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+    if feature is not None:
+        tiles = tiles.join(feature, "id")
+    dealt = tiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "id")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
@@ -206,25 +236,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return written(roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct(), name)
 
 
-def resolve(live: DataFrame, feature: str | None, search: Search, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(live: DataFrame, feature: DataFrame | None, search: Search, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All components over the links of the buckets: (id, root) for ids with a link.
 
-    Every pair of every small bucket is searched.  A large bucket is searched twice: each member against the pivots of its
-    tile, which joins nearly all of a group of near copies; then, exhaustively, all pairs that are still in different
-    components.  So no link between components is missed and no group emits all its pairs.
+    Every bucket is searched twice: first a few pairs for each member, which join nearly all of a group of near copies; then,
+    exhaustively, all pairs that are still in different components.  So no link between components is missed and no group
+    emits all its pairs.
     """
-    tiles = written(_tiles(live), "tiles")
-    links = written(verify(written(_pairs(tiles, feature, search, True), "pairs")), "links")
+    tiles = written(_tiles(written(live, "live")), "tiles")
+    pairs = written(_pairs(tiles, feature, search, True), "pairs")
+    links = written(verify(pairs), "links")
     comps = components(links)
-    large = tiles.where(F.col("bsize") > SMALL)
-    if large.limit(1).count():
-        large = large.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        mixed = large.groupBy("bucket", "ta", "tb").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-        more = written(_pairs(large.join(mixed, ["bucket", "ta", "tb"]), feature, search, False), "pairs")
-        more = written(verify(more), "links")
-        if more.limit(1).count():
-            comps = components(links.unionByName(more))
-    return comps
+    named = tiles.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    mixed = named.groupBy("bucket", "ta", "tb").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    more = written(_pairs(named.join(mixed, ["bucket", "ta", "tb"]), feature, search, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.limit(1).count():
+        return comps
+    more = written(verify(more), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else comps
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -238,9 +267,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [jaccard_at_least(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # sets come partitioned by id from their own deduplication; only pairs and the left sets move
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("sa")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("blob").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
 
 
-__all__ = ["ENTRIES", "SMALL", "SparkSession", "components", "live_buckets", "pack", "partitions_for", "resolve", "verified"]
+__all__ = ["ENTRIES", "SparkSession", "components", "live_buckets", "pack", "partitions_for", "resolve", "verified"]

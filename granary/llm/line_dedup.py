@@ -237,12 +237,10 @@ def _verify(docs: DataFrame):
     return verify
 
 
-def _search(n: np.ndarray, feats: list | None, group: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if pivots[0]:
-        left = np.repeat(np.arange(min(2, len(n))), len(n))
-        right = np.tile(np.arange(len(n)), min(2, len(n)))
-        keep = left != right
-        return left[keep], right[keep]
+def _search(n: np.ndarray, feats: list | None, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    if group is None:  # the first two of a bucket with all others
+        left, right = np.repeat([0, 1], len(n)), np.tile(np.arange(len(n)), 2)
+        return left[right > left], right[right > left]
     left, right = [], []
     for i in range(len(n) - 1):
         hit = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1

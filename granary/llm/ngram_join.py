@@ -27,13 +27,19 @@ from pyspark.sql import functions as F
 from . import _links
 from ._core import U64, column, id_bytes, partitions_for, read_table, set_ids, shingle_sets, slices, text_buffer, written
 
-GROUPS = 256
+GROUP_BITS = 8
+GROUPS = 1 << GROUP_BITS
+#: Sets of more shingles than this have four times as many groups, beyond four times this sixteen times: the bound of a pair
+#: of unrelated sets falls short of the similarity as long as the sets aren't much larger than their groups.
+FINE = 2048
 #: Cells of the frequency sketch; it only sets the order of shingles, so collisions cost time and never a link.
 CELL_BITS = 20
 SKETCH_PARTS = 16
 #: Ids up to this number are broadcast to fetch their texts (1.6 MB); beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
 LEAF = 32
+#: First and middle members that each member of a large tile is tried with before the exhaustive search.
+HEADS = 6
 
 
 class CountRTree:
@@ -82,53 +88,103 @@ class CountRTree:
 
 
 def count_points(sets: list[np.ndarray]) -> list[bytes]:
-    """Counts of each set's hashes by group, as the narrowest unsigned integers that hold them."""
+    """Counts of each set's hashes by group: a byte for the bits of the group number, a byte for the width, the counts.
+
+    Larger sets have finer groups, GROUPS, 4 * GROUPS or 16 * GROUPS; a finer point folds into a coarser one.
+    """
     out = []
     for s in sets:
-        counts = np.bincount((s >> U64(56)).astype(np.int64), minlength=GROUPS)
+        bits = GROUP_BITS + (2 if len(s) > FINE else 0) + (2 if len(s) > 4 * FINE else 0)
+        counts = np.bincount((s >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
         top = counts.max(initial=0)
-        out.append(counts.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes())
+        kind = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+        out.append(bytes([bits, kind]) + counts.astype(f"<u{kind}").tobytes())
     return out
 
 
-def read_points(blobs: list[bytes]) -> np.ndarray:
-    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
-    kind = kinds[max(len(b) for b in blobs)]
-    if all(len(b) == len(blobs[0]) for b in blobs):
-        return np.frombuffer(b"".join(blobs), kind).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(b, kinds[len(b)]).astype(kind) for b in blobs])
+class Points:
+    """The points of a tile: all at the coarsest resolution, larger sets also at the finer ones that they have."""
+
+    def __init__(self, blobs: list[bytes]):
+        fine = [np.frombuffer(b, f"<u{b[1]}", offset=2) for b in blobs]
+        bits = np.array([b[0] for b in blobs])
+        self.coarse = self._fold(fine, GROUP_BITS)
+        self.finer = []
+        for level in (GROUP_BITS + 2, GROUP_BITS + 4):
+            some = np.flatnonzero(bits >= level)
+            if len(some) > 1:
+                place = np.full(len(blobs), -1)
+                place[some] = np.arange(len(some))
+                self.finer.append((place, self._fold([fine[i] for i in some], level)))
+
+    @staticmethod
+    def _fold(points: list[np.ndarray], bits: int) -> np.ndarray:
+        folded = [p if len(p) == 1 << bits else p.reshape(1 << bits, -1).sum(1) for p in points]
+        kind = np.uint8 if max(p.max() for p in folded) < 1 << 8 else np.uint32
+        return np.stack([p.astype(kind, copy=False) for p in folded])
+
+    def refine(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose bound at every common finer resolution still reaches the similarity."""
+        for place, points in self.finer:
+            a, b = place[left], place[right]
+            keep = np.ones(len(left), bool)
+            both = np.flatnonzero((a >= 0) & (b >= 0))
+            for at in np.array_split(both, -(-len(both) // 4096) or 1):
+                bound = np.minimum(points[a[at]], points[b[at]]).sum(1, dtype=np.int64)
+                keep[at] = bound * (100 + percent) >= percent * (n[left[at]] + n[right[at]])
+            left, right = left[keep], right[keep]
+        return left, right
 
 
 def searcher(percent: int) -> _links.Search:
-    def search(n: np.ndarray, feats: list, group: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        points = read_points(feats)
-        if pivots[0]:
-            middle = np.median(points, 0)
-            score = np.minimum(points, middle).sum(1) / np.maximum(n, max(1.0, middle.sum()))
-            chosen = np.argsort(-score, kind="stable")[: pivots[0]]
-            left, right = [], []
-            for p in chosen:
-                hit = np.flatnonzero(CountRTree._may(points, n, n, points[p], int(n[p]), percent))
-                hit = hit[hit != p]
-                left.append(np.full(len(hit), p))
-                right.append(hit)
-            return np.concatenate(left), np.concatenate(right)
-        if len(n) <= 2 * LEAF:
+    def first(points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each member the first one that may link; in large tiles, of the first ones, or else the best of the middle ones."""
+        k = len(n)
+        if k <= 2 * LEAF:
+            left, right = np.triu_indices(k, 1)
+            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            keep = 100 * low >= percent * high
+            left, right = left[keep], right[keep]
+            bound = np.minimum(points[left], points[right]).sum(1, dtype=np.int64)
+            keep = bound * (100 + percent) >= percent * (n[left] + n[right])
+            left, right = left[keep], right[keep]
+            right, at = np.unique(right, return_index=True)  # pairs come by left: the first left of each right
+            return left[at], right
+        middle = np.median(points, 0)
+        score = np.minimum(points, middle).sum(1) / np.maximum(n, max(1.0, middle.sum()))
+        chosen = np.r_[np.arange(HEADS), np.argsort(-score, kind="stable")[:HEADS]]
+        may = np.stack([CountRTree._may(points, n, n, points[p], int(n[p]), percent) for p in chosen])
+        may[np.arange(len(chosen)), chosen] = False
+        left, right = [], []
+        for part in (slice(0, HEADS), slice(HEADS, None)):
+            some = np.flatnonzero(may[part].any(0))
+            left.append(chosen[part][may[part][:, some].argmax(0)])
+            right.append(some)
+        return np.concatenate(left), np.concatenate(right)
+
+    def search(n: np.ndarray, feats: list, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        tile = Points(feats)
+        points = tile.coarse
+        if group is None:
+            left, right = first(points, n)
+        elif len(n) <= 2 * LEAF:
             left, right = np.triu_indices(len(n), 1)
             low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
             keep = (group[left] != group[right]) & (100 * low >= percent * high)
             left, right = left[keep], right[keep]
             bound = np.minimum(points[left], points[right]).sum(1, dtype=np.int64)
             keep = bound * (100 + percent) >= percent * (n[left] + n[right])
-            return left[keep], right[keep]
-        tree = CountRTree(points, n)
-        groups, left, right = group[tree.order], [], []
-        for i in range(len(n)):
-            hit = tree.search(tree.points[i], int(tree.sizes[i]), percent, i)
-            hit = hit[groups[hit] != groups[i]]
-            left.append(np.full(len(hit), i))
-            right.append(hit)
-        return tree.order[np.concatenate(left)], tree.order[np.concatenate(right)]
+            left, right = left[keep], right[keep]
+        else:
+            tree = CountRTree(points, n)
+            groups, left, right = group[tree.order], [], []
+            for i in range(len(n)):
+                hit = tree.search(tree.points[i], int(tree.sizes[i]), percent, i)
+                hit = hit[groups[hit] != groups[i]]
+                left.append(np.full(len(hit), i))
+                right.append(hit)
+            left, right = tree.order[np.concatenate(left)], tree.order[np.concatenate(right)]
+        return tile.refine(left, right, n, percent)
 
     return search
 
@@ -140,7 +196,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << CELL_BITS, np.uint32)
         names = [x.split()[0] for x in FOUND.split(", ")]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             k = len(sets)
             flat = np.concatenate(sets)
@@ -182,7 +238,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
         level, seen = shared.value, set()
         held: list = []
         weight = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             ids = set_ids(sets)
             for s, i in zip(sets, ids, strict=True):
@@ -193,7 +249,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
                 take = len(s) - -(-percent * len(s) // 100) + 1
                 rank = level[(s >> U64(64 - CELL_BITS)).astype(np.int64)]
                 first = s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
-                held.append((first, i, len(s)))
+                held.append((first, i, len(s), (np.arange(take) * 256 // len(s)).astype(np.uint8)))
                 weight += take
             if weight > 1 << 20:
                 yield _blobs(held, parts)
@@ -207,12 +263,12 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
 def _blobs(held: list, parts: int) -> pa.RecordBatch:
     keys = np.concatenate([x[0] for x in held])
     owner = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-    return _links.pack(keys, owner, np.array([x[1] for x in held]), np.array([x[2] for x in held]), parts)
+    return _links.pack(keys, owner, np.array([x[1] for x in held]), np.array([x[2] for x in held]), parts, np.concatenate([x[3] for x in held]))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             yield pa.record_batch([id_bytes(set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "blob"])
 
@@ -236,10 +292,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     rows = found.where("n is not null")
     classes = written(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("anchor"), F.first("point").alias("feature")), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    parts = partitions_for(total * (100 - percent) // 100, 2_000_000, spark)
-    live = _links.live_buckets(_entries(docs, _levels(found), width, percent, parts), parts)
-    live = live.join(classes.select("id", "feature"), "id")
-    comps = _links.resolve(live, "feature", searcher(percent), _verify(docs, classes, width, percent))
+    parts = partitions_for(total * (100 - percent) // 100, 1_000_000, spark)
+    live = _links.live_buckets(_entries(docs, _levels(found), width, percent, parts), parts, percent)
+    comps = _links.resolve(live, classes.select("id", "feature"), searcher(percent), _verify(docs, classes, width, percent))
     named = classes.select("id", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = written(named.select("id", "root").join(least, "root").select("id", "component_id"), "names")
