@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, flac, language_id, line_dedup, ngram_join, pii, quality
+from . import chat_format, flac, language_id, line_dedup, mixing, ngram_join, packing, pii, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
         "op2_chat_formatting": chat_format.query,
+        "op3_temperature_mixing": mixing.query,
         "op4_fuzzy_line_dedup": line_dedup.query,
+        "op5_best_fit_packing": packing.query,
         "op6_quality_discriminant": quality.query,
         "op7_pii_anchor_expansion": pii.query,
         "op9_flac_media_columns": flac.query,
