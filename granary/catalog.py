@@ -7,7 +7,13 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ()
+from .session import guard
+
+MODULES: tuple[str, ...] = ("granary.operators.text",)
+
+
+def _guarded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(guard(spark), sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for name in MODULES:
         for key, query in import_module(name).QUERIES.items():
             assert key not in out, key
-            out[key] = query
+            out[key] = _guarded(query)
     return out
 
 
