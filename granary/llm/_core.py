@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import guard
+
 U64 = np.uint64
 _ROOTS: dict[str, str] = {}
 
@@ -39,7 +41,7 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again."""
-    spark = df.sparkSession
+    spark = guard(df.sparkSession)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,7 +53,7 @@ def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return guard(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # ---- Arrow batches -------------------------------------------------------------------------------------------------

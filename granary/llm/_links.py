@@ -1,9 +1,10 @@
 """Links between set classes: packed bucket shuffle, search inside buckets, exact check, distributed union-find.
 
-A *class* is all rows with the same set; it is named by 16 bytes.  Map tasks write (key, class) entries as packed blobs, one
-for each hash range of keys and batch, so that a candidate costs 12 bytes of shuffle.  A reducer keeps the keys that at least
-two classes hold ("buckets"), and of buckets with the same members one.  Members of a bucket are then compared; what passes
-the exact check is a link.
+A *class* is all rows with the same set.  Map tasks name it by 16 bytes; in the table of classes it also has a number (a long),
+by which everything after the buckets knows it.  Map tasks write (key, class) entries as packed blobs, one for each hash range
+of keys and batch, so that an entry costs some 14 bytes of shuffle.  A reducer keeps the keys that at least two classes hold
+("buckets"), and of buckets with the same members one.  Members of a bucket are then compared; what passes the exact check is a
+link.
 """
 
 from __future__ import annotations
@@ -12,46 +13,59 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import U64, id_bytes, id_values, mix, partitions_for, written
+from ._core import U64, column, mix, written
 
 #: A larger bucket than this is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
 BLOCK = 2048
 ENTRIES = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
 
-def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, sizes: np.ndarray, parts: int, place: np.ndarray | None = None) -> pa.RecordBatch:
-    """Entries (key, owner) as one blob for each hash range of keys; ids and sizes describe the owners.
+def _short(keys: np.ndarray) -> bytes:
+    """The low 48 bits of each key: they only gather candidates, so that equal ones of different keys cost time, not truth."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-    place: a byte for each entry, the key's rank among the owner's keys in 256ths of its size, rounded down.
+
+def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, parts: int, sizes: np.ndarray | None = None, place: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries (key, owner) as one blob for each hash range of keys; an owner is named by the first half of its id.
+
+    place: a byte for each entry, the key's rank among the owner's keys in 256ths of its size, rounded down.  Without sizes
+    each entry names its owner itself, which is shorter where an owner has few keys.
     """
-    place = np.zeros(len(keys), np.uint8) if place is None else place
     part = ((keys & U64(0xFFFFFFFF)) * U64(parts) >> U64(32)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    keys, owner, part, place = keys[order], owner[order], part[order], place[order]
+    keys, owner, part = keys[order], owner[order], part[order]
+    place = None if place is None else place[order]
     cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
     names, blobs = [], []
     for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
-        own, local = np.unique(owner[a:b], return_inverse=True)
-        head = np.array([b - a, len(own)], np.int64)
-        blobs.append(head.tobytes() + keys[a:b].tobytes() + local.astype(np.uint32).tobytes() + ids[own].tobytes() + sizes[own].astype(np.uint32).tobytes() + place[a:b].tobytes())
+        if sizes is None:
+            blobs.append(np.array([b - a, 0], np.int64).tobytes() + ids[owner[a:b], 0].tobytes() + _short(keys[a:b]))
+        else:
+            own, local = np.unique(owner[a:b], return_inverse=True)
+            blobs.append(np.array([b - a, len(own)], np.int64).tobytes() + ids[own, 0].tobytes() + sizes[own].astype(np.uint32).tobytes() + local.astype(np.uint32).tobytes() + place[a:b].tobytes() + _short(keys[a:b]))
         names.append(int(part[a]))
     return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=ENTRIES)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners, sizes and ranks of a blob's entries."""
     n, m = np.frombuffer(blob, np.int64, 2)
     at = 16
-    keys = np.frombuffer(blob, U64, n, at)
-    at += 8 * n
-    local = np.frombuffer(blob, np.uint32, n, at)
-    at += 4 * n
-    ids = np.frombuffer(blob, U64, 2 * m, at).reshape(-1, 2)
-    at += 16 * m
-    sizes = np.frombuffer(blob, np.uint32, m, at)
-    return keys, local, np.column_stack([ids, sizes.astype(U64)]), np.frombuffer(blob, np.uint8, n, at + 4 * m)
+    if not m:
+        owner, size, place = np.frombuffer(blob, U64, n, at), np.ones(n, np.uint32), np.zeros(n, np.uint8)
+        at += 8 * n
+    else:
+        ids, sizes = np.frombuffer(blob, U64, m, at), np.frombuffer(blob, np.uint32, m, at + 8 * m)
+        local = np.frombuffer(blob, np.uint32, n, at + 12 * m)
+        place = np.frombuffer(blob, np.uint8, n, at + 12 * m + 4 * n)
+        owner, size = ids[local], sizes[local]
+        at += 12 * m + 5 * n
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
+    return keys.view("<u8").ravel(), owner, size, place
 
 
 def _partnered(owner_size: np.ndarray, place: np.ndarray, cut: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
@@ -74,68 +88,62 @@ def _partnered(owner_size: np.ndarray, place: np.ndarray, cut: np.ndarray, size:
     return keep
 
 
-LIVE = "bucket binary, id binary, n long"
+LIVE = "bucket long, half binary, n long"
 
 
-def live_buckets(entries: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Rows (bucket, id, n) of the keys that at least two fitting classes hold; equal member sets are one bucket."""
+def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Rows (bucket, id, n) of the keys that at least two fitting classes hold; equal member sets are one bucket.
+
+    classes: (id, num); a half id that two classes share stands for both.  The ids of the result are the numbers.
+    """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, owners, places, tables, base, seen = [], [], [], [], 0, {}
-        for batch in batches:
-            for blob in batch.column(1):
-                k, o, t, p = _unpack(blob.as_buffer())
-                # an owner is named once for the whole partition, whatever number of blobs it comes in
-                names = np.fromiter((seen.setdefault(x.tobytes(), len(seen)) for x in t), np.uint32, len(t))
-                if len(seen) > base:
-                    fresh = np.flatnonzero(names >= base)
-                    tables.append(t[fresh[np.argsort(names[fresh], kind="stable")]])
-                    base = len(seen)
-                keys.append(k.copy())
-                owners.append(names[o])
-                places.append(p.copy())
-        if not keys:
+        held = [_unpack(blob.as_buffer()) for batch in batches for blob in batch.column(1)]
+        if not held:
             return
-        key, owner, place, table = np.concatenate(keys), np.concatenate(owners), np.concatenate(places), np.concatenate(tables)
-        del keys, owners, places, tables, seen
+        key, owner, n, place = (np.concatenate([h[i] for h in held]) for i in range(4))
+        del held
         order = np.argsort(key, kind="stable")
-        key, owner, place = key[order], owner[order], place[order]
-        del order
-        same = key[1:] == key[:-1]
+        same = key[order]
+        same = same[1:] == same[:-1]
         touched = np.zeros(len(key), bool)
         touched[1:] |= same
         touched[:-1] |= same
-        key, owner, place = key[touched], owner[touched], place[touched]
+        order = order[touched]
+        key, owner, n, place = key[order], owner[order], n[order].astype(np.int64), place[order]
         if not len(key):
             return
         order = np.lexsort((owner, key))
-        key, owner, place = key[order], owner[order], place[order]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-        key, owner, place = key[fresh], owner[fresh], place[fresh]
-        for _ in range(2):
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[cut, len(key)])
-            fits = _partnered(table[owner, 2].astype(np.int64), place, cut, size, percent) & np.repeat(size > 1, size)
-            key, owner, place = key[fits], owner[fits], place[fits]
+        key, owner, n, place = key[order], owner[order], n[order], place[order]
+        keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+        for _ in range(3):
+            key, owner, n, place = key[keep], owner[keep], n[keep], place[keep]
             if not len(key):
                 return
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[cut, len(key)])
-        name = mix(table[owner, 0] ^ U64(0x2545F4914F6CDD1D)), mix(table[owner, 1] + U64(0x9E6C63D0676A9A99))
-        group = np.column_stack([np.add.reduceat(name[0], cut), np.add.reduceat(name[1], cut)])
-        keep = np.flatnonzero(size > 1)
-        if not len(keep):
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[cut, len(key)])
+            keep = np.repeat(size > 1, size)
+            if percent:
+                keep &= _partnered(n, place, cut, size, percent)
+        some = np.flatnonzero(size > 1)
+        if not len(some):
             return
-        keep = keep[np.unique(group[keep], axis=0, return_index=True)[1]]
-        for at in range(0, len(keep), 4096):
-            some = keep[at : at + 4096]
-            rows = np.concatenate([np.arange(cut[g], cut[g] + size[g]) for g in some])
-            bucket = np.repeat(group[some], size[some], axis=0)
-            for a in range(0, len(rows), 1 << 18):
-                own = table[owner[rows[a : a + (1 << 18)]]]
-                yield pa.record_batch([id_bytes(bucket[a : a + (1 << 18)]), id_bytes(own[:, :2]), pa.array(own[:, 2].astype(np.int64))], names=["bucket", "id", "n"])
-
-    return entries.repartition(parts, "part").mapInArrow(reduce, LIVE).dropDuplicates(["bucket", "id"])
+        # members name the bucket: what several keys gather alike is one bucket
+        # (two buckets of one name, if that should happen, are searched together)
+        group = np.add.reduceat(mix(owner + U64(0x9E6C63D0676A9A99)), cut).view(np.int64)
+        some = some[np.unique(group[some], return_index=True)[1]]
+        total = np.cumsum(size[some])
+        at = 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 17), "right")))
+            now = some[at:to]
+            rows = np.arange(int(size[now].sum())) + np.repeat(cut[now] - np.cumsum(size[now]) + size[now], size[now])
+            half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(rows), [None, pa.py_buffer(owner[rows].astype(">u8").tobytes())]).cast(pa.binary())
+            yield pa.record_batch([pa.array(np.repeat(group[now], size[now])), half, pa.array(n[rows])], names=["bucket", "half", "n"])
+            at = to
+
+    found = entries.repartition(parts, "part").mapInArrow(reduce, LIVE).dropDuplicates(["bucket", "half"])
+    return found.join(classes.select(F.col("num").alias("id"), F.substring(F.col("id"), 1, 8).alias("half")), "half").drop("half")
 
 
 #: From sizes, features and, for the second search, component numbers: positions of the pairs to verify.  Without component
@@ -143,73 +151,120 @@ def live_buckets(entries: DataFrame, parts: int, percent: int) -> DataFrame:
 Search = Callable[[np.ndarray, list | None, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 
-def _tiles(live: DataFrame) -> DataFrame:
-    """Cut buckets over BLOCK members into pairs of blocks; adds bsize, ta, tb, side."""
+def _tiles(live: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Cut buckets over block members into pairs of blocks; adds bsize, ta, tb, side."""
     sizes = live.groupBy("bucket").agg(F.count("*").alias("bsize"))
     out = live.join(sizes, "bucket")
-    blocks = F.ceil(F.col("bsize") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("bsize") / block).cast("int")
     out = out.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return out.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
 
 
-def _pairs(tiles: DataFrame, feature: DataFrame | None, search: Search, first: bool) -> DataFrame:
-    """Candidate pairs (a, b) of every tile, a < b: a few for each member at first, then all between components.
+def _by_tile(tiles: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+    """(a, b) of each tile's work; a task holds one tile at a time.
 
-    feature: (id, feature) of every id, joined to the rows of the tiles for the search.
+    Tiles are dealt by a hash of their own: dealt by their key columns, a join before could stand in for the exchange, and its
+    skewed partitions, split at run time, would tear tiles apart.
     """
 
-    def tile(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-        ids = id_values(table.column("id"))
-        side = table.column("side").to_numpy()
-        feats = table.column("feature").to_pylist() if "feature" in table.schema.names else None
-        group = None if first else np.unique(id_values(table.column("comp")), axis=0, return_inverse=True)[1]
-        left, right = search(table.column("n").to_numpy(), feats, group)
-        if not first and table.column("ta")[0].as_py() != table.column("tb")[0].as_py():
-            keep = side[left] != side[right]  # pairs within a block are another tile's work
-            left, right = left[keep], right[keep]
-        if not len(left):
-            return None
-        a, b = ids[left], ids[right]
-        swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-        a[swap], b[swap] = b[swap], a[swap].copy()
-        return pa.record_batch([id_bytes(a), id_bytes(b)], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
-        out, waiting = [], 0
+        out: list[pa.RecordBatch] = []
+        last, waiting = None, 0
+
+        def done() -> None:
+            nonlocal waiting
+            got = work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            if got is not None and got.num_rows:
+                out.append(got)
+                waiting += got.num_rows
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [c for name in ("bucket",) for c in [id_values(batch.column(batch.schema.get_field_index(name)))]][0]
-            ta, tb = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("ta", "tb"))
-            new = np.r_[True, (key[1:] != key[:-1]).any(1) | (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])]
-            cuts = np.flatnonzero(new)
+            key = np.column_stack([column(batch, x).to_numpy() for x in ("bucket", "ta", "tb")])
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
             for a, b in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=True):
-                now = (key[a].tobytes(), int(ta[a]), int(tb[a]))
+                now = tuple(key[a].tolist())
                 if now != last and held:
-                    got = tile(held)
-                    if got is not None:
-                        out.append(got)
-                        waiting += got.num_rows
+                    done()
                     held = []
                 last = now
                 held.append(batch.slice(a, b - a))
             if waiting > 1 << 16:
                 yield from out
                 out, waiting = [], 0
-        if held and (got := tile(held)) is not None:
-            out.append(got)
+        if held:
+            done()
         yield from out
 
-    keys = ["bucket", "ta", "tb"]
-    spark = tiles.sparkSession
-    if feature is not None:
-        tiles = tiles.join(feature, "id")
-    dealt = tiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "id")
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.withColumn("tile", F.xxhash64("bucket", "ta", "tb")).repartition(n, "tile").sortWithinPartitions("bucket", "ta", "tb", "id")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) -> DataFrame:
+    """Candidate pairs (a, b) of every tile, a < b: a few for each member at first, then all between components.
+
+    feature: (id, feature) of every id, joined to the rows of the tiles for the search.
+    """
+
+    def work(table: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids, side = column(table, "id").to_numpy(), column(table, "side").to_numpy()
+        group = None if first else np.unique(column(table, "comp").to_numpy(), return_inverse=True)[1]
+        left, right = search(column(table, "n").to_numpy(), column(table, "feature").to_pylist(), group)
+        if not first and column(table, "ta")[0].as_py() != column(table, "tb")[0].as_py():
+            keep = side[left] != side[right]  # pairs within a block are another tile's work
+            left, right = left[keep], right[keep]
+        return _ordered(ids[left], ids[right])
+
+    return _by_tile(tiles.join(feature, "id"), work).distinct()
+
+
+def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, block: int) -> DataFrame:
+    """Links (a, b) that join, within each bucket, all members whose sets reach the similarity by pairs.
+
+    texts: (id, text) of every id; sets: the sorted distinct hashes of each text.  A member's overlaps with all others of its
+    tile come from an inverted list at once.  Members are asked until those not yet asked are all joined already: every pair of
+    a tile is compared then or joined by others, and a group of near copies takes one question and those of its outsiders.
+    """
+
+    def work(table: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = column(table, "id").to_numpy()
+        held = sets([x.as_buffer().to_pybytes() for x in column(table, "text")])
+        n, k = np.array([len(s) for s in held]), len(held)
+        member = np.repeat(np.arange(k), n)
+        values, codes = np.unique(np.concatenate(held), return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        member = member[order]
+        bounds = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(values)))]
+        place = np.r_[0, np.cumsum(n)]
+        group, asked, left, right = np.arange(k), np.zeros(k, bool), [], []
+        while True:
+            open_ = np.flatnonzero(~asked)
+            sizes = np.bincount(group[open_], minlength=k)
+            if len(open_) < 2 or sizes.max() == len(open_):
+                break
+            q = open_[np.argmin(sizes[group[open_]])]
+            asked[q] = True
+            own = codes[place[q] : place[q + 1]]
+            count = bounds[own + 1] - bounds[own]
+            hits = member[np.arange(int(count.sum())) + np.repeat(bounds[own] - np.cumsum(count) + count, count)]
+            common = np.bincount(hits, minlength=k)
+            near = np.flatnonzero((100 * common >= percent * (n[q] + n - common)) & (group != group[q]))
+            for g in np.unique(group[near]):
+                left.append(ids[q])
+                right.append(ids[near[group[near] == g][0]])
+            if len(near):
+                group[np.isin(group, group[near])] = group[q]
+        return _ordered(np.array(left, np.int64), np.array(right, np.int64)) if left else None
+
+    return _by_tile(_tiles(live, block).join(texts, "id"), work).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -236,7 +291,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return written(roots.unionByName(roots.select(F.col("root").alias("id"), "root")).distinct(), name)
 
 
-def resolve(live: DataFrame, feature: DataFrame | None, search: Search, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def resolve(live: DataFrame, feature: DataFrame, search: Search, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All components over the links of the buckets: (id, root) for ids with a link.
 
     Every bucket is searched twice: first a few pairs for each member, which join nearly all of a group of near copies; then,
@@ -257,7 +312,7 @@ def resolve(live: DataFrame, feature: DataFrame | None, search: Search, verify:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, sorted uint64 blobs of (id, blob), reach the Jaccard similarity."""
+    """The pairs (a, b) whose sets, sorted blobs of (id, blob), reach the Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._core import jaccard_at_least
@@ -270,7 +325,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # sets come partitioned by id from their own deduplication; only pairs and the left sets move
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("sa")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("blob").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
-
-
-__all__ = ["ENTRIES", "SparkSession", "components", "live_buckets", "pack", "partitions_for", "resolve", "verified"]
+    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")

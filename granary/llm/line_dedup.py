@@ -6,7 +6,7 @@ the same characters are one class.  Signatures of ROWS * BANDS minima are banded
 their whole sets are compared exactly, pairs of Jaccard similarity >= percent / 100 are links, and distributed union-find
 makes components.  Of each component the line with the smallest (doc_id, row, line number) stays; the others go.
 
-At similarity 0.75 a pair shares a band with probability 0.998, at 0.8 with 0.9997.  A null text has no lines and stays null.
+At similarity 0.75 a pair shares a band with probability 0.995, at 0.8 with 0.9994.  A null text has no lines and stays null.
 Rows of the same doc_id and text are one document and get the same text back; a null doc_id sorts first.  All columns of the
 input are kept as they are.  An empty table gives no rows.
 """
@@ -14,17 +14,20 @@ input are kept as they are.  An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _links
 from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, mix, partitions_for, prefix_hash, read_table, slices, text_buffer, written
 
-WIDTH, ROWS, BANDS, PERCENT = 8, 4, 16, 75
+WIDTH, ROWS, BANDS, PERCENT = 8, 4, 14, 75
 #: Bits of the Bloom filter that names the lines to fetch; 4 MB whatever the data, a false hit only costs a row.
 BLOOM_BITS = 25
 #: Documents with dropped lines up to this number are broadcast with them if their lines are few too; beyond it, shuffled.
@@ -67,9 +70,26 @@ class Lines:
         raw = data.tobytes()
         digest = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True))
         self.ids = np.frombuffer(digest, ">u8").reshape(-1, 2).astype(U64)
-        points = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-        self.start, self.end, self.points = at[start], at[end], points
+        self._bytes, self._raw, self._spans = data, raw, (start, end)
+
+    def line(self, i: int) -> bytes:
+        return self._raw[self._spans[0][i] : self._spans[1][i]]
+
+    @cached_property
+    def points(self) -> np.ndarray:
+        return np.frombuffer(self._raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+
+    @cached_property
+    def _places(self) -> np.ndarray:
+        return np.r_[0, np.cumsum((self._bytes & 0xC0) != 0x80)]
+
+    @cached_property
+    def start(self) -> np.ndarray:
+        return self._places[self._spans[0]]
+
+    @cached_property
+    def end(self) -> np.ndarray:
+        return self._places[self._spans[1]]
 
     def shingles(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """32-bit hashes at all places of the given lines, laid end to end, and each line's first and last place."""
@@ -102,7 +122,6 @@ def signatures(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     turned = np.empty_like(hashes)
     for j, m in enumerate(_MULTIPLIERS):
         np.multiply(hashes, m, out=turned)
-        turned ^= turned >> np.uint32(15)
         out[:, j] = np.minimum.reduceat(turned, edges)[0::2]
     return out
 
@@ -170,10 +189,11 @@ def _scan_bands(docs: DataFrame, parts: int) -> DataFrame:
 
 def _packed(held: list, ids: list, parts: int) -> pa.RecordBatch:
     keys, names = np.concatenate(held), np.concatenate(ids)
-    return _links.pack(keys.ravel(), np.repeat(np.arange(len(names)), BANDS), names, np.ones(len(names), np.int64), parts)
+    return _links.pack(keys.ravel(), np.repeat(np.arange(len(names)), BANDS), names, parts)
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    ids = mix(ids + U64(0x9E3779B97F4A7C15))
     mask = U64((1 << BLOOM_BITS) - 1)
     return np.stack([ids[:, 0] & mask, (ids[:, 0] >> U64(BLOOM_BITS)) & mask, ids[:, 1] & mask, (ids[:, 1] >> U64(BLOOM_BITS)) & mask]).astype(np.int64)
 
@@ -204,49 +224,49 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _verify(docs: DataFrame):
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
-        shared = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
-
-        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits, seen = shared.value, set()
-            for batch in slices(batches, "text", 1 << 20):
-                found = Lines(*text_buffer(column(batch, "text")))
-                hit = np.ones(len(found.ids), bool)
-                for places in _bloom_places(found.ids):
-                    hit &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
-                fresh = []
-                for i in np.flatnonzero(hit).tolist():
-                    if (name := found.ids[i].tobytes()) not in seen:
-                        fresh.append(i)
-                        if len(seen) < 1 << 19:
-                            seen.add(name)
-                if not fresh:
-                    continue
-                fresh = np.array(fresh)
-                blobs = []
-                for part in _chunks(found.start[fresh], found.end[fresh]):
-                    hashes, first, last = found.shingles(found.start[fresh[part]], found.end[fresh[part]])
-                    blobs += [np.unique(hashes[a:b]).astype(U64).tobytes() for a, b in zip(first, last, strict=True)]
-                yield pa.record_batch([id_bytes(found.ids[fresh]), pa.array(blobs, pa.binary())], names=["id", "blob"])
-
-        sets = docs.select("text").mapInArrow(fetch, "id binary, blob binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-        return _links.verified(pairs, written(sets, "sets"), PERCENT)
-
-    return verify
-
-
-def _search(n: np.ndarray, feats: list | None, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if group is None:  # the first two of a bucket with all others
-        left, right = np.repeat([0, 1], len(n)), np.tile(np.arange(len(n)), 2)
-        return left[right > left], right[right > left]
-    left, right = [], []
-    for i in range(len(n) - 1):
-        hit = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-        left.append(np.full(len(hit), i))
-        right.append(hit)
-    return np.concatenate(left), np.concatenate(right)
+def _passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(ids), bool)
+    for places in _bloom_places(ids):
+        hit &= (bits[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+    return hit
+
+
+def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
+    """(id, text) of the classes in live, fetched by two filters of fixed size: of the documents that hold them, then of the lines."""
+    wanted = written(classes.join(live.select(F.col("id").alias("num")).distinct(), "num", "left_semi").select("id", "num", "row"), "wanted")
+    half = F.unhex(F.lpad(F.hex("row"), 16, "0"))
+    shared = docs.sparkSession.sparkContext.broadcast((_bloom(wanted.select(F.concat(half, half).alias("id")).distinct()), _bloom(wanted)))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (of_rows, of_lines), seen = shared.value, set()
+        some = (b.filter(pa.array(_passes(of_rows, np.repeat(column(b, "row").to_numpy().view(U64)[:, None], 2, 1)))) for b in batches)
+        for batch in slices(some, "text", 1 << 20):
+            found = Lines(*text_buffer(column(batch, "text")))
+            fresh = []
+            for i in np.flatnonzero(_passes(of_lines, found.ids)).tolist():
+                if (name := found.ids[i].tobytes()) not in seen:
+                    fresh.append(i)
+                    if len(seen) < 1 << 19:
+                        seen.add(name)
+            if fresh:
+                yield pa.record_batch([id_bytes(found.ids[fresh]), pa.array([found.line(i) for i in fresh], pa.binary())], names=["id", "text"])
+
+    found = docs.select("text", "row").mapInArrow(fetch, "id binary, text binary").join(wanted.select("id", "num"), "id")
+    return written(found.select(F.col("num").alias("id"), "text").dropDuplicates(["id"]), "texts")
+
+
+def line_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of normalised lines."""
+    found = Lines(np.frombuffer(b"\n".join(lines), np.uint8), np.array([0, sum(map(len, lines)) + len(lines) - 1]))
+    out = []
+    for part in _chunks(found.start, found.end):
+        hashes, first, last = found.shingles(found.start[part], found.end[part])
+        out += [np.unique(hashes[a:b]) for a, b in zip(first, last, strict=True)]
+    return out
+
+
+#: Members of a bucket that a task compares at once, twice this at most.
+BLOCK = 1024
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -254,48 +274,47 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     lines = written(_scan_lines(docs), "lines")
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "row", "line")
-    classes = written(lines.groupBy("id").agg(F.min(place).alias("place"), F.count("*").alias("copies")), "classes")
+    doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    place = F.struct(doc.alias("doc"), "row", "line")
+    classes = lines.groupBy("id").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
+    classes = written(classes.select("id", "copies", "place", F.col("place.row").alias("row"), F.monotonically_increasing_id().alias("num")), "classes")
     parts = partitions_for(classes.count() * BANDS, 1_000_000, spark)
-    live = _links.live_buckets(_scan_bands(docs, parts), parts, 0)
-    comps = _links.resolve(live, None, _search, _verify(docs))
-    named = classes.join(comps, "id", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "id"))
+    live = written(_links.live_buckets(_scan_bands(docs, parts), classes, parts, 0), "live")
+    comps = _links.components(_links.links_of_sets(live, _texts(docs, classes, live), line_sets, PERCENT, BLOCK)).withColumnRenamed("id", "num")
+    named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "num"))
     keepers = named.groupBy("root").agg(F.min("place").alias("keeper"))
     named = written(named.select("id", "root").join(keepers, "root").select("id", "keeper"), "keepers")
     return lines.join(named, "id").where(place != F.col("keeper")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with the copied lines taken out of text; adds n_lines and n_dropped (of the lines that aren't blank)."""
+    """docs with the copied lines taken out of text; adds n_dropped, the number of lines that went."""
     gone = written(dropped_lines(docs), "dropped").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
     docs_n, lines_n = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()
     if docs_n <= BROADCAST_DOCS and lines_n <= BROADCAST_LINES:
         gone = F.broadcast(gone)
-    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64(F.col("text").cast("string"))}
-    joined = docs.withColumns(keys).join(gone, ["_doc", "_row"], "left").drop("_doc", "_row")
-    clash = {"n_lines", "n_dropped"} & set(docs.columns)
-    if clash:
-        joined = joined.drop(*clash)
-    names = [c for c in joined.columns if c != "_dropped"]
-    at = names.index("text")
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts, dropped = batch.column(at).to_pylist(), column(batch, "_dropped").to_pylist()
-            lines, lost = [], []
-            for i, (text, gone) in enumerate(zip(texts, dropped, strict=True)):
-                split = (text or "").split("\n")
-                lines.append(sum(1 for x in split if x.strip(" \t\n\r\x0b\x0c")))
-                lost.append(len(gone or ()))
-                if gone:
-                    out = set(gone)
-                    texts[i] = "\n".join(x for j, x in enumerate(split) if j not in out)
-            kept = [pa.array(texts, pa.string()) if c == "text" else column(batch, c) for c in names]
-            yield pa.record_batch([*kept, pa.array(lines, pa.int64()), pa.array(lost, pa.int64())], names=[*names, "n_lines", "n_dropped"])
-
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "_dropped")
-    return joined.mapInArrow(rebuild, f"{spec}, n_lines long, n_dropped long")
+    text = F.col("text").cast("string")
+    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64(text)}
+    joined = docs.drop("n_dropped").withColumns(keys).join(gone, ["_doc", "_row"], "left")
+    # only the texts that lose lines go through Python; a mark of text that is null is none of them
+    changed = _without(F.when(F.col("_dropped").isNotNull(), text), F.col("_dropped"))
+    out = {"text": F.when(F.col("_dropped").isNotNull(), changed).otherwise(F.col("text")), "n_dropped": F.coalesce(F.size("_dropped").cast("long"), F.lit(0).cast("long"))}
+    out["n_dropped"] = F.when(F.col("_dropped").isNotNull(), out["n_dropped"]).otherwise(F.lit(0).cast("long"))
+    return joined.withColumns(out).drop("_doc", "_row", "_dropped")
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
+    """Each text without the lines of the given numbers."""
+
+    def one(text: str | None, numbers: np.ndarray | None) -> str | None:
+        if text is None or numbers is None:
+            return None
+        gone = set(numbers.tolist())
+        return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+    return pd.Series([one(t, d) for t, d in zip(texts, dropped, strict=True)], dtype=object)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "n_dropped", "text")

@@ -34,7 +34,7 @@ GROUPS = 1 << GROUP_BITS
 FINE = 2048
 #: Cells of the frequency sketch; it only sets the order of shingles, so collisions cost time and never a link.
 CELL_BITS = 20
-SKETCH_PARTS = 16
+SKETCH_PARTS = 64
 #: Ids up to this number are broadcast to fetch their texts (1.6 MB); beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
 LEAF = 32
@@ -263,7 +263,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
 def _blobs(held: list, parts: int) -> pa.RecordBatch:
     keys = np.concatenate([x[0] for x in held])
     owner = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-    return _links.pack(keys, owner, np.array([x[1] for x in held]), np.array([x[2] for x in held]), parts, np.concatenate([x[3] for x in held]))
+    return _links.pack(keys, owner, np.array([x[1] for x in held]), parts, np.array([x[2] for x in held]), np.concatenate([x[3] for x in held]))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
@@ -273,13 +273,14 @@ def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
             yield pa.record_batch([id_bytes(set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "blob"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = written(classes.join(ids, "id", "left_semi").select("anchor").distinct(), "wanted")
+        ids = pairs.select(F.col("a").alias("num")).union(pairs.select(F.col("b").alias("num"))).distinct()
+        wanted = written(classes.join(ids, "num", "left_semi").select("id", "num", "anchor"), "wanted")
+        anchors = wanted.select("anchor").distinct()
         if wanted.count() <= BROADCAST_IDS:
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("anchor"), "text").join(wanted, "anchor", "left_semi")
-        sets = written(texts.select("text").mapInArrow(whole, "id binary, blob binary").dropDuplicates(["id"]), "sets")
-        return _links.verified(pairs, sets, percent)
+            anchors = F.broadcast(anchors)
+        texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("anchor"), "text").join(anchors, "anchor", "left_semi")
+        sets = texts.select("text").mapInArrow(whole, "id binary, blob binary").join(wanted.select("id", F.col("num")), "id")
+        return _links.verified(pairs, written(sets.select(F.col("num").alias("id"), "blob").dropDuplicates(["id"]), "sets"), percent)
 
     return verify
 
@@ -290,12 +291,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(_sets(docs, width), "sets")
     rows = found.where("n is not null")
-    classes = written(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("anchor"), F.first("point").alias("feature")), "classes")
+    classes = written(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("anchor"), F.first("point").alias("feature")).withColumn("num", F.monotonically_increasing_id()), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = partitions_for(total * (100 - percent) // 100, 1_000_000, spark)
-    live = _links.live_buckets(_entries(docs, _levels(found), width, percent, parts), parts, percent)
-    comps = _links.resolve(live, classes.select("id", "feature"), searcher(percent), _verify(docs, classes, width, percent))
-    named = classes.select("id", "least").join(comps, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    live = _links.live_buckets(_entries(docs, _levels(found), width, percent, parts), classes, parts, percent)
+    comps = _links.resolve(live, classes.select(F.col("num").alias("id"), "feature"), searcher(percent), _verify(docs, classes, width, percent))
+    comps = comps.withColumnRenamed("id", "num")
+    named = classes.select("id", "num", "least").join(comps, "num", "left").withColumn("root", F.coalesce("root", "num"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = written(named.select("id", "root").join(least, "root").select("id", "component_id"), "names")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "id").join(names, "id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -303,3 +305,24 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; rows without a doc_id or words stay.
+
+    Rows that repeat a doc_id and text count as one and stay once.
+    """
+    result = written(ngram_jaccard_join(docs, width, percent), "joined")
+    ids = result.where("doc_id is not null")
+    gone = written(ids.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again = written(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti")
+    n = again.count()
+    if not n:
+        return kept.select(docs.columns)
+    if n <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(twice.select(docs.columns))

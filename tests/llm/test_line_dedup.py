@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from granary.llm import line_dedup as ld
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_lines", T.StringType()), T.StructField("row", T.StringType())])
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("row", T.StringType())])
 WHITE = " \t\n\r\x0b\x0c"
 
 
@@ -75,7 +75,7 @@ def test_edges(spark):
     out = {(r.doc_id, i): r for i, r in enumerate(ld.line_dedup(spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)).collect())}
     by = {r.doc_id: r for r in out.values()}
     assert by[2].text == long.upper() + " \r\nalone"
-    assert by[4].text == "short\n\n  \nunique four" and (by[4].n_lines, by[4].n_dropped) == (3, 1)
+    assert by[4].text == "short\n\n  \nunique four" and by[4].n_dropped == 1
     assert by[7].text == "" and by[None].text is None and by[9].text == "" and by[8].text == "\n\n"
     assert by[5].text == "é\né ß" and by[6].text == "x" * 200_000 + "\ny"
     assert sum(r.text == "no copy at all\nhere" for r in out.values()) == 2
