@@ -94,7 +94,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+_TABLE: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,22 +107,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("base")
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _TABLE.get("base")
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length())
         for name, value in (("base", _BASE), ("inverse", _INVERSE)):
             out = np.full(size, value, U64)
             out[0] = 1
-            _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["base"][:n], _POWERS["inverse"][:n]
+            _TABLE[name] = np.multiply.accumulate(out)
+    return _TABLE["base"][:n], _TABLE["inverse"][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums whose differences, brought back to position 0 by ``span_hash``, identify byte spans."""
     out = np.zeros(len(data) + 1, U64)
     if len(data):
-        np.cumsum((data.astype(U64) + U64(1)) * _powers(len(data))[0], out=out[1:])
+        np.cumsum((data.astype(U64) + U64(1)) * powers(len(data))[0], out=out[1:])
     return out
 
 
@@ -130,7 +130,7 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each byte span; equal bytes have equal hashes wherever they stand."""
     if not len(starts):
         return np.zeros(0, U64)
-    value = (prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts]
+    value = (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
     return mix(value + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import U64, column, mix, written
+from ._core import U64, column, jaccard_at_least, mix, written
 
 #: A larger bucket than this is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
 BLOCK = 2048
@@ -161,67 +161,76 @@ def _tiles(live: DataFrame, block: int = BLOCK) -> DataFrame:
     return out.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
 
 
-def _by_tile(tiles: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
-    """(a, b) of each tile's work; a task holds one tile at a time.
+#: Rows of small tiles that are worked on together.
+TOGETHER = 2048
 
-    Tiles are dealt by a hash of their own: dealt by their key columns, a join before could stand in for the exchange, and its
-    skewed partitions, split at run time, would tear tiles apart.
+
+def _by_tile(tiles: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b) of each tile's work; a task holds a few small tiles or a large one at a time.
+
+    work gets rows and the bounds of the tiles in them.  Tiles are dealt by a hash of their own: dealt by their key columns, a
+    join before could stand in for the exchange, and its skewed partitions, split at run time, would tear tiles apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        out: list[pa.RecordBatch] = []
-        last, waiting = None, 0
-
-        def done() -> None:
-            nonlocal waiting
-            got = work(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-            if got is not None and got.num_rows:
-                out.append(got)
-                waiting += got.num_rows
-
+        rows = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = np.column_stack([column(table, x).to_numpy() for x in ("bucket", "ta", "tb")])
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1), True])
+            found = work(table, cuts)
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.column_stack([column(batch, x).to_numpy() for x in ("bucket", "ta", "tb")])
-            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
-            for a, b in zip(cuts, np.r_[cuts[1:], batch.num_rows], strict=True):
-                now = tuple(key[a].tolist())
-                if now != last and held:
-                    done()
-                    held = []
-                last = now
-                held.append(batch.slice(a, b - a))
-            if waiting > 1 << 16:
-                yield from out
-                out, waiting = [], 0
+            starts = np.flatnonzero(np.r_[last is None or (key[0] != last).any(), (key[1:] != key[:-1]).any(1)])
+            last = key[-1]
+            at = 0
+            for cut in starts.tolist():
+                if rows + cut - at >= TOGETHER:  # enough, and a tile begins here
+                    if cut > at:
+                        held.append(batch.slice(at, cut - at))
+                    yield from done()
+                    held, rows, at = [], 0, cut
+            held.append(batch.slice(at))
+            rows += batch.num_rows - at
         if held:
-            done()
-        yield from out
+            yield from done()
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.withColumn("tile", F.xxhash64("bucket", "ta", "tb")).repartition(n, "tile").sortWithinPartitions("bucket", "ta", "tb", "id")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
 def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) -> DataFrame:
     """Candidate pairs (a, b) of every tile, a < b: a few for each member at first, then all between components.
 
     feature: (id, feature) of every id, joined to the rows of the tiles for the search.
     """
 
-    def work(table: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids, side = column(table, "id").to_numpy(), column(table, "side").to_numpy()
-        group = None if first else np.unique(column(table, "comp").to_numpy(), return_inverse=True)[1]
-        left, right = search(column(table, "n").to_numpy(), column(table, "feature").to_pylist(), group)
-        if not first and column(table, "ta")[0].as_py() != column(table, "tb")[0].as_py():
-            keep = side[left] != side[right]  # pairs within a block are another tile's work
-            left, right = left[keep], right[keep]
-        return _ordered(ids[left], ids[right])
+    def work(table: pa.RecordBatch, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, side, n = (column(table, x).to_numpy() for x in ("id", "side", "n"))
+        ta, tb = column(table, "ta").to_numpy(), column(table, "tb").to_numpy()
+        feats = column(table, "feature").to_pylist()
+        comp = None if first else column(table, "comp").to_numpy()
+        out = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            group = None if first else np.unique(comp[a:b], return_inverse=True)[1]
+            left, right = search(n[a:b], feats[a:b], group)
+            left, right = left + a, right + a
+            if not first and ta[a] != tb[a]:
+                keep = side[left] != side[right]  # pairs within a block are another tile's work
+                left, right = left[keep], right[keep]
+            if len(left):
+                out.append((ids[left], ids[right]))
+        return out
 
     return _by_tile(tiles.join(feature, "id"), work).distinct()
 
@@ -234,10 +243,10 @@ def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]
     a tile is compared then or joined by others, and a group of near copies takes one question and those of its outsiders.
     """
 
-    def work(table: pa.RecordBatch) -> pa.RecordBatch | None:
-        ids = column(table, "id").to_numpy()
-        held = sets([x.as_buffer().to_pybytes() for x in column(table, "text")])
+    def tile(ids: np.ndarray, held: list[np.ndarray]) -> tuple[list, list]:
         n, k = np.array([len(s) for s in held]), len(held)
+        if k == 2:
+            return ([ids[0]], [ids[1]]) if jaccard_at_least(held[0], held[1], percent) else ([], [])
         member = np.repeat(np.arange(k), n)
         values, codes = np.unique(np.concatenate(held), return_inverse=True)
         order = np.argsort(codes, kind="stable")
@@ -249,7 +258,7 @@ def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]
             open_ = np.flatnonzero(~asked)
             sizes = np.bincount(group[open_], minlength=k)
             if len(open_) < 2 or sizes.max() == len(open_):
-                break
+                return left, right
             q = open_[np.argmin(sizes[group[open_]])]
             asked[q] = True
             own = codes[place[q] : place[q + 1]]
@@ -262,7 +271,18 @@ def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]
                 right.append(ids[near[group[near] == g][0]])
             if len(near):
                 group[np.isin(group, group[near])] = group[q]
-        return _ordered(np.array(left, np.int64), np.array(right, np.int64)) if left else None
+
+    def work(table: pa.RecordBatch, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids = column(table, "id").to_numpy()
+        once, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        every = sets([x.as_buffer().to_pybytes() for x in column(table, "text").take(pa.array(first))])
+        left, right = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                x, y = tile(ids[a:b], [every[i] for i in back[a:b]])
+                left += x
+                right += y
+        return [(np.array(left, np.int64), np.array(right, np.int64))] if left else []
 
     return _by_tile(_tiles(live, block).join(texts, "id"), work).distinct()
 
@@ -315,8 +335,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets, sorted blobs of (id, blob), reach the Jaccard similarity."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._core import jaccard_at_least
-
         for batch in batches:
             left, right = batch.column(batch.schema.get_field_index("sa")), batch.column(batch.schema.get_field_index("sb"))
             keep = [jaccard_at_least(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent) for x, y in zip(left, right, strict=True)]

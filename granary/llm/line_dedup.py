@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _links
-from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, mix, partitions_for, prefix_hash, read_table, slices, text_buffer, written
+from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, mix, partitions_for, powers, prefix_hash, read_table, slices, text_buffer, written
 
 WIDTH, ROWS, BANDS, PERCENT = 8, 4, 14, 75
 #: Bits of the Bloom filter that names the lines to fetch; 4 MB whatever the data, a false hit only costs a row.
@@ -92,24 +92,26 @@ class Lines:
         return self._places[self._spans[1]]
 
     def shingles(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """32-bit hashes at all places of the given lines, laid end to end, and each line's first and last place."""
-        size = end - start
-        base = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) + np.repeat(start - base, size)
-        points = self.points[at]
-        sums = prefix_hash(points)
-        from ._core import _powers
-
-        inverse = _powers(len(sums))[1]
-        hashes = np.zeros(len(points), np.uint32)
-        if len(points) >= WIDTH:
-            hashes[: len(points) - WIDTH + 1] = (mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1]) >> U64(32)).astype(np.uint32)
-        short = np.flatnonzero(size < WIDTH)
-        first, last = base, base + size
-        if len(short):
-            value = (sums[last[short]] - sums[first[short]]) * inverse[first[short]] + size[short].astype(U64)
-            hashes[first[short]] = (mix(value) >> U64(32)).astype(np.uint32)
-        return hashes, first, np.where(size < WIDTH, first + 1, last - WIDTH + 1)
+        return shingle_hashes(self.points, start, end)
+
+
+def shingle_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes at all places of the given lines, laid end to end, and each line's first and last place."""
+    size = end - start
+    base = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(start - base, size)
+    points = points[at]
+    sums = prefix_hash(points)
+    inverse = powers(len(sums))[1]
+    hashes = np.zeros(len(points), np.uint32)
+    if len(points) >= WIDTH:
+        hashes[: len(points) - WIDTH + 1] = (mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1]) >> U64(32)).astype(np.uint32)
+    short = np.flatnonzero(size < WIDTH)
+    first, last = base, base + size
+    if len(short):
+        value = (sums[last[short]] - sums[first[short]]) * inverse[first[short]] + size[short].astype(U64)
+        hashes[first[short]] = (mix(value) >> U64(32)).astype(np.uint32)
+    return hashes, first, np.where(size < WIDTH, first + 1, last - WIDTH + 1)
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -257,11 +259,19 @@ def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
 
 def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of normalised lines."""
-    found = Lines(np.frombuffer(b"\n".join(lines), np.uint8), np.array([0, sum(map(len, lines)) + len(lines) - 1]))
+    joined = b"\n".join(lines)
+    size = np.array([len(x.decode("utf-8", "replace")) for x in lines])
+    start = np.cumsum(size + 1) - size - 1
+    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     out = []
-    for part in _chunks(found.start, found.end):
-        hashes, first, last = found.shingles(found.start[part], found.end[part])
-        out += [np.unique(hashes[a:b]) for a, b in zip(first, last, strict=True)]
+    for part in _chunks(start, start + size):
+        hashes, first, last = shingle_hashes(points, start[part], (start + size)[part])
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            s = np.sort(hashes[a:b])
+            keep = np.empty(len(s), bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
     return out
 
 
