@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .session import guard
 
-MODULES: tuple[str, ...] = ("granary.operators.text",)
+MODULES: tuple[str, ...] = (
+    "granary.operators.corpus",
+    "granary.operators.text",
+    "granary.operators.relational",
+    "granary.operators.chat",
+    "granary.operators.routing",
+    "granary.operators.series",
+    "granary.operators.detection",
+    "granary.streaming.queries",
+)
 
 
 def _guarded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
