@@ -225,7 +225,7 @@ both("set05_distinct", "SELECT count(DISTINCT p_name) AS names, count(DISTINCT p
 # ---- filters and guards --------------------------------------------------------------------------------------------
 
 both("flt01_filter", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000 AND o_orderpriority = '1-URGENT'")
-both("flt02_map", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS charge FROM {lineitem}")
+both("flt02_map", "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS BIGINT) AS charge FROM {lineitem}")
 both("flt07_eligibility", f"WITH {EX} SELECT doc_id FROM ex WHERE task IN ('src1', 'src2', 'src3') AND mode <> 'de' AND n_chars <= 4000 AND coalesce(toxic, 0) = 0")
 both("flt11_label_stats", "SELECT l_orderkey, count(CASE WHEN l_linenumber <> 2 THEN 1 END) AS supervised, coalesce(min(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), -1) AS low, coalesce(max(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), -1) AS high FROM {lineitem} GROUP BY l_orderkey")
 both("flt12_coverage_guard", "SELECT e / CAST(greatest(1, t) AS DOUBLE) >= 0.05e0 AS enough FROM (SELECT count(CASE WHEN doc_id % 10 = 0 THEN 1 END) AS e, count(CASE WHEN doc_id % 10 <> 0 THEN 1 END) AS t FROM {documents}) x")
