@@ -17,6 +17,7 @@ MODULES: tuple[str, ...] = (
     "granary.operators.routing",
     "granary.operators.series",
     "granary.operators.detection",
+    "granary.sources.queries",
     "granary.streaming.queries",
 )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +18,12 @@ def guard(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster shares; a local one only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/granary-checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def session(app: str = "granary", cores: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and as many shuffle partitions as cores unless told otherwise."""
     cores = cores or os.cpu_count() or 4

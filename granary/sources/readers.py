@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,3 +160,50 @@ def manifest(df: DataFrame, path: str) -> str:
     rows = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     listed = rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     return json.dumps([r.asDict() for r in listed.orderBy("path").collect()])
+
+
+def csv_metrics(spark: SparkSession, path: str, schema: str, step: str) -> DataFrame:
+    """A CSV of metrics with one row for each step, the last one written; text that is no finite number is null."""
+    kinds = T._parse_datatype_string(schema)
+    raw = spark.read.option("header", "true").csv(path).withColumn("_line", F.monotonically_increasing_id())
+    numbers = {f.name: F.col(f.name).try_cast(f.dataType) for f in kinds.fields}
+    finite = {n: F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")), c) for n, c in numbers.items()}
+    rows = raw.select("_line", *[c.alias(n) for n, c in finite.items()]).where(F.col(step).isNotNull())
+    last = F.row_number().over(Window.partitionBy(step).orderBy(F.desc("_line")))
+    return rows.withColumn("_r", last).where("_r = 1").drop("_r", "_line")
+
+
+def safe_path(path: Column) -> Column:
+    """Relative, not empty, without empty, . or .. parts."""
+    return ~F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+
+
+def ordered_paths(spark: SparkSession, path: str, header: str = "path") -> DataFrame:
+    """(index, path) of a list that must keep its order: the header must be exact, paths safe and unique."""
+    lines = spark.read.option("lineSep", "\n").option("wholetext", "true").text(path)
+    rows = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("index", "path"))
+    wrong = rows.where(((F.col("index") == 0) & (F.col("path") != header)) | ((F.col("index") > 0) & ~safe_path(F.col("path"))))
+    if wrong.limit(1).count() or rows.groupBy("path").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{path} is no list of unique relative paths under the header {header}")
+    return rows.where("index > 0").select((F.col("index") - 1).cast("long").alias("index"), "path")
+
+
+def edit_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """(id, source, target, text): members id.source.*, id.target.* and id.txt of TAR shards, complete ones only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: dict[str, dict] = {}
+            for content in pdf["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for member in tar:
+                        name, _, kind = member.name.rpartition("/")[2].partition(".")
+                        role = kind.partition(".")[0]
+                        field = {"source": "source", "target": "target", "txt": "text"}.get(role)
+                        if member.isfile() and field:
+                            data = tar.extractfile(member).read()
+                            rows.setdefault(name, {})[field] = data.decode("utf-8", "replace") if field == "text" else data
+            full = [{"id": k, **v} for k, v in rows.items() if len(v) == 3]
+            yield pd.DataFrame(full, columns=["id", "source", "target", "text"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, source binary, target binary, text string")

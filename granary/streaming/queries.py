@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dual import Book
+from ..session import scratch
 from . import monitor
 
 BOOK = Book()
@@ -16,9 +17,7 @@ BOOK = Book()
 def _run(spark: SparkSession, sf_dir: str, make, mode: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/granary-checkpoints"
-    name = f"stream_{uuid.uuid4().hex[:10]}"
-    return monitor.drain(make(events), name, mode, f"{base.rstrip('/')}/{name}")
+    return monitor.drain(make(events), f"stream_{uuid.uuid4().hex[:10]}", mode, scratch(spark, "stream"))
 
 
 BOOK.add("stm08_streaming_histogram", lambda s, d: _run(s, d, lambda e: monitor.histogram(e, "event_type"), "complete"), "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
