@@ -31,6 +31,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the session's scratch tables; results that still read them are void then."""
+    folder = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        _remove(spark, folder)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
