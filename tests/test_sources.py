@@ -74,3 +74,20 @@ def test_manifest(spark, tmp_path):
     readers.write_json_lines(spark.range(3), str(tmp_path / "out"))
     listed = json.loads(readers.manifest(spark.range(1), str(tmp_path / "out")))
     assert listed and all(set(x) == {"path", "bytes", "sha256"} for x in listed)
+
+
+def test_metrics_paths_and_edit_pairs(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("step,loss\n1,0.5\n2,nan\n1,0.25\nx,1\n3,inf\n")
+    assert rows(readers.csv_metrics(spark, str(tmp_path / "m.csv"), "step int, loss double", "step")) == [(1, 0.25), (2, None), (3, None)]
+    (tmp_path / "p.csv").write_text("path\nb/1\na/2\n")
+    assert rows(readers.ordered_paths(spark, str(tmp_path / "p.csv"))) == [(0, "b/1"), (1, "a/2")]
+    for bad in ("name\na\n", "path\n/abs\n", "path\na/../b\n", "path\na\na\n"):
+        (tmp_path / "q.csv").write_text(bad)
+        with pytest.raises(ValueError):
+            readers.ordered_paths(spark, str(tmp_path / "q.csv"))
+    with tarfile.open(tmp_path / "e.tar", "w") as tar:
+        for name in ("1.source.png", "1.target.png", "1.txt", "2.source.png"):
+            info = tarfile.TarInfo(name)
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"x"))
+    assert rows(readers.edit_pairs(spark, str(tmp_path / "e.tar"))) == [("1", bytearray(b"x"), bytearray(b"x"), "x")]
