@@ -55,7 +55,7 @@ def text_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", "true").text(path).withColumnRenamed("value", "text")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
 
 
 def directory(spark: SparkSession, path: str, schema: str = "text string") -> DataFrame:
@@ -180,7 +180,7 @@ def safe_path(path: Column) -> Column:
 
 def ordered_paths(spark: SparkSession, path: str, header: str = "path") -> DataFrame:
     """(index, path) of a list that must keep its order: the header must be exact, paths safe and unique."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     rows = lines.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("index", "path"))
     wrong = rows.where(((F.col("index") == 0) & (F.col("path") != header)) | ((F.col("index") > 0) & ~safe_path(F.col("path"))))
     if wrong.limit(1).count() or rows.groupBy("path").count().where("count > 1").limit(1).count():

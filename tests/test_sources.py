@@ -91,3 +91,8 @@ def test_metrics_paths_and_edit_pairs(spark, tmp_path):
             info.size = 1
             tar.addfile(info, io.BytesIO(b"x"))
     assert rows(readers.edit_pairs(spark, str(tmp_path / "e.tar"))) == [("1", bytearray(b"x"), bytearray(b"x"), "x")]
+
+
+def test_whole_texts(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("a\n\nb\n")
+    assert rows(readers.whole_texts(spark, str(tmp_path / "w.txt"))) == [("a\n\nb\n",)]
