@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dual import Book
+from .corpus import running_total
+from .ordering import cut_of_hash, nearest_rank, numbered, zipped
 
 BOOK = Book()
 both, add = BOOK.both, BOOK.add
@@ -120,10 +122,8 @@ def curriculum_stage(rows: DataFrame, retained: DataFrame | None, task: str, key
 
 def hash_split(rows: DataFrame, key: str, held_out: float, seed: int = 42) -> DataFrame:
     """Adds held: exactly the last int(n * share) rows in pseudo-random order."""
-    n = rows.count()
-    cut = int(n * (1 - held_out))
-    edge = rows.select(stable_order(seed, key).alias("h")).orderBy("h").limit(cut).agg(F.max("h")).first()[0] if cut else ""
-    return rows.withColumn("held", stable_order(seed, key) > F.lit(edge))
+    cut = int(rows.count() * (1 - held_out))
+    return rows.withColumn("held", stable_order(seed, key) > F.lit(cut_of_hash(rows, stable_order(seed, key), cut)))
 
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
@@ -142,7 +142,7 @@ add("jon10_similarity_join", lambda s, d: (lambda v: v.alias("a").join(v.alias("
 both("jon12_panel_responses", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS response FROM {conversations} u LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 both("jon13_reports_metrics", "WITH m AS (SELECT user_id, max(event_id) AS step, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY user_id) SELECT m.user_id, m.step, m.n, e.event_type FROM m JOIN {events} e ON e.event_id = m.step")
 both("jon14_loss_cells", "WITH cells AS (SELECT source AS task, lang AS domain, CAST(count(*) AS BIGINT) AS cell FROM {documents} WHERE lang = 'en' GROUP BY source, lang), tasks AS (SELECT source AS task, CAST(-1 AS BIGINT) AS cell FROM {documents} GROUP BY source) SELECT d.doc_id, coalesce(c.cell, t.cell) AS cell FROM {documents} d LEFT JOIN cells c ON c.task = d.source AND c.domain = d.lang LEFT JOIN tasks t ON t.task = d.source")
-both("jon15_order_equality", "WITH a AS (SELECT page_id, row_number() OVER (ORDER BY url) AS r FROM {pages}), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM {pages}) SELECT count(*) AS n, CAST(sum(CASE WHEN a.page_id <> b.page_id THEN 1 ELSE 0 END) AS BIGINT) AS misplaced FROM a JOIN b ON a.r = b.r")
+add("jon15_order_equality", lambda s, d: numbered(read(s, d, "pages").select("page_id", "url"), "url", out="a").join(numbered(read(s, d, "pages").select(F.col("page_id").alias("other")), "other", out="b"), F.expr("a = b")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("page_id") != F.col("other"), 1).otherwise(0)).alias("misplaced")), "WITH a AS (SELECT page_id, row_number() OVER (ORDER BY url) AS r FROM pages), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages) SELECT count(*) AS n, CAST(sum(CASE WHEN a.page_id <> b.page_id THEN 1 ELSE 0 END) AS BIGINT) AS misplaced FROM a JOIN b ON a.r = b.r")
 both("src29_line_zip", "WITH q AS (SELECT text, row_number() OVER (ORDER BY item_id) AS line FROM {benchmark}), y AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS line FROM {labels}) SELECT q.line, q.text, y.quality FROM q JOIN y ON q.line = y.line")
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------
@@ -179,7 +179,7 @@ both("agg34_recall_metrics", "WITH l AS (SELECT l_orderkey AS row_id, l_linenumb
 both("agg36_info_nce", "WITH l AS (SELECT l_orderkey AS q, l_linenumber AS j, l_discount * 20e0 AS s FROM {lineitem}), t AS (SELECT q, max(CASE WHEN j = 1 THEN s END) AS pos, ln(sum(exp(s))) AS lse FROM l GROUP BY q) SELECT round(avg(lse - pos), 6) AS loss FROM t WHERE pos IS NOT NULL")
 both("agg37_cluster_plan", "SELECT r_regionkey, 2048 * 8 * (1 + r_regionkey) AS tokens_per_step, CAST(floor((1000000000 + 2048 * 8 * (1 + r_regionkey) - 1) / (2048 * 8 * (1 + r_regionkey))) AS BIGINT) AS steps, 20 * (100 + r_regionkey) AS optimal FROM {region}")
 both("agg38_topk_accuracy", "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS modality, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) SELECT modality, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS top1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 9) AS top5 FROM r GROUP BY modality")
-both("agg39_latency_summary", "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM {events}) SELECT round(avg(value), 6) AS mean, max(CASE WHEN r = floor((n - 1) * 0.5e0 + 0.5e0) + 1 THEN value END) AS p50, max(CASE WHEN r = floor((n - 1) * 0.95e0 + 0.5e0) + 1 THEN value END) AS p95 FROM o")
+add("agg39_latency_summary", lambda s, d: nearest_rank(read(s, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_id").crossJoin(read(s, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"))), "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, max(CASE WHEN r = floor((n - 1) * 0.5e0 + 0.5e0) + 1 THEN value END) AS p50, max(CASE WHEN r = floor((n - 1) * 0.95e0 + 0.5e0) + 1 THEN value END) AS p95 FROM o")
 both("agg40_profiler_summary", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) SELECT event_type, max(CASE WHEN r = floor(n / 2e0) THEN value END) AS p50, max(CASE WHEN r = floor(n * 0.9e0) THEN value END) AS p90, max(CASE WHEN r = floor(n * 0.99e0) THEN value END) AS p99, round(stddev_samp(value), 6) AS sd FROM o GROUP BY event_type")
 
 # ---- windows and rankings ------------------------------------------------------------------------------------------
@@ -212,8 +212,8 @@ both("srt08_stratified", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_num
 both("srt09_pad_to_batches", "SELECT rnk, n, CAST(floor((n + 7) / 8) * 8 - n AS BIGINT) AS padding FROM (SELECT doc_id % 4 AS rnk, count(*) AS n FROM {documents} GROUP BY 1) x")
 both("srt10_rank_slices", "SELECT doc_id FROM {documents} WHERE doc_id % 4 = 2")
 both("srt12_smallest_bucket", "SELECT p_partkey, CAST(capacity AS INT) AS capacity FROM (SELECT p_partkey, capacity, row_number() OVER (PARTITION BY p_partkey ORDER BY capacity) AS r FROM {part} JOIN (SELECT 10 * (1 + n_nationkey) AS capacity FROM {nation}) b ON capacity >= p_size) x WHERE r = 1")
-both("srt13_lru_eviction", "WITH o AS (SELECT page_id, length(html) AS bytes, row_number() OVER (ORDER BY page_id DESC) AS recency FROM {pages}), k AS (SELECT page_id, sum(bytes) OVER (ORDER BY recency) AS used FROM o) SELECT page_id FROM k WHERE used > 100000")
-both("src13_cache_budget", "SELECT page_id, CAST(sum(length(html)) OVER (ORDER BY page_id DESC) AS BIGINT) AS used FROM {pages}")
+add("srt13_lru_eviction", lambda s, d: running_total(read(s, d, "pages").select("page_id", F.length("html").alias("bytes"), (-F.col("page_id")).alias("o")).withColumn("k", F.lit(0)), ["k"], "o", "bytes").where(F.col("before") + F.col("bytes") > 100_000).select("page_id"), "WITH o AS (SELECT page_id, length(html) AS bytes, row_number() OVER (ORDER BY page_id DESC) AS recency FROM pages), k AS (SELECT page_id, sum(bytes) OVER (ORDER BY recency) AS used FROM o) SELECT page_id FROM k WHERE used > 100000")
+add("src13_cache_budget", lambda s, d: running_total(read(s, d, "pages").select("page_id", F.length("html").alias("bytes"), (-F.col("page_id")).alias("o")).withColumn("k", F.lit(0)), ["k"], "o", "bytes").select("page_id", (F.col("before") + F.col("bytes")).alias("used")), "SELECT page_id, CAST(sum(length(html)) OVER (ORDER BY page_id DESC) AS BIGINT) AS used FROM pages")
 both("src32_min_length_sample", "SELECT doc_id, n_chars FROM {documents} WHERE n_chars >= 200 ORDER BY doc_id LIMIT 30")
 both("src33_success_guard", "SELECT lang, doc_id % 5 AS batch, avg(CASE WHEN n_chars > 800 THEN 1e0 ELSE 0e0 END) < 0.25e0 AS stop FROM {documents} GROUP BY lang, doc_id % 5")
 both("set01_union_all", "SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM {customer} UNION ALL SELECT 'supplier', s_suppkey, s_name FROM {supplier} UNION ALL SELECT 'part', p_partkey, p_name FROM {part}")

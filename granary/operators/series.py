@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import twin as D
 from ..dual import Book
 from ..functions import text as T
+from .ordering import numbered
 from ..twin import S, quoted
 
 BOOK = Book()
@@ -288,7 +289,7 @@ add("dat02_date_intent", lambda s, d: read(s, d, "orders").select("o_orderkey",
 add("dat03_tool_episode", lambda s, d: calculator(read(s, d, "part").select("p_partkey", arithmetic_expression(F.concat(F.lit("calculate "), F.col("p_size"), F.lit("*2"))).alias("e"), date_answer(F.lit("no date")).alias("dt")), "e", "calc").select("p_partkey", F.coalesce("dt", "calc").alias("result")), "SELECT p_partkey, CAST(p_size * 2 AS VARCHAR) AS result FROM part")
 add("stm02_trigger", lambda s, d: read(s, d, "events").where(monitored(F.when(F.col("event_type") == "signup", F.lit(" ok ")), F.col("value") / 40, F.col("value") / 100)).select("event_id"), "SELECT event_id FROM events WHERE event_type = 'signup' OR value / 40 >= 2.5 OR value / 100 <= 0.35::DOUBLE")
 add("stm03_feedback_reward", lambda s, d: read(s, d, "events").select("event_id", feedback_reward(F.when(F.col("event_type") == "click", F.lit("Incorrect!")).when(F.col("event_type") == "view", F.lit("oui")), F.col("value") / 40, F.lit(None).cast("double")).alias("reward")), "SELECT event_id, CASE event_type WHEN 'click' THEN -1.0::DOUBLE WHEN 'view' THEN 1.0::DOUBLE ELSE CASE WHEN value / 40 >= 2.5 THEN -0.1::DOUBLE ELSE 0.0::DOUBLE END END AS reward FROM events")
-both("stm06_resume_cursor", "SELECT event_id, CAST(floor((r - 1) / 32) AS BIGINT) AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM {events}) x WHERE r > 500")
+add("stm06_resume_cursor", lambda s, d: numbered(read(s, d, "events").select("event_id"), "event_id").where("position >= 500").select("event_id", F.floor(F.col("position") / 32).alias("batch")), "SELECT event_id, CAST(floor((r - 1) / 32) AS BIGINT) AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS r FROM events) x WHERE r > 500")
 both("stm10_stalls", "SELECT user_id, max(ts) AS last_seen FROM {events} GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM {events}) - INTERVAL 1 DAY")
 add("agg31_class_cosines", lambda s, d: class_cosines(read(s, d, "embeddings")), "WITH m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label) SELECT a, b, round(d / (x.n * y.n), 6) AS cosine FROM (SELECT p.label AS a, q.label AS b, sum(p.m * q.m) AS d FROM m p JOIN m q ON p.i = q.i AND p.label <= q.label GROUP BY 1, 2) JOIN n x ON x.label = a JOIN n y ON y.label = b")
 add("agg30_linear_cka", lambda s, d: linear_cka(read(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("v")), read(s, d, "embeddings").select("vec_id", F.slice("embedding", 9, 16).alias("v")), "vec_id", "v"))

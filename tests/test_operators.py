@@ -178,3 +178,22 @@ def test_stream_of_buffers(spark, tmp_path):
     stream = monitor.bounded_buffer(monitor.read_events(spark, str(tmp_path / "in"), "key long, v double"), "key", "v", 8, 5)
     got = monitor.drain(stream, "buffers", "append", str(tmp_path / "ck")).collect()
     assert sorted((r.key, r.n) for r in got) == [(0, 5), (0, 5), (1, 5), (1, 5)]
+
+
+def test_positions_without_a_global_window(spark):
+    from granary.operators import ordering
+
+    data = [(i * 37 % 500, i) for i in range(500)]
+    df = spark.createDataFrame(data, "v long, id long").repartition(7)
+    got = {r.id: r.position for r in ordering.numbered(df, "v", "id").collect()}
+    assert got == {i: p for p, (_, i) in enumerate(sorted(data))}
+    assert ordering.nearest_rank(df, "v", {"a": 0.5, "b": 1.0}, "id").first() == (sorted(v for v, _ in data)[round(499 * 0.5)], 499)
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    import hashlib
+
+    hashes = sorted(hashlib.sha256(str(i).encode()).hexdigest() for i in range(500))
+    assert [ordering.cut_of_hash(df, digest, n) for n in (0, 1, 250, 500)] == ["", hashes[0], hashes[249], hashes[499]]
+    other = spark.createDataFrame([(i, chr(97 + i % 26)) for i in range(500)], "n long, c string")
+    assert ordering.zipped(df.select("v"), "v", other, "n").where("v <> n").count() == 0
+    with pytest.raises(ValueError):
+        ordering.zipped(df, "v", other.limit(3), "n")
