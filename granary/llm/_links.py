@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import U64, column, jaccard_at_least, mix, written
+from ._core import U64, column, jaccard_at_least, lean, mix, written
 
 #: A larger bucket than this is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
 BLOCK = 2048
@@ -142,7 +142,7 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
             yield pa.record_batch([pa.array(np.repeat(group[now], size[now])), half, pa.array(n[rows])], names=["bucket", "half", "n"])
             at = to
 
-    found = entries.repartition(parts, "part").mapInArrow(reduce, LIVE).dropDuplicates(["bucket", "half"])
+    found = entries.repartition(parts, "part").mapInArrow(lean(reduce), LIVE).dropDuplicates(["bucket", "half"])
     return found.join(classes.select(F.col("num").alias("id"), F.substring(F.col("id"), 1, 8).alias("half")), "half").drop("half")
 
 
@@ -206,7 +206,7 @@ def _by_tile(tiles: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], list
 
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.withColumn("tile", F.xxhash64("bucket", "ta", "tb")).repartition(n, "tile").sortWithinPartitions("bucket", "ta", "tb", "id")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) -> DataFrame:
@@ -343,4 +343,4 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # sets come partitioned by id from their own deduplication; only pairs and the left sets move
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("blob").alias("sa")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("blob").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return two.select("a", "b", "sa", "sb").mapInArrow(lean(check), "a long, b long")

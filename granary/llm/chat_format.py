@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import column, read_table
+from ._core import column, lean, read_table
 
 ESCAPE = "\\"
 
@@ -189,7 +189,7 @@ def segments(conversations: DataFrame, template: Template = TEMPLATE) -> DataFra
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
         return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv_id", "segment", "text", "loss"])
 
-    return _sorted(conversations).mapInArrow(run, "conv_id long, segment long, text string, loss boolean")
+    return _sorted(conversations).mapInArrow(lean(run), "conv_id long, segment long, text string, loss boolean")
 
 
 class _Digest:
@@ -248,7 +248,7 @@ def digest(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame
         if rows:
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return _sorted(conversations).mapInArrow(run, DIGEST)
+    return _sorted(conversations).mapInArrow(lean(run), DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

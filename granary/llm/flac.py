@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import column, read_table, slices, text_buffer
+from ._core import column, lean, read_table, slices, text_buffer
 
 BLOCK = 1024
 FRAMES = 4096
@@ -487,11 +487,11 @@ def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a FLAC stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             data, offsets = text_buffer(column(batch, "text"))
             yield pa.record_batch([column(batch, "doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(encode_payloads(*payloads(data, offsets)), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -517,7 +517,7 @@ def pcm_blocks(media: DataFrame, block: int = 1 << 16) -> DataFrame:
                     rows.append((doc, b, at, len(part), part.astype(np.int8).tobytes()))
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
 
-    return media.select("doc_id", "media").where("media is not null").mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples long, pcm binary")
+    return media.select("doc_id", "media").where("media is not null").mapInArrow(lean(run), "doc_id long, block int, sample_offset long, n_samples long, pcm binary")
 
 
 def features(samples: list[np.ndarray]) -> list[str]:
@@ -556,7 +556,7 @@ def digest(media: DataFrame) -> DataFrame:
             ]
             yield pa.record_batch([column(batch, "doc_id"), column(batch, "n_bytes"), *columns], names=names)
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(lean(run), DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

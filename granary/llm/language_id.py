@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._core import column, read_table, slices, text_buffer
+from ._core import column, lean, read_table, slices, text_buffer
 
 HIDDEN, WINDOW = 12, 64
 #: The documented bound of the training sample: documents of each language, pieces of each, and their characters.
@@ -234,7 +234,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
         names = np.array(made["labels"] if made else ["und"], object)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             texts = column(batch, "text")
             data, offsets = text_buffer(texts)
             letters = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts], bool)
@@ -248,7 +248,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pa.record_batch([column(batch, "doc_id"), pa.array(label.tolist(), pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def fold_of(doc_id: int, folds: int) -> int:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _links
-from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, mix, partitions_for, powers, prefix_hash, read_table, slices, text_buffer, written
+from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, lean, mix, partitions_for, powers, prefix_hash, read_table, slices, text_buffer, written
 
 WIDTH, ROWS, BANDS, PERCENT = 8, 4, 14, 75
 #: Bits of the Bloom filter that names the lines to fetch; 4 MB whatever the data, a false hit only costs a row.
@@ -154,19 +154,19 @@ LINE = "doc_id long, row long, line int, id binary"
 
 def _scan_lines(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             found = Lines(*text_buffer(column(batch, "text")))
             at = pa.array(found.row)
             yield pa.record_batch([column(batch, "doc_id").take(at), column(batch, "row").take(at), pa.array(found.number, pa.int32()), id_bytes(found.ids)], names=["doc_id", "row", "line", "id"])
 
-    return docs.mapInArrow(run, LINE)
+    return docs.mapInArrow(lean(run), LINE)
 
 
 def _scan_bands(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held, ids, weight = [], [], 0
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             found = Lines(*text_buffer(column(batch, "text")))
             fresh = []
             for i, name in enumerate(map(bytes, found.ids.view(np.uint8).reshape(-1, 16))):
@@ -186,7 +186,7 @@ def _scan_bands(docs: DataFrame, parts: int) -> DataFrame:
         if weight:
             yield _packed(held, ids, parts)
 
-    return docs.select("text").mapInArrow(run, "part int, blob binary")
+    return docs.select("text").mapInArrow(lean(run), "part int, blob binary")
 
 
 def _packed(held: list, ids: list, parts: int) -> pa.RecordBatch:
@@ -221,7 +221,7 @@ def _bloom(ids: DataFrame) -> np.ndarray:
 
     spec = "part int, bits binary"
     out = np.zeros((16, (1 << BLOOM_BITS) // 128), np.uint8)
-    for row in ids.select("id").mapInArrow(build, spec).repartition(16, "part").mapInArrow(join, spec).collect():
+    for row in ids.select("id").mapInArrow(lean(build), spec).repartition(16, "part").mapInArrow(lean(join), spec).collect():
         out[row.part] = np.frombuffer(row.bits, np.uint8)
     return out.ravel()
 
@@ -242,7 +242,7 @@ def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (of_rows, of_lines), seen = shared.value, set()
         some = (b.filter(pa.array(_passes(of_rows, np.repeat(column(b, "row").to_numpy().view(U64)[:, None], 2, 1)))) for b in batches)
-        for batch in slices(some, "text", 1 << 20):
+        for batch in slices(some, "text"):
             found = Lines(*text_buffer(column(batch, "text")))
             fresh = []
             for i in np.flatnonzero(_passes(of_lines, found.ids)).tolist():
@@ -253,7 +253,7 @@ def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
             if fresh:
                 yield pa.record_batch([id_bytes(found.ids[fresh]), pa.array([found.line(i) for i in fresh], pa.binary())], names=["id", "text"])
 
-    found = docs.select("text", "row").mapInArrow(fetch, "id binary, text binary").join(wanted.select("id", "num"), "id")
+    found = docs.select("text", "row").mapInArrow(lean(fetch), "id binary, text binary").join(wanted.select("id", "num"), "id")
     return written(found.select(F.col("num").alias("id"), "text").dropDuplicates(["id"]), "texts")
 
 
@@ -299,18 +299,18 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with the copied lines taken out of text; adds n_dropped, the number of lines that went."""
-    gone = written(dropped_lines(docs), "dropped").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("row").alias("_row"), F.col("dropped").alias("_dropped"))
-    docs_n, lines_n = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()
+    gone = written(dropped_lines(docs), "dropped").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__lines_doc"), F.col("row").alias("__lines_row"), F.col("dropped").alias("__lines_dropped"))
+    docs_n, lines_n = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("__lines_dropped")), F.lit(0))).first()
     if docs_n <= BROADCAST_DOCS and lines_n <= BROADCAST_LINES:
         gone = F.broadcast(gone)
     text = F.col("text").cast("string")
-    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_row": F.xxhash64(text)}
-    joined = docs.drop("n_dropped").withColumns(keys).join(gone, ["_doc", "_row"], "left")
+    keys = {"__lines_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__lines_row": F.xxhash64(text)}
+    joined = docs.drop("n_dropped").withColumns(keys).join(gone, ["__lines_doc", "__lines_row"], "left")
     # only the texts that lose lines go through Python; a mark of text that is null is none of them
-    changed = _without(F.when(F.col("_dropped").isNotNull(), text), F.col("_dropped"))
-    out = {"text": F.when(F.col("_dropped").isNotNull(), changed).otherwise(F.col("text")), "n_dropped": F.coalesce(F.size("_dropped").cast("long"), F.lit(0).cast("long"))}
-    out["n_dropped"] = F.when(F.col("_dropped").isNotNull(), out["n_dropped"]).otherwise(F.lit(0).cast("long"))
-    return joined.withColumns(out).drop("_doc", "_row", "_dropped")
+    changed = _without(F.when(F.col("__lines_dropped").isNotNull(), text), F.col("__lines_dropped"))
+    out = {"text": F.when(F.col("__lines_dropped").isNotNull(), changed).otherwise(F.col("text")), "n_dropped": F.coalesce(F.size("__lines_dropped").cast("long"), F.lit(0).cast("long"))}
+    out["n_dropped"] = F.when(F.col("__lines_dropped").isNotNull(), out["n_dropped"]).otherwise(F.lit(0).cast("long"))
+    return joined.withColumns(out).drop("__lines_doc", "__lines_row", "__lines_dropped")
 
 
 @F.pandas_udf(T.StringType())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _links
-from ._core import U64, column, id_bytes, partitions_for, read_table, set_ids, shingle_sets, slices, text_buffer, written
+from ._core import U64, column, id_bytes, lean, partitions_for, read_table, set_ids, shingle_sets, slices, text_buffer, written
 
 GROUP_BITS = 8
 GROUPS = 1 << GROUP_BITS
@@ -196,7 +196,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << CELL_BITS, np.uint32)
         names = [x.split()[0] for x in FOUND.split(", ")]
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             k = len(sets)
             flat = np.concatenate(sets)
@@ -207,7 +207,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         k = len(rows)
         yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), FOUND)
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -221,7 +221,7 @@ def _levels(found: DataFrame) -> np.ndarray:
                 sums[i] = sums[i] + x if i in sums else x.astype(np.int64)
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cells", "counts"])
 
-    rows = found.where("cells is not null").select("cells", "counts").repartition(SKETCH_PARTS, "cells").mapInArrow(add, "cells int, counts binary").collect()
+    rows = found.where("cells is not null").select("cells", "counts").repartition(SKETCH_PARTS, "cells").mapInArrow(lean(add), "cells int, counts binary").collect()
     counts = np.zeros((SKETCH_PARTS, (1 << CELL_BITS) // SKETCH_PARTS), np.int64)
     for row in rows:
         counts[row.cells] = np.frombuffer(row.counts, np.int64)
@@ -238,7 +238,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
         level, seen = shared.value, set()
         held: list = []
         weight = 0
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             ids = set_ids(sets)
             for s, i in zip(sets, ids, strict=True):
@@ -257,7 +257,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
         if held:
             yield _blobs(held, parts)
 
-    return docs.select("text").mapInArrow(scan, "part int, blob binary")
+    return docs.select("text").mapInArrow(lean(scan), "part int, blob binary")
 
 
 def _blobs(held: list, parts: int) -> pa.RecordBatch:
@@ -268,7 +268,7 @@ def _blobs(held: list, parts: int) -> pa.RecordBatch:
 
 def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             yield pa.record_batch([id_bytes(set_ids(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "blob"])
 
@@ -279,7 +279,7 @@ def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
         if wanted.count() <= BROADCAST_IDS:
             anchors = F.broadcast(anchors)
         texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("anchor"), "text").join(anchors, "anchor", "left_semi")
-        sets = texts.select("text").mapInArrow(whole, "id binary, blob binary").join(wanted.select("id", F.col("num")), "id")
+        sets = texts.select("text").mapInArrow(lean(whole), "id binary, blob binary").join(wanted.select("id", F.col("num")), "id")
         return _links.verified(pairs, written(sets.select(F.col("num").alias("id"), "blob").dropDuplicates(["id"]), "sets"), percent)
 
     return verify

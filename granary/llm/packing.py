@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import column, read_table, written
+from ._core import column, lean, read_table, written
 from .mixing import token_count
 
 CAPACITY, PER_SOURCE, SHARD_ITEMS = 2048, 2, 4096
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         if held:
             yield from done()
 
-    return dealt.mapInArrow(run, OUT)
+    return dealt.mapInArrow(lean(run), OUT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import column, read_table, slices
+from ._core import column, lean, read_table, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -149,7 +149,7 @@ def find(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([column(batch, "doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, spans array<struct<kind:string, start:long, `end`:long>>")
+    return docs.mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string, start:long, `end`:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def digest(found: DataFrame) -> DataFrame:
             sums = [hashlib.sha256(",".join(s for kind, s in row if kind in BASE).encode()).hexdigest() for row in rows]
             yield pa.record_batch([column(batch, "doc_id"), *(counts[k] for k in BASE), pa.array(sums), pa.array([",".join(s for _, s in row) for row in rows], pa.string()), counts["url"], counts["account"]], names=names)
 
-    return found.mapInArrow(run, FOUND)
+    return found.mapInArrow(lean(run), FOUND)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import LOWER, U64, column, mix, prefix_hash, read_table, slices, span_hash, text_buffer, words, written
+from ._core import LOWER, U64, column, lean, mix, prefix_hash, read_table, slices, span_hash, text_buffer, words, written
 
 THRESHOLD = 0.3
 #: Weight of the pooled covariance in a class's, and of the diagonal in both.
@@ -183,13 +183,13 @@ def featured(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the transformed statistics of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             x = statistics(*text_buffer(column(batch, "text")))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))
             yield pa.record_batch([column(batch, "doc_id"), flat], names=["doc_id", "x"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, x array<double>")
+    return docs.mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def _matrix(array: pa.Array) -> np.ndarray:
@@ -218,7 +218,7 @@ def train(rows: DataFrame) -> Model:
 
     spec = "label long, x array<double>"
     total = {c: np.zeros(1 + width + width * width) for c in (0, 1)}
-    for row in rows.select("label", "x").mapInArrow(add, spec).repartition(8).mapInArrow(merge, spec).collect():
+    for row in rows.select("label", "x").mapInArrow(lean(add), spec).repartition(8).mapInArrow(lean(merge), spec).collect():
         total[row.label] += row.x
     model = fit({c: (int(v[0]), v[1 : 1 + width], v[1 + width :].reshape(width, width)) for c, v in total.items() if v[0]})
     if model.parts:
@@ -229,7 +229,7 @@ def train(rows: DataFrame) -> Model:
                 yield pa.record_batch([column(batch, "label"), pa.array(bin_of(shared.value.raw(_matrix(column(batch, "x")))))], names=["label", "bin"])
 
         histogram = np.zeros((2, BINS))
-        for row in rows.select("label", "x").mapInArrow(bins, "label long, bin long").groupBy("label", "bin").count().collect():
+        for row in rows.select("label", "x").mapInArrow(lean(bins), "label long, bin long").groupBy("label", "bin").count().collect():
             histogram[row.label, row.bin] = row["count"]
         calibrate(model, histogram)
     return model
@@ -253,7 +253,7 @@ def score(features: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([column(batch, "doc_id"), pa.array(shared.value.score(_matrix(column(batch, "x"))))], names=["doc_id", "score"])
 
-    return features.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return features.select("doc_id", "x").mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -262,11 +262,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             keep = shared.value.score(statistics(*text_buffer(column(batch, "text")))) >= THRESHOLD
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

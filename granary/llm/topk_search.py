@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._core import U64, column, read_table, written
+from ._core import U64, column, lean, read_table, written
 
 SEGMENTS, BITS, K = 4, 16, 10
 CODES, QUERIES = 1 << 16, 1 << 10
@@ -138,7 +138,7 @@ def _blocks(codes: DataFrame, per_block: int, name: str) -> DataFrame:
                     names.append(int(block[a]))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "blob"])
 
-    return written(dealt.mapInArrow(run, "block int, blob binary"), name)
+    return written(dealt.mapInArrow(lean(run), "block int, blob binary"), name)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -175,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 sides[side].append(np.frombuffer(blob, np.int64).reshape(2, -1))
         yield from done()
 
-    found = pairs.mapInArrow(search, "q long, code long, first long, distance int")
+    found = pairs.mapInArrow(lean(search), "q long, code long, first long, distance int")
     nearest = Window.partitionBy("q").orderBy("distance", "first")
     found = found.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n", "first")
     # of at most k + 1 codes with k + 1 ids each, the k + 1 nearest ids
