@@ -7,16 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: word -> (Spark, DuckDB)
-WORDS = {"STR": ("STRING", "VARCHAR"), "SHA(": ("sha2x(", "sha256("), "F64": ("DOUBLE", "DOUBLE")}
-
-
 def spark_text(sql: str) -> str:
+    """SHA(x) and STR as Spark spells them."""
     sql = re.sub(r"SHA\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(\1, 256)", sql)
     return re.sub(r"\bSTR\b", "STRING", sql)
 
 
 def duck_text(sql: str) -> str:
+    """SHA(x), STR and {table} as DuckDB spells them."""
     sql = re.sub(r"\{(\w+)\}", r"\1", sql)
     return re.sub(r"\bSTR\b", "VARCHAR", sql.replace("SHA(", "sha256("))
 

@@ -5,7 +5,9 @@ Word characters are letters, numbers and the underscore of any script; white spa
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +19,9 @@ SPACE = r"\s\p{Z}"
 HTML = r"<[^>]+>"
 URL = rf"https?://[^{SPACE}]+|www\.[^{SPACE}]+"
 EMAIL = rf"[{WORD}.-]+@[{WORD}.-]+\.[{WORD}]+"
+# The same for Java's engine: a match may start where the last one ended or where a run of its characters starts, and nowhere
+# else, so that words without an at-sign are looked at once.
+EMAIL_ONCE = rf"(?:\G|(?<![{WORD}.-]))[{WORD}.-]++@[{WORD}.-]+\.[{WORD}]+"
 
 # Words that don't count as content.
 STOP_WORDS = (
@@ -35,15 +40,20 @@ def as_text(x: Column) -> Column:
     return strip(F.coalesce(x.cast("string"), F.lit("")))
 
 
+def _where_cued(pattern: str, cues: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Matches become spaces; the pattern runs only over texts that have what each of its matches has."""
+    return lambda y: F.when(reduce(operator.or_, [F.contains(y, F.lit(c)) for c in cues]), F.regexp_replace(y, pattern, " ")).otherwise(y)
+
+
 def clean(x: Column, min_length: int = 10, max_length: int | None = None, html: bool = True, urls: bool = True, emails: bool = True, lower: bool = True) -> Column:
     """Markup, addresses and e-mails become spaces, spaces collapse; null if too short; cut to max_length."""
-    for on, pattern in ((html, HTML), (urls, URL), (emails, EMAIL)):
+    for on, pattern, cues in ((html, HTML, ("<",)), (urls, URL, ("http", "www.")), (emails, EMAIL_ONCE, ("@",))):
         if on:
-            x = F.regexp_replace(x, pattern, " ")
+            x = let(x, _where_cued(pattern, cues))
     x = strip(F.regexp_replace(x, rf"[{SPACE}]+", " "))
     if lower:
         x = F.lower(x)
-    kept = F.when(F.length(x) >= F.lit(max(min_length, 1)), x)
+    kept = let(x, lambda y: F.when(F.length(y) >= F.lit(max(min_length, 1)), y))
     return F.substring(kept, 1, max_length) if max_length else kept
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import twin as D
 from ..dual import Book
 from ..functions import text as T
+from ..session import materialised
 from .ordering import numbered
 
 BOOK = Book()
@@ -37,6 +38,7 @@ def vocabulary(counts: DataFrame, specials: int = 0) -> DataFrame:
 
     Ranks are found in two phases, by count first and within a count then, so that no task orders the whole vocabulary.
     """
+    counts = materialised(counts, "counts")
     levels = counts.groupBy("cnt").agg(F.count("*").alias("n"))
     before = levels.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = counts.withColumn("r", F.row_number().over(Window.partitionBy("cnt").orderBy("token")))
@@ -45,11 +47,12 @@ def vocabulary(counts: DataFrame, specials: int = 0) -> DataFrame:
 
 def zipf_weights(vocab: DataFrame, alpha: float = 0.5, floor: float = 0.05) -> DataFrame:
     """Weight max((rank / V)^alpha, floor) by falling frequency, scaled to a root mean square of 1."""
+    vocab = materialised(vocab, "vocabulary")
     size, = vocab.agg(F.count("*")).first()
     raw = F.greatest(F.pow((F.col("token_id") + 1) / F.lit(float(max(1, size))), F.lit(alpha)), F.lit(floor))
     weighted = vocab.withColumn("raw", raw)
     norm, = weighted.agg(F.sqrt(F.avg(F.col("raw") * F.col("raw")))).first()
-    return weighted.select("token", "cnt", (F.col("token_id") + 1).alias("rank"), F.round(F.col("raw") / F.lit(norm or 1.0), 9).alias("weight"))
+    return weighted.select("token", "cnt", (F.col("token_id") + 1).alias("rank"), F.round(F.col("raw") / F.lit(norm or 1.0), 6).alias("weight"))
 
 
 def encode(docs: DataFrame, vocab: DataFrame, unknown: int = 0, key: str = "doc_id") -> DataFrame:
@@ -207,7 +210,7 @@ _VOCAB = f"WITH {_FREQ}, vocab AS (SELECT token, cnt, row_number() OVER (ORDER B
 BOOK.add("agg01_token_frequencies", lambda s, d: frequencies(_docs(s, d), 10), f"WITH {_FREQ} SELECT token, cnt FROM freq")
 BOOK.add("agg02_corpus_counters", lambda s, d: _docs(s, d).where("doc_id % 10 <> 0").agg(F.count("*").alias("documents"), F.sum(F.size(T.plain_tokens(F.col("text")))).alias("tokens")).crossJoin(frequencies(_docs(s, d), 10).agg(F.count("*").alias("vocabulary"))), f"WITH {_FREQ} SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0) AS documents, CAST(sum(cnt) AS BIGINT) AS tokens, count(*) AS vocabulary FROM freq")
 BOOK.add("agg03_tokens_per_source", lambda s, d: _docs(s, d).select("source", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.length("text").alias("c")).rollup("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum("c").alias("chars"), F.round(F.sum("n") / F.sum("c"), 9).alias("per_char")), f"SELECT source, count(*) AS docs, CAST(sum({LEN}) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum({LEN}) / sum(length(text)), 9) AS per_char FROM documents GROUP BY ROLLUP (source)")
-BOOK.add("win20_zipf_weights", lambda s, d: zipf_weights(vocabulary(frequencies(_docs(s, d), 10))), f"{_VOCAB}, raw AS (SELECT token, cnt, token_id + 1 AS rank, greatest(pow((token_id + 1) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 0.5), 0.05::DOUBLE) AS raw FROM vocab) SELECT token, cnt, rank, round(raw / (SELECT sqrt(avg(raw * raw)) FROM raw), 9) AS weight FROM raw")
+BOOK.add("win20_zipf_weights", lambda s, d: zipf_weights(vocabulary(frequencies(_docs(s, d), 10))), f"{_VOCAB}, raw AS (SELECT token, cnt, token_id + 1 AS rank, greatest(pow((token_id + 1) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 0.5), 0.05::DOUBLE) AS raw FROM vocab) SELECT token, cnt, rank, round(raw / (SELECT sqrt(avg(raw * raw)) FROM raw), 6) AS weight FROM raw")
 BOOK.add("tok01_encode", lambda s, d: encode(_docs(s, d), vocabulary(frequencies(_docs(s, d), 10), 3)).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_join("ids", " ").alias("ids")), f"{_VOCAB} SELECT doc_id, count(*) AS n, string_agg(CAST(coalesce(token_id + 3, 0) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {D.plain_tokens('text')} AS t FROM documents)) LEFT JOIN vocab USING (token) GROUP BY doc_id")
 BOOK.add("tok02_decode", lambda s, d: (lambda v: decode(encode(_docs(s, d).where("doc_id % 10 <> 0"), v), v))(vocabulary(frequencies(_docs(s, d), 10))), f"SELECT doc_id, array_to_string({D.plain_tokens('text')}, ' ') AS text FROM documents WHERE doc_id % 10 <> 0")
 BOOK.add("tok09_flatten_with_eos", lambda s, d: read(s, d, "benchmark").select("item_id", F.concat(T.plain_tokens(F.col("text")), F.array(F.lit("<eos>"))).alias("t")).select("item_id", F.array_join("t", " ").alias("flat"), F.size("t").cast("long").alias("n")), f"SELECT item_id, array_to_string(list_append({D.plain_tokens('text')}, '<eos>'), ' ') AS flat, len({D.plain_tokens('text')}) + 1 AS n FROM benchmark")

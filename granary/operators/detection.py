@@ -44,46 +44,67 @@ def _iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 BOX = ["x1", "y1", "x2", "y2"]
 
 
+#: Rows of images that are worked on together; an image's boxes are never apart.
+TOGETHER = 20_000
+
+
+def _groups(table: pd.DataFrame) -> dict[tuple, np.ndarray]:
+    """Row positions of each (image, label)."""
+    return {k: np.sort(v) for k, v in table.groupby(["image", "label"], sort=True).indices.items()} if len(table) else {}
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64("image"), F.lit(buckets)))
+
+
 def suppress(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy class-aware suppression within (image, label): by score, a box goes if it overlaps a kept one by more."""
+    buckets = max(1, -(-predictions.count() // TOGETHER))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "box"], ascending=[False, True], kind="stable")
-        overlap = _iou_matrix(pdf[BOX].to_numpy(float), pdf[BOX].to_numpy(float))
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            if not any(overlap[i, j] > threshold for j in kept):
-                kept.append(i)
-        return pdf.iloc[kept]
+        pdf = pdf.drop(columns="_bucket").sort_values(["score", "box"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        boxes, keep = pdf[BOX].to_numpy(float), np.zeros(len(pdf), bool)
+        for at in _groups(pdf).values():
+            over = _iou_matrix(boxes[at], boxes[at]) > threshold
+            kept: list[int] = []
+            for i in range(len(at)):
+                if not over[i, kept].any():
+                    kept.append(i)
+            keep[at[kept]] = True
+        return pdf[keep]
 
-    return predictions.groupBy("image", "label").applyInPandas(run, predictions.schema)
+    return _bucketed(predictions, buckets).groupBy("_bucket").applyInPandas(run, predictions.schema)
 
 
 def match(predictions: DataFrame, targets: DataFrame) -> DataFrame:
     """(image, label, box, score, hits): by falling score, each prediction takes the free target of the largest overlap, for
-    each threshold of 0.50 to 0.95; hits has a flag for each.  Groups are an image's boxes of one class."""
+    each threshold of 0.50 to 0.95; hits has a flag for each.  Images are dealt into buckets of some TOGETHER boxes."""
     schema = "image long, label int, box int, score double, hits array<boolean>"
+    buckets = max(1, -(-predictions.count() // TOGETHER))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):  # a side without rows comes without columns
             return pd.DataFrame({"image": [], "label": [], "box": [], "score": [], "hits": []})
-        left = left.sort_values(["score", "box"], ascending=[False, True], kind="stable")
-        right = right.sort_values("box", kind="stable") if len(right) else right
+        left = left.sort_values(["score", "box"], ascending=[False, True], kind="stable").reset_index(drop=True)
         hits = np.zeros((len(left), len(THRESHOLDS)), bool)
         if len(right):
-            overlap = _iou_matrix(left[BOX].to_numpy(float), right[BOX].to_numpy(float))
-            for t, limit in enumerate(THRESHOLDS):
-                free = np.ones(len(right), bool)
-                for i in range(len(left)):
-                    candidates = np.where(free, overlap[i], -1.0)
-                    j = int(candidates.argmax())
-                    if candidates[j] >= limit:
-                        free[j] = False
-                        hits[i, t] = True
-        return pd.DataFrame({"image": left["image"], "label": left["label"], "box": left["box"], "score": left["score"], "hits": list(hits.tolist())})
+            right = right.sort_values("box", kind="stable").reset_index(drop=True)
+            theirs, a, b = _groups(right), left[BOX].to_numpy(float), right[BOX].to_numpy(float)
+            for group, at in _groups(left).items():
+                if group not in theirs:
+                    continue
+                overlap = _iou_matrix(a[at], b[theirs[group]])
+                for t, limit in enumerate(THRESHOLDS):
+                    free = np.ones(overlap.shape[1], bool)
+                    for i in np.flatnonzero(overlap.max(1) >= limit):
+                        j = int(np.where(free, overlap[i], -1.0).argmax())
+                        if free[j] and overlap[i, j] >= limit:
+                            free[j] = False
+                            hits[at[i], t] = True
+        return pd.DataFrame({"image": left["image"], "label": left["label"], "box": left["box"], "score": left["score"], "hits": hits.tolist()})
 
     targets = targets.select(*[F.col(c).alias(c) for c in targets.columns])  # a table matched against itself needs names of its own
-    return predictions.groupBy("image", "label").cogroup(targets.groupBy("image", "label")).applyInPandas(run, schema)
+    return _bucketed(predictions, buckets).groupBy("_bucket").cogroup(_bucketed(targets, buckets).groupBy("_bucket")).applyInPandas(run, schema)
 
 
 def average_precision(matched: DataFrame, targets: DataFrame) -> DataFrame:

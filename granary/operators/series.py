@@ -268,7 +268,7 @@ def encode_byte_pairs(word: Column, merges: list[tuple[str, str]]) -> Column:
 # ---- queries -------------------------------------------------------------------------------------------------------
 
 _events = lambda s, d: read(s, d, "events").select("user_id", "event_id", "ts", "value")
-add("win17_ewma", lambda s, d: ewma(_events(s, d), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", "event_id", F.round("ewma", 6).alias("ewma")), "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT user_id, event_id, r, value AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, 0.9::DOUBLE * f.e + 0.1::DOUBLE * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, event_id, round(e, 6) AS ewma FROM f")
+add("win17_ewma", lambda s, d: ewma(_events(s, d), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", "event_id", F.round("ewma", 6).alias("ewma")), "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT user_id, event_id, r, value AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, 0.9::DOUBLE * f.e + (1 - 0.9::DOUBLE) * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, event_id, round(e, 6) AS ewma FROM f")
 add("stm09_reward_baseline", lambda s, d: reward_advantage(_events(s, d), "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", F.round("advantage", 6).alias("advantage")), "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT user_id, event_id, r, value, (1 - 0.9::DOUBLE) * value AS b FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, o.value, 0.9::DOUBLE * f.b + (1 - 0.9::DOUBLE) * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, event_id, round(value - b, 6) AS advantage FROM f")
 add("win23_sample_indices", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(sample_indices(F.col("p_size"), 5), " ").alias("at")), "SELECT p_partkey, array_to_string([CAST(round_even(i * (p_size - 1) / 4.0::DOUBLE, 0) AS INTEGER) FOR i IN range(0, 5)], ' ') AS at FROM part")
 add("win24_resample", lambda s, d: resample(_events(s, d).where("user_id <= 20"), "user_id", ["ts", "event_id"], "value", 9).select("user_id", "step", F.round("value", 5).alias("value")), "WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id <= 20), g AS (SELECT DISTINCT user_id, n, CAST(step AS INTEGER) AS step, step * (n - 1) / 8.0::DOUBLE AS pos FROM o, range(9) r(step)) SELECT g.user_id, step, round(a.value + (pos - floor(pos)) * coalesce(b.value - a.value, 0), 5) AS value FROM g JOIN o a ON a.user_id = g.user_id AND a.i = floor(pos) LEFT JOIN o b ON b.user_id = g.user_id AND b.i = floor(pos) + 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def guard(spark: SparkSession) -> SparkSession:
@@ -24,6 +24,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, whatever number of plans use it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def session(app: str = "granary", cores: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, adaptive execution and as many shuffle partitions as cores unless told otherwise."""
     cores = cores or os.cpu_count() or 4

@@ -197,3 +197,27 @@ def test_positions_without_a_global_window(spark):
     assert ordering.zipped(df.select("v"), "v", other, "n").where("v <> n").count() == 0
     with pytest.raises(ValueError):
         ordering.zipped(df, "v", other.limit(3), "n")
+
+
+def test_matching_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    make = lambda n: [(rng.randrange(12), rng.randrange(2), i, x := rng.uniform(0, 20), y := rng.uniform(0, 20), x + rng.uniform(4, 12), y + rng.uniform(4, 12), round(rng.random(), 2)) for i in range(n)]
+    left, right = make(120), make(60)
+
+    def iou(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        inter = max(w, 0) * max(h, 0)
+        return inter / ((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - inter)
+
+    want = {}
+    for limit in detection.THRESHOLDS:
+        used = set()
+        for p in sorted(left, key=lambda p: (-p[7], p[2])):
+            free = [t for t in right if t[:2] == p[:2] and t[2] not in used]
+            best = max(free, key=lambda t: (iou(p, t), -t[2]), default=None)
+            hit = best is not None and iou(p, best) >= limit
+            if hit:
+                used.add(best[2])
+            want.setdefault(p[2], []).append(hit)
+    got = {r.box: r.hits for r in detection.match(boxes(spark, left), boxes(spark, right)).collect()}
+    assert got == want
