@@ -143,7 +143,7 @@ both("jon12_panel_responses", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS
 both("jon13_reports_metrics", "WITH m AS (SELECT user_id, max(event_id) AS step, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY user_id) SELECT m.user_id, m.step, m.n, e.event_type FROM m JOIN {events} e ON e.event_id = m.step")
 both("jon14_loss_cells", "WITH cells AS (SELECT source AS task, lang AS domain, CAST(count(*) AS BIGINT) AS cell FROM {documents} WHERE lang = 'en' GROUP BY source, lang), tasks AS (SELECT source AS task, CAST(-1 AS BIGINT) AS cell FROM {documents} GROUP BY source) SELECT d.doc_id, coalesce(c.cell, t.cell) AS cell FROM {documents} d LEFT JOIN cells c ON c.task = d.source AND c.domain = d.lang LEFT JOIN tasks t ON t.task = d.source")
 add("jon15_order_equality", lambda s, d: numbered(read(s, d, "pages").select("page_id", "url"), "url", out="a").join(numbered(read(s, d, "pages").select(F.col("page_id").alias("other")), "other", out="b"), F.expr("a = b")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("page_id") != F.col("other"), 1).otherwise(0)).alias("misplaced")), "WITH a AS (SELECT page_id, row_number() OVER (ORDER BY url) AS r FROM pages), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages) SELECT count(*) AS n, CAST(sum(CASE WHEN a.page_id <> b.page_id THEN 1 ELSE 0 END) AS BIGINT) AS misplaced FROM a JOIN b ON a.r = b.r")
-both("src29_line_zip", "WITH q AS (SELECT text, row_number() OVER (ORDER BY item_id) AS line FROM {benchmark}), y AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS line FROM {labels}) SELECT q.line, q.text, y.quality FROM q JOIN y ON q.line = y.line")
+both("src29_line_zip", "WITH q AS (SELECT text, row_number() OVER (ORDER BY item_id) AS line FROM {benchmark}), y AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS line FROM {labels}) SELECT CAST(q.line AS BIGINT) AS line, q.text, y.quality FROM q JOIN y ON q.line = y.line")
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
@@ -235,7 +235,7 @@ both("flt15_crop_boxes", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity
 both("flt18_mosaic", "SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS col, CAST(floor(l_linenumber / 2) AS INT) AS row_no, round((l_linenumber % 2 + l_tax) / 2, 6) AS cx FROM {lineitem} WHERE l_linenumber <= 4")
 both("flt17_safe_path", "SELECT page_id, NOT (url LIKE '/%' OR url = '' OR url LIKE '%/../%' OR url LIKE '%/./%' OR url LIKE '%//%') AS safe FROM {pages}")
 both("mth05_finite_parse", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS STR) END AS DOUBLE) AS v FROM {events}")
-both("dat01_dates", "SELECT o_orderkey, dayofmonth(o_orderdate) AS day, dayofyear(o_orderdate) AS doy, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS later FROM {orders}")
+both("dat01_dates", "SELECT o_orderkey, CAST(dayofmonth(o_orderdate) AS BIGINT) AS day, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS later FROM {orders}")
 both("mth04_cosine_schedule", "SELECT p_partkey, round(0.5e0 * (1 + cos(pi() * p_size / 50e0)), 9) AS rate FROM {part}")
 both("mth03_softmax", "SELECT l_orderkey, l_linenumber, round(exp(l_quantity - max(l_quantity) OVER w) / sum(exp(l_quantity - 50e0)) OVER w * exp(max(l_quantity) OVER w - 50e0), 9) AS p FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey)")
 
