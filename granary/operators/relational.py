@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dual import Book
+from ..session import materialised
 from .corpus import running_total
 from .ordering import cut_of_hash, nearest_rank, numbered, zipped
 
@@ -49,7 +50,7 @@ def bounded_mean_one(weights: DataFrame, low: float, high: float, weight: str =
 
     Each step is one aggregation over the distinct weights with their counts.
     """
-    counted = weights.groupBy(weight).count()
+    counted = materialised(weights.groupBy(weight).count(), "weights")
     a, b = 0.0, 1.0
     clamp = lambda scale: F.least(F.lit(high), F.greatest(F.lit(low), F.col(weight) * scale))
     mean = lambda scale: counted.agg(F.sum(clamp(F.lit(scale)) * F.col("count")) / F.sum("count")).first()[0]
