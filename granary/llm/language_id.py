@@ -57,6 +57,7 @@ def _backward(model: dict, side: str, codes: np.ndarray, kept: list, above: np.n
     u = model[f"{side}.u"]
     carry = np.zeros_like(above[0])
     gw, gu, gb = (np.zeros_like(model[f"{side}.{k}"]) for k in "wub")
+    inputs, places = [], []
     for t, h, r, z, inner, n in reversed(kept):
         d = above[t] + carry
         dn = d * (1 - z) * (1 - n * n)
@@ -64,11 +65,14 @@ def _backward(model: dict, side: str, codes: np.ndarray, kept: list, above: np.n
         dr = dn * inner * r * (1 - r)
         dx = np.concatenate([dr, dz, dn])
         dg = np.concatenate([dr, dz, dn * r])
-        for row in range(len(dx)):
-            gw[row] += np.bincount(codes[t], dx[row], minlength=256).astype(np.float32)
+        inputs.append(dx)
+        places.append(codes[t])
         gu += dg @ h.T
         gb += (dn * r).sum(1, keepdims=True)
         carry = d * z + u.T @ dg
+    every, place = np.concatenate(inputs, 1), np.concatenate(places)
+    for row in range(len(gw)):
+        gw[row] = np.bincount(place, every[row], minlength=256)
     grads[f"{side}.w"], grads[f"{side}.u"], grads[f"{side}.b"] = gw, gu, gb
 
 
