@@ -6,7 +6,7 @@ the same characters are one class.  Signatures of ROWS * BANDS minima are banded
 their whole sets are compared exactly, pairs of Jaccard similarity >= percent / 100 are links, and distributed union-find
 makes components.  Of each component the line with the smallest (doc_id, row, line number) stays; the others go.
 
-At similarity 0.75 a pair shares a band with probability 0.995, at 0.8 with 0.9994.  A null text has no lines and stays null.
+At similarity 0.75 a pair shares a band with probability 0.998, at 0.8 with 0.9998.  A null text has no lines and stays null.
 Rows of the same doc_id and text are one document and get the same text back; a null doc_id sorts first.  All columns of the
 input are kept as they are.  An empty table gives no rows.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from . import _links
 from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, lean, mix, partitions_for, powers, prefix_hash, read_table, slices, text_buffer, written
 
-WIDTH, ROWS, BANDS, PERCENT = 8, 4, 14, 75
+WIDTH, ROWS, BANDS, PERCENT = 8, 4, 16, 75
 #: Bits of the Bloom filter that names the lines to fetch; 4 MB whatever the data, a false hit only costs a row.
 BLOOM_BITS = 25
 #: Documents with dropped lines up to this number are broadcast with them if their lines are few too; beyond it, shuffled.
