@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,40 @@ def hash_split(rows: DataFrame, key: str, held_out: float, seed: int = 42) -> Da
     return rows.withColumn("held", stable_order(seed, key) > F.lit(cut_of_hash(rows, stable_order(seed, key), cut)))
 
 
+#: Vectors of a label that are compared with as many others at once, about.
+TOGETHER = 512
+
+
+def similar_pairs(vectors: DataFrame, over: float) -> DataFrame:
+    """(left_id, right_id, dot): all pairs of vectors of one label whose dot product, rounded to 5 places, is more than `over`.
+
+    The vectors of a label are dealt into blocks, and each pair of blocks is compared in a group of its own, so that no task holds
+    a label.  Vectors of different lengths, or with nulls, have no dot product.
+    """
+    rows = vectors.where("label is not null and vec_id is not null and embedding is not null and not exists(embedding, x -> x is null)")
+    rows = rows.select("label", F.size("embedding").alias("length"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    blocks = rows.groupBy("label", "length").agg(F.ceil(F.count("*") / TOGETHER).alias("blocks"))
+    mine = rows.join(blocks, ["label", "length"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    other = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = other.select("label", "length", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vec_id", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id", kind="stable")
+        ids, v, block = pdf["vec_id"].to_numpy(), np.stack(pdf["v"].to_numpy()), pdf["block"].to_numpy()
+        apart = pdf["low"].iloc[0] != pdf["high"].iloc[0]
+        left, right, dots = [], [], []
+        for i in range(len(ids)):
+            near = i + 1 + np.flatnonzero(~(v[i + 1 :] @ v[i] <= over - 0.01))  # what the product in any order may put over the limit
+            near = near[(ids[near] > ids[i]) & (~apart | (block[near] != block[i]))]
+            left.append(np.full(len(near), ids[i]))
+            right.append(ids[near])
+            dots.append(np.cumsum(v[near] * v[i], axis=1)[:, -1] if v.shape[1] else np.zeros(len(near)))  # summed from first to last
+        return pd.DataFrame({"left_id": np.concatenate(left), "right_id": np.concatenate(right), "dot": np.concatenate(dots)})
+
+    pairs = met.groupBy("label", "length", "low", "high").applyInPandas(run, f"left_id {dict(rows.dtypes)['vec_id']}, right_id {dict(rows.dtypes)['vec_id']}, dot double")
+    return pairs.withColumn("dot", F.round("dot", 5)).where(F.col("dot") > over)
+
+
 # ---- joins ---------------------------------------------------------------------------------------------------------
 
 EX = "ex AS (SELECT d.doc_id, d.source AS task, d.lang AS mode, d.n_chars, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)"
@@ -139,7 +175,8 @@ both("jon06_anti", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT
 both("jon07_fresh_shards", "SELECT DISTINCT source, doc_id % 8 AS shard FROM {documents} a WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.source = a.source AND b.doc_id % 8 = a.doc_id % 8 AND b.n_chars > 9000)")
 both("jon08_missing_files", "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45")
 both("jon09_theta_boxes", "WITH b AS (SELECT l_orderkey AS image, l_linenumber AS box, l_suppkey % 3 AS class, l_quantity AS x, l_partkey % 40 AS y, 20e0 AS w FROM {lineitem} WHERE l_orderkey <= 4000), o AS (SELECT a.image, a.box AS box_a, c.box AS box_b, greatest(0e0, least(a.x, c.x) + 20e0 - greatest(a.x, c.x)) * greatest(0e0, least(a.y, c.y) + 20e0 - greatest(a.y, c.y)) AS inter FROM b a JOIN b c ON a.image = c.image AND a.class = c.class AND a.box < c.box) SELECT image, box_a, box_b, round(inter / (800e0 - inter), 6) AS iou FROM o WHERE inter / (800e0 - inter) >= 0.05e0")
-add("jon10_similarity_join", lambda s, d: (lambda v: v.alias("a").join(v.alias("b"), F.expr("a.label = b.label and a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("left_id"), F.col("b.vec_id").alias("right_id"), F.round(F.aggregate(F.zip_with("a.embedding", "b.embedding", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda x, y: x + y), 5).alias("dot")).where("dot > 0.3"))(read(s, d, "embeddings").where("vec_id % 4 = 0")), "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 AND round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) > 0.3")
+add("jon10_similarity_join", lambda s, d: similar_pairs(read(s, d, "embeddings"), 0.3),
+    "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 AND round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) > 0.3")
 both("jon12_panel_responses", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS response FROM {conversations} u LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 both("jon13_reports_metrics", "WITH m AS (SELECT user_id, max(event_id) AS step, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY user_id) SELECT m.user_id, m.step, m.n, e.event_type FROM m JOIN {events} e ON e.event_id = m.step")
 both("jon14_loss_cells", "WITH cells AS (SELECT source AS task, lang AS domain, CAST(count(*) AS BIGINT) AS cell FROM {documents} WHERE lang = 'en' GROUP BY source, lang), tasks AS (SELECT source AS task, CAST(-1 AS BIGINT) AS cell FROM {documents} GROUP BY source) SELECT d.doc_id, coalesce(c.cell, t.cell) AS cell FROM {documents} d LEFT JOIN cells c ON c.task = d.source AND c.domain = d.lang LEFT JOIN tasks t ON t.task = d.source")
