@@ -138,7 +138,7 @@ def clip_frames(frames: DataFrame, radius: int, stride: int) -> DataFrame:
 
 
 def _boxes(s, d, shift: float = 0.0) -> DataFrame:
-    rows = read(s, d, "lineitem").where("l_orderkey <= 3000").select(F.col("l_orderkey").alias("image"), F.pmod("l_suppkey", F.lit(3)).cast("int").alias("label"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).alias("box"), F.col("l_quantity").alias("x1"), F.pmod("l_partkey", F.lit(40)).cast("double").alias("y1"), (F.col("l_discount") * 10).alias("score"))
+    rows = read(s, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.pmod("l_suppkey", F.lit(3)).cast("int").alias("label"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))).alias("box"), F.col("l_quantity").alias("x1"), F.pmod("l_partkey", F.lit(40)).cast("double").alias("y1"), (F.col("l_discount") * 10).alias("score"))
     return rows.select("image", "label", "box", (F.col("x1") + shift * F.pmod("box", F.lit(3))).alias("x1"), "y1", (F.col("x1") + 20 + shift).alias("x2"), (F.col("y1") + 20).alias("y2"), "score")
 
 

@@ -163,6 +163,15 @@ def similar_pairs(vectors: DataFrame, over: float) -> DataFrame:
     return pairs.withColumn("dot", F.round("dot", 5)).where(F.col("dot") > over)
 
 
+def overlapping_boxes(boxes: DataFrame, side: float, least: float) -> DataFrame:
+    """(image, box_a, box_b, iou) of squares of one image and class that overlap by at least `least`; boxes: corners x, y."""
+    both_ = boxes.alias("a").join(boxes.alias("c"), F.expr("a.image = c.image and a.class = c.class and a.box < c.box"))
+    shared = lambda v: F.greatest(F.lit(0.0), F.least(f"a.{v}", f"c.{v}") + side - F.greatest(f"a.{v}", f"c.{v}"))
+    rows = both_.select(F.col("a.image").alias("image"), F.col("a.box").alias("box_a"), F.col("c.box").alias("box_b"), (shared("x") * shared("y")).alias("inter"))
+    iou = F.col("inter") / (2 * side * side - F.col("inter"))
+    return rows.where(iou >= least).select("image", "box_a", "box_b", F.round(iou, 6).alias("iou"))
+
+
 # ---- joins ---------------------------------------------------------------------------------------------------------
 
 EX = "ex AS (SELECT d.doc_id, d.source AS task, d.lang AS mode, d.n_chars, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)"
@@ -174,7 +183,8 @@ both("jon05_semi", "SELECT doc_id FROM {documents} WHERE doc_id IN (SELECT doc_i
 both("jon06_anti", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
 both("jon07_fresh_shards", "SELECT DISTINCT source, doc_id % 8 AS shard FROM {documents} a WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.source = a.source AND b.doc_id % 8 = a.doc_id % 8 AND b.n_chars > 9000)")
 both("jon08_missing_files", "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45")
-both("jon09_theta_boxes", "WITH b AS (SELECT l_orderkey AS image, l_linenumber AS box, l_suppkey % 3 AS class, l_quantity AS x, l_partkey % 40 AS y, 20e0 AS w FROM {lineitem} WHERE l_orderkey <= 4000), o AS (SELECT a.image, a.box AS box_a, c.box AS box_b, greatest(0e0, least(a.x, c.x) + 20e0 - greatest(a.x, c.x)) * greatest(0e0, least(a.y, c.y) + 20e0 - greatest(a.y, c.y)) AS inter FROM b a JOIN b c ON a.image = c.image AND a.class = c.class AND a.box < c.box) SELECT image, box_a, box_b, round(inter / (800e0 - inter), 6) AS iou FROM o WHERE inter / (800e0 - inter) >= 0.05e0")
+add("jon09_theta_boxes", lambda s, d: overlapping_boxes(read(s, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), F.pmod("l_suppkey", F.lit(3)).alias("class"), F.col("l_quantity").alias("x"), F.pmod("l_partkey", F.lit(40)).alias("y")), 20.0, 0.05),
+    "WITH b AS (SELECT l_orderkey AS image, l_linenumber AS box, l_suppkey % 3 AS class, l_quantity AS x, l_partkey % 40 AS y, 20e0 AS w FROM {lineitem} WHERE l_orderkey <= 4000), o AS (SELECT a.image, a.box AS box_a, c.box AS box_b, greatest(0e0, least(a.x, c.x) + 20e0 - greatest(a.x, c.x)) * greatest(0e0, least(a.y, c.y) + 20e0 - greatest(a.y, c.y)) AS inter FROM b a JOIN b c ON a.image = c.image AND a.class = c.class AND a.box < c.box) SELECT image, box_a, box_b, round(inter / (800e0 - inter), 6) AS iou FROM o WHERE inter / (800e0 - inter) >= 0.05e0")
 add("jon10_similarity_join", lambda s, d: similar_pairs(read(s, d, "embeddings"), 0.3),
     "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 AND round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) > 0.3")
 both("jon12_panel_responses", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS response FROM {conversations} u LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")

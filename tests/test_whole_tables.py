@@ -3,7 +3,7 @@
 import pytest
 
 from granary import catalog
-from granary.operators import relational
+from granary.operators import detection, relational
 
 from . import oracle
 
@@ -26,3 +26,23 @@ def same(spark, name, sql, sf="sf0.01"):
 def test_similarity_join_compares_all_vectors(spark, monkeypatch):
     monkeypatch.setattr(relational, "TOGETHER", 20)
     same(spark, "jon10_similarity_join", whole("jon10_similarity_join", ("a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 AND ", "")), "sf0.001")
+
+
+def test_theta_boxes_of_all_images(spark):
+    same(spark, "jon09_theta_boxes", whole("jon09_theta_boxes", (" WHERE l_orderkey <= 4000", "")))
+
+
+@pytest.mark.parametrize("name", ["win14_greedy_matching", "win15_suppression", "met18_scores_by_image"])
+def test_detection_meets_all_images(spark, name):
+    path = "/root/testdata/sf0.01"
+    images = QUERIES[name](spark, path).select("image").distinct().count()
+    assert images == spark.read.parquet(f"{path}/lineitem.parquet").select("l_orderkey").distinct().count()
+
+
+def test_detection_scores_count_all_boxes(spark):
+    path = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{path}/lineitem.parquet").count()
+    assert sum(r.predictions for r in QUERIES["agg35_partial_state"](spark, path).collect()) == rows
+    got = QUERIES["met17_detection_scores"](spark, path).first()
+    bounded = detection.detection_scores(*[detection._boxes(spark, path, shift).where("image <= 3000") for shift in (3.0, 0.0)]).first()
+    assert got != bounded and 0 < got.f1 <= 1
