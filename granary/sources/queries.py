@@ -143,7 +143,7 @@ add("src34_edit_pairs", lambda s, d: _tar_rows(s, d, True), "SELECT item_id, tex
 
 def _box_files(s: SparkSession, d: str) -> DataFrame:
     path = scratch(s, "boxes")
-    rows = read(s, d, "lineitem").where("l_orderkey <= 500").select(F.concat_ws(" ", F.pmod("l_suppkey", F.lit(4)), F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.lit(0.25), F.lit("extra")).alias("value"))
+    rows = read(s, d, "lineitem").select(F.concat_ws(" ", F.pmod("l_suppkey", F.lit(4)), F.col("l_tax"), F.col("l_discount"), F.lit(0.5), F.lit(0.25), F.lit("extra")).alias("value"))
     rows.write.text(path)
     return readers.box_labels(s, path).groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 6).alias("cx"))
 

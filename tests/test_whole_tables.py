@@ -46,3 +46,21 @@ def test_detection_scores_count_all_boxes(spark):
     got = QUERIES["met17_detection_scores"](spark, path).first()
     bounded = detection.detection_scores(*[detection._boxes(spark, path, shift).where("image <= 3000") for shift in (3.0, 0.0)]).first()
     assert got != bounded and 0 < got.f1 <= 1
+
+
+@pytest.mark.parametrize(
+    "name, bound", [("win24_resample", " WHERE user_id <= 20"), ("pck07_separators", " WHERE l_orderkey <= 2000"), ("src24_video_clips", " WHERE user_id <= 5"), ("src23_box_labels", " WHERE l_orderkey <= 500")]
+)
+def test_all_ids_have_results(spark, name, bound):
+    same(spark, name, whole(name, (bound, "")))
+
+
+def test_mixup_pairs_are_one_ring_of_all_items(spark):
+    path = "/root/testdata/sf0.001"
+    pairs = {r.item_id: r.partner for r in QUERIES["arr05_mixup_pairs"](spark, path).collect()}
+    items = {r.item_id for r in spark.read.parquet(f"{path}/benchmark.parquet").select("item_id").collect()}
+    seen, at = set(), min(items)
+    while at not in seen:
+        seen.add(at)
+        at = pairs[at]
+    assert seen == items == set(pairs)
