@@ -216,7 +216,7 @@ _RESP = "'<|reason|><|step|> ' || substr(text, 1, 9) || '<|/step|><|step|>two<|/
 
 def _responses(s, d):
     t = F.col("text")
-    return read(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("<|reason|><|step|> "), F.substring(t, 1, 9), F.lit("<|/step|><|step|>two<|/step|> why <|conclude|> so <|/conclude|><|/reason|> "), F.substring(t, 10, 50), F.lit(' <|call|><|args|>{"a": 1}<|/args|><|/call|><|call|><|args|>broken<|/args|><|/call|><|/assistant|>')).alias("x"))
+    return read(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("<|reason|><|step|> "), F.substring(t, 1, 9), F.lit("<|/step|><|step|>two<|/step|> why <|conclude|> so <|/conclude|><|/reason|> "), F.substring(t, F.lit(10), F.length(t)), F.lit(' <|call|><|args|>{"a": 1}<|/args|><|/call|><|call|><|args|>broken<|/args|><|/call|><|/assistant|>')).alias("x"))
 
 
 add("cht05_parse_response", lambda s, d: _responses(s, d).select("conv_id", "turn", parse_response(F.col("x")).alias("p")).select("conv_id", "turn", "p.content", "p.reasoning", F.array_join("p.steps", "|").alias("steps"), "p.conclusion", F.array_join("p.calls", "|").alias("calls")), f"""SELECT conv_id, turn, {D.strip('substr(text, 10, 50)')} AS content, 'why' AS reasoning, {D.strip('substr(text, 1, 9)')} || '|two' AS steps, 'so' AS conclusion, '{{"a": 1}}' AS calls FROM conversations WHERE role = 'assistant'""")

@@ -305,7 +305,7 @@ add("arr04_token_drop", lambda s, d: read(s, d, "benchmark").select("item_id", F
 add("arr05_mixup_pairs", lambda s, d: mixup_pairs(read(s, d, "benchmark"), "item_id"))
 add("mix12_hard_negatives", lambda s, d: read(s, d, "embeddings").groupBy("label").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("vec_id").alias("h"), "vec_id"))), lambda x: x["vec_id"]), 1, 3).alias("negatives")))
 add("mix13_ratio_quotas", lambda s, d: s.createDataFrame([("calc", 0.5), ("date", 0.3), ("plain", 0.2)], "source string, weight double").select("source", F.floor(F.col("weight") * 101).cast("long").alias("quota")), "SELECT * FROM (VALUES ('calc', 50::BIGINT), ('date', 30::BIGINT), ('plain', 20::BIGINT)) t(source, quota)")
-add("tok03_byte_pair_encode", lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(F.slice(T.plain_tokens(F.col("text")), 1, 5)).alias("w")).select("item_id", "w", F.array_join(encode_byte_pairs(F.col("w"), [("t", "h"), ("th", "e"), ("i", "n")]), " ").alias("pieces")))
+add("tok03_byte_pair_encode", lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(T.plain_tokens(F.col("text"))).alias("w")).select("item_id", "w", F.array_join(encode_byte_pairs(F.col("w"), [("t", "h"), ("th", "e"), ("i", "n")]), " ").alias("pieces")))
 add("tok04_train_byte_pairs", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(train_byte_pairs(read(s, d, "benchmark").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt")), 5))], "rank int, a string, b string"))
 both("tok05_format_specials", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN '<|begin|>' WHEN 1 THEN '<|begin_of_text|>' WHEN 2 THEN '<s>' WHEN 3 THEN '<|im_start|>' ELSE '<bos>' END AS bos FROM {region}")
 both("tok07_format_by_name", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%red%' THEN 'llama3' WHEN lower(p_name) LIKE '%blue%' THEN 'mistral' ELSE 'native' END AS style FROM {part}")

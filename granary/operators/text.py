@@ -227,7 +227,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "str02_plain_tokens": _each(lambda d: d.select("doc_id", F.size(T.plain_tokens(F.col("text"))).cast("long").alias("n")), documents),
     "str03_opening_key": _each(lambda d: d.groupBy(T.opening_key(F.col("text"), 2).alias("opening")).agg(F.count("*").alias("docs")), documents),
     "str04_choice_answer": _each(lambda d: d.select("doc_id", T.choice_answer(F.concat(F.lit("x "), F.when(F.pmod("doc_id", F.lit(5)) == 0, F.concat(F.lit("The answer is "), F.substring(F.lit("ABCD"), F.pmod("doc_id", F.lit(4)).cast("int") + 1, 1))).when(F.pmod("doc_id", F.lit(5)) == 1, F.lit(r"so \boxed{c}")).when(F.pmod("doc_id", F.lit(5)) == 2, F.lit("maybe\nB) it")).when(F.pmod("doc_id", F.lit(5)) == 3, F.lit("**d** or a or B.")).otherwise(F.substring(F.col("text"), 1, 40)))).alias("answer")), documents),
-    "str05_code_block": _each(lambda d: d.select("doc_id", T.first_code_block(F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("see\n```python\n"), F.substring(F.col("text"), 1, 30), F.lit("\n```\nend ```py\nz```"))).otherwise(F.substring(F.col("text"), 1, 30))).alias("code")), documents),
+    "str05_code_block": _each(lambda d: d.select("doc_id", T.first_code_block(F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("see\n```python\n"), F.col("text"), F.lit("\n```\nend ```py\nz```"))).otherwise(F.col("text"))).alias("code")), documents),
     "str06_response_checks": _each(lambda d: response_checks(d.where("role = 'assistant'"), "text", **CHECKS).select("conv_id", "turn", F.array_join("failures", ",").alias("failures")), conversations),
     "str07_sentences": _each(lambda d: d.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n")), documents),
     "str11_as_text": _each(lambda d: d.select("item_id", T.as_text(F.when(F.pmod("item_id", F.lit(3)) != 0, F.concat(F.lit(" \n"), F.col("text"), F.lit("\t")))).alias("text")), benchmark),

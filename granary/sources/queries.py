@@ -77,7 +77,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     from ..streaming import monitor
 
     path = as_json_lines(_docs(s, d), "stream")
-    stream = s.readStream.schema(_DOC).json(path).where("text <> ''").select("doc_id", F.size(T.plain_tokens(F.substring("text", 1, 200))).cast("long").alias("n"))
+    stream = s.readStream.schema(_DOC).json(path).where("text <> ''").select("doc_id", F.size(T.plain_tokens(F.col("text"))).cast("long").alias("n"))
     return monitor.drain(stream, "src06_" + path[-14:-6], "append", scratch(s, "checkpoint"))
 
 

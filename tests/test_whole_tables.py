@@ -64,3 +64,29 @@ def test_mixup_pairs_are_one_ring_of_all_items(spark):
         seen.add(at)
         at = pairs[at]
     assert seen == items == set(pairs)
+
+
+def test_whole_texts_reach_the_counter_and_the_extractors(spark):
+    same(spark, "src06_lazy_stream", whole("src06_lazy_stream", ("substr(text, 1, 200)", "text")), "sf0.001")
+    same(spark, "str05_code_block", whole("str05_code_block", ("substr(text, 1, 30)", "text")), "sf0.001")
+    same(spark, "cht05_parse_response", whole("cht05_parse_response", ("substr(text, 10, 50)", "substr(text, 10)")), "sf0.001")
+
+
+def test_byte_pairs_encode_every_word(spark):
+    path, merges = "/root/testdata/sf0.001", [("t", "h"), ("th", "e"), ("i", "n")]
+
+    def encoded(word):
+        symbols = list(word)
+        for a, b in merges:
+            out = []
+            for x in symbols:
+                if out and out[-1] == a and x == b:
+                    out[-1] = a + b
+                else:
+                    out.append(x)
+            symbols = out
+        return " ".join(symbols)
+
+    rows = spark.read.parquet(f"{path}/benchmark.parquet").select("item_id", "text").collect()
+    want = sorted((r.item_id, w, encoded(w)) for r in rows for w in r.text.lower().split())
+    assert sorted(map(tuple, QUERIES["tok03_byte_pair_encode"](spark, path).collect())) == want
