@@ -193,21 +193,25 @@ FOUND = "doc_id long, n long, id binary, point binary, cells int, counts binary"
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """Each row's set and the sketch; a column row is carried along."""
+    carried = "row" in docs.columns
+    schema = FOUND + ", row long" * carried
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << CELL_BITS, np.uint32)
-        names = [x.split()[0] for x in FOUND.split(", ")]
+        names = [x.split()[0] for x in schema.split(", ")]
         for batch in slices(batches, "text"):
             sets = shingle_sets(*text_buffer(column(batch, "text")), width)
             k = len(sets)
             flat = np.concatenate(sets)
             sketch += np.bincount((flat >> U64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS).astype(np.uint32)
-            yield pa.record_batch([column(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), id_bytes(set_ids(sets)), pa.array(count_points(sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.record_batch([column(batch, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), id_bytes(set_ids(sets)), pa.array(count_points(sets), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), *[column(batch, "row")] * carried], names=names)
         rows = list(enumerate(sketch.reshape(SKETCH_PARTS, -1)))
         rows = [(i, x.tobytes()) for i, x in rows if x.any()]
         k = len(rows)
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
+        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary()), *[pa.nulls(k, pa.int64())] * carried], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(lean(scan), FOUND)
+    return docs.select("doc_id", "text", *["row"] * carried).mapInArrow(lean(scan), schema)
 
 
 def _levels(found: DataFrame) -> np.ndarray:
@@ -285,10 +289,9 @@ def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):
     return verify
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs(doc_id, text)."""
+def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs with their sets, and (id, num, least, root) of the distinct sets; docs: doc_id long, text string, row if wanted."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = written(_sets(docs, width), "sets")
     rows = found.where("n is not null")
     classes = written(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("anchor"), F.first("point").alias("feature")).withColumn("num", F.monotonically_increasing_id()), "classes")
@@ -298,6 +301,12 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     comps = _links.resolve(live, classes.select(F.col("num").alias("id"), "feature"), searcher(percent), _verify(docs, classes, width, percent))
     comps = comps.withColumnRenamed("id", "num")
     named = classes.select("id", "num", "least").join(comps, "num", "left").withColumn("root", F.coalesce("root", "num"))
+    return rows, named
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs(doc_id, text)."""
+    rows, named = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, percent)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = written(named.select("id", "root").join(least, "root").select("id", "component_id"), "names")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "id").join(names, "id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -308,17 +317,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; rows without a doc_id or words stay.
+    """docs with one document of each component, that of the smallest (doc_id, hash of the text); rows without a doc_id or words stay.
 
-    Rows that repeat a doc_id and text count as one and stay once.
+    A document is a doc_id and a text: rows that repeat both count as one and stay once, another text of the doc_id is another document.
     """
-    result = written(ngram_jaccard_join(docs, width, percent), "joined")
-    ids = result.where("doc_id is not null")
-    gone = written(ids.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    row = F.xxhash64(F.col("text").cast("string"))
+    rows, named = _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row")), width, percent)
+    ids, place = rows.where("doc_id is not null"), F.struct("doc_id", "row")
+    worded = ids.where("n > 0")
+    first = written(named.select("id", "root").join(worded.groupBy("id").agg(F.min(place).alias("place")), "id"), "first")
+    keepers = first.groupBy("root").agg(F.min("place").alias("keeper"))
+    names = written(first.select("id", "root").join(keepers, "root").select("id", "keeper"), "names")
+    gone = written(worded.select("id", "doc_id", "row").join(names, "id").where(place != F.col("keeper")).select("doc_id", F.col("row").alias("__row")).distinct(), "gone")
     again = written(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.withColumn("__row", row).join(gone, ["doc_id", "__row"], "left_anti").drop("__row")
     n = again.count()
     if not n:
         return kept.select(docs.columns)

@@ -94,3 +94,17 @@ def test_tree_keeps_every_pair_that_could_link(seed):
 
 def test_table_is_read_by_spark(spark):
     assert read_table(spark, "/root/testdata/sf0.001", "documents").count() == 200
+
+
+def test_one_of_each_tells_texts_of_a_doc_id_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (9, b + " more"), (5, c), (5, c), (7, c + " more")]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got) == sorted([(1, a), (5, b), (5, c)])
+
+
+def test_one_of_each_keeps_one_of_two_near_texts_of_a_doc_id(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(5, a), (5, a + " more"), (6, a + " most")]
+    got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 1 and got[0][0] == 5
