@@ -125,16 +125,9 @@ def _tar(s: SparkSession, d: str, edit: bool) -> str:
 
 
 def _tar_rows(s: SparkSession, d: str, edit: bool) -> DataFrame:
-    stored = s.read.parquet(_tar(s, d, edit))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["data"]:
-                with tarfile.open(fileobj=io.BytesIO(data)) as tar:
-                    members = {m.name: tar.extractfile(m).read() for m in tar if m.isfile()}
-                yield pd.DataFrame([(int(n.partition(".")[0]), v.decode()) for n, v in members.items() if n.endswith(".txt")], columns=["item_id", "text"])
-
-    return stored.mapInPandas(run, "item_id long, text string")
+    shards = s.read.parquet(_tar(s, d, edit)).withColumnRenamed("data", "content")
+    samples = readers.pairs_of(shards) if edit else readers.samples_of(shards)
+    return samples.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "item_id")
 
 
 add("src20_tar_samples", lambda s, d: _tar_rows(s, d, False), "SELECT item_id, text FROM benchmark")

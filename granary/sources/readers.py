@@ -125,8 +125,18 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
 # ---- samples in archives, box labels -------------------------------------------------------------------------------
 
 
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(content) of the files at a path."""
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
 def tar_samples(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, meta, image): members id.txt, id.json and id.<picture> of TAR shards as one row for each id."""
+    return samples_of(archives(spark, path))
+
+
+def samples_of(shards: DataFrame) -> DataFrame:
+    """tar_samples of a table (content) of shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -141,7 +151,7 @@ def tar_samples(spark: SparkSession, path: str) -> DataFrame:
                             rows.setdefault(name, {})[field] = data if field == "image" else data.decode("utf-8", "replace")
                 yield pd.DataFrame([{"id": k, "text": v.get("text"), "meta": v.get("meta"), "image": v.get("image")} for k, v in rows.items()], columns=["id", "text", "meta", "image"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, text string, meta string, image binary")
+    return shards.select("content").mapInPandas(run, "id string, text string, meta string, image binary")
 
 
 def box_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -190,6 +200,11 @@ def ordered_paths(spark: SparkSession, path: str, header: str = "path") -> DataF
 
 def edit_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, target, text): members id.source.*, id.target.* and id.txt of TAR shards, complete ones only."""
+    return pairs_of(archives(spark, path))
+
+
+def pairs_of(shards: DataFrame) -> DataFrame:
+    """edit_pairs of a table (content) of shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,4 +221,4 @@ def edit_pairs(spark: SparkSession, path: str) -> DataFrame:
             full = [{"id": k, **v} for k, v in rows.items() if len(v) == 3]
             yield pd.DataFrame(full, columns=["id", "source", "target", "text"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, source binary, target binary, text string")
+    return shards.select("content").mapInPandas(run, "id string, source binary, target binary, text string")
