@@ -133,5 +133,16 @@ def test_bands_miss_few_pairs_at_the_threshold():
     assert (~(keys[:pairs] == keys[pairs:]).any(1)).sum() <= 60
 
 
+def test_line_lengths_from_which_an_edit_is_found():
+    def similar(n, edit):
+        line = "".join(map(chr, range(0x4E00, 0x4E00 + n)))
+        other = line[: n // 2] + "x" * edit + line[n // 2 + edit :]
+        x, y = (set(s.tolist()) for s in ld.line_sets([line.encode(), other.encode()]))
+        return 100 * len(x & y) >= ld.PERCENT * len(x | y)
+
+    for edit, least in ((1, 63), (5, 91)):  # the README names these lengths
+        assert similar(least, edit) and not similar(least - 1, edit)
+
+
 def test_empty_table(spark):
     assert ld.line_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
