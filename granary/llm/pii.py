@@ -104,7 +104,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             run_end = _DIGITS.match(text, at).end()
             if at >= ip_end and (got := _IP.match(text, at)):
                 ip_end = got.end()
-                if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in got.groups()):
+                if all(len(p := part.lstrip("0")) < 4 and int(p or "0") < 256 for part in got.groups()):
                     out.append((at, 1, ip_end))
             if at >= card_end and (got := _CARD.match(text, at)):
                 card_end = got.end()

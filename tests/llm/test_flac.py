@@ -69,6 +69,73 @@ def test_decoder_on_hand_made_frames():
     assert (got[32:] == want).all()
 
 
+def _texts(n, seed):
+    """Texts of random characters, incompressible so that frames are verbatim."""
+    rng = np.random.default_rng(seed)
+    return "".join(chr(c) for c in rng.integers(0, 0x7FF, n)).encode()
+
+
+def _codec(payload):
+    raw = np.frombuffer(payload, np.uint8)
+    stream = flac.encode_payloads(raw, np.array([0, len(raw)]))[0]
+    return (flac.decode_streams([stream, stream])[1].astype(np.int8).view(np.uint8) ^ 0x80).tobytes(), stream
+
+
+def test_text_that_spells_a_frame_header():
+    spelt = bytes([0x7F, 0x78, 0xE1, 0x80, 0x81, 0x20, 0x00])
+    for seed in range(5):
+        data = _texts(2000, seed)
+        at = 400
+        while data[at] & 0xC0 == 0x80:
+            at += 1
+        data = data[:at] + spelt + data[at:]
+        data.decode()
+        read, stream = _codec(data)
+        assert read == data
+        assert len(flac.find_frames(stream)[1]) and (flac.seek(stream, 1500, 300).astype(np.int8).view(np.uint8) ^ 0x80).tobytes() == data[1500:1800]
+
+
+def test_headers_spelt_everywhere():
+    """Every frame number's header in verbatim data, also with the checksum that the frame would have if it ended there."""
+    rng = np.random.default_rng(3)
+    for trial in range(20):
+        data = bytearray(rng.integers(0, 256, 1024 * 6).astype(np.uint8).tobytes())
+        for number in range(1, 6):
+            at = int(rng.integers(8, 5000))
+            head = flac._header(number, 1024)
+            data[at : at + len(head)] = bytes(x ^ 0x80 for x in head)
+        _, stream = _codec(bytes(data))
+        first = flac._metadata(stream)[1]
+        head, place = flac._header(1, 1024), 500
+        # the bytes before the feigned header are the CRC-16 of what the first frame would then be
+        body = bytearray(stream[first : first + 7] + bytes(x ^ 0x80 for x in data[: place - 2]))
+        total = int(flac.crc16(np.frombuffer(bytes(body), np.uint8), np.array([0]), np.array([len(body)]))[0])
+        data[place - 2 : place] = bytes(x ^ 0x80 for x in total.to_bytes(2, "big"))
+        data[place : place + len(head)] = bytes(x ^ 0x80 for x in head)
+        assert _codec(bytes(data))[0] == bytes(data)
+
+
+def test_walked_frames_are_the_found_ones():
+    spans = [b"some text, twice over. " * 300, bytes(3000), _texts(3000, 9)]
+    for span in spans:
+        raw = np.frombuffer(span, np.uint8)
+        stream = flac.encode_payloads(raw, np.array([0, len(raw)]))[0]
+        info, frames = flac.find_frames(stream)
+        assert list(flac.walk_frames(stream, info, frames[0][0])) == frames
+
+
+def test_features_by_hand():
+    def plain(x):
+        x = [int(v) for v in x]
+        steps = [abs(b - a) for a, b in zip(x, x[1:], strict=False)]
+        cross = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        return f"ms={sum(v * v for v in x) / len(x):.4f};zc={cross};peak={max(abs(v) for v in x)};step={sum(steps) / len(x):.4f}"
+
+    rng = np.random.default_rng(2)
+    spans = [rng.integers(-128, 128, n).astype(np.int32) for n in (64, 128, 640)] + [np.full(64, -128, np.int32)]
+    assert flac.features(spans) == [plain(s) for s in spans]
+
+
 def test_broken_streams_are_refused():
     stream = bytearray(flac.encode_payloads(np.frombuffer(b"some text " * 64, np.uint8), np.array([0, 640]))[0])
     stream[-40] ^= 4

@@ -15,7 +15,7 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 def valid(kind, s):
     digits = re.sub(r"[^0-9]", "", s)
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int("0" + p.lstrip("0")) <= 255 for p in s.split("."))
     if kind == "card":
         total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1]))
         return 12 <= len(digits) <= 19 and total % 10 == 0
@@ -44,6 +44,18 @@ def test_base_spans_of_joined_parts(parts):
     assert base(text) == brute(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["0", "7", "0.", "-7", " 1", "+1", "a", "a.", "@", "é"]), st.integers(1, 6000)), max_size=6))
+def test_base_spans_of_long_runs(parts):
+    text = "".join(c * n for c, n in parts)
+    assert base(text) == [s for s in brute(text)]
+
+
+def test_numbers_beyond_what_int_reads():
+    assert pii.spans("0" * 5000 + ".0.0.0") == [("ip", 0, 5006)]
+    assert base("9" * 5000 + ".0.0.0") == []
+
+
 def test_added_kinds():
     text = "see ftp://joe:pw@files.example.org/a?b, IBAN: GB82 WEST 1234 5698 7654 32. SSN: 123-45-6789 and account holder, accounts: none"
     got = {(k, text[a:b]) for k, a, b in pii.spans(text) if k not in pii.BASE}
