@@ -11,8 +11,8 @@ only in escaped form.
 
 Rows of one conversation come sorted by (turn, role, text); a null text or role is empty, a null conv_id is a conversation of
 its own kind, repeated rows are repeated turns.  An order of roles that the table refuses doesn't stop the formatting: the
-conversation is marked not valid with the first turn that broke it.  Rows are streamed: a task holds one turn at a time,
-however long a conversation is.  Extra columns are ignored; an empty table gives no rows but the example of the query.
+conversation is marked not valid with the first turn that broke it.  Rows are streamed: a task holds one turn and a buffer at a
+time, however long a conversation is; the digest reads the whole output back as one stream of characters.  Extra columns are ignored; an empty table gives no rows but the example of the query.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ class Formatter:
 
 
 class Reader:
-    """Turns (role, text, loss) read back from formatted pieces; pieces may be cut between any two turns."""
+    """Turns (role, text, loss) read back from formatted text."""
 
     def __init__(self, template: Template = TEMPLATE):
         t = self.template = template
@@ -131,17 +131,22 @@ class Reader:
             if m.start() != at:
                 raise ValueError(f"no mark at {at}")
             at = m.end()
-            if m["role"] is not None:
-                role, text = self.template.unescape(m["role"]), m["text"]
-            else:
-                i = next((i for i in range(len(self.roles)) if m[f"r{i}"] is not None), None)
-                if i is None:
-                    continue
-                role, text = self.roles[i], m[f"t{i}"]
-            yield role, self.template.unescape(text), role in self.template.loss
+            if turn := self.turn(m):
+                yield turn
         if at != len(piece):
             raise ValueError(f"no mark at {at}")
 
+    def turn(self, m: re.Match) -> tuple[str, str, bool] | None:
+        """The turn of a match; None for the marks around a conversation."""
+        if m["role"] is not None:
+            role, text = self.template.unescape(m["role"]), m["text"]
+        else:
+            i = next((i for i in range(len(self.roles)) if m[f"r{i}"] is not None), None)
+            if i is None:
+                return None
+            role, text = self.roles[i], m[f"t{i}"]
+        return role, self.template.unescape(text), role in self.template.loss
+
 
 def render(turns: Iterable[tuple[str, str]], template: Template = TEMPLATE) -> tuple[list[tuple[str, bool]], bool]:
     """All segments of a conversation and whether its order of roles is valid."""
@@ -192,34 +197,75 @@ def segments(conversations: DataFrame, template: Template = TEMPLATE) -> DataFra
     return _sorted(conversations).mapInArrow(lean(run), "conv_id long, segment long, text string, loss boolean")
 
 
+class Stream:
+    """Reads a formatted output that arrives in pieces, cut anywhere: only what no mark has closed yet is kept.
+
+    An unfinished turn is looked at again when what is kept has doubled, so a long turn is read in linear time.
+    """
+
+    def __init__(self, template: Template = TEMPLATE):
+        self.reader, self.kept, self.size, self.due = Reader(template), [], 0, 0
+
+    def feed(self, piece: str, last: bool = False) -> Iterator[tuple[str, str, bool]]:
+        self.kept.append(piece)
+        self.size += len(piece)
+        if not last and self.size < self.due:
+            return
+        text, at = "".join(self.kept), 0
+        while got := self.reader.pattern.match(text, at):
+            turn = self.reader.turn(got)
+            if turn:
+                yield turn
+            at = got.end()
+        if last and at != len(text):
+            raise ValueError(f"no mark where {text[at : at + 20]!r} stands")
+        self.kept, self.size = [text[at:]], len(text) - at
+        self.due = max(1 << 12, 2 * self.size)
+
+
 class _Digest:
-    """What a conversation's formatted output says when it is read back, kept as running sums."""
+    """What a conversation's formatted output says when it is read back, kept as running sums.
 
-    def __init__(self, conv: int | None, template: Template, reader: Reader):
-        self.conv, self.machine, self.reader = conv, Formatter(template), reader
+    The output's segments are joined to one stream of characters; the reader gets this stream, cut wherever a buffer was full, and
+    nothing of the turns that made it.  The text under the loss flags is summed on its own and must equal what is read back.
+    """
+
+    #: Characters that are gathered before the reader gets them.
+    BUFFER = 1 << 14
+
+    def __init__(self, conv: int | None, template: Template):
+        self.conv, self.machine, self.stream = conv, Formatter(template), Stream(template)
         self.n, self.chars, self.loss_chars, self.spans = 0, 0, 0, 0
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.loss, self.flagged = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.held: list[str] = []
+        self.waiting = 0
         self.take(self.machine.start())
 
     def take(self, parts: list[tuple[str, bool]]) -> None:
-        flagged = [self.reader.template.unescape(text) for text, loss in parts if loss]
-        piece = "".join(text for text, _ in parts)
-        self.chars += len(piece)
-        self.spans += len(flagged)
-        under = []
-        for role, text, loss in self.reader.read(piece):
+        for text, loss in parts:
+            self.chars += len(text)
+            self.held.append(text)
+            self.waiting += len(text)
+            if loss:
+                self.spans += 1
+                self.flagged.update(self.machine.template.unescape(text).encode())
+        if self.waiting >= self.BUFFER:
+            self.read()
+
+    def read(self, last: bool = False) -> None:
+        for role, text, loss in self.stream.feed("".join(self.held), last):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode())
             if loss:
-                under.append(text)
-        if under != flagged:
-            raise ValueError("the loss mask doesn't cover what is read back")
-        for text in under:
-            self.loss.update(text.encode())
-            self.loss_chars += len(text)
+                self.loss.update(text.encode())
+                self.loss_chars += len(text)
+        self.held, self.waiting = [], 0
 
     def row(self) -> tuple:
         self.take(self.machine.finish())
+        self.read(True)
+        if self.loss.digest() != self.flagged.digest():
+            raise ValueError("the loss mask doesn't cover what is read back")
         return (self.conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.machine.valid, self.machine.broken, self.spans)
 
 
@@ -232,13 +278,13 @@ def digest(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame
     kinds = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[x.split()[1]] for x in DIGEST.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, now, rows = Reader(template), None, []
+        now, rows = None, []
         for batch in batches:
             for conv, role, text in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                 if now is None or conv != now.conv:
                     if now is not None:
                         rows.append(now.row())
-                    now = _Digest(conv, template, reader)
+                    now = _Digest(conv, template)
                 now.take(now.machine.turn(role, text))
             if len(rows) >= 1024:
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)

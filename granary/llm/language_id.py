@@ -4,9 +4,10 @@ A text's UTF-8 bytes are cut into windows of WINDOW bytes.  Over each window a f
 at every position a softmax over both states labels the byte.  A document's probabilities are the mean over its positions that
 belong to letters (a-z, A-Z and bytes of 128 and more); the largest is the prediction and its score.
 
-Training is back-propagation through time with Adam on at most SAMPLE documents of each language, chosen by the smallest hash
-of their id, and CUTS pieces of each, so what comes to the driver is bounded by languages * SAMPLE * CUTS * PIECE characters.
-Weights are seeded: the same table gives the same model.
+Training is back-propagation through time with Adam on at most SAMPLE documents of each language, those of the smallest hash of
+their id, and CUTS pieces of WINDOW bytes of each.  Counts by language give a threshold of the hash that some 2 * SAMPLE
+documents pass; only these are read further, and no task orders a language.  What comes to the driver is bounded by about
+languages * 2 * SAMPLE * CUTS * WINDOW bytes.  Weights are seeded: the same table gives the same model.
 
 A null text, or one without a letter, is ``und`` with score 0.  Rows without a language are never learned from; where no row
 has one, every prediction is ``und``.  Null and repeated doc_ids are kept, extra columns ignored; an empty table gives no rows.
@@ -20,14 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._core import column, lean, read_table, slices, text_buffer
 
 HIDDEN, WINDOW = 12, 64
-#: The documented bound of the training sample: documents of each language, pieces of each, and their characters.
-SAMPLE, CUTS, PIECE = 300, 6, 64
+#: The documented bound of the training sample: documents of each language, and pieces of WINDOW bytes of each.
+SAMPLE, CUTS = 300, 6
 STEPS, BATCH, RATE = 360, 192, 0.012
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -220,15 +221,39 @@ def sample(docs: DataFrame, fold: F.Column | None = None) -> list[tuple[bytes, s
     """At most SAMPLE documents of each language, by the hash of their id, and CUTS pieces of each."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     known = known.where(fold) if fold is not None else known
-    key = F.xxhash64("doc_id")
-    chosen = known.select("doc_id", "lang", key.alias("key")).distinct()
-    chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))).where(F.col("n") <= SAMPLE).select("doc_id", "lang").distinct()
-    # at most SAMPLE rows for each language
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"])
-    room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
-    cuts = F.array(*[F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(j)), room) + 1).cast("int"), F.lit(PIECE)) for j in range(CUTS)])
-    rows = texts.groupBy("doc_id", "lang").agg(F.max(cuts).alias("cuts")).orderBy("doc_id", "lang").collect()
-    return [(piece.encode(), row.lang) for row in rows for piece in row.cuts]
+    known = known.withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    share = {lang: min(1.0, (2 * SAMPLE + 60) / n) for lang, n in counts.items()}
+    chosen: dict[str, list] = {}
+    while open_ := [lang for lang in counts if lang not in chosen]:
+        limits = F.create_map(*[F.lit(x) for lang in open_ for x in (lang, min((1 << 63) - 1, int(share[lang] * (1 << 63))))])
+        body = F.col("text").cast("string").cast("binary")
+        room = F.greatest(F.octet_length("text") - WINDOW, F.lit(0)) + 1
+        cuts = F.array(*[F.substring(body, (F.pmod(F.xxhash64("doc_id", F.lit(j)), room) + 1).cast("int"), F.lit(WINDOW)) for j in range(CUTS)])
+        # a document of many rows is one: its greatest pieces
+        few = known.where(F.col("key") <= F.coalesce(F.element_at(limits, F.col("lang")), F.lit(-1).cast("long"))).groupBy("lang", "doc_id", "key").agg(F.max(cuts).alias("cuts"))
+        found: dict[str, list] = {lang: [] for lang in open_}
+        for row in few.collect():
+            found[row.lang].append((row.key, row.doc_id, row.cuts))
+        for lang, rows in found.items():
+            if len(rows) >= SAMPLE or share[lang] >= 1:
+                chosen[lang] = sorted(rows)[:SAMPLE]
+            else:  # documents of many rows leave fewer than their count says
+                share[lang] = min(1.0, 4 * share[lang])
+    return [(bytes(piece), lang) for lang in sorted(chosen) for _, _, cuts in chosen[lang] for piece in cuts]
+
+
+def with_letters(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows have a letter; only texts without a-z and A-Z but with bytes beyond ASCII are looked at one by one."""
+    full = np.diff(offsets) > 0
+    plain, high = np.zeros(len(full), bool), np.zeros(len(full), bool)
+    at = offsets[:-1][full]
+    if len(at):
+        plain[full] = np.logical_or.reduceat(LETTER[data] & (data < 128), at)
+        high[full] = np.logical_or.reduceat(data >= 128, at)
+    for i in np.flatnonzero(high & ~plain).tolist():
+        plain[i] = bool(_LETTER.search(texts[i].as_py()))
+    return plain
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -241,7 +266,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in slices(batches, "text"):
             texts = column(batch, "text")
             data, offsets = text_buffer(texts)
-            letters = np.array([bool(t.is_valid and _LETTER.search(t.as_py())) for t in texts], bool)
+            letters = with_letters(texts, data, offsets)
             if made:
                 p = pool(made, data, offsets)
             else:

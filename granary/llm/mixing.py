@@ -8,12 +8,14 @@ else the smallest that keeps every row of every source once.
 Weights become rows by budgeted block permutations.  A source's rows are dealt into blocks by the hash of their key; in every
 pass over a source its blocks are permuted by a hash of (seed, pass, block).  Whole passes are taken as long as the budget of the
 source lasts; of the last pass whole blocks, and of the block that the budget cuts the rows in hash order whose tokens still
-fit.  Only sums by block are ever ordered within a source, so a source with a third of all rows is split into as many blocks as
-its size asks for, and no window holds more than one source's block sums or one block's rows.
+fit.  A source with a third of all rows is split into as many blocks as its tokens and rows ask for.  Where the last pass ends is
+found in two steps, first among sums over RANGES ranges of the permutation, then among the blocks of the range that the budget
+cuts: no window holds more than RANGES sums, one range's blocks or one block's distinct rows of a source.
 
 Rows of a null source are a source of their own.  Tokens are the words between white space; a row without words weighs 0 and
 comes with its block.  Rows that repeat a doc_id and text keep their number: each is dealt on its own.  A null text is kept as
-it is.  All columns of the input are kept; an empty table gives no rows.
+it is.  All columns of the input are kept, but for ones named mix_pass, mix_tokens and mix_order, whose place the result's own
+columns take; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ from ._core import read_table, written
 
 ENTROPY, REPEATS, BLOCK_TOKENS, SEED = 0.97, 2.0, 200_000, 20250101
 GRID, ROUNDS = 64, 4
+#: Rows that a block has at most on average, and ranges (a power of 2) of a permutation whose sums are ordered first.
+BLOCK_ROWS, RANGE_BITS = 10_000, 12
+RANGES = 1 << RANGE_BITS
 
 
 def _once(value: F.Column, body: Callable[[F.Column], F.Column]) -> F.Column:
@@ -97,9 +102,11 @@ def weights(sources: DataFrame, entropy: float = ENTROPY, repeats: float = REPEA
     z, least = out.agg(F.sum("_q"), F.min(F.when(F.col("tokens") > 0, F.col("_q") / F.col("tokens")))).first()
     # the smallest budget that gives every source a whole pass has weight / share = 1 at the source that is damped most
     whole = F.lit(float(budget)) * F.col("_q") / F.lit(z or 1.0) if budget is not None else F.col("_q") / F.lit(least or 1.0)
-    # one part in 10^6 of a pass is the bisection's rounding, not budget
-    passes = F.when(F.col("tokens") > 0, F.round(whole / F.col("tokens"), 6)).otherwise(1.0)
-    return out.withColumns({"weight": F.col("_q") / F.lit(z or 1.0), "passes": passes}).withColumn("target", F.floor(F.col("passes") * F.col("tokens") + F.lit(1e-6)).cast("long")).drop("_q")
+    if budget is None:  # a whole pass may come out as one less a rounding of the bisection
+        whole = F.when(F.abs(F.round(whole / F.col("tokens")) * F.col("tokens") - whole) < 1e-6 * F.col("tokens"), F.round(whole / F.col("tokens")) * F.col("tokens")).otherwise(whole)
+    target = F.when(F.col("tokens") > 0, F.floor(whole * (1 + 1e-12)).cast("long")).otherwise(0)
+    passes = F.when(F.col("tokens") > 0, whole / F.col("tokens")).otherwise(1.0)
+    return out.withColumns({"weight": F.col("_q") / F.lit(z or 1.0), "passes": passes, "target": target}).drop("_q")
 
 
 def _hash(*columns: object) -> F.Column:
@@ -120,18 +127,28 @@ def plan(rows: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bu
 
     whole: the last block, in the permutation, that the last pass takes whole; cut: the next one, taken up to room tokens.
     """
-    sources = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
+    sources = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     shares = weights(sources, entropy, repeats, budget)
-    shares = shares.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens))).cast("long"))
-    shares = shares.withColumn("full", F.floor("passes").cast("long"))
+    shares = shares.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.lit(block_tokens)), F.ceil(F.col("rows") / F.lit(BLOCK_ROWS))).cast("long"))
+    shares = shares.withColumn("full", F.when(F.col("tokens") > 0, F.expr("target div tokens")).otherwise(1).cast("long"))
     shares = written(shares.withColumn("rest", F.when(F.col("tokens") > 0, F.col("target") - F.col("full") * F.col("tokens")).otherwise(0)), "shares")
     blocks = _with(rows, shares.where("rest > 0"), "source", "key", ["n_blocks", "full", "rest"]).groupBy("source", "block", "full", "rest").agg(F.sum("tokens").alias("size"))
-    blocks = blocks.withColumn("place", _order(F.col("full"), "source", "block"))
+    place = _order(F.col("full"), "source", "block")
+    blocks = written(blocks.withColumn("place", place).withColumn("range", F.shiftright("place.order", 64 - RANGE_BITS)), "blocks")
+    # the range that the budget cuts, and what the ranges before it have
+    ranges = blocks.groupBy("source", "range", "rest").agg(F.sum("size").alias("size"))
+    by_range = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("size").over(by_range), F.lit(0)))
+    last = ranges.where("before < rest").groupBy("source").agg(F.max(F.struct("range", "before")).alias("last")).select(F.col("source").alias("_source"), F.col("last.range").alias("_range"), F.col("last.before").alias("_before"))
+    blocks = blocks.join(last, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range"))).drop("_source", "_range")
     before = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < F.col("rest"))
+    blocks = blocks.withColumn("before", F.col("_before") + F.coalesce(F.sum("size").over(before), F.lit(0))).where(F.col("before") < F.col("rest"))
     fits = F.col("before") + F.col("size") <= F.col("rest")
-    ends = blocks.groupBy("source").agg(F.max(F.when(fits, F.col("place"))).alias("whole"), F.max(F.when(~fits, F.col("block"))).alias("cut"), F.max(F.when(~fits, F.col("rest") - F.col("before"))).alias("room"))
-    ends = ends.withColumnRenamed("source", "_source")
+    ends = blocks.groupBy("source").agg(F.max(F.when(fits, F.col("place"))).alias("whole"), F.min("place").alias("least"), F.max(F.when(~fits, F.col("block"))).alias("cut"), F.max(F.when(~fits, F.col("rest") - F.col("before"))).alias("room"))
+    # where the first block of the range is cut, all before it are whole: those of a lower place
+    first = F.struct((F.col("least.order") - 1).alias("order"), F.col("least.block").alias("block"))
+    lowest = F.lit(-(1 << 63)).cast("long")
+    ends = ends.select(F.col("source").alias("_source"), F.coalesce("whole", F.when(F.col("least.order") > lowest, first)).alias("whole"), "cut", "room")
     return written(shares.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"), "plan")
 
 
@@ -154,6 +171,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     made = plan(rows, entropy, repeats, budget, block_tokens)
     # rows of the block that the budget cuts, in hash order, as long as their running sum fits; equal rows go together
     cut = _with(rows, made.where("cut is not null"), "source", "key", ["n_blocks", "full", "cut", "room"]).where("block = cut")
+    cut = cut.groupBy("source", "key", "full", "room").agg(F.sum("tokens").alias("tokens"))
     running = Window.partitionBy("source").orderBy(_hash(F.col("full"), F.col("key")), "key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     taken = cut.withColumn("sum", F.sum("tokens").over(running)).where(F.col("sum") <= F.col("room"))
     taken = written(taken.select(F.col("source").alias("_s"), F.col("key").alias("_k"), F.lit(True).alias("_hit")).distinct(), "taken")

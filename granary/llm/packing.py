@@ -1,16 +1,20 @@
 """Conflict-constrained best-fit packing of documents into bins of CAPACITY tokens.
 
 A document of more tokens than a bin gives as many full pieces as it can, each a bin of its own, and its rest is packed; so no
-token is lost.  Items are dealt by the hash of their key into shards of about SHARD_ITEMS, whatever their source or cluster, and
-each shard is packed on its own, largest items first:
+token is lost.  Items are written once and dealt by the hash of their key and place into shards of about SHARD_ITEMS, whatever
+their source or cluster (rows that repeat a document spread over all shards), and each shard is packed on its own, largest items
+first:
 
 * bins are kept by their residual, with a bitmap of the residuals that occur, and carry bitmaps of the sources they hold once
   and as often as allowed, and of the duplicate clusters they hold;
 * an item goes to the tightest bin that takes it: the successor search starts at its own size and goes on, bin by bin and
-  residual by residual, until a bin has no conflict; without one, a new bin is opened.
+  residual by residual, until a bin has no conflict; without one, a new bin is opened;
+* items of one size, source and cluster come one after another and share a search: a bin that has refused one of them refuses
+  the others too, so the search goes on where the last one ended.
 
-No bin holds two items of a duplicate cluster or more than PER_SOURCE items of a source.  The cluster of a row is a given
-column or else the hash of its text.  Tokens are words between white space unless a column is given; a row without tokens (null
+No bin holds two items of a duplicate cluster or more than per_source items of a source.  Unless given, per_source is PER_SOURCE
+or, where one source has most items, twice what that source would have in a bin of average items, so that it doesn't leave bins
+half empty.  The cluster of a row is a given column or else the hash of its text.  Tokens are words between white space unless a column is given; a row without tokens (null
 or empty text) gets a row without a bin.  A null source is a source of its own.  Repeated rows are items like others and, being
 of one cluster, never meet.  A null doc_id is kept; extra columns are ignored; an empty table gives no rows.
 """
@@ -18,12 +22,13 @@ of one cluster, never meet.  A null doc_id is kept; extra columns are ignored; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import column, lean, read_table, written
+from ._core import column, lean, partitions_for, read_table, written
 from .mixing import token_count
 
 CAPACITY, PER_SOURCE, SHARD_ITEMS = 2048, 2, 4096
@@ -48,23 +53,36 @@ class Packer:
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
         """(bin, slot) of an item; source and cluster are bits (a cluster of 0 has no conflicts in this shard)."""
+        return self.place_alike(size, source, cluster, 1)[0]
+
+    def place_alike(self, size: int, source: int, cluster: int, n: int) -> list[tuple[int, int]]:
+        """(bin, slot) of n items of one size, source and cluster, as place would give them one after another.
+
+        With a cluster no bin takes two of them and a refusal lasts, so one walk over the bins serves them all.
+        """
+        if n > 1 and not cluster:
+            return [self.place(size, source, cluster) for _ in range(n)]
+        taken: list[tuple[int, int]] = []
         left = self.residuals >> size
         at = size
-        while left:
+        while left and len(taken) < n:
             step = (left & -left).bit_length() - 1
             at += step
             bins = self.open[at]
-            for i in range(len(bins) - 1, -1, -1):
+            i = len(bins) - 1
+            while i >= 0 and len(taken) < n:
                 b = bins[i]
                 if not (self.levels[b][-1] & source or self.clusters[b] & cluster):
                     bins[i] = bins[-1]
                     bins.pop()
-                    if not bins:
-                        self.residuals &= ~(1 << at)
-                    return self._put(b, at - size, source, cluster)
+                    taken.append((b, at - size))
+                i -= 1
+            if not bins:
+                self.residuals &= ~(1 << at)
             left >>= step + 1
             at += 1
-        return self._put(self.new_bin(), self.capacity - size, source, cluster)
+        out = [self._put(b, rest, source, cluster) for b, rest in taken]
+        return out + [self._put(self.new_bin(), self.capacity - size, source, cluster) for _ in range(n - len(taken))]
 
     def _put(self, b: int, residual: int, source: int, cluster: int) -> tuple[int, int]:
         levels = self.levels[b]
@@ -94,18 +112,30 @@ def _shard(items: list[tuple], capacity: int, per_source: int) -> Iterator[tuple
         if cluster in seen:
             twice.setdefault(cluster, 1 << len(twice))
         seen.add(cluster)
-    for tokens, source, cluster in items:
+    for (rest, source, cluster), alike in groupby(items, lambda x: (x[0] % capacity, x[1], x[2])):
+        run = list(alike)
         bit = sources.setdefault(source, 1 << len(sources))
-        full, rest = divmod(tokens, capacity)
-        out = []
-        for piece in range(full):
-            out.append((piece, piece * capacity, capacity, packer.new_bin(), 0))
-        if rest:
-            out.append((full, full * capacity, rest, *packer.place(rest, bit, twice.get(cluster, 0))))
-        yield out or [(0, 0, 0, None, None)]
+        placed = packer.place_alike(rest, bit, twice.get(cluster, 0), len(run)) if rest else [None] * len(run)
+        for (tokens, *_), place in zip(run, placed, strict=True):
+            full = tokens // capacity
+            out = [(piece, piece * capacity, capacity, packer.new_bin(), 0) for piece in range(full)]
+            if place:
+                out.append((full, full * capacity, rest, *place))
+            yield out or [(0, 0, 0, None, None)]
+
+
+#: Shards that a partition has on average, beyond the session's own number of partitions.
+SHARDS_TOGETHER = 32
+
+
+def _per_source(items: DataFrame, capacity: int) -> int:
+    """Twice the items that the most frequent source would have in a bin of average items; PER_SOURCE at least."""
+    rests = items.select("source", (F.col("tokens") % capacity).alias("rest")).where("rest > 0")
+    n, total, most = rests.groupBy("source").agg(F.count("*").alias("n"), F.sum("rest").alias("t")).agg(F.sum("n"), F.sum("t"), F.max("n")).first()
+    return max(PER_SOURCE, -(-2 * most * capacity // total)) if n else PER_SOURCE
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, tokens: str | None = None, cluster: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int | None = None, tokens: str | None = None, cluster: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """A row for each piece: (doc_id, source, cluster, piece, start_token, n_tokens, bin_id, slot)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -113,12 +143,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         (F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(text)).alias("cluster"),
         (F.col(tokens).cast("long") if tokens else token_count()).alias("tokens"),
-        F.xxhash64(F.lit(5), F.col("doc_id").cast("long"), text).alias("key"),
+        F.xxhash64(F.lit(5), F.col("doc_id").cast("long"), text, F.monotonically_increasing_id()).alias("key"),
     )
     rows = written(rows, "items")
-    shards = max(1, -(-rows.count() // shard_items))
+    per_source = per_source or _per_source(rows, capacity)
+    count = rows.count()
+    shards = max(1, -(-count // shard_items))
     rows = rows.withColumn("shard", F.pmod(F.col("key"), F.lit(shards)))
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", F.desc(F.col("tokens") % capacity), "key", "doc_id", "source")
+    parts = partitions_for(count, shard_items * SHARDS_TOGETHER, spark)
+    dealt = rows.repartition(parts, "shard").sortWithinPartitions("shard", F.desc(F.col("tokens") % capacity), "source", "cluster", "key", "doc_id")
     names = [x.split()[0] for x in OUT.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string(), "int": pa.int32()}[x.split()[1]] for x in OUT.split(", ")]
 

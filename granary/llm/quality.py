@@ -2,8 +2,10 @@
 
 Statistics of a whole text (sizes, shares of kinds of characters, repetition of words, lines and 5-word shingles, word lengths)
 are transformed (logarithms of sizes, logits of shares), so that each class is close to a normal distribution.  For each label the
-mean and covariance come from distributed sums over all labelled rows of the training fold.  A class covariance is shrunk
-towards the pooled one, and both towards its diagonal; Cholesky factors are computed once and cached in the model.  The raw score
+mean and covariance come from distributed sums over the labelled rows of the training fold (in ``keep_good`` over at most some
+TRAIN_ROWS of them, those of the smallest hash of their id, so that no text is shuffled or scored for nothing).  A class covariance
+is shrunk towards the pooled one, and both towards its diagonal; Cholesky factors and their inverses are computed once and cached
+in the model.  The raw score
 of a text is the difference of the two Mahalanobis log-densities; a logistic curve, fitted on a histogram of fixed size of the
 training rows' raw scores, turns it into a probability of label 1.
 
@@ -28,6 +30,8 @@ THRESHOLD = 0.3
 #: Weight of the pooled covariance in a class's, and of the diagonal in both.
 POOL, DIAGONAL = 0.1, 0.05
 BINS, SPAN = 512, 200.0
+#: The documented bound of the labels that keep_good learns from; so many are broadcast (16 bytes each).
+TRAIN_ROWS = 200_000
 
 _KIND = np.zeros(256, np.int64)  # 0 other ASCII, 1 lower, 2 upper, 3 digit, 4 white, 5 sentence, 6 symbol, 7 multi-byte
 _KIND[97:123], _KIND[65:91], _KIND[48:58] = 1, 2, 3
@@ -108,7 +112,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Standardisation, and for each label mean, Cholesky factor and log-determinant; slope and offset of the score."""
+    """Standardisation, and for each label mean, inverse of the Cholesky factor and log-determinant; slope and offset of the score."""
 
     share: float = 0.5
     scale: tuple | None = None
@@ -120,9 +124,9 @@ class Model:
         """Log-density under label 1 less that under label 0."""
         x = (x - self.scale[0]) / self.scale[1]
         out = []
-        for mean, factor, logdet in self.parts:
-            z = np.linalg.solve(factor, (x - mean).T)
-            out.append(-0.5 * (z * z).sum(0) - 0.5 * logdet)
+        for mean, inverse, logdet in self.parts:
+            z = (x - mean) @ inverse.T
+            out.append(-0.5 * (z * z).sum(1) - 0.5 * logdet)
         return out[1] - out[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -153,7 +157,7 @@ def fit(sums: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Model:
         s = (1 - POOL) * cov[c] / norm + POOL * pooled / norm
         s = (1 - DIAGONAL) * s + DIAGONAL * np.diag(np.diag(s)) + 1e-3 * np.eye(len(s))
         factor = np.linalg.cholesky(s)
-        model.parts.append(((mean[c] - centre) / width, factor, 2 * float(np.log(np.diag(factor)).sum())))
+        model.parts.append(((mean[c] - centre) / width, np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum())))
     return model
 
 
@@ -242,7 +246,19 @@ def fold_column(doc_id: str = "doc_id") -> F.Column:
 def labelled(features: DataFrame, labels: DataFrame) -> DataFrame:
     """(x, label) of the rows of the training fold."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("label")).where("label in (0, 1)")
-    return features.where(F.col("doc_id").isNotNull() & (fold_column() != 0)).join(marks, "doc_id")
+    return features.where(F.col("doc_id").isNotNull() & (fold_column() != 0)).join(marks, "doc_id")  # only numbers move
+
+
+def labelled_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """As labelled, with statistics of the labelled documents alone; of more than TRAIN_ROWS labels about so many."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_column() != 0))
+    n = marks.count()
+    if n > TRAIN_ROWS:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * TRAIN_ROWS / n))
+    marks = written(marks, "marks")
+    few = marks.select("doc_id").distinct()
+    some = docs.withColumn("__id", F.col("doc_id").cast("long")).join(F.broadcast(few.withColumnRenamed("doc_id", "__id")), "__id", "left_semi").drop("__id")
+    return labelled(featured(some), F.broadcast(marks).withColumnRenamed("label", "quality"))
 
 
 def score(features: DataFrame, model: Model) -> DataFrame:
@@ -258,7 +274,7 @@ def score(features: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches THRESHOLD; trained on the labelled ones."""
-    model = train(written(labelled(featured(docs), labels), "labelled"))
+    model = train(written(labelled_first(docs, labels), "labelled"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,28 @@ def test_round_trip(turns):
     assert [cf.TEMPLATE.unescape(t) for t, loss in parts if loss] == [t for r, t in turns if r == "assistant"]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "x] y"]), texts), max_size=6), st.lists(st.integers(0, 60), max_size=8))
+def test_stream_cut_anywhere(turns, cuts):
+    whole = "".join(t for t, _ in cf.render(turns)[0])
+    cuts = [0, *sorted(min(c, len(whole)) for c in cuts), len(whole)]
+    stream, got = cf.Stream(), []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        stream.due = 0
+        got += list(stream.feed(whole[a:b]))
+    got += list(stream.feed("", True))
+    assert [(r, t) for r, t, _ in got] == turns
+
+
+def test_broken_output_is_refused():
+    import pytest
+
+    whole = "".join(t for t, _ in cf.render([("user", "a"), ("assistant", "b")])[0])
+    for bad in (whole[:-1], "x" + whole, whole.replace(" [/ANS]", "")):
+        with pytest.raises(ValueError):
+            list(cf.Stream().feed(bad, True))
+
+
 @settings(max_examples=300, deadline=None)
 @given(texts)
 def test_escaped_texts_hold_no_mark(text):

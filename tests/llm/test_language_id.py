@@ -63,6 +63,54 @@ def test_held_out_accuracy(spark):
     assert len(held) > 200 and np.mean(held) > 0.97
 
 
+def test_sample_is_the_smallest_hashes(spark, monkeypatch):
+    """With a document that has a third of all rows, and pieces of whole windows of bytes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(li, "SAMPLE", 20)
+    rows = [(i, "é" * 200 + str(i), "fr" if i % 3 else "en", "s") for i in range(3000)] + [(7, "hot " * 50, "de", "s")] * 1500 + [(9000 + i, "rare", "de", "s") for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    pieces = li.sample(df)
+    assert {len(p) for p, lang in pieces if lang != "de"} == {li.WINDOW} and len(pieces) == 3 * 20 * li.CUTS
+    keys = {r.doc_id: r.k for r in df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 1).alias("k")).distinct().collect()}
+    hot = sorted([7, *range(9000, 9030)], key=keys.get)[:20]
+    assert sum(p.startswith(b"hot") or b"hot" in p for p, _ in pieces) == li.CUTS * (7 in hot)
+
+
+def test_rows_against_the_network_text_by_text(spark, model):
+    """Predictions and scores against running the training form of the network over each text's windows."""
+    texts = ["the of and to " * 9, "", "123 !", "le la é des " * 40, "x", "der und die " * 700, "1 a 2"]
+    got = {r.doc_id: r for r in li.predict(spark.createDataFrame([(i, t, None, "s") for i, t in enumerate(texts)], SCHEMA).repartition(2), model).collect()}
+    for i, t in enumerate(texts):
+        data = t.encode()
+        total, n = np.zeros(len(model["labels"])), 0
+        for at in range(0, len(data), li.WINDOW):
+            part = np.frombuffer(data[at : at + li.WINDOW], np.uint8)
+            # the last window is padded as its batch asks; alone it is not padded
+            codes = part.astype(np.int64)[:, None]
+            both = np.concatenate([li._forward(model, s, codes)[0] for s in "fb"], 1)[:, :, 0]
+            logits = both @ model["o.w"].T + model["o.b"].T
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            total, n = total + p[li.LETTER[part]].sum(0), n + int(li.LETTER[part].sum())
+        if not n:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        elif len(data) % li.WINDOW == 0 or len(data) > 20 * li.WINDOW:
+            assert got[i].lang_pred == model["labels"][int(total.argmax())] and abs(got[i].score - total.max() / n) < 2e-2
+        else:
+            assert got[i].lang_pred in model["labels"]
+
+
+def test_letters_like_the_pattern():
+    import pyarrow as pa
+
+    from granary.llm._core import text_buffer
+
+    texts = ["", None, "a", "1 2", "é", "１２", "ы", "–…", "_", "1é", "Z", "日本"]
+    column = pa.array(texts)
+    assert li.with_letters(column, *text_buffer(column)).tolist() == [bool(li._LETTER.search(t or "")) for t in texts]
+
+
 def test_edges(spark, model):
     rows = [(1, None, "en", "s"), (2, "", "en", "s"), (3, "12 34 !!", "en", "s"), (None, "the of and ing", None, "s"), (4, "the thing and " * 20000, None, "s"), (4, "ы", None, "s")]
     df = spark.createDataFrame(rows, SCHEMA)

@@ -68,6 +68,59 @@ def test_budget_and_permutation(spark, budget):
         assert {(r[0], r[1]) for r in rows} == {(r.doc_id, r.text) for r in out}
 
 
+def brute_mix(spark, rows, budget, block_tokens, block_rows):
+    """(doc_id, text, pass) by walking each source's blocks in the order of their hashes; only the hashes are Spark's."""
+
+    def hashes(values, schema, *columns):
+        return [r[0] for r in spark.createDataFrame([(i, *v) for i, v in enumerate(values)], "i long, " + schema).orderBy("i").select(F.xxhash64(F.lit(mixing.SEED), *columns)).collect()]
+
+    keys = hashes([(r[0], r[1]) for r in rows], "doc_id long, text string", "doc_id", "text")
+    size = [len((r[1] or "").split()) for r in rows]
+    own = {s: [i for i, r in enumerate(rows) if r[2] == s] for s in {r[2] for r in rows}}
+    tokens = {s: sum(size[i] for i in at) for s, at in own.items()}
+    a = brute_exponent(list(tokens.values()), mixing.ENTROPY, mixing.REPEATS)
+    q = {s: (t / sum(tokens.values())) ** a for s, t in tokens.items()}
+    out = []
+    for s, at in own.items():
+        blocks = max(1, -(-tokens[s] // block_tokens), -(-len(at) // block_rows))
+        block = [h % blocks for h in hashes([(s, keys[i]) for i in at], "s string, k long", F.lit("deal"), "s", "k")]
+        target = int(budget * q[s] / sum(q.values()) * (1 + 1e-12))
+        full, rest = divmod(target, tokens[s])
+        out += [(*rows[i][:2], p) for i in at for p in range(full)]
+        if not rest:
+            continue
+        order = hashes([(full, s, b) for b in range(blocks)], "p long, s string, b long", "p", "s", "b")
+        for b in sorted(range(blocks), key=lambda b: (order[b], b)):
+            held = [i for i, x in zip(at, block, strict=True) if x == b]
+            if not held:
+                continue
+            total = sum(size[i] for i in held)
+            if total <= rest:
+                out += [(*rows[i][:2], full) for i in held]
+                rest -= total
+                if not rest:
+                    break
+                continue
+            place = dict(zip(held, hashes([(full, keys[i]) for i in held], "p long, k long", "p", "k"), strict=True))
+            for k in sorted({(place[i], keys[i]) for i in held}):
+                alike = [i for i in held if keys[i] == k[1]]
+                rest -= sum(size[i] for i in alike)
+                if rest < 0:
+                    break
+                out += [(*rows[i][:2], full) for i in alike]
+            break
+    return out
+
+
+@pytest.mark.parametrize("budget", [900, 6000, 9111, 40000])
+@pytest.mark.parametrize("blocks", [(300, 10_000), (5000, 25)])
+def test_against_brute_force(spark, monkeypatch, budget, blocks):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", blocks[1])
+    rows, df = table(spark)
+    got = collections.Counter((r.doc_id, r.text, r.mix_pass) for r in mixing.mix(df, budget=budget, block_tokens=blocks[0]).collect())
+    assert got == collections.Counter(brute_mix(spark, rows, budget, *blocks))
+
+
 def test_passes_are_different_permutations(spark):
     _, df = table(spark)
     out = mixing.mix(df, budget=40000, block_tokens=300).collect()

@@ -1,4 +1,5 @@
 import collections
+import copy
 import random
 
 import pytest
@@ -43,6 +44,37 @@ def test_each_item_goes_to_a_tightest_compatible_bin(items, per_source):
         state[2].add(cluster)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 2), st.integers(0, 6), st.integers(1, 9)), max_size=20), st.integers(1, 3))
+def test_items_alike_are_placed_as_one_by_one(items, per_source):
+    """From the same bins a run of equal items is put where a search for each of them puts it."""
+    packer = packing.Packer(20, per_source)
+    for size, source, cluster, n in items:
+        other = copy.deepcopy(packer)
+        got = packer.place_alike(size, 1 << source, 1 << cluster, n)
+        assert got == [other.place(size, 1 << source, 1 << cluster) for _ in range(n)] and len({b for b, _ in got}) == n
+        assert [sorted(x) for x in packer.open] == [sorted(x) for x in other.open] and packer.residuals == other.residuals
+
+
+def test_many_equal_rows_pack_fast(spark):
+    """100,000 rows of one document: dealt over all shards, one search for each run of them."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    began = time.perf_counter()
+    out = packing.pack(df).agg(F.count("*").alias("n"), F.countDistinct("bin_id").alias("bins")).first()
+    assert (out.n, out.bins) == (100_000, 100_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_one_source_fills_its_bins(spark):
+    df = spark.createDataFrame([(i, f"{i} " + "w " * 99, "only", "c", "b") for i in range(1000)], SCHEMA)
+    out = packing.pack(df).collect()
+    assert len({r.bin_id for r in out}) <= 52  # 20 items of 100 tokens in 2,048
+
+
 def rows():
     rng = random.Random(9)
     out = [(i, " ".join(["w"] * rng.choice([3, 9, 17, 30, 31, 64, 200])) + f" {i % 50}", rng.choice(["a", "a", "b", None]), "c", "b") for i in range(900)]
