@@ -24,6 +24,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder that the cluster shares (``spark.checkpoint.dir``); only where that is unset, as in tests, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "granary-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     app = spark.sparkContext.applicationId
@@ -54,7 +56,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``written`` that no plan reads any more."""
+    path = getattr(table, "_scratch_path", None)
+    if path:
+        _remove(table.sparkSession, path)
 
 
 def partitions_for(rows: int, per_partition: int, spark: SparkSession) -> int:

@@ -5,6 +5,11 @@ by which everything after the buckets knows it.  Map tasks write (key, class) en
 of keys and batch, so that an entry costs some 14 bytes of shuffle.  A reducer keeps the keys that at least two classes hold
 ("buckets"), and of buckets with the same members one.  Members of a bucket are then compared; what passes the exact check is a
 link.
+
+Hot keys.  A key that more than SPLIT classes hold, as counts taken beforehand say, is dealt by key and owner, so that no reducer
+holds all its entries.  A bucket beyond BLOCK members is cut into blocks.  At first each block is searched with some
+REPRESENTATIVES of the bucket, which joins nearly all of a group of near copies with work in proportion to the group; then blocks
+are searched in pairs, but only where the pair still holds different components: members of one component never meet again.
 """
 
 from __future__ import annotations
@@ -16,11 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import U64, column, jaccard_at_least, lean, mix, written
+from ._core import U64, column, discard, jaccard_at_least, lean, mix, written
 
-#: A larger bucket than this is cut into blocks; each pair of blocks is a task's work, so no task holds more than two blocks.
-BLOCK = 2048
-ENTRIES = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
+#: A larger bucket than this is cut into blocks; no task holds more than two blocks and the representatives.
+BLOCK = 1024
+#: Members of a large bucket, on average, that each of its blocks is searched with at first.
+REPRESENTATIVES = 64
+#: Entries of a key beyond which it is dealt by its owners, too.
+SPLIT = 1 << 16
+ENTRIES = pa.schema([("part", pa.int32()), ("split", pa.bool_()), ("blob", pa.binary())])
+ENTRY = "part int, split boolean, blob binary"
 
 
 def _short(keys: np.ndarray) -> bytes:
@@ -28,18 +38,24 @@ def _short(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, parts: int, sizes: np.ndarray | None = None, place: np.ndarray | None = None) -> pa.RecordBatch:
+def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, parts: int, sizes: np.ndarray | None = None, place: np.ndarray | None = None, salts: np.ndarray | None = None) -> pa.RecordBatch:
     """Entries (key, owner) as one blob for each hash range of keys; an owner is named by the first half of its id.
 
     place: a byte for each entry, the key's rank among the owner's keys in 256ths of its size, rounded down.  Without sizes
-    each entry names its owner itself, which is shorter where an owner has few keys.
+    each entry names its owner itself, which is shorter where an owner has few keys.  salts: for each entry the number of
+    ranges that its key is dealt to by owner; such keys have blobs of their own.
     """
-    part = ((keys & U64(0xFFFFFFFF)) * U64(parts) >> U64(32)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    keys, owner, part = keys[order], owner[order], part[order]
+    at = keys
+    split = np.zeros(len(keys), bool) if salts is None else salts > 1
+    if split.any():
+        salt = mix(ids[owner, 1] + U64(0xC2B2AE3D27D4EB4F)) % np.maximum(salts, 1).astype(U64)
+        at = np.where(split, mix((keys & U64((1 << 48) - 1)) + salt * U64(0x9E3779B97F4A7C15)), keys)
+    part = ((at & U64(0xFFFFFFFF)) * U64(parts) >> U64(32)).astype(np.int32)
+    order = np.lexsort((split, part)) if split.any() else np.argsort(part, kind="stable")
+    keys, owner, part, split = keys[order], owner[order], part[order], split[order]
     place = None if place is None else place[order]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
-    names, blobs = [], []
+    cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (split[1:] != split[:-1])]) if len(part) else np.zeros(0, np.int64)
+    names, kinds, blobs = [], [], []
     for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=True):
         if sizes is None:
             blobs.append(np.array([b - a, 0], np.int64).tobytes() + ids[owner[a:b], 0].tobytes() + _short(keys[a:b]))
@@ -47,7 +63,8 @@ def pack(keys: np.ndarray, owner: np.ndarray, ids: np.ndarray, parts: int, sizes
             own, local = np.unique(owner[a:b], return_inverse=True)
             blobs.append(np.array([b - a, len(own)], np.int64).tobytes() + ids[own, 0].tobytes() + sizes[own].astype(np.uint32).tobytes() + local.astype(np.uint32).tobytes() + place[a:b].tobytes() + _short(keys[a:b]))
         names.append(int(part[a]))
-    return pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], schema=ENTRIES)
+        kinds.append(bool(split[a]))
+    return pa.record_batch([pa.array(names, pa.int32()), pa.array(kinds, pa.bool_()), pa.array(blobs, pa.binary())], schema=ENTRIES)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -97,12 +114,13 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
     classes: (id, num); a half id that two classes share stands for both.  The ids of the result are the numbers.
     """
 
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(blob.as_buffer()) for batch in batches for blob in batch.column(1)]
-        if not held:
-            return
+    def members(bucket: np.ndarray, owner: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(owner), [None, pa.py_buffer(owner.astype(">u8").tobytes())]).cast(pa.binary())
+        return pa.record_batch([pa.array(bucket), half, pa.array(n.astype(np.int64))], names=["bucket", "half", "n"])
+
+    def shared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Buckets of keys whose entries are all here."""
         key, owner, n, place = (np.concatenate([h[i] for h in held]) for i in range(4))
-        del held
         order = np.argsort(key, kind="stable")
         same = key[order]
         same = same[1:] == same[:-1]
@@ -138,27 +156,84 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 17), "right")))
             now = some[at:to]
             rows = np.arange(int(size[now].sum())) + np.repeat(cut[now] - np.cumsum(size[now]) + size[now], size[now])
-            half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(rows), [None, pa.py_buffer(owner[rows].astype(">u8").tobytes())]).cast(pa.binary())
-            yield pa.record_batch([pa.array(np.repeat(group[now], size[now])), half, pa.array(n[rows])], names=["bucket", "half", "n"])
+            yield members(np.repeat(group[now], size[now]), owner[rows], n[rows])
             at = to
 
-    found = entries.repartition(parts, "part").mapInArrow(lean(reduce), LIVE).dropDuplicates(["bucket", "half"])
+    def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Entries of keys whose other owners are elsewhere: the key names the bucket."""
+        key, owner, n, _ = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.lexsort((owner, key))
+        key, owner, n = key[order], owner[order], n[order]
+        keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
+        yield members(mix(key[keep] + U64(0xD1342543DE82EF95)).view(np.int64), owner[keep], n[keep])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last = None
+        for batch in batches:  # sorted by part: a range of keys at a time
+            for part, split, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if (part, split) != last and held:
+                    yield from (dealt if last[1] else shared)(held)
+                    held = []
+                last = (part, split)
+                held.append(_unpack(blob.as_buffer()))
+        if held:
+            yield from (dealt if last[1] else shared)(held)
+
+    found = entries.repartition(parts, "part").sortWithinPartitions("part", "split").mapInArrow(lean(reduce), LIVE).dropDuplicates(["bucket", "half"])
     return found.join(classes.select(F.col("num").alias("id"), F.substring(F.col("id"), 1, 8).alias("half")), "half").drop("half")
 
 
-#: From sizes, features and, for the second search, component numbers: positions of the pairs to verify.  Without component
-#: numbers (the first search) a few pairs for each member that will join most of a group.
-Search = Callable[[np.ndarray, list | None, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+#: From sizes, features, tile numbers and, for the second search, component numbers: positions of the pairs to verify.  Without
+#: component numbers (the first search) a few pairs for each member that will join most of a group.
+Search = Callable[[np.ndarray, list, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+
+
+def sized(live: DataFrame) -> tuple[DataFrame, bool]:
+    """live with bsize, the members of its bucket, without single ones; and whether any bucket is larger than a block."""
+    sizes = live.groupBy("bucket").agg(F.count("*").alias("bsize")).where("bsize > 1")
+    out = written(live.join(sizes, "bucket"), "tiles")
+    return out, bool(out.where(F.col("bsize") > BLOCK).limit(1).count())
 
 
-def _tiles(live: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Cut buckets over block members into pairs of blocks; adds bsize, ta, tb, side."""
-    sizes = live.groupBy("bucket").agg(F.count("*").alias("bsize"))
-    out = live.join(sizes, "bucket")
-    blocks = F.ceil(F.col("bsize") / block).cast("int")
-    out = out.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return out.withColumns({"ta": F.least("own", "other"), "tb": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("blocks", "own", "other")
+def _first_tiles(live: DataFrame, large: bool) -> DataFrame:
+    """Rows of tiles (bucket, ta, tb): small buckets whole, of large ones each block with the representatives of the others."""
+    whole = live.where(F.col("bsize") <= BLOCK).withColumns({"ta": F.lit(0).cast("long"), "tb": F.lit(0).cast("long"), "side": F.lit(0)})
+    if not large:
+        return whole
+    big = live.where(F.col("bsize") > BLOCK).withColumn("blocks", F.ceil(F.col("bsize") / BLOCK)).withColumn("ta", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    chosen = big.where(F.pmod(F.xxhash64("id", "bucket"), F.col("bsize")) < REPRESENTATIVES)
+    chosen = chosen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> ta")
+    rows = big.withColumn("side", F.lit(0)).unionByName(chosen.drop("ta").withColumnRenamed("other", "ta").withColumn("side", F.lit(1)))
+    return whole.unionByName(rows.drop("blocks").withColumn("tb", F.col("ta")))
+
+
+def _second_tiles(live: DataFrame, comps: DataFrame, large: bool) -> DataFrame:
+    """Rows of the tiles that still hold different components, with comp: small buckets whole, of large ones pairs of blocks.
+
+    Blocks of a large bucket hold either one component or many small ones.  The bucket's largest component is only paired with
+    what is not of it, so its blocks never meet each other, and rows grow with it times the blocks of the rest.
+    """
+    named = live.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    whole = named.where(F.col("bsize") <= BLOCK)
+    mixed = whole.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+    whole = whole.join(mixed, "bucket").withColumns({"ta": F.lit(0).cast("long"), "tb": F.lit(0).cast("long"), "side": F.lit(0)})
+    if not large:
+        return whole
+    big = named.where(F.col("bsize") > BLOCK)
+    counts = written(big.groupBy("bucket", "comp").agg(F.count("*").alias("members")), "members")
+    totals = counts.groupBy("bucket").agg(F.sum(F.when(F.col("members") <= BLOCK, F.col("members")).otherwise(0)).alias("pool"), F.max(F.struct("members", "comp")).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    own = F.when(F.col("members") > BLOCK, F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / BLOCK)))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("pool") / BLOCK)))
+    alone = F.when(F.col("members") > BLOCK, F.col("comp"))
+    placed = big.join(counts, ["bucket", "comp"]).join(totals.select("bucket", "pool", F.col("most.comp").alias("main")), "bucket")
+    placed = written(placed.withColumns({"block": own, "alone": alone}).drop("members", "pool"), "placed")
+    blocks = placed.groupBy("bucket", "block").agg(F.first("alone").alias("alone"), F.coalesce(F.first("alone") == F.first("main"), F.lit(False)).alias("of_main"))
+    rest = blocks.where("not of_main").select("bucket", F.col("block").alias("tb"), F.col("alone").alias("alone_b"))
+    pairs = blocks.withColumnRenamed("block", "ta").join(rest, "bucket").where("of_main or ta < tb or ta = tb and alone is null").where("alone is null or alone_b is null or alone <> alone_b")
+    pairs = written(pairs.select("bucket", "ta", "tb"), "block_pairs")
+    left = placed.withColumnRenamed("block", "ta").join(pairs, ["bucket", "ta"]).withColumn("side", F.lit(0))
+    right = placed.withColumnRenamed("block", "tb").join(pairs.where("ta <> tb"), ["bucket", "tb"]).withColumn("side", F.lit(1))
+    return whole.unionByName(left.unionByName(right).select(whole.columns))
 
 
 #: Rows of small tiles that are worked on together.
@@ -204,8 +279,8 @@ def _by_tile(tiles: DataFrame, work: Callable[[pa.RecordBatch, np.ndarray], list
         if held:
             yield from done()
 
-    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.withColumn("tile", F.xxhash64("bucket", "ta", "tb")).repartition(n, "tile").sortWithinPartitions("bucket", "ta", "tb", "id")
+    # without a number of its own the exchange is coalesced by size, never split
+    dealt = tiles.withColumn("tile", F.xxhash64("bucket", "ta", "tb")).repartition("tile").sortWithinPartitions("bucket", "ta", "tb", "id")
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
@@ -217,33 +292,42 @@ def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) ->
 
     def work(table: pa.RecordBatch, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         ids, side, n = (column(table, x).to_numpy() for x in ("id", "side", "n"))
-        ta, tb = column(table, "ta").to_numpy(), column(table, "tb").to_numpy()
-        feats = column(table, "feature").to_pylist()
-        comp = None if first else column(table, "comp").to_numpy()
-        out = []
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            group = None if first else np.unique(comp[a:b], return_inverse=True)[1]
-            left, right = search(n[a:b], feats[a:b], group)
-            left, right = left + a, right + a
-            if not first and ta[a] != tb[a]:
-                keep = side[left] != side[right]  # pairs within a block are another tile's work
-                left, right = left[keep], right[keep]
-            if len(left):
-                out.append((ids[left], ids[right]))
-        return out
+        tile = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        group = None if first else np.unique(column(table, "comp").to_numpy(), return_inverse=True)[1]
+        left, right = search(n, column(table, "feature").to_pylist(), tile, group)
+        if not first:
+            two = column(table, "ta").to_numpy() != column(table, "tb").to_numpy()
+            keep = ~two[left] | (side[left] != side[right])  # pairs within a block are another tile's work
+            left, right = left[keep], right[keep]
+        return [(ids[left], ids[right])] if len(left) else []
 
     return _by_tile(tiles.join(feature, "id"), work).distinct()
 
 
-def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, block: int) -> DataFrame:
-    """Links (a, b) that join, within each bucket, all members whose sets reach the similarity by pairs.
+def components_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
+    """(id, root): components over all links of members of the same bucket whose sets reach the similarity.
+
+    texts: (id, text) of every id; sets: the sorted distinct hashes of each text.  Tiles are searched whole, with every member's
+    overlaps, so the first search is the last one for buckets of one block.
+    """
+    live, large = sized(live)
+    links = written(_links_of_tiles(_first_tiles(live, large), texts, sets, percent, False), "links")
+    comps = components(links)
+    if not large:
+        return comps
+    more = written(_links_of_tiles(_second_tiles(live.where(F.col("bsize") > BLOCK), comps, True), texts, sets, percent, True), "links")
+    return components(links.unionByName(more)) if more.limit(1).count() else comps
+
+
+def _links_of_tiles(tiles: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, grouped: bool) -> DataFrame:
+    """Links (a, b) that join, within each tile, all members whose sets reach the similarity by pairs.
 
-    texts: (id, text) of every id; sets: the sorted distinct hashes of each text.  A member's overlaps with all others of its
-    tile come from an inverted list at once.  Members are asked until those not yet asked are all joined already: every pair of
-    a tile is compared then or joined by others, and a group of near copies takes one question and those of its outsiders.
+    A member's overlaps with all others of its tile come from an inverted list at once.  Members are asked until those not yet
+    asked are all joined already: every pair of a tile is compared then or joined by others, and a group of near copies takes one
+    question and those of its outsiders.  Members of one component (grouped) are joined from the start.
     """
 
-    def tile(ids: np.ndarray, held: list[np.ndarray]) -> tuple[list, list]:
+    def tile(ids: np.ndarray, held: list[np.ndarray], group: np.ndarray) -> tuple[list, list]:
         n, k = np.array([len(s) for s in held]), len(held)
         if k == 2:
             return ([ids[0]], [ids[1]]) if jaccard_at_least(held[0], held[1], percent) else ([], [])
@@ -253,7 +337,7 @@ def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]
         member = member[order]
         bounds = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(values)))]
         place = np.r_[0, np.cumsum(n)]
-        group, asked, left, right = np.arange(k), np.zeros(k, bool), [], []
+        group, asked, left, right = group.copy(), np.zeros(k, bool), [], []
         while True:
             open_ = np.flatnonzero(~asked)
             sizes = np.bincount(group[open_], minlength=k)
@@ -276,15 +360,16 @@ def links_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]
         ids = column(table, "id").to_numpy()
         once, first, back = np.unique(ids, return_index=True, return_inverse=True)
         every = sets([x.as_buffer().to_pybytes() for x in column(table, "text").take(pa.array(first))])
+        comp = column(table, "comp").to_numpy() if grouped else ids
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if b - a > 1:
-                x, y = tile(ids[a:b], [every[i] for i in back[a:b]])
+                x, y = tile(ids[a:b], [every[i] for i in back[a:b]], np.unique(comp[a:b], return_inverse=True)[1])
                 left += x
                 right += y
         return [(np.array(left, np.int64), np.array(right, np.int64))] if left else []
 
-    return _by_tile(_tiles(live, block).join(texts, "id"), work).distinct()
+    return _by_tile(tiles.join(texts, "id"), work).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -307,6 +392,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = small.select(F.explode(F.array(F.struct("x", "m"), F.struct(F.col("u").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("u"), F.col("e.m").alias("v"))
         after = written(small.where("u <> v").distinct(), name)
         now = state(after)
+        discard(edges)
         edges, same, last = after, now == last, now
         if same:
             break
@@ -321,13 +407,11 @@ def resolve(live: DataFrame, feature: DataFrame, search: Search, verify: Callabl
     exhaustively, all pairs that are still in different components.  So no link between components is missed and no group
     emits all its pairs.
     """
-    tiles = written(_tiles(written(live, "live")), "tiles")
-    pairs = written(_pairs(tiles, feature, search, True), "pairs")
+    live, large = sized(written(live, "live"))
+    pairs = written(_pairs(_first_tiles(live, large), feature, search, True), "pairs")
     links = written(verify(pairs), "links")
     comps = components(links)
-    named = tiles.join(comps, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    mixed = named.groupBy("bucket", "ta", "tb").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-    more = written(_pairs(named.join(mixed, ["bucket", "ta", "tb"]), feature, search, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = written(_pairs(_second_tiles(live, comps, large), feature, search, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.limit(1).count():
         return comps
     more = written(verify(more), "links")

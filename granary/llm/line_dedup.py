@@ -149,7 +149,7 @@ def _chunks(start: np.ndarray, end: np.ndarray, points: int = 1 << 18) -> Iterat
         at = to
 
 
-LINE = "doc_id long, row long, line int, id binary"
+LINE = "doc_id long, row long, line int, id binary, keys binary"
 
 
 def _scan_lines(docs: DataFrame) -> DataFrame:
@@ -157,12 +157,18 @@ def _scan_lines(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             found = Lines(*text_buffer(column(batch, "text")))
             at = pa.array(found.row)
-            yield pa.record_batch([column(batch, "doc_id").take(at), column(batch, "row").take(at), pa.array(found.number, pa.int32()), id_bytes(found.ids)], names=["doc_id", "row", "line", "id"])
+            keys = np.full(len(found.ids), None, object)
+            asked = np.flatnonzero(found.ids[:, 1] % U64(ASKED) == 0)
+            for part in _chunks(found.start[asked], found.end[asked]) if len(asked) else ():
+                some = asked[part]
+                for i, own in zip(some.tolist(), band_keys(signatures(*found.shingles(found.start[some], found.end[some]))), strict=True):
+                    keys[i] = own.tobytes()
+            yield pa.record_batch([column(batch, "doc_id").take(at), column(batch, "row").take(at), pa.array(found.number, pa.int32()), id_bytes(found.ids), pa.array(keys, pa.binary())], names=["doc_id", "row", "line", "id", "keys"])
 
     return docs.mapInArrow(lean(run), LINE)
 
 
-def _scan_bands(docs: DataFrame, parts: int) -> DataFrame:
+def _scan_bands(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         held, ids, weight = [], [], 0
@@ -181,17 +187,44 @@ def _scan_bands(docs: DataFrame, parts: int) -> DataFrame:
                 ids.append(found.ids[fresh[part]])
                 weight += len(held[-1])
             if weight > 1 << 16:
-                yield _packed(held, ids, parts)
+                yield _packed(held, ids, parts, hot)
                 held, ids, weight = [], [], 0
         if weight:
-            yield _packed(held, ids, parts)
+            yield _packed(held, ids, parts, hot)
 
-    return docs.select("text").mapInArrow(lean(run), "part int, blob binary")
+    return docs.select("text").mapInArrow(lean(run), _links.ENTRY)
 
 
-def _packed(held: list, ids: list, parts: int) -> pa.RecordBatch:
-    keys, names = np.concatenate(held), np.concatenate(ids)
-    return _links.pack(keys.ravel(), np.repeat(np.arange(len(names)), BANDS), names, parts)
+def _packed(held: list, ids: list, parts: int, hot: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    keys, names = np.concatenate(held).ravel(), np.concatenate(ids)
+    salts = None
+    if len(hot[0]):
+        at = np.searchsorted(hot[0], keys)
+        at[at == len(hot[0])] = 0
+        salts = np.where(hot[0][at] == keys, hot[1][at], 1)
+    return _links.pack(keys, np.repeat(np.arange(len(names)), BANDS), names, parts, salts=salts)
+
+
+#: One of so many distinct lines is asked beforehand which of its band keys are hot.
+ASKED = 64
+
+
+def _hot_keys(lines: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys that, going by one of ASKED distinct lines, more than SPLIT lines hold, in order, and the ranges to deal them to.
+
+    It only says how entries are dealt: a key that is missed costs a reducer memory, never a link.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = b"".join(column(batch, "keys").to_pylist())
+            yield pa.record_batch([pa.array(np.frombuffer(keys, np.int64))], names=["key"])
+
+    asked = lines.where("keys is not null").select("id", "keys").dropDuplicates(["id"])
+    least = max(1, _links.SPLIT // ASKED)
+    counts = asked.mapInArrow(lean(each), "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    found = sorted((row.key % (1 << 64), -(-row.n // least)) for row in counts.collect())
+    return np.array([k for k, _ in found], U64), np.array([n for _, n in found], np.int64)
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
@@ -275,10 +308,6 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-#: Members of a bucket that a task compares at once, twice this at most.
-BLOCK = 1024
-
-
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row, dropped): the numbers of the lines that go, for documents that lose any.  row: xxhash64 of the text."""
     spark = docs.sparkSession
@@ -289,8 +318,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     classes = lines.groupBy("id").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
     classes = written(classes.select("id", "copies", "place", F.col("place.row").alias("row"), F.monotonically_increasing_id().alias("num")), "classes")
     parts = partitions_for(classes.count() * BANDS, 1_000_000, spark)
-    live = written(_links.live_buckets(_scan_bands(docs, parts), classes, parts, 0), "live")
-    comps = _links.components(_links.links_of_sets(live, _texts(docs, classes, live), line_sets, PERCENT, BLOCK)).withColumnRenamed("id", "num")
+    live = written(_links.live_buckets(_scan_bands(docs, parts, _hot_keys(lines)), classes, parts, 0), "live")
+    comps = _links.components_of_sets(live, _texts(docs, classes, live), line_sets, PERCENT).withColumnRenamed("id", "num")
     named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "num"))
     keepers = named.groupBy("root").agg(F.min("place").alias("keeper"))
     named = written(named.select("id", "root").join(keepers, "root").select("id", "keeper"), "keepers")

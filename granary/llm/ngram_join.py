@@ -7,8 +7,9 @@ the empty set, linked with nothing).  Two documents link when 100 * |A & B| >= p
    shingles to a sketch of fixed size, of which frequent shingles are read;
 2. a second pass sends each set's prefix, its ``n - ceil(percent/100 * n) + 1`` first shingles with frequent ones last, to the
    buckets of these shingles: two sets that link share a bucket;
-3. in each bucket an R-tree over the points bounds the overlap of two sets by the summed minima of their coordinates (for a
-   node: of the query and the node's upper corner); only pairs whose bound reaches the needed overlap survive;
+3. an R-tree over the points of the buckets, in every search and for buckets of every size, bounds the overlap of two sets by the
+   summed minima of their coordinates (for a node: of the query and the node's upper corner); only pairs whose bound reaches the
+   needed overlap survive.  Small buckets share a tree, a subtree for each;
 4. survivors are verified on the whole sets, and links become components by distributed union-find.
 
 Null text is empty text.  Repeated rows and equal sets are one class and share a component.  A null doc_id is kept as a row;
@@ -37,54 +38,83 @@ CELL_BITS = 20
 SKETCH_PARTS = 64
 #: Ids up to this number are broadcast to fetch their texts (1.6 MB); beyond it the texts are shuffled.
 BROADCAST_IDS = 200_000
-LEAF = 32
-#: First and middle members that each member of a large tile is tried with before the exhaustive search.
-HEADS = 6
+#: Points or nodes under a node of the tree.
+LEAF = 16
+#: In tiles of more members each one is first tried with two partners instead of one.
+SMALL = 64
 
 
 class CountRTree:
-    """A packed R-tree over count vectors; nodes carry the upper corner of their points and their range of sizes."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        spread = points.var(0, dtype=np.float32)
-        axis = np.argsort(-spread)[:2]
-        slab = max(1, int(np.sqrt(len(points) / leaf)))
-        order = np.lexsort((points[:, axis[0]], sizes))  # sort-tile packing: by size into slabs, then by the widest axis
-        width = -(-len(points) // slab)
-        tile = np.arange(len(points)) // width
-        order = order[np.lexsort((points[order, axis[-1]], points[order, axis[0]], tile))]
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        self.levels = []
-        upper, low, high = self.points, self.sizes, self.sizes
-        while len(upper) > leaf:
-            cut = np.arange(0, len(upper), leaf)
-            upper, low, high = np.maximum.reduceat(upper, cut, 0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            self.levels.append((upper, low, high))
-        self.leaf = leaf
-
-    def search(self, point: np.ndarray, size: int, percent: int, after: int = -1) -> np.ndarray:
-        """Positions of the points whose overlap with the query may reach the similarity; only those beyond `after`."""
-        at = None
-        for upper, low, high in reversed(self.levels):
-            if at is None:
-                at = np.arange(len(upper))
-            at = at[self._may(upper[at], low[at], high[at], point, size, percent)]
-            at = (at[:, None] * self.leaf + np.arange(self.leaf)).ravel()
-            below = len(self.points) if upper is self.levels[0][0] else len(self.levels[self._level(upper) - 1][0])
-            at = at[at < below]
-        if at is None:
-            at = np.arange(len(self.points))
-        at = at[at > after]
-        return at[self._may(self.points[at], self.sizes[at], self.sizes[at], point, size, percent)]
-
-    def _level(self, upper: np.ndarray) -> int:
-        return next(i for i, x in enumerate(self.levels) if x[0] is upper)
+    """A packed R-tree over count vectors of one or more tiles; no node goes over a tile's end.
 
-    @staticmethod
-    def _may(upper: np.ndarray, low: np.ndarray, high: np.ndarray, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        fits = (100 * high >= percent * size) & (100 * size >= percent * low)
-        bound = np.minimum(upper, point).sum(1, dtype=np.int64)
-        return fits & (bound * (100 + percent) >= percent * (size + np.maximum(low, -(-percent * size // 100))))
+    Points are sorted by tile, by size into slabs and by their widest axis.  A node carries the upper corner of its points, their
+    range of sizes and their range of groups; a tile has as many levels as its points ask for, one node over all of them at last.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, tile: np.ndarray | None = None, group: np.ndarray | None = None, leaf: int = LEAF):
+        n = len(points)
+        tile = np.zeros(n, np.int64) if tile is None else tile
+        axis = points[:, int(points.var(0, dtype=np.float32).argmax())] if n else np.zeros(0)
+        order = np.lexsort((sizes, tile))
+        held = np.bincount(tile[order]) if n else np.zeros(0, np.int64)
+        first = np.repeat(np.cumsum(held) - held, held)
+        slab = np.maximum(leaf, leaf * np.ceil(np.sqrt(np.repeat(held, held) / leaf)).astype(np.int64))
+        order = order[np.lexsort((axis[order], (np.arange(n) - first) // slab, tile[order]))]
+        self.order, self.points, self.sizes, tile = order, points[order], sizes[order], tile[order]
+        self.groups = group[order] if group is not None else np.arange(n)
+        #: From the leaves up: corners, sizes, groups, the end of the points below, and the children of each node.
+        self.levels: list[tuple] = []
+        upper, low, high, g0, g1, end = self.points, self.sizes, self.sizes, self.groups, self.groups, np.arange(1, n + 1)
+        while n and (not self.levels or len(upper) > len(held[held > 0])):
+            at = np.arange(len(upper)) - np.searchsorted(tile, tile, "left")
+            cut = np.flatnonzero(at % leaf == 0)
+            children = np.r_[cut, len(upper)]
+            upper, low, high = np.maximum.reduceat(upper, cut, 0), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
+            g0, g1, end, tile = np.minimum.reduceat(g0, cut), np.maximum.reduceat(g1, cut), end[children[1:] - 1], tile[cut]
+            self.levels.append((upper, low, high, g0, g1, end, children))
+        self.roots = tile
+
+    def pairs(self, percent: int, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, bound): positions of all pairs of a tile, of different groups, whose bound reaches the similarity."""
+        out = []
+        root_of = np.repeat(np.arange(len(self.roots)), np.diff(np.r_[0, self.levels[-1][5]])) if self.levels else np.zeros(0, np.int64)
+        per = 1024
+        for a in range(0, len(self.points), per):
+            q = np.arange(a, min(len(self.points), a + per))
+            out += self._below(q, root_of[q], len(self.levels) - 1, percent, chunk)
+        left, right, bound = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        return self.order[left], self.order[right], bound
+
+    def _below(self, q: np.ndarray, node: np.ndarray, level: int, percent: int, chunk: int) -> list[tuple]:
+        """Pairs of the queries q and the points below their nodes; in pieces, so that a batch of pairs stays small."""
+        while level >= 0:
+            upper, low, high, g0, g1, end, children = self.levels[level]
+            keep = (end[node] > q + 1) & ~((g0[node] == g1[node]) & (g0[node] == self.groups[q]))
+            q, node = q[keep], node[keep]
+            keep = self._bounds(q, upper, low, high, node, percent) >= 0
+            q, node = q[keep], node[keep]
+            count = children[node + 1] - children[node]
+            if count.sum() > chunk and len(q) > 1:
+                half = len(q) // 2
+                return [x for part in (slice(0, half), slice(half, None)) for x in self._below(q[part], node[part], level, percent, chunk)]
+            at = np.arange(int(count.sum())) + np.repeat(children[node] - np.cumsum(count) + count, count)
+            q, node, level = np.repeat(q, count), at, level - 1
+        keep = (node > q) & (self.groups[node] != self.groups[q])
+        q, node = q[keep], node[keep]
+        bound = self._bounds(q, self.points, self.sizes, self.sizes, node, percent)
+        keep = bound >= 0
+        return [(q[keep], node[keep], bound[keep])]
+
+    def _bounds(self, q: np.ndarray, upper: np.ndarray, low: np.ndarray, high: np.ndarray, node: np.ndarray, percent: int) -> np.ndarray:
+        """The summed minima of points and nodes; -1 where they or the sizes rule the similarity out."""
+        size = self.sizes[q]
+        out = np.where((100 * high[node] >= percent * size) & (100 * size >= percent * low[node]), 0, -1)
+        some = np.flatnonzero(out == 0)
+        for at in np.array_split(some, -(-len(some) // 4096) or 1):
+            bound = np.minimum(upper[node[at]], self.points[q[at]]).sum(1, dtype=np.int64)
+            need = percent * (size[at] + np.maximum(low[node[at]], -(-percent * size[at] // 100)))
+            out[at] = np.where(bound * (100 + percent) >= need, bound, -1)
+        return out
 
 
 def count_points(sets: list[np.ndarray]) -> list[bytes]:
@@ -123,8 +153,8 @@ class Points:
         kind = np.uint8 if max(p.max() for p in folded) < 1 << 8 else np.uint32
         return np.stack([p.astype(kind, copy=False) for p in folded])
 
-    def refine(self, left: np.ndarray, right: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs whose bound at every common finer resolution still reaches the similarity."""
+    def refine(self, left: np.ndarray, right: np.ndarray, least: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose bound at every common finer resolution still reaches the similarity, and their least bounds."""
         for place, points in self.finer:
             a, b = place[left], place[right]
             keep = np.ones(len(left), bool)
@@ -132,59 +162,35 @@ class Points:
             for at in np.array_split(both, -(-len(both) // 4096) or 1):
                 bound = np.minimum(points[a[at]], points[b[at]]).sum(1, dtype=np.int64)
                 keep[at] = bound * (100 + percent) >= percent * (n[left[at]] + n[right[at]])
-            left, right = left[keep], right[keep]
-        return left, right
+                least[at] = np.minimum(least[at], bound)
+            left, right, least = left[keep], right[keep], least[keep]
+        return left, right, least
+
+
+def _hubs(left: np.ndarray, right: np.ndarray, score: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member the partner that most others may link with, too; in tiles of more than SMALL members also the best one."""
+    a, b, score = np.r_[left, right], np.r_[right, left], np.r_[score, score]
+    degree = np.bincount(a)
+    out = []
+    for rank, some in ((-degree[b], np.ones(len(a), bool)), (-score, sizes[a] > SMALL)):
+        x, y = a[some], b[some]
+        order = np.lexsort((y, rank[some], x))
+        x, y = x[order], y[order]
+        first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+        out.append((x[first], y[first]))
+    a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def searcher(percent: int) -> _links.Search:
-    def first(points: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each member the first one that may link; in large tiles, of the first ones, or else the best of the middle ones."""
-        k = len(n)
-        if k <= 2 * LEAF:
-            left, right = np.triu_indices(k, 1)
-            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            keep = 100 * low >= percent * high
-            left, right = left[keep], right[keep]
-            bound = np.minimum(points[left], points[right]).sum(1, dtype=np.int64)
-            keep = bound * (100 + percent) >= percent * (n[left] + n[right])
-            left, right = left[keep], right[keep]
-            right, at = np.unique(right, return_index=True)  # pairs come by left: the first left of each right
-            return left[at], right
-        middle = np.median(points, 0)
-        score = np.minimum(points, middle).sum(1) / np.maximum(n, max(1.0, middle.sum()))
-        chosen = np.r_[np.arange(HEADS), np.argsort(-score, kind="stable")[:HEADS]]
-        may = np.stack([CountRTree._may(points, n, n, points[p], int(n[p]), percent) for p in chosen])
-        may[np.arange(len(chosen)), chosen] = False
-        left, right = [], []
-        for part in (slice(0, HEADS), slice(HEADS, None)):
-            some = np.flatnonzero(may[part].any(0))
-            left.append(chosen[part][may[part][:, some].argmax(0)])
-            right.append(some)
-        return np.concatenate(left), np.concatenate(right)
-
-    def search(n: np.ndarray, feats: list, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        tile = Points(feats)
-        points = tile.coarse
-        if group is None:
-            left, right = first(points, n)
-        elif len(n) <= 2 * LEAF:
-            left, right = np.triu_indices(len(n), 1)
-            low, high = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
-            keep = (group[left] != group[right]) & (100 * low >= percent * high)
-            left, right = left[keep], right[keep]
-            bound = np.minimum(points[left], points[right]).sum(1, dtype=np.int64)
-            keep = bound * (100 + percent) >= percent * (n[left] + n[right])
-            left, right = left[keep], right[keep]
-        else:
-            tree = CountRTree(points, n)
-            groups, left, right = group[tree.order], [], []
-            for i in range(len(n)):
-                hit = tree.search(tree.points[i], int(tree.sizes[i]), percent, i)
-                hit = hit[groups[hit] != groups[i]]
-                left.append(np.full(len(hit), i))
-                right.append(hit)
-            left, right = tree.order[np.concatenate(left)], tree.order[np.concatenate(right)]
-        return tile.refine(left, right, n, percent)
+    def search(n: np.ndarray, feats: list, tile: np.ndarray, group: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        points = Points(feats)
+        left, right, bound = CountRTree(points.coarse, n, tile, group).pairs(percent)
+        left, right, bound = points.refine(left, right, bound, n, percent)
+        if group is None and len(left):
+            return _hubs(left, right, bound / (n[left] + n[right]), np.bincount(tile)[tile])
+        return left, right
 
     return search
 
@@ -237,6 +243,8 @@ def _levels(found: DataFrame) -> np.ndarray:
 
 def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
+    # ranges that a shingle is dealt to by its level, the bits of its cell's count
+    salts = np.array([max(1, (1 << max(0, x - 1)) // _links.SPLIT) for x in range(64)], np.int64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
@@ -253,7 +261,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
                 take = len(s) - -(-percent * len(s) // 100) + 1
                 rank = level[(s >> U64(64 - CELL_BITS)).astype(np.int64)]
                 first = s[np.argsort(rank, kind="stable")[:take]] if rank.any() else s[:take]
-                held.append((first, i, len(s), (np.arange(take) * 256 // len(s)).astype(np.uint8)))
+                held.append((first, i, len(s), (np.arange(take) * 256 // len(s)).astype(np.uint8), salts[level[(first >> U64(64 - CELL_BITS)).astype(np.int64)]]))
                 weight += take
             if weight > 1 << 20:
                 yield _blobs(held, parts)
@@ -261,13 +269,13 @@ def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, part
         if held:
             yield _blobs(held, parts)
 
-    return docs.select("text").mapInArrow(lean(scan), "part int, blob binary")
+    return docs.select("text").mapInArrow(lean(scan), _links.ENTRY)
 
 
 def _blobs(held: list, parts: int) -> pa.RecordBatch:
     keys = np.concatenate([x[0] for x in held])
     owner = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-    return _links.pack(keys, owner, np.array([x[1] for x in held]), parts, np.array([x[2] for x in held]), np.concatenate([x[3] for x in held]))
+    return _links.pack(keys, owner, np.array([x[1] for x in held]), parts, np.array([x[2] for x in held]), np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held]))
 
 
 def _verify(docs: DataFrame, classes: DataFrame, width: int, percent: int):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from granary.llm import ngram_join
+from granary.llm import _links, ngram_join
 from granary.llm._core import read_table
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n", T.StringType()), T.StructField("id", T.StringType())])
@@ -79,17 +79,70 @@ def test_query_against_brute_force(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_tree_keeps_every_pair_that_could_link(seed):
+@pytest.mark.parametrize("leaf", [2, 16])
+def test_tree_keeps_every_pair_that_could_link(seed, leaf):
+    """Tiles of 1 to 300 points in one tree, with and without groups."""
     rng = np.random.default_rng(seed)
     points = rng.poisson(2, (400, ngram_join.GROUPS)).astype(np.uint8)
     points[200:] = points[:200] + (rng.random((200, ngram_join.GROUPS)) < 0.1)
+    points = points[rng.permutation(400)]
     sizes = points.sum(1).astype(np.int64)
-    tree = ngram_join.CountRTree(points, sizes)
-    for q in range(0, 400, 23):
-        low, high = np.minimum(sizes, sizes[q]), np.maximum(sizes, sizes[q])
-        bound = np.minimum(points, points[q]).sum(1, dtype=np.int64)
-        want = np.flatnonzero((100 * low >= 75 * high) & (bound * 175 >= 75 * (sizes + sizes[q])))
-        assert set(tree.order[tree.search(points[q], int(sizes[q]), 75)]) == set(want)
+    tile = np.repeat(np.arange(5), [1, 2, 300, 17, 80])
+    for group in (None, rng.integers(0, 3, 400)):
+        tree = ngram_join.CountRTree(points, sizes, tile, group, leaf)
+        assert len(tree.levels) >= 3 and len(tree.roots) == 5
+        for _, _, _, _, _, _, children in tree.levels:
+            assert np.diff(children).max() <= leaf
+        left, right, bound = tree.pairs(75, chunk=500)
+        want = set()
+        for i in range(400):
+            for j in range(i + 1, 400):
+                total = int(np.minimum(points[i], points[j]).sum())
+                near = 100 * min(sizes[i], sizes[j]) >= 75 * max(sizes[i], sizes[j]) and total * 175 >= 75 * (sizes[i] + sizes[j])
+                if tile[i] == tile[j] and near and (group is None or group[i] != group[j]):
+                    want.add((i, j, total))
+        assert {(min(a, b), max(a, b), n) for a, b, n in zip(left.tolist(), right.tolist(), bound.tolist(), strict=True)} >= want
+        extra = {(min(a, b), max(a, b), n) for a, b, n in zip(left.tolist(), right.tolist(), bound.tolist(), strict=True)} - want
+        assert all(n * 175 >= 75 * (sizes[i] + 0.75 * sizes[i]) - 175 for i, j, n in extra)
+
+
+def test_both_searches_go_through_the_tree(monkeypatch):
+    made = []
+    real = ngram_join.CountRTree
+    monkeypatch.setattr(ngram_join, "CountRTree", lambda *a: made.append(len(a[0])) or real(*a))
+    sets = [np.arange(i, i + 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in (0, 1, 2, 500, 501)]
+    feats, n, tile = ngram_join.count_points(sets), np.full(5, 40), np.array([0, 0, 0, 1, 1])
+    search = ngram_join.searcher(75)
+    left, right = search(n, feats, tile, None)
+    assert {frozenset(p) for p in zip(left.tolist(), right.tolist(), strict=True)} >= {frozenset((3, 4))} and len(left) == 3
+    left, right = search(n, feats, tile, np.array([0, 0, 1, 2, 2]))
+    assert {frozenset(p) for p in zip(left.tolist(), right.tolist(), strict=True)} == {frozenset((0, 2)), frozenset((1, 2))}
+    assert made == [5, 5]
+
+
+@pytest.mark.parametrize("block,split", [(16, 1 << 16), (1024, 8), (12, 8)])
+def test_hot_keys_and_large_buckets(spark, monkeypatch, block, split):
+    """Groups of near copies, chains and outsiders that share passages, with buckets of many blocks and keys of many ranges."""
+    monkeypatch.setattr(_links, "BLOCK", block)
+    monkeypatch.setattr(_links, "REPRESENTATIVES", 3)
+    monkeypatch.setattr(_links, "SPLIT", split)
+    rng = random.Random(block + split)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, n = [], 0
+    for size in (150, 60, 5):
+        base = [rng.choice(vocabulary) for _ in range(90)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randrange(9)):
+                copy[rng.randrange(90)] = rng.choice(vocabulary)
+            rows.append((n := n + 1, " ".join(copy)))
+    walk = [rng.choice(vocabulary) for _ in range(60)]
+    for i in range(120):  # a chain: neighbours link, ends don't
+        walk[i % 60] = rng.choice(vocabulary)
+        rows.append((n := n + 1, " ".join(walk)))
+    passage = " ".join(rng.choice(vocabulary) for _ in range(60))
+    rows += [((n := n + 1), " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(2, 40))) + " " + passage) for _ in range(150)]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_table_is_read_by_spark(spark):
