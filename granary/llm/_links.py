@@ -304,10 +304,16 @@ def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) ->
     return _by_tile(tiles.join(feature, "id"), work).distinct()
 
 
-def components_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
+#: The sorted distinct hashes of each text.
+Sets = Callable[[list[bytes]], list[np.ndarray]]
+#: Questions of a tile that are answered by searching the member's set, before an inverted list is made for the others.
+SEARCHED = 4
+
+
+def components_of_sets(live: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """(id, root): components over all links of members of the same bucket whose sets reach the similarity.
 
-    texts: (id, text) of every id; sets: the sorted distinct hashes of each text.  Tiles are searched whole, with every member's
+    texts: (id, text) of every id.  Tiles are searched whole, with every member's
     overlaps, so the first search is the last one for buckets of one block.
     """
     live, large = sized(live)
@@ -319,59 +325,69 @@ def components_of_sets(live: DataFrame, texts: DataFrame, sets: Callable[[list[b
     return components(links.unionByName(more)) if more.limit(1).count() else comps
 
 
-def _links_of_tiles(tiles: DataFrame, texts: DataFrame, sets: Callable[[list[bytes]], list[np.ndarray]], percent: int, grouped: bool) -> DataFrame:
+def _links_of_tiles(tiles: DataFrame, texts: DataFrame, sets: Sets, percent: int, grouped: bool) -> DataFrame:
     """Links (a, b) that join, within each tile, all members whose sets reach the similarity by pairs.
 
-    A member's overlaps with all others of its tile come from an inverted list at once.  Members are asked until those not yet
-    asked are all joined already: every pair of a tile is compared then or joined by others, and a group of near copies takes one
-    question and those of its outsiders.  Members of one component (grouped) are joined from the start.
+    Members are asked for their overlaps with all others until those not yet asked are all joined already: every pair of a tile is
+    compared then or joined by others, and a group of near copies takes one question and those of its outsiders.  Members of one
+    component (grouped) are joined from the start.
     """
 
-    def tile(ids: np.ndarray, held: list[np.ndarray], group: np.ndarray) -> tuple[list, list]:
-        n, k = np.array([len(s) for s in held]), len(held)
-        if k == 2:
-            return ([ids[0]], [ids[1]]) if jaccard_at_least(held[0], held[1], percent) else ([], [])
-        member = np.repeat(np.arange(k), n)
-        values, codes = np.unique(np.concatenate(held), return_inverse=True)
-        order = np.argsort(codes, kind="stable")
-        member = member[order]
-        bounds = np.r_[0, np.cumsum(np.bincount(codes, minlength=len(values)))]
-        place = np.r_[0, np.cumsum(n)]
-        group, asked, left, right = group.copy(), np.zeros(k, bool), [], []
-        while True:
-            open_ = np.flatnonzero(~asked)
-            sizes = np.bincount(group[open_], minlength=k)
-            if len(open_) < 2 or sizes.max() == len(open_):
-                return left, right
-            q = open_[np.argmin(sizes[group[open_]])]
-            asked[q] = True
-            own = codes[place[q] : place[q + 1]]
-            count = bounds[own + 1] - bounds[own]
-            hits = member[np.arange(int(count.sum())) + np.repeat(bounds[own] - np.cumsum(count) + count, count)]
-            common = np.bincount(hits, minlength=k)
-            near = np.flatnonzero((100 * common >= percent * (n[q] + n - common)) & (group != group[q]))
-            for g in np.unique(group[near]):
-                left.append(ids[q])
-                right.append(ids[near[group[near] == g][0]])
-            if len(near):
-                group[np.isin(group, group[near])] = group[q]
-
     def work(table: pa.RecordBatch, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         ids = column(table, "id").to_numpy()
-        once, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        _, first, back = np.unique(ids, return_index=True, return_inverse=True)
         every = sets([x.as_buffer().to_pybytes() for x in column(table, "text").take(pa.array(first))])
-        comp = column(table, "comp").to_numpy() if grouped else ids
+        comp = column(table, "comp").to_numpy() if grouped else None
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1:
-                x, y = tile(ids[a:b], [every[i] for i in back[a:b]], np.unique(comp[a:b], return_inverse=True)[1])
-                left += x
-                right += y
-        return [(np.array(left, np.int64), np.array(right, np.int64))] if left else []
+            held = [every[i] for i in back[a:b]]
+            if b - a == 2:
+                pairs = [(0, 1)] if jaccard_at_least(*held, percent) else []
+            else:
+                pairs = joined(held, percent, None if comp is None else np.unique(comp[a:b], return_inverse=True)[1])
+            left += [a + x for x, _ in pairs]
+            right += [a + y for _, y in pairs]
+        return [(ids[left], ids[right])] if left else []
 
     return _by_tile(tiles.join(texts, "id"), work).distinct()
 
 
+def joined(held: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that join all sets of a tile that reach the similarity by pairs; sets of one group are joined already."""
+    k = len(held)
+    n = np.array([len(s) for s in held])
+    every, place = np.concatenate(held), np.r_[0, np.cumsum(n)]
+    group = np.arange(k) if group is None else group.copy()
+    asked, out, inverted = np.zeros(k, bool), [], None
+    for question in range(k):
+        open_ = np.flatnonzero(~asked)
+        sizes = np.bincount(group[open_], minlength=k)
+        if len(open_) < 2 or sizes.max() == len(open_):
+            break
+        q = int(open_[sizes[group[open_]].argmin()])
+        asked[q] = True
+        own = held[q]
+        if question < SEARCHED:
+            at = np.searchsorted(own, every)
+            at[at == len(own)] = 0
+            common = np.add.reduceat((own[at] == every).view(np.int8), place[:-1], dtype=np.int64)
+        else:
+            if inverted is None:
+                codes = np.unique(every, return_inverse=True)[1]
+                order = np.argsort(codes, kind="stable")
+                inverted = codes, np.repeat(np.arange(k), n)[order], np.r_[0, np.cumsum(np.bincount(codes))]
+            codes, member, bounds = inverted
+            mine = codes[place[q] : place[q + 1]]
+            count = bounds[mine + 1] - bounds[mine]
+            common = np.bincount(member[np.arange(int(count.sum())) + np.repeat(bounds[mine] - np.cumsum(count) + count, count)], minlength=k)
+        near = np.flatnonzero((100 * common >= percent * (n[q] + n - common)) & (group != group[q]))
+        if len(near):
+            groups, first = np.unique(group[near], return_index=True)
+            out += [(q, x) for x in near[first].tolist()]
+            group[np.isin(group, groups)] = group[q]
+    return out
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, root): the smallest id reachable over edges (a, b); ids without an edge are not in it.
 

@@ -8,7 +8,7 @@ makes components.  Of each component the line with the smallest (doc_id, row, li
 
 At similarity 0.75 a pair shares a band with probability 0.998, at 0.8 with 0.9998.  A null text has no lines and stays null.
 Rows of the same doc_id and text are one document and get the same text back; a null doc_id sorts first.  All columns of the
-input are kept as they are.  An empty table gives no rows.
+input are kept as they are, but for one named n_dropped, whose place the result's own takes.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from ._core import LOWER, SPACE, U64, column, id_bytes, id_values, lean, mix, pa
 WIDTH, ROWS, BANDS, PERCENT = 8, 4, 16, 75
 #: Bits of the Bloom filter that names the lines to fetch; 4 MB whatever the data, a false hit only costs a row.
 BLOOM_BITS = 25
-#: Documents with dropped lines up to this number are broadcast with them if their lines are few too; beyond it, shuffled.
+#: Documents with dropped lines up to this number are broadcast with them if their lines are few too (some 10 MB); beyond it, shuffled.
 BROADCAST_DOCS, BROADCAST_LINES = 200_000, 1_000_000
 
 _RNG = np.random.default_rng(20250101)
@@ -95,22 +95,23 @@ class Lines:
         return shingle_hashes(self.points, start, end)
 
 
-def shingle_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit hashes at all places of the given lines, laid end to end, and each line's first and last place."""
+def shingle_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes, or 64-bit ones (wide), at all places of the given lines, laid end to end, and each line's first and last place."""
     size = end - start
     base = np.cumsum(size) - size
     at = np.arange(int(size.sum())) + np.repeat(start - base, size)
     points = points[at]
     sums = prefix_hash(points)
     inverse = powers(len(sums))[1]
-    hashes = np.zeros(len(points), np.uint32)
+    cut = (lambda x: x) if wide else (lambda x: (x >> U64(32)).astype(np.uint32))
+    hashes = np.zeros(len(points), U64 if wide else np.uint32)
     if len(points) >= WIDTH:
-        hashes[: len(points) - WIDTH + 1] = (mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1]) >> U64(32)).astype(np.uint32)
+        hashes[: len(points) - WIDTH + 1] = cut(mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1]))
     short = np.flatnonzero(size < WIDTH)
     first, last = base, base + size
     if len(short):
         value = (sums[last[short]] - sums[first[short]]) * inverse[first[short]] + size[short].astype(U64)
-        hashes[first[short]] = (mix(value) >> U64(32)).astype(np.uint32)
+        hashes[first[short]] = cut(mix(value))
     return hashes, first, np.where(size < WIDTH, first + 1, last - WIDTH + 1)
 
 
@@ -291,20 +292,18 @@ def _texts(docs: DataFrame, classes: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def line_sets(lines: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of normalised lines."""
-    joined = b"\n".join(lines)
-    size = np.array([len(x.decode("utf-8", "replace")) for x in lines])
+    """The sorted distinct 64-bit shingle hashes of normalised lines."""
+    texts = [x.decode("utf-8", "replace") for x in lines]
+    size = np.array([len(x) for x in texts])
     start = np.cumsum(size + 1) - size - 1
-    points = np.frombuffer(joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
     out = []
     for part in _chunks(start, start + size):
-        hashes, first, last = shingle_hashes(points, start[part], (start + size)[part])
+        hashes, first, last = shingle_hashes(points, start[part], (start + size)[part], True)
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             s = np.sort(hashes[a:b])
-            keep = np.empty(len(s), bool)
-            keep[0] = True
-            np.not_equal(s[1:], s[:-1], out=keep[1:])
-            out.append(s[keep])
+            keep = s[1:] != s[:-1]
+            out.append(s if keep.all() else s[np.r_[True, keep]])
     return out
 
 
@@ -315,15 +314,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     lines = written(_scan_lines(docs), "lines")
     doc = F.coalesce("doc_id", F.lit(-(1 << 63)))
     place = F.struct(doc.alias("doc"), "row", "line")
-    classes = lines.groupBy("id").agg(F.min(place).alias("place"), F.count("*").alias("copies"))
-    classes = written(classes.select("id", "copies", "place", F.col("place.row").alias("row"), F.monotonically_increasing_id().alias("num")), "classes")
+    # numbers alone, which are aggregated by hash; row: a document that holds the line
+    classes = lines.groupBy("id").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
+    classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
     parts = partitions_for(classes.count() * BANDS, 1_000_000, spark)
     live = written(_links.live_buckets(_scan_bands(docs, parts, _hot_keys(lines)), classes, parts, 0), "live")
     comps = _links.components_of_sets(live, _texts(docs, classes, live), line_sets, PERCENT).withColumnRenamed("id", "num")
-    named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "num"))
-    keepers = named.groupBy("root").agg(F.min("place").alias("keeper"))
-    named = written(named.select("id", "root").join(keepers, "root").select("id", "keeper"), "keepers")
-    return lines.join(named, "id").where(place != F.col("keeper")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("dropped"))
+    named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").select("id", F.coalesce("root", "num").alias("root"))
+    # the lines that have a copy; of each component the first one stays
+    copied = written(lines.select("doc_id", "row", "line", "id").join(named, "id").select("doc_id", "row", "line", "root"), "copied")
+    keepers = copied.groupBy("root").agg(F.min(place).alias("keeper"))
+    return copied.join(keepers, "root").where(place != F.col("keeper")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("dropped"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

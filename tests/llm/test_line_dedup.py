@@ -1,8 +1,13 @@
 import random
 
 import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import types as T
 
+from granary.llm import _links
 from granary.llm import line_dedup as ld
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("id", T.StringType()), T.StructField("row", T.StringType())])
@@ -96,6 +101,53 @@ def test_groups_of_near_copies_against_brute_force(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("block,split", [(10, 1 << 16), (1024, 64)])
+def test_hot_bands_and_large_buckets(spark, monkeypatch, block, split):
+    """A third of all lines in one group of near copies, in buckets of many blocks and band keys of many ranges."""
+    monkeypatch.setattr(_links, "BLOCK", block)
+    monkeypatch.setattr(_links, "REPRESENTATIVES", 3)
+    monkeypatch.setattr(_links, "SPLIT", split)
+    monkeypatch.setattr(ld, "ASKED", 4)
+    rng = random.Random(block)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    base = [rng.choice(words) for _ in range(45)]
+    other = [rng.choice(words) for _ in range(45)]
+    rows = []
+    for i in range(240):
+        line = list(base if i % 4 else other)
+        line[rng.randrange(45)] = rng.choice(words)
+        rows.append((i, " ".join(line) + "\n" + " ".join(rng.choice(words) for _ in range(20))))
+    check(spark, rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=2, max_size=14), st.booleans(), st.integers(0, 3))
+def test_joined_members_are_the_components(sets, grouped, searched):
+    """Questions, answered by search or by the inverted list, against comparing all pairs."""
+    comp = np.array([i % 3 for i in range(len(sets))]) if grouped else None
+
+    def roots(pairs):
+        up = list(range(len(sets)))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs + ([(i, i % 3) for i in range(len(sets))] if grouped else []):
+            up[find(a)] = find(b)
+        out = [find(i) for i in range(len(sets))]
+        return [out.index(x) for x in out]
+
+    before, _links.SEARCHED = _links.SEARCHED, searched
+    try:
+        got = _links.joined([np.array(sorted(s), np.uint64) for s in sets], 75, comp)
+    finally:
+        _links.SEARCHED = before
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert roots(got) == roots(every) and {(max(p), min(p)) for p in got} <= set(every)
+
+
 def test_query_recall_and_precision(spark):
     path = "/root/testdata/sf0.001"
     rows = duckdb.sql(f"select doc_id, text from '{path}/documents.parquet'").fetchall()
@@ -110,8 +162,6 @@ def test_query_recall_and_precision(spark):
 
 
 def test_signatures_estimate_similarity():
-    import numpy as np
-
     rng = random.Random(11)
     a = "".join(rng.choice("abcdefgh ") for _ in range(2000))
     b = a[:1000] + "".join(rng.choice("abcdefgh ") for _ in range(200)) + a[1200:]
@@ -123,8 +173,6 @@ def test_signatures_estimate_similarity():
 
 
 def test_bands_miss_few_pairs_at_the_threshold():
-    import numpy as np
-
     pairs, common, own = 20_000, 84, 14  # Jaccard 84 / 112 = 0.75; 16 bands miss 0.23% of such pairs, 14 miss 0.49%
     x = np.random.default_rng(5).integers(0, 1 << 32, (pairs, common + 2 * own), np.uint32)
     sets = np.concatenate([x[:, : common + own], np.c_[x[:, :common], x[:, common + own :]]])
