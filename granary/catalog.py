@@ -18,6 +18,7 @@ MODULES: tuple[str, ...] = (
     "granary.operators.series",
     "granary.operators.detection",
     "granary.sources.queries",
+    "granary.sources.artifacts",
     "granary.streaming.queries",
 )
 

@@ -211,7 +211,7 @@ for _style, _sql in _COMPACT.items():
     add(f"cht03_{_style}", lambda s, d, style=_style: _conv(s, d).select("conv_id", compact_template(F.col("messages"), style).alias("prompt")), _M.format((f"string_agg({_sql}, chr(10) ORDER BY turn)" if _style == "chatml" else _agg(_sql)) + " AS prompt"))
 add("cht04_sft_prompt", lambda s, d: _conv(s, d).select("conv_id", sft_prompt(F.col("messages"), "System: ", ("User: ", "\n"), "Assistant: ", "</s>", "Be brief.").alias("prompt")), _M.format(f"CASE WHEN count(*) FILTER (role = 'system' AND {D.strip('text')} <> '') > 0 THEN '' ELSE 'System: Be brief.' || {_NL} END || " + _agg(f"CASE role WHEN 'system' THEN 'System: ' || {D.strip('text')} || {_NL} WHEN 'user' THEN 'User: ' || {D.strip('text')} || {_NL} ELSE 'Assistant: ' || {D.strip('text')} || '</s>' END", f"{D.strip('text')} <> ''") + " || 'Assistant: ' AS prompt"))
 
-_RESP = "'<|reason|><|step|> ' || substr(text, 1, 9) || '<|/step|><|step|>two<|/step|> why <|conclude|> so <|/conclude|><|/reason|> ' || substr(text, 10, 50) || ' <|call|><|args|>{\"a\": 1}<|/args|><|/call|><|call|><|args|>broken<|/args|><|/call|><|/assistant|>'"
+_RESP = "'<|reason|><|step|> ' || substr(text, 1, 9) || '<|/step|><|step|>two<|/step|> why <|conclude|> so <|/conclude|><|/reason|> ' || substr(text, 10) || ' <|call|><|args|>{\"a\": 1}<|/args|><|/call|><|call|><|args|>broken<|/args|><|/call|><|/assistant|>'"
 
 
 def _responses(s, d):
@@ -219,7 +219,7 @@ def _responses(s, d):
     return read(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("<|reason|><|step|> "), F.substring(t, 1, 9), F.lit("<|/step|><|step|>two<|/step|> why <|conclude|> so <|/conclude|><|/reason|> "), F.substring(t, F.lit(10), F.length(t)), F.lit(' <|call|><|args|>{"a": 1}<|/args|><|/call|><|call|><|args|>broken<|/args|><|/call|><|/assistant|>')).alias("x"))
 
 
-add("cht05_parse_response", lambda s, d: _responses(s, d).select("conv_id", "turn", parse_response(F.col("x")).alias("p")).select("conv_id", "turn", "p.content", "p.reasoning", F.array_join("p.steps", "|").alias("steps"), "p.conclusion", F.array_join("p.calls", "|").alias("calls")), f"""SELECT conv_id, turn, {D.strip('substr(text, 10, 50)')} AS content, 'why' AS reasoning, {D.strip('substr(text, 1, 9)')} || '|two' AS steps, 'so' AS conclusion, '{{"a": 1}}' AS calls FROM conversations WHERE role = 'assistant'""")
+add("cht05_parse_response", lambda s, d: _responses(s, d).select("conv_id", "turn", parse_response(F.col("x")).alias("p")).select("conv_id", "turn", "p.content", "p.reasoning", F.array_join("p.steps", "|").alias("steps"), "p.conclusion", F.array_join("p.calls", "|").alias("calls")), f"""SELECT conv_id, turn, {D.strip('substr(text, 10)')} AS content, 'why' AS reasoning, {D.strip('substr(text, 1, 9)')} || '|two' AS steps, 'so' AS conclusion, '{{"a": 1}}' AS calls FROM conversations WHERE role = 'assistant'""")
 
 
 def _replaced(x: str, pairs: list[tuple[str, str]]) -> str:
@@ -242,7 +242,6 @@ both("cht12_wrap_helpers", "SELECT item_id, '<|code|>' || text || '<|/code|>' AS
 add("cht14_choice_prompt", lambda s, d: read(s, d, "benchmark").select("item_id", choice_prompt(F.substring("text", 1, 30), F.slice(T.split_words(F.col("text")), 1, 4)).alias("prompt")), f"SELECT item_id, 'Question: ' || substr(text, 1, 30) || {_NL} || array_to_string([substr('ABCD', i, 1) || '. ' || w[i] FOR i IN range(1, least(len(w), 4) + 1)], {_NL}) || {_NL} || 'Answer:' AS prompt FROM (SELECT item_id, text, {D.split('text')} AS w FROM benchmark)")
 add("cht15_choice_windows", lambda s, d: read(s, d, "lineitem").select("l_orderkey", "l_linenumber", completion_window(F.col("l_quantity").cast("long"), F.col("l_linenumber").cast("long") * 9, 48).alias("w")).select("l_orderkey", "l_linenumber", "w.start", "w.kept"), "SELECT l_orderkey, l_linenumber, CASE WHEN p - greatest(p + c - 48, 0) >= 1 THEN p - greatest(p + c - 48, 0) END AS start, least(p + c, 48) AS kept FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS p, CAST(l_linenumber AS BIGINT) * 9 AS c FROM lineitem)")
 add("jsn01_event_props", lambda s, d: read(s, d, "events").select("event_id", tolerant_json(F.when(F.pmod("event_id", F.lit(2)) == 0, F.lit('{"a": [1, 2]}')).otherwise(F.lit("not json"))).alias("value")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{\"a\":[1,2]}' ELSE 'not json' END AS value FROM events")
-both("pck10_envelope", "SELECT item_id, '<think>' || substr(text, 1, 10) || '</think>' || substr(text, 11) AS text FROM {benchmark}")
 
 # ---- supervised encoding on token arrays ---------------------------------------------------------------------------
 

@@ -36,13 +36,20 @@ def frequencies(docs: DataFrame, stride: int = 0, key: str = "doc_id") -> DataFr
 def vocabulary(counts: DataFrame, specials: int = 0) -> DataFrame:
     """(token, cnt, token_id): ids by falling count, ties by token, after the special ids.
 
-    Ranks are found in two phases, by count first and within a count then, so that no task orders the whole vocabulary.
+    Tokens are dealt by ranges of (count, token) and numbered within them, so that neither the whole vocabulary nor the many words
+    that occur once are a task's work.
     """
-    counts = materialised(counts, "counts")
-    levels = counts.groupBy("cnt").agg(F.count("*").alias("n"))
-    before = levels.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = counts.withColumn("r", F.row_number().over(Window.partitionBy("cnt").orderBy("token")))
-    return within.join(before.select("cnt", "base"), "cnt").select("token", "cnt", (F.col("base") + F.col("r") - 1 + specials).alias("token_id"))
+    return numbered(counts, F.desc("cnt"), "token").select("token", "cnt", (F.col("position") + specials).alias("token_id"))
+
+
+#: Tokens of a vocabulary up to this number are broadcast to encode and decode with (some 40 MB); beyond it the join is shuffled.
+BROADCAST_TOKENS = 1_000_000
+
+
+def _small(vocab: DataFrame) -> DataFrame:
+    """token and token_id, broadcast if the vocabulary is small enough: no frequent token then gathers its rows in a task."""
+    vocab = materialised(vocab.select("token", "token_id"), "vocabulary")
+    return F.broadcast(vocab) if vocab.count() <= BROADCAST_TOKENS else vocab
 
 
 def zipf_weights(vocab: DataFrame, alpha: float = 0.5, floor: float = 0.05) -> DataFrame:
@@ -55,16 +62,16 @@ def zipf_weights(vocab: DataFrame, alpha: float = 0.5, floor: float = 0.05) -> D
     return weighted.select("token", "cnt", (F.col("token_id") + 1).alias("rank"), F.round(F.col("raw") / F.lit(norm or 1.0), 6).alias("weight"))
 
 
-def encode(docs: DataFrame, vocab: DataFrame, unknown: int = 0, key: str = "doc_id") -> DataFrame:
-    """(key, ids): token ids in order; tokens that the vocabulary lacks are `unknown`."""
-    rows = token_rows(docs, key).join(vocab.select("token", "token_id"), "token", "left")
+def encode(docs: DataFrame, vocab: DataFrame, unknown: int = 0, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., ids): token ids in order; tokens that the vocabulary lacks are `unknown`."""
+    rows = token_rows(docs, key, *keep).join(_small(vocab), "token", "left")
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(unknown)).alias("id"))))
-    return rows.groupBy(key).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
+    return rows.groupBy(key, *keep).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
 
 
 def decode(encoded: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text): the tokens of ids joined by spaces."""
-    rows = encoded.select(key, F.posexplode("ids").alias("pos", "token_id")).join(vocab.select("token", "token_id"), "token_id")
+    rows = encoded.select(key, F.posexplode("ids").alias("pos", "token_id")).join(_small(vocab), "token_id")
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]), " ").alias("text"))
 
 
@@ -81,23 +88,39 @@ def running_total(rows: DataFrame, keys: list[str], order: str, size: str, width
     return blocked.join(totals.select(*keys, "_block", base.alias("_base")), [*keys, "_block"]).withColumn(out, F.col("_base") + inner).drop("_block", "_base")
 
 
-def stream_positions(docs: DataFrame, eos: str | None = "<eos>", key: str = "doc_id") -> DataFrame:
-    """(source, position, token): all documents of a source laid end to end by key, each followed by eos if given."""
+def laid_out(docs: DataFrame, eos: str | None = "<eos>", key: str = "doc_id") -> DataFrame:
+    """(source, before, n, tokens): a row for each document with tokens, all of a source end to end by key, each followed by eos if given."""
     tokens = T.plain_tokens(F.col("text"))
     if eos:
         tokens = F.concat(tokens, F.array(F.lit(eos)))
-    rows = docs.select("source", key, tokens.alias("tokens")).where(F.size("tokens") > (1 if eos else 0)).withColumn("n", F.size("tokens"))
-    placed = running_total(rows, ["source"], key, "n")
-    return placed.select("source", "before", F.posexplode("tokens").alias("p", "token")).select("source", (F.col("before") + F.col("p")).alias("position"), "token")
+    rows = docs.select("source", key, tokens.alias("tokens")).where(F.size("tokens") > (1 if eos else 0)).withColumn("n", F.size("tokens").cast("long"))
+    return placed(rows, key)
+
+
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """(source, before, n, tokens) of rows(source, key, n, tokens): adds the tokens of the source that come before."""
+    return running_total(rows, ["source"], key, "n").select("source", "before", "n", "tokens")
+
+
+def pieces(stream: DataFrame, length: int, overlap: int = 0) -> DataFrame:
+    """(source, window, at, n, part): the part of each document in each window of length + overlap tokens every `length`.
+
+    A document gives a row for each window that it touches, not one for each token; at is the position of the part's first token.
+    """
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("before") - overlap) / length))
+    last = F.floor((F.col("before") + F.col("n") - 1) / length)
+    rows = stream.select("source", "before", "n", "tokens", F.explode(F.sequence(first, last)).alias("window"))
+    start = F.greatest("before", F.col("window") * length)
+    end = F.least(F.col("before") + F.col("n"), F.col("window") * length + length + overlap)
+    rows = rows.withColumns({"at": start, "size": end - start}).where("size > 0")
+    return rows.select("source", "window", "at", F.col("size").alias("n"), F.slice("tokens", (F.col("at") - F.col("before") + 1).cast("int"), F.col("size").cast("int")).alias("part"))
 
 
 def windows(stream: DataFrame, length: int, overlap: int = 0, keep_tail: bool = False) -> DataFrame:
-    """(source, window, n, text): windows of length + overlap tokens every `length`; a short last one only with keep_tail."""
-    rows = stream.withColumn("window", F.floor(F.col("position") / length))
-    if overlap:
-        again = rows.where((F.col("position") % length < overlap) & (F.col("window") > 0)).withColumn("window", F.col("window") - 1)
-        rows = rows.unionByName(again)
-    out = rows.groupBy("source", "window").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda p: p["token"]), " ").alias("text"))
+    """(source, window, n, text): windows of length + overlap tokens every `length` of a stream that is laid out; a short last one only with keep_tail."""
+    parts = pieces(stream, length, overlap).withColumn("part", F.array_join("part", " "))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), " ")
+    out = parts.groupBy("source", "window").agg(F.sum("n").alias("n"), text.alias("text"))
     return out if keep_tail else out.where(F.col("n") == length + overlap)
 
 
@@ -210,12 +233,12 @@ _VOCAB = f"WITH {_FREQ}, vocab AS (SELECT token, cnt, row_number() OVER (ORDER B
 BOOK.add("agg01_token_frequencies", lambda s, d: frequencies(_docs(s, d), 10), f"WITH {_FREQ} SELECT token, cnt FROM freq")
 BOOK.add("agg02_corpus_counters", lambda s, d: _docs(s, d).where("doc_id % 10 <> 0").agg(F.count("*").alias("documents"), F.sum(F.size(T.plain_tokens(F.col("text")))).alias("tokens")).crossJoin(frequencies(_docs(s, d), 10).agg(F.count("*").alias("vocabulary"))), f"WITH {_FREQ} SELECT (SELECT count(*) FROM documents WHERE doc_id % 10 <> 0) AS documents, CAST(sum(cnt) AS BIGINT) AS tokens, count(*) AS vocabulary FROM freq")
 BOOK.add("agg03_tokens_per_source", lambda s, d: _docs(s, d).select("source", F.size(T.plain_tokens(F.col("text"))).alias("n"), F.length("text").alias("c")).rollup("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.sum("c").alias("chars"), F.round(F.sum("n") / F.sum("c"), 9).alias("per_char")), f"SELECT source, count(*) AS docs, CAST(sum({LEN}) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum({LEN}) / sum(length(text)), 9) AS per_char FROM documents GROUP BY ROLLUP (source)")
-BOOK.add("win20_zipf_weights", lambda s, d: zipf_weights(vocabulary(frequencies(_docs(s, d), 10))), f"{_VOCAB}, raw AS (SELECT token, cnt, token_id + 1 AS rank, greatest(pow((token_id + 1) / CAST((SELECT count(*) FROM vocab) AS DOUBLE), 0.5), 0.05::DOUBLE) AS raw FROM vocab) SELECT token, cnt, rank, round(raw / (SELECT sqrt(avg(raw * raw)) FROM raw), 6) AS weight FROM raw")
+BOOK.add("win20_zipf_weights", lambda s, d: zipf_weights(vocabulary(frequencies(_docs(s, d), 10))), f"WITH {_FREQ}, vocab AS MATERIALIZED (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) AS rank FROM freq), size AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM vocab), raw AS MATERIALIZED (SELECT token, cnt, rank, greatest(pow(rank / v, 0.5), 0.05::DOUBLE) AS raw FROM vocab, size), norm AS (SELECT sqrt(avg(raw * raw)) AS z FROM raw) SELECT token, cnt, rank, round(raw / z, 6) AS weight FROM raw, norm")
 BOOK.add("tok01_encode", lambda s, d: encode(_docs(s, d), vocabulary(frequencies(_docs(s, d), 10), 3)).select("doc_id", F.size("ids").cast("long").alias("n"), F.array_join("ids", " ").alias("ids")), f"{_VOCAB} SELECT doc_id, count(*) AS n, string_agg(CAST(coalesce(token_id + 3, 0) AS VARCHAR), ' ' ORDER BY pos) AS ids FROM (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {D.plain_tokens('text')} AS t FROM documents)) LEFT JOIN vocab USING (token) GROUP BY doc_id")
 BOOK.add("tok02_decode", lambda s, d: (lambda v: decode(encode(_docs(s, d).where("doc_id % 10 <> 0"), v), v))(vocabulary(frequencies(_docs(s, d), 10))), f"SELECT doc_id, array_to_string({D.plain_tokens('text')}, ' ') AS text FROM documents WHERE doc_id % 10 <> 0")
 BOOK.add("tok09_flatten_with_eos", lambda s, d: read(s, d, "benchmark").select("item_id", F.concat(T.plain_tokens(F.col("text")), F.array(F.lit("<eos>"))).alias("t")).select("item_id", F.array_join("t", " ").alias("flat"), F.size("t").cast("long").alias("n")), f"SELECT item_id, array_to_string(list_append({D.plain_tokens('text')}, '<eos>'), ' ') AS flat, len({D.plain_tokens('text')}) + 1 AS n FROM benchmark")
-BOOK.add("tok11_extend_vocabulary", lambda s, d: (lambda base, more: more.join(base, "token", "left_anti").withColumn("new_id", (F.row_number().over(Window.orderBy(F.desc("cnt"), "token"))).cast("long")).select("token", "new_id"))(frequencies(_docs(s, d).where("lang = 'en'")), frequencies(_docs(s, d).where("lang = 'fr'")).where("cnt > 3")), f"WITH w AS (SELECT lang, unnest({D.plain_tokens('text')}) AS token FROM documents), more AS (SELECT token, count(*) AS cnt FROM w WHERE lang = 'fr' GROUP BY 1 HAVING count(*) > 3) SELECT token, row_number() OVER (ORDER BY cnt DESC, token) AS new_id FROM more WHERE token NOT IN (SELECT token FROM w WHERE lang = 'en')")
-BOOK.add("set06_merge_vocabulary", lambda s, d: (lambda base, other: other.join(base, "token", "left_anti").select("token").orderBy("token").limit(100))(frequencies(_docs(s, d).where("lang = 'de'")), frequencies(_docs(s, d).where("lang = 'es'"))), f"WITH w AS (SELECT lang, unnest({D.plain_tokens('text')}) AS token FROM documents) SELECT DISTINCT token FROM w WHERE lang = 'es' AND token NOT IN (SELECT token FROM w WHERE lang = 'de') ORDER BY token LIMIT 100")
+BOOK.add("tok11_extend_vocabulary", lambda s, d: (lambda base, more: numbered(more.join(base, "token", "left_anti"), F.desc("cnt"), "token").select("token", (F.col("position") + 1).alias("new_id")))(frequencies(_docs(s, d).where("lang = 'en'")), frequencies(_docs(s, d).where("lang = 'fr'")).where("cnt > 3")), f"WITH w AS (SELECT lang, unnest({D.plain_tokens('text')}) AS token FROM documents), more AS (SELECT token, count(*) AS cnt FROM w WHERE lang = 'fr' GROUP BY 1 HAVING count(*) > 3) SELECT token, row_number() OVER (ORDER BY cnt DESC, token) AS new_id FROM more WHERE token NOT IN (SELECT token FROM w WHERE lang = 'en')")
+BOOK.add("set06_merge_vocabulary", lambda s, d: (lambda base, other: other.join(base, "token", "left_anti").select("token"))(frequencies(_docs(s, d).where("lang = 'de'")), frequencies(_docs(s, d).where("lang = 'es'"))), f"WITH w AS (SELECT lang, unnest({D.plain_tokens('text')}) AS token FROM documents) SELECT DISTINCT token FROM w WHERE lang = 'es' AND token NOT IN (SELECT token FROM w WHERE lang = 'de')")
 BOOK.both("tok10_id_width", "SELECT vocab, CASE WHEN vocab <= 65535 THEN 'uint16' ELSE 'uint32' END AS shard_type, CASE WHEN vocab <= 65536 THEN 'uint16' ELSE 'uint32' END AS mixture_type FROM (SELECT 65530 + o_orderkey AS vocab FROM {orders} WHERE o_orderkey <= 12) x")
 
 _STREAM = f"""pieces AS (SELECT source, doc_id, list_append({D.plain_tokens('text')}, '<eos>') AS t FROM documents WHERE len({D.plain_tokens('text')}) > 0),
@@ -223,21 +246,19 @@ _STREAM = f"""pieces AS (SELECT source, doc_id, list_append({D.plain_tokens('tex
     stream AS (SELECT source, CAST(before + generate_subscripts(t, 1) - 1 AS BIGINT) AS position, unnest(t) AS token FROM placed)"""
 _WIN = "SELECT source, CAST(w AS BIGINT) AS window, count(*) AS n, sha256(string_agg(token, ' ' ORDER BY position)) AS digest FROM"
 _hashed = lambda df: df.select("source", "window", "n", F.sha2("text", 256).alias("digest"))
-BOOK.add("pck01_batch_pack", lambda s, d: _hashed(windows(stream_positions(_docs(s, d)), 128, keep_tail=True)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream) GROUP BY source, w")
-BOOK.add("pck02_stream_pack", lambda s, d: _hashed(windows(stream_positions(_docs(s, d)), 128)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream) GROUP BY source, w HAVING count(*) = 128")
-BOOK.add("pck03_lm_windows", lambda s, d: _hashed(windows(stream_positions(_docs(s, d)), 128, 1)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream UNION ALL SELECT *, position // 128 - 1 FROM stream WHERE position % 128 = 0 AND position > 0) GROUP BY source, w HAVING count(*) = 129")
-BOOK.add("pck04_offline_pack", lambda s, d: _hashed(windows(stream_positions(_docs(s, d), None), 100, keep_tail=True)), f"WITH {_STREAM.replace("list_append(" + D.plain_tokens('text') + ", '<eos>')", D.plain_tokens('text'))} {_WIN} (SELECT *, position // 100 AS w FROM stream) GROUP BY source, w")
-BOOK.add("snk04_rolling_shards", lambda s, d: (lambda st: st.withColumn("shard", F.floor(F.col("position") / 1024)).unionByName(st.where("position % 1024 = 0 and position > 0").withColumn("shard", F.floor(F.col("position") / 1024) - 1)).groupBy("source", "shard").agg(F.count("*").alias("tokens"), F.min("position").alias("first"), F.max("position").alias("last")))(stream_positions(_docs(s, d))), f"WITH {_STREAM} SELECT source, CAST(w AS BIGINT) AS shard, count(*) AS tokens, min(position) AS first, max(position) AS last FROM (SELECT *, position // 1024 AS w FROM stream UNION ALL SELECT *, position // 1024 - 1 FROM stream WHERE position % 1024 = 0 AND position > 0) GROUP BY source, w")
-BOOK.add("snk08_fixed_width", lambda s, d: (lambda st: st.join(st.groupBy("source").agg(F.count("*").alias("n")), "source").where("position < floor(n / 64) * 64").groupBy("source").agg(F.count("*").alias("kept"), F.max("n").alias("total")))(stream_positions(_docs(s, d))), f"WITH {_STREAM} SELECT source, (count(*) // 64) * 64 AS kept, count(*) AS total FROM stream GROUP BY source HAVING count(*) >= 64")
-BOOK.add("src11_lm_reader", lambda s, d: windows(stream_positions(_docs(s, d)), 128, 1).where("window >= 2").groupBy("source").agg(F.count("*").alias("windows"), F.min("window").alias("first")), f"WITH {_STREAM}, n AS (SELECT source, (count(*) - 1) // 128 AS w FROM stream GROUP BY source) SELECT source, w - 2 AS windows, 2::BIGINT AS first FROM n WHERE w > 2")
+BOOK.add("pck01_batch_pack", lambda s, d: _hashed(windows(laid_out(_docs(s, d)), 128, keep_tail=True)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream) GROUP BY source, w")
+BOOK.add("pck02_stream_pack", lambda s, d: _hashed(windows(laid_out(_docs(s, d)), 128)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream) GROUP BY source, w HAVING count(*) = 128")
+BOOK.add("pck03_lm_windows", lambda s, d: _hashed(windows(laid_out(_docs(s, d)), 128, 1)), f"WITH {_STREAM} {_WIN} (SELECT *, position // 128 AS w FROM stream UNION ALL SELECT *, position // 128 - 1 FROM stream WHERE position % 128 = 0 AND position > 0) GROUP BY source, w HAVING count(*) = 129")
+BOOK.add("pck04_offline_pack", lambda s, d: _hashed(windows(laid_out(_docs(s, d), None), 100, keep_tail=True)), f"WITH {_STREAM.replace("list_append(" + D.plain_tokens('text') + ", '<eos>')", D.plain_tokens('text'))} {_WIN} (SELECT *, position // 100 AS w FROM stream) GROUP BY source, w")
+BOOK.add("snk04_rolling_shards", lambda s, d: pieces(laid_out(_docs(s, d)), 1024, 1).groupBy("source", F.col("window").alias("shard")).agg(F.sum("n").alias("tokens"), F.min("at").alias("first"), F.max(F.col("at") + F.col("n") - 1).alias("last")), f"WITH {_STREAM} SELECT source, CAST(w AS BIGINT) AS shard, count(*) AS tokens, min(position) AS first, max(position) AS last FROM (SELECT *, position // 1024 AS w FROM stream UNION ALL SELECT *, position // 1024 - 1 FROM stream WHERE position % 1024 = 0 AND position > 0) GROUP BY source, w")
+BOOK.add("snk08_fixed_width", lambda s, d: laid_out(_docs(s, d)).groupBy("source").agg(F.sum("n").alias("total")).where("total >= 64").select("source", F.expr("total div 64 * 64").alias("kept"), "total"), f"WITH {_STREAM} SELECT source, (count(*) // 64) * 64 AS kept, count(*) AS total FROM stream GROUP BY source HAVING count(*) >= 64")
+BOOK.add("src11_lm_reader", lambda s, d: windows(laid_out(_docs(s, d)), 128, 1).where("window >= 2").groupBy("source").agg(F.count("*").alias("windows"), F.min("window").alias("first")), f"WITH {_STREAM}, n AS (SELECT source, (count(*) - 1) // 128 AS w FROM stream GROUP BY source) SELECT source, w - 2 AS windows, 2::BIGINT AS first FROM n WHERE w > 2")
 BOOK.add("srt03_tail_split", lambda s, d: _sized(s, d).groupBy("source").agg(F.sum(F.col("n") + 1).alias("n")).withColumn("held", F.least(F.greatest(F.lit(129), F.floor(F.col("n") * 0.02)), F.greatest(F.lit(129), F.floor(F.col("n") / 10)))).select("source", "n", F.col("held").cast("long").alias("held")), f"{SIZED} SELECT source, n, CAST(least(greatest(129, floor(n * 0.02::DOUBLE)), greatest(129, floor(n / 10))) AS BIGINT) AS held FROM (SELECT source, CAST(sum(n + 1) AS BIGINT) AS n FROM sized GROUP BY source)")
 BOOK.add("pck05_next_fit", lambda s, d: next_fit(_sized(s, d).where("n > 0"), "source", "doc_id", "n", 2048).groupBy("source", "pack").agg(F.count("*").alias("items"), F.sum("n").alias("tokens")))
 BOOK.add("pck06_pad_collate", lambda s, d: _sized(s, d).withColumn("batch", F.floor(F.col("doc_id") / 16)).withColumn("width", F.max("n").over(Window.partitionBy("batch"))).select("doc_id", "batch", "n", (F.col("width") - F.col("n")).alias("padding")), f"{SIZED} SELECT doc_id, doc_id // 16 AS batch, n, max(n) OVER (PARTITION BY doc_id // 16) - n AS padding FROM sized")
 BOOK.add("pck09_keep_last", lambda s, d: _docs(s, d).select("doc_id", T.let(T.plain_tokens(F.col("text")), lambda t: F.array_join(F.slice(t, F.greatest(F.size(t) - 15, F.lit(1)), F.lit(16)), " ")).alias("tail")), f"SELECT doc_id, array_to_string(t[greatest(len(t) - 15, 1):], ' ') AS tail FROM (SELECT doc_id, {D.plain_tokens('text')} AS t FROM documents)")
 BOOK.add("srt11_length_batches", lambda s, d: _sized(s, d).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("n", "doc_id"))).select("doc_id", "source", F.floor((F.col("r") - 1) / 8).alias("batch")), f"{SIZED} SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY n, doc_id) - 1) // 8 AS batch FROM sized")
-BOOK.both("pck13_epoch_schedule", "SELECT world, batch, epochs, CAST(floor((items + world - 1) / world) AS BIGINT) AS per_rank, CAST(floor((floor((items + world - 1) / world) + batch - 1) / batch) * epochs AS BIGINT) AS steps FROM (SELECT count(*) AS items FROM {documents}) a CROSS JOIN (SELECT 1 + r_regionkey AS world, 8 * (1 + r_regionkey) AS batch, 3 AS epochs FROM {region}) b")
 BOOK.both("pck14_source_exposures", "SELECT source, count(*) AS items, count(*) * 3 AS exposures, CAST(sum(count(*) * 3) OVER () AS BIGINT) AS total FROM {documents} GROUP BY source")
-BOOK.both("pck15_pack_boundaries", "SELECT p, CAST(floor((p * total + 9) / 10) AS BIGINT) AS boundary, CAST(floor((p * total + 9) / 10) - floor(((p - 1) * total + 9) / 10) AS BIGINT) AS size FROM (SELECT CAST(sum(n_chars) AS BIGINT) AS total FROM {documents}) a CROSS JOIN (SELECT o_orderkey AS p FROM {orders} WHERE o_orderkey BETWEEN 1 AND 10) b")
 
 # mixtures: weight of a source is falling with its position
 _W = "src AS (SELECT source, position, w / sum(w) OVER () AS weight FROM (SELECT source, position, 1e0 / (1 + position) AS w FROM (SELECT source, CAST(row_number() OVER (ORDER BY source) - 1 AS INT) AS position FROM (SELECT DISTINCT source FROM {documents}) a) b) c)"
@@ -273,10 +294,5 @@ BOOK.add("mix08_replay_plan", lambda s, d: pick_shards(_shards(s, d), F.lit(25))
 BOOK.both("mix09_replay_faults", f"WITH {_SH}, plan AS (SELECT source, file, rows + CASE WHEN file = 'shard-3' THEN 5 ELSE 0 END AS rows FROM shards UNION ALL SELECT 'nowhere', 'shard-0', 3), counted AS (SELECT p.source, p.file, p.rows, s.rows AS have FROM plan p LEFT JOIN shards s ON p.source = s.source AND p.file = s.file) SELECT source, file, CASE WHEN have IS NULL THEN 'unknown file' ELSE 'too many rows' END AS fault FROM counted WHERE have IS NULL OR rows > have")
 BOOK.add("mix10_replay_execution", lambda s, d: numbered(_docs(s, d).select("doc_id", "source").withColumns({"k": F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1, "n": F.count("*").over(Window.partitionBy("source"))}).withColumn("key", F.col("k") / F.col("n").cast("double")), "key", "source").where("position >= 40").select("doc_id", (F.col("position") + 1).alias("place")), "WITH q AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY k / CAST(n AS DOUBLE), source) AS place FROM q) SELECT doc_id, CAST(place AS BIGINT) AS place FROM o WHERE place > 40")
 BOOK.add("mix11_parse_budget", lambda s, d: read(s, d, "nation").select("n_nationkey", parse_tokens(F.concat(F.col("n_nationkey"), F.substring(F.lit("kMbT_x"), F.pmod("n_nationkey", F.lit(6)).cast("int") + 1, 1))).alias("tokens")), "SELECT n_nationkey, CAST(CASE n_nationkey % 6 WHEN 0 THEN n_nationkey * 1e3 WHEN 1 THEN n_nationkey * 1e6 WHEN 2 THEN n_nationkey * 1e9 WHEN 3 THEN n_nationkey * 1e12 WHEN 4 THEN n_nationkey END AS BIGINT) AS tokens FROM nation")
-BOOK.both("snk05_manifest_invariants", f"WITH {_SH}, s AS (SELECT source, sum(rows) AS rows, count(DISTINCT file) AS files, count(*) AS listed FROM shards GROUP BY source), d AS (SELECT source, count(*) AS rows FROM {{documents}} GROUP BY source) SELECT s.source, s.rows = d.rows AS rows_fit, s.files = s.listed AS names_unique FROM s JOIN d ON s.source = d.source")
-BOOK.both("snk06_source_manifest", f"WITH {_SH} SELECT source, count(*) AS shards, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(rows) * 128 + count(*) AS BIGINT) AS tokens, min(file) AS first_file FROM shards GROUP BY source")
-BOOK.both("snk02_shard_index", "SELECT source, count(*) AS n, CAST(max(n_chars) AS BIGINT) AS top, SHA(CAST(sum(n_chars) AS STR)) AS digest FROM {documents} GROUP BY source")
-BOOK.both("snk11_fingerprint", f"WITH {_SH} SELECT SHA(source || ':' || file || ':' || CAST(rows AS STR)) AS fingerprint FROM shards")
-BOOK.both("snk07_verify_sizes", f"WITH {_SH} SELECT source, file, rows * 2 AS bytes, CASE WHEN rows % 7 = 0 THEN 'size' ELSE 'ok' END AS status FROM shards")
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -147,11 +147,8 @@ add("win15_suppression", lambda s, d: suppress(_boxes(s, d), 0.3).select("image"
 add("met17_detection_scores", lambda s, d: detection_scores(_boxes(s, d, 3.0), _boxes(s, d)))
 add("met18_scores_by_image", lambda s, d: match(_boxes(s, d, 3.0), _boxes(s, d)).groupBy("image").agg(F.avg(F.col("hits")[0].cast("double")).alias("precision"), F.max("score").alias("top")))
 add("agg35_partial_state", lambda s, d: match(_boxes(s, d, 3.0), _boxes(s, d)).groupBy("label").agg(F.count("*").alias("predictions"), F.sum(F.col("hits")[0].cast("int")).alias("matches")))
-both("src21_category_remap", "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS class FROM {part}")
-both("src22_column_projection", "SELECT vec_id, label FROM {embeddings} WHERE vec_id % 2 = 0 ORDER BY vec_id LIMIT 50")
-add("src24_video_clips", lambda s, d: clip_frames(read(s, d, "events").select(F.col("user_id").alias("video"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("frame")), 2, 3), "WITH f AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id <= 5) SELECT video, frame, CAST(o AS INTEGER) AS \"offset\", least(greatest(frame + o * 3, 0), n - 1) AS source FROM f, range(-2, 3) r(o)")
+both("src22_column_projection", "SELECT vec_id, label FROM {embeddings} ")
+add("src24_video_clips", lambda s, d: clip_frames(read(s, d, "events").select(F.col("user_id").alias("video"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("frame")), 2, 3), "WITH f AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT video, frame, CAST(o AS INTEGER) AS \"offset\", least(greatest(frame + o * 3, 0), n - 1) AS source FROM f, range(-2, 3) r(o)")
 both("src25_modalities", "SELECT user_id, event_type, min(event_id) AS path FROM {events} GROUP BY user_id, event_type")
-both("snk09_submission", "SELECT CAST(count(*) AS BIGINT) AS rows_n, count(DISTINCT url) = count(*) AS unique_paths, min(page_id) >= 0 AS in_range FROM {pages}")
-both("snk12_count_cache", "SELECT c_mktsegment, count(*) AS n, count(*) = count(DISTINCT c_custkey) AS valid FROM {customer} GROUP BY c_mktsegment")
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -184,18 +184,16 @@ both("jon06_anti", "SELECT d.doc_id FROM {documents} d WHERE NOT EXISTS (SELECT
 both("jon07_fresh_shards", "SELECT DISTINCT source, doc_id % 8 AS shard FROM {documents} a WHERE NOT EXISTS (SELECT 1 FROM {documents} b WHERE b.source = a.source AND b.doc_id % 8 = a.doc_id % 8 AND b.n_chars > 9000)")
 both("jon08_missing_files", "SELECT p_partkey FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45")
 add("jon09_theta_boxes", lambda s, d: overlapping_boxes(read(s, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("box"), F.pmod("l_suppkey", F.lit(3)).alias("class"), F.col("l_quantity").alias("x"), F.pmod("l_partkey", F.lit(40)).alias("y")), 20.0, 0.05),
-    "WITH b AS (SELECT l_orderkey AS image, l_linenumber AS box, l_suppkey % 3 AS class, l_quantity AS x, l_partkey % 40 AS y, 20e0 AS w FROM {lineitem} WHERE l_orderkey <= 4000), o AS (SELECT a.image, a.box AS box_a, c.box AS box_b, greatest(0e0, least(a.x, c.x) + 20e0 - greatest(a.x, c.x)) * greatest(0e0, least(a.y, c.y) + 20e0 - greatest(a.y, c.y)) AS inter FROM b a JOIN b c ON a.image = c.image AND a.class = c.class AND a.box < c.box) SELECT image, box_a, box_b, round(inter / (800e0 - inter), 6) AS iou FROM o WHERE inter / (800e0 - inter) >= 0.05e0")
+    "WITH b AS (SELECT l_orderkey AS image, l_linenumber AS box, l_suppkey % 3 AS class, l_quantity AS x, l_partkey % 40 AS y, 20e0 AS w FROM {lineitem}), o AS (SELECT a.image, a.box AS box_a, c.box AS box_b, greatest(0e0, least(a.x, c.x) + 20e0 - greatest(a.x, c.x)) * greatest(0e0, least(a.y, c.y) + 20e0 - greatest(a.y, c.y)) AS inter FROM b a JOIN b c ON a.image = c.image AND a.class = c.class AND a.box < c.box) SELECT image, box_a, box_b, round(inter / (800e0 - inter), 6) AS iou FROM o WHERE inter / (800e0 - inter) >= 0.05e0")
 add("jon10_similarity_join", lambda s, d: similar_pairs(read(s, d, "embeddings"), 0.3),
-    "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 = 0 AND round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) > 0.3")
+    "SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) AS dot FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]), 5) > 0.3")
 both("jon12_panel_responses", "SELECT u.conv_id, u.turn, coalesce(a.text, '') AS response FROM {conversations} u LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'")
 both("jon13_reports_metrics", "WITH m AS (SELECT user_id, max(event_id) AS step, CAST(count(*) AS BIGINT) AS n FROM {events} GROUP BY user_id) SELECT m.user_id, m.step, m.n, e.event_type FROM m JOIN {events} e ON e.event_id = m.step")
 both("jon14_loss_cells", "WITH cells AS (SELECT source AS task, lang AS domain, CAST(count(*) AS BIGINT) AS cell FROM {documents} WHERE lang = 'en' GROUP BY source, lang), tasks AS (SELECT source AS task, CAST(-1 AS BIGINT) AS cell FROM {documents} GROUP BY source) SELECT d.doc_id, coalesce(c.cell, t.cell) AS cell FROM {documents} d LEFT JOIN cells c ON c.task = d.source AND c.domain = d.lang LEFT JOIN tasks t ON t.task = d.source")
 add("jon15_order_equality", lambda s, d: numbered(read(s, d, "pages").select("page_id", "url"), "url", out="a").join(numbered(read(s, d, "pages").select(F.col("page_id").alias("other")), "other", out="b"), F.expr("a = b")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("page_id") != F.col("other"), 1).otherwise(0)).alias("misplaced")), "WITH a AS (SELECT page_id, row_number() OVER (ORDER BY url) AS r FROM pages), b AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r FROM pages) SELECT count(*) AS n, CAST(sum(CASE WHEN a.page_id <> b.page_id THEN 1 ELSE 0 END) AS BIGINT) AS misplaced FROM a JOIN b ON a.r = b.r")
-both("src29_line_zip", "WITH q AS (SELECT text, row_number() OVER (ORDER BY item_id) AS line FROM {benchmark}), y AS (SELECT quality, row_number() OVER (ORDER BY doc_id) AS line FROM {labels}) SELECT CAST(q.line AS BIGINT) AS line, q.text, y.quality FROM q JOIN y ON q.line = y.line")
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
-both("agg04_exposures", f"WITH {EX}, n AS (SELECT task, count(*) * 3 AS exposures FROM ex GROUP BY task), g AS (SELECT CASE WHEN task < 'src5' THEN 'a' ELSE 'b' END AS grp, CAST(sum(exposures) AS BIGINT) AS exposures FROM n GROUP BY 1) SELECT grp, exposures, round(exposures / sum(exposures) OVER (), 9) AS share, abs(exposures / sum(exposures) OVER () - 0.5e0) <= 0.1e0 AS within FROM g")
 both("agg05_tokens_by_key", f"WITH {EX} SELECT task || ':' || mode AS loss_key, CAST(sum(n_chars) AS BIGINT) AS tokens FROM ex GROUP BY task || ':' || mode")
 both("agg06_loss_weights", f"WITH {EX}, t AS (SELECT task, CAST(sum(n_chars) AS BIGINT) AS tokens FROM ex GROUP BY task) SELECT task, tokens, round((1e0 / count(*) OVER ()) / (tokens / sum(tokens) OVER ()), 6) AS weight FROM t")
 both("agg08_expert_shares", "WITH c AS (SELECT l_suppkey % 16 AS expert, count(*) AS n FROM {lineitem} WHERE l_suppkey % 16 <> 5 GROUP BY 1), e AS (SELECT s_suppkey - 1 AS expert FROM {supplier} WHERE s_suppkey <= 16) SELECT e.expert, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / sum(c.n) OVER (), 9) AS share, coalesce(c.n, 0) = 0 AS dead FROM e LEFT JOIN c ON c.expert = e.expert")
@@ -225,7 +223,6 @@ both("agg32_group_advantage", "WITH g AS (SELECT l_orderkey, l_linenumber, l_qua
 both("agg33_serving_stats", "SELECT count(*) AS n, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN event_type IN ('purchase', 'signup', 'logout') THEN 1 ELSE 0 END) AS BIGINT) AS completed, round(avg(CASE WHEN event_type = 'purchase' THEN value END), 6) AS latency FROM {events}")
 both("agg34_recall_metrics", "WITH l AS (SELECT l_orderkey AS row_id, l_linenumber AS token, l_quantity / 10e0 AS logit, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS target FROM {lineitem}), t AS (SELECT row_id, max(CASE WHEN token = target THEN logit END) AS want, max(CASE WHEN token <> target THEN logit END) AS best, max(logit) AS top, ln(sum(exp(logit))) AS lse FROM l GROUP BY row_id), k AS (SELECT l.row_id, sum(CASE WHEN l.logit > t.want THEN 1 ELSE 0 END) AS above FROM l JOIN t ON t.row_id = l.row_id GROUP BY l.row_id) SELECT round(avg(CASE WHEN above = 0 THEN 1e0 ELSE 0e0 END), 9) AS acc, round(avg(1e0 + above), 6) AS mean_rank, round(avg(want - best), 6) AS margin, round(avg(lse - want), 6) AS nll FROM t JOIN k ON k.row_id = t.row_id")
 both("agg36_info_nce", "WITH l AS (SELECT l_orderkey AS q, l_linenumber AS j, l_discount * 20e0 AS s FROM {lineitem}), t AS (SELECT q, max(CASE WHEN j = 1 THEN s END) AS pos, ln(sum(exp(s))) AS lse FROM l GROUP BY q) SELECT round(avg(lse - pos), 6) AS loss FROM t WHERE pos IS NOT NULL")
-both("agg37_cluster_plan", "SELECT r_regionkey, 2048 * 8 * (1 + r_regionkey) AS tokens_per_step, CAST(floor((1000000000 + 2048 * 8 * (1 + r_regionkey) - 1) / (2048 * 8 * (1 + r_regionkey))) AS BIGINT) AS steps, 20 * (100 + r_regionkey) AS optimal FROM {region}")
 both("agg38_topk_accuracy", "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS modality, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) SELECT modality, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS top1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 9) AS top5 FROM r GROUP BY modality")
 add("agg39_latency_summary", lambda s, d: nearest_rank(read(s, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_id").crossJoin(read(s, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"))), "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, max(CASE WHEN r = floor((n - 1) * 0.5e0 + 0.5e0) + 1 THEN value END) AS p50, max(CASE WHEN r = floor((n - 1) * 0.95e0 + 0.5e0) + 1 THEN value END) AS p95 FROM o")
 both("agg40_profiler_summary", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) SELECT event_type, max(CASE WHEN r = floor(n / 2e0) THEN value END) AS p50, max(CASE WHEN r = floor(n * 0.9e0) THEN value END) AS p90, max(CASE WHEN r = floor(n * 0.99e0) THEN value END) AS p99, round(stddev_samp(value), 6) AS sd FROM o GROUP BY event_type")
@@ -239,7 +236,7 @@ add("win04_weighted_balance", lambda s, d: weighted_balance(read(s, d, "document
 both("win05_plain_top", "SELECT doc_id FROM {documents} ORDER BY SHA('42:' || CAST(doc_id AS STR)) LIMIT 40")
 add("win06_curriculum", lambda s, d: (lambda rows: curriculum_stage(rows, curriculum_stage(rows.where("source < 'src5'"), None, "source", "doc_id", 30), "source", "doc_id", 80).select("doc_id"))(read(s, d, "documents").select("doc_id", "source")), "WITH o AS (SELECT doc_id, source, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents), a AS (SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h) AS r FROM o WHERE source < 'src5') ORDER BY r, source LIMIT 30), b AS (SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h) AS r FROM o WHERE doc_id NOT IN (SELECT doc_id FROM a)) ORDER BY r, source LIMIT 50) SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b")
 both("win07_first_argmax", "SELECT l_orderkey, CAST(l_linenumber AS INT) AS choice FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM {lineitem}) x WHERE r = 1")
-both("win08_promotion", "SELECT s_suppkey, s_acctbal FROM (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_nationkey DESC, s_acctbal DESC, s_suppkey) AS r FROM {supplier} WHERE s_acctbal > 0) x WHERE r = 1")
+both("win08_promotion", "SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal > 0 ORDER BY s_nationkey DESC, s_acctbal DESC, s_suppkey LIMIT 1")
 both("win16_retrieval_rank", "WITH s AS (SELECT a.l_orderkey AS q, a.l_linenumber AS j, rank() OVER (PARTITION BY a.l_orderkey ORDER BY a.l_extendedprice DESC) AS r FROM {lineitem} a) SELECT round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS acc1, round(avg(1e0 / r), 9) AS mrr FROM s WHERE j = 1")
 both("win18_rolling_throughput", "SELECT event_id, user_id, round(100e0 / avg(value + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS throughput FROM {events}")
 both("win19_early_stop", "WITH m AS (SELECT user_id, event_id, ts, value, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {events}), b AS (SELECT *, CASE WHEN best IS NULL OR value < best THEN 1 ELSE 0 END AS better FROM m), g AS (SELECT *, sum(better) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM b) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS INT) AS stale FROM g")
@@ -274,14 +271,12 @@ both("set05_distinct", "SELECT count(DISTINCT p_name) AS names, count(DISTINCT p
 
 both("flt01_filter", "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > 200000 AND o_orderpriority = '1-URGENT'")
 both("flt02_map", "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS BIGINT) AS charge FROM {lineitem}")
-both("flt07_eligibility", f"WITH {EX} SELECT doc_id FROM ex WHERE task IN ('src1', 'src2', 'src3') AND mode <> 'de' AND n_chars <= 4000 AND coalesce(toxic, 0) = 0")
 both("flt11_label_stats", "SELECT l_orderkey, count(CASE WHEN l_linenumber <> 2 THEN 1 END) AS supervised, coalesce(min(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), -1) AS low, coalesce(max(CASE WHEN l_linenumber <> 2 THEN l_linenumber END), -1) AS high FROM {lineitem} GROUP BY l_orderkey")
 both("flt12_coverage_guard", "SELECT e / CAST(greatest(1, t) AS DOUBLE) >= 0.05e0 AS enough FROM (SELECT count(CASE WHEN doc_id % 10 = 0 THEN 1 END) AS e, count(CASE WHEN doc_id % 10 <> 0 THEN 1 END) AS t FROM {documents}) x")
 both("flt13_stride_hold_out", "SELECT doc_id FROM {documents} WHERE doc_id % 10 <> 0")
 both("flt14_clip_boxes", "WITH b AS (SELECT l_orderkey, l_linenumber, greatest(0e0, l_quantity - 10) AS x1, least(40e0, l_quantity + 5) AS x2, greatest(0e0, l_partkey % 50 - 10e0) AS y1, least(40e0, l_partkey % 50 + 5e0) AS y2 FROM {lineitem}) SELECT l_orderkey, l_linenumber, round((x1 + x2) / 80, 6) AS cx, round((y1 + y2) / 80, 6) AS cy, round((x2 - x1) / 40, 6) AS w, round((y2 - y1) / 40, 6) AS h FROM b WHERE x2 > x1 AND y2 > y1")
 both("flt15_crop_boxes", "WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, 12e0 AS w, greatest(0e0, least(l_quantity + 12, 45e0) - greatest(l_quantity, 15e0)) AS seen FROM {lineitem}) SELECT l_orderkey, l_linenumber, round(seen / w, 6) AS visible FROM b WHERE seen >= 2 AND seen / w >= 0.2e0")
 both("flt18_mosaic", "SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS col, CAST(floor(l_linenumber / 2) AS INT) AS row_no, round((l_linenumber % 2 + l_tax) / 2, 6) AS cx FROM {lineitem} WHERE l_linenumber <= 4")
-both("flt17_safe_path", "SELECT page_id, NOT (url LIKE '/%' OR url = '' OR url LIKE '%/../%' OR url LIKE '%/./%' OR url LIKE '%//%') AS safe FROM {pages}")
 both("mth05_finite_parse", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS STR) END AS DOUBLE) AS v FROM {events}")
 both("dat01_dates", "SELECT o_orderkey, CAST(dayofmonth(o_orderdate) AS BIGINT) AS day, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS later FROM {orders}")
 both("mth04_cosine_schedule", "SELECT p_partkey, round(0.5e0 * (1 + cos(pi() * p_size / 50e0)), 9) AS rate FROM {part}")
@@ -290,9 +285,7 @@ both("mth03_softmax", "SELECT l_orderkey, l_linenumber, round(exp(l_quantity - m
 # ---- artifacts and gates -------------------------------------------------------------------------------------------
 
 both("snk10_config_diff", "WITH a AS (SELECT n_name AS k, CAST(n_regionkey AS STR) AS v FROM {nation} WHERE n_nationkey < 20), b AS (SELECT n_name AS k, CAST(CASE WHEN n_nationkey % 6 = 0 THEN 9 ELSE n_regionkey END AS STR) AS v FROM {nation} WHERE n_nationkey > 3) SELECT coalesce(a.k, b.k) AS k, a.v AS was, b.v AS is_now FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v")
-both("snk14_release_gate", "SELECT o_orderkey, o_orderstatus = 'F' AND o_totalprice > 1000 AND o_orderpriority IS NOT NULL AS ready FROM {orders}")
 both("snk15_supervision", "SELECT l_orderkey, CASE WHEN count(*) = 0 THEN 'empty' WHEN sum(l_quantity) < 50 THEN 'too little' ELSE 'ok' END AS contract FROM {lineitem} GROUP BY l_orderkey")
-both("snk17_pending_uploads", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 both("snk18_retention", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM {orders} WHERE o_orderstatus <> 'P') x WHERE r > 3")
 both("snk19_cleanup_plan", "SELECT url FROM {pages} WHERE url LIKE 'http%' AND (SELECT count(*) FROM {pages} WHERE url = '') = 0")
 both("met21_ablation_deltas", "SELECT lang, round(avg(n_chars) - max(base), 6) AS delta FROM (SELECT lang, n_chars, (SELECT avg(n_chars) FROM {documents} WHERE lang = 'en') AS base FROM {documents}) x GROUP BY lang")

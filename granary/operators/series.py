@@ -96,6 +96,75 @@ def relabel(ids: Column, labels: Column, marker: list[int], eos: int, ignore: in
     return T.let(ids, new)
 
 
+def relabelled(examples: DataFrame, marker: list[int], eos: int, ignore: int = -100) -> DataFrame:
+    """examples(example_id, ids, labels) with all answers supervised again, and what that changed: content, counts and a digest.
+
+    The ids are taken over as they are; digest is of ids and new labels, so that a copy can be held against it.
+    """
+    out = examples.withColumn("new", relabel(F.col("ids"), F.col("labels"), marker, eos, ignore))
+    count = lambda x: F.size(F.filter(x, lambda v: v != ignore)).cast("long")
+    text = F.concat_ws("|", F.array_join(F.col("ids").cast("array<string>"), " "), F.array_join(F.col("new").cast("array<string>"), " "))
+    return out.select("example_id", "ids", F.col("new").alias("labels"), count(F.col("labels")).alias("was"), count(F.col("new")).alias("supervised"), F.sha2(text, 256).alias("digest"))
+
+
+def reasoning_envelope(ids: Column, labels: Column, before: list[int], after: list[int], eos: int, length: int, ignore: int = -100) -> Column:
+    """(ids, labels) of `length` with the last supervised span put between `before` and `after`; labels name the next token.
+
+    The span is cut from the right and what leads to it from the left where both are too long; an example without a supervised
+    token raises.  The rest is filled with eos, which isn't supervised.
+    """
+    array = lambda x: F.array(*[F.lit(v).cast("bigint") for v in x])
+    on = lambda x: F.filter(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1))), lambda i: F.coalesce(F.get(x, i - 1), F.lit(ignore).cast("bigint")) != ignore)
+
+    def with_active(x: Column) -> Column:
+        end = F.array_max(x)
+        # the span's first place: the last active one whose neighbour before isn't active
+        start = F.array_max(F.filter(x, lambda i: ~F.array_contains(x, i - 1)))
+        answer = F.filter(F.slice(labels, start, end - start + 1), lambda v: (v != eos) & (v != ignore))
+        room = max(1, length - len(before) - len(after) - 1)
+        completion = F.concat(array(before), F.slice(answer, 1, room), array(after), array([eos]))
+
+        def built(c: Column) -> Column:
+            prompt = F.slice(ids, 1, start)
+            keep = F.least(F.size(prompt), F.greatest(F.lit(1), F.lit(length + 1) - F.size(c)))
+            prompt = F.slice(prompt, F.size(prompt) - keep + 1, keep)
+            full = F.slice(F.concat(prompt, c), 1, length + 1)
+            n = F.size(full)
+            inputs, targets = F.slice(full, 1, n - 1), F.transform(F.slice(full, 2, n - 1), lambda v, i: F.when(i < keep - 1, F.lit(ignore).cast("bigint")).otherwise(v))
+            pad = F.greatest(F.lit(length) - n + 1, F.lit(0))
+            return F.struct(F.concat(inputs, F.array_repeat(F.lit(eos).cast("bigint"), pad)).alias("ids"), F.concat(targets, F.array_repeat(F.lit(ignore).cast("bigint"), pad)).alias("labels"))
+
+        return F.when(F.size(x) > 0, T.let(completion, built)).otherwise(F.raise_error(F.lit("an envelope needs supervised tokens")))
+
+    return T.let(on(labels), with_active)
+
+
+def hard_negatives(rows: DataFrame, negatives: str, n: int, seed: int = 1, key: str = "id") -> DataFrame:
+    """rows with n of their negatives: without replacement if there are as many, else with; rows without negatives go."""
+    x = F.col(negatives)
+    ranked = F.transform(F.array_sort(F.transform(x, lambda v, i: F.struct(F.xxhash64(F.lit(seed), F.col(key), i).alias("h"), v.alias("v")))), lambda p: p["v"])
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.get(x, F.pmod(F.xxhash64(F.lit(seed), F.col(key), j), F.size(x)).cast("int")))
+    return rows.where(F.size(x) > 0).withColumn(negatives, F.when(F.size(x) >= n, F.slice(ranked, 1, n)).otherwise(drawn))
+
+
+def bounded_negatives(rows: DataFrame, group: str, key: str, n: int, seed: int = 1) -> DataFrame:
+    """(group, key, negatives): for each row its n first others of the group by a hash, from n + 1 candidates a group.
+
+    Candidates are the smallest hashes of a group, limited before rows are moved; no list of a whole group is made.
+    """
+    hashed = rows.select(group, key, F.xxhash64(F.lit(seed), F.col(key)).alias("h"))
+    few = hashed.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy("h", key))).where(F.col("r") <= n + 1)
+    lists = few.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("h", key))), lambda p: p[key]).alias("few"))
+    # a row for each group
+    return rows.select(group, key).join(lists, group).select(group, key, F.slice(F.filter("few", lambda v: v != F.col(key)), 1, n).alias("negatives"))
+
+
+def ratio_quotas(ratios: DataFrame, total: int, paired: tuple[str, ...] = ()) -> DataFrame:
+    """ratios(source, weight) with quota: the whole part of its share; sources that write pairs end on an even number, one over."""
+    quota = F.floor(F.col("weight") / F.sum("weight").over(Window.partitionBy()) * total + 1e-9).cast("long")
+    return ratios.withColumn("quota", quota).withColumn("quota", F.when(F.col("source").isin(*paired), F.col("quota") + F.col("quota") % 2).otherwise(F.col("quota")))
+
+
 def packed_with_separators(rows: DataFrame, pack: str, order: str, ids: str, labels: str, separator: int, ignore: int = -100) -> DataFrame:
     """(pack, ids, labels): items in order with a separator between them, which is never supervised."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ids).alias("i"), F.col(labels).alias("l")))), lambda x: x)
@@ -278,7 +347,7 @@ _events = lambda s, d: read(s, d, "events").select("user_id", "event_id", "ts",
 add("win17_ewma", lambda s, d: ewma(_events(s, d), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", "event_id", F.round("ewma", 6).alias("ewma")), "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT user_id, event_id, r, value AS e FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, 0.9::DOUBLE * f.e + (1 - 0.9::DOUBLE) * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, event_id, round(e, 6) AS ewma FROM f")
 add("stm09_reward_baseline", lambda s, d: reward_advantage(_events(s, d), "user_id", ["ts", "event_id"], "value").select("user_id", "event_id", F.round("advantage", 6).alias("advantage")), "WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), f AS (SELECT user_id, event_id, r, value, (1 - 0.9::DOUBLE) * value AS b FROM o WHERE r = 1 UNION ALL SELECT o.user_id, o.event_id, o.r, o.value, 0.9::DOUBLE * f.b + (1 - 0.9::DOUBLE) * o.value FROM f JOIN o ON o.user_id = f.user_id AND o.r = f.r + 1) SELECT user_id, event_id, round(value - b, 6) AS advantage FROM f")
 add("win23_sample_indices", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(sample_indices(F.col("p_size"), 5), " ").alias("at")), "SELECT p_partkey, array_to_string([CAST(round_even(i * (p_size - 1) / 4.0::DOUBLE, 0) AS INTEGER) FOR i IN range(0, 5)], ' ') AS at FROM part")
-add("win24_resample", lambda s, d: resample(_events(s, d), "user_id", ["ts", "event_id"], "value", 9).select("user_id", "step", F.round("value", 5).alias("value")), "WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id <= 20), g AS (SELECT DISTINCT user_id, n, CAST(step AS INTEGER) AS step, step * (n - 1) / 8.0::DOUBLE AS pos FROM o, range(9) r(step)) SELECT g.user_id, step, round(a.value + (pos - floor(pos)) * coalesce(b.value - a.value, 0), 5) AS value FROM g JOIN o a ON a.user_id = g.user_id AND a.i = floor(pos) LEFT JOIN o b ON b.user_id = g.user_id AND b.i = floor(pos) + 1")
+add("win24_resample", lambda s, d: resample(_events(s, d), "user_id", ["ts", "event_id"], "value", 9).select("user_id", "step", F.round("value", 5).alias("value")), "WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), g AS (SELECT DISTINCT user_id, n, CAST(step AS INTEGER) AS step, step * (n - 1) / 8.0::DOUBLE AS pos FROM o, range(9) r(step)) SELECT g.user_id, step, round(a.value + (pos - floor(pos)) * coalesce(b.value - a.value, 0), 5) AS value FROM g JOIN o a ON a.user_id = g.user_id AND a.i = floor(pos) LEFT JOIN o b ON b.user_id = g.user_id AND b.i = floor(pos) + 1")
 both("win26_frame_features", "SELECT l_orderkey AS frame, round(ln(1 + count(*)), 9) AS log_count, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, max(l_quantity) AS top FROM {lineitem} GROUP BY l_orderkey")
 both("win27_scaled_clip", "SELECT event_id, user_id % 5 AS device, least(4e0, greatest(-4e0, value / 25e0)) AS scaled FROM {events}")
 both("win25_root_relative", "SELECT l_orderkey, l_linenumber, round((l_quantity - first_value(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity)) / m, 6) AS rel FROM (SELECT *, median(l_extendedprice) OVER (PARTITION BY l_orderkey) AS m FROM {lineitem}) x")
@@ -288,7 +357,7 @@ add("agg26_set_f1", lambda s, d: (lambda c: set_f1(c.alias("a").join(c.alias("b"
 add("flt09_valid_ids", lambda s, d: read(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey").cast("int")).alias("ids")).select("l_orderkey", valid_ids(F.col("ids"), 5, 90).alias("ok")), "SELECT l_orderkey, count(*) <= 5 AND min(l_suppkey) >= 0 AND max(l_suppkey) < 90 AS ok FROM lineitem GROUP BY l_orderkey")
 add("flt10_sanitize_config", lambda s, d: read(s, d, "nation").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", F.col("n_regionkey").cast("string").alias("v"))))).alias("m")).select(F.explode(F.map_filter("m", lambda k, v: ~F.exists(F.array(F.lit("UNITED"), F.lit("CHINA")), lambda b: F.contains(k, b)))).alias("k", "v")), "SELECT n_name AS k, CAST(n_regionkey AS VARCHAR) AS v FROM nation WHERE NOT (contains(n_name, 'UNITED') OR contains(n_name, 'CHINA'))")
 add("map01_merge", lambda s, d: read(s, d, "nation").select("n_nationkey", F.explode(F.map_concat(F.map_filter(F.create_map(F.lit("a"), F.lit(0), F.lit("b"), F.col("n_regionkey")), lambda k, v: k != "a"), F.create_map(F.lit("a"), F.col("n_nationkey")))).alias("k", "v")), "SELECT n_nationkey, 'a' AS k, n_nationkey AS v FROM nation UNION ALL SELECT n_nationkey, 'b', n_regionkey FROM nation")
-add("pck07_separators", lambda s, d: packed_with_separators(read(s, d, "lineitem").select((F.floor(F.col("l_orderkey") / 8)).alias("pack"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.array(F.col("l_linenumber")).alias("i"), F.array(F.lit(7)).alias("l")), "pack", "o", "i", "l", -1).select("pack", F.array_join("ids", " ").alias("ids"), F.array_join("labels", " ").alias("labels")), "SELECT l_orderkey // 8 AS pack, string_agg(CAST(l_linenumber AS VARCHAR), ' -1 ' ORDER BY l_orderkey * 10 + l_linenumber) AS ids, string_agg('7', ' -100 ') AS labels FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1")
+add("pck07_separators", lambda s, d: packed_with_separators(read(s, d, "lineitem").select((F.floor(F.col("l_orderkey") / 8)).alias("pack"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.array(F.col("l_linenumber")).alias("i"), F.array(F.lit(7)).alias("l")), "pack", "o", "i", "l", -1).select("pack", F.array_join("ids", " ").alias("ids"), F.array_join("labels", " ").alias("labels")), "SELECT l_orderkey // 8 AS pack, string_agg(CAST(l_linenumber AS VARCHAR), ' -1 ' ORDER BY l_orderkey * 10 + l_linenumber) AS ids, string_agg('7', ' -100 ') AS labels FROM lineitem GROUP BY 1")
 add("pck11_relabel", lambda s, d: read(s, d, "part").select("p_partkey", F.array(*[F.lit(x) for x in (5, 9, 1, 2, 0)], F.col("p_size"), *[F.lit(x) for x in (9, 1, 4, 0, 9, 1, 8)]).alias("ids")).select("p_partkey", F.array_join(relabel(F.col("ids"), F.transform("ids", lambda _: F.lit(-100)), [9, 1], 0), " ").alias("labels")), "SELECT p_partkey, '-100 -100 -100 2 0 -100 -100 -100 4 0 -100 -100 -100' AS labels FROM part")
 add("str09_arithmetic", lambda s, d: read(s, d, "part").select("p_partkey", arithmetic_expression(F.concat(F.lit("What is "), F.col("p_size"), F.when(F.pmod("p_partkey", F.lit(2)) == 0, " + 2 * (3)?").otherwise(" apples?"))).alias("e")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) || '+2*(3)' END AS e FROM part")
 add("str10_calculator", lambda s, d: calculator(read(s, d, "part").select("p_partkey", F.concat(F.col("p_size"), F.lit("+2*(3)")).alias("e")), "e").select("p_partkey", "result"), "SELECT p_partkey, CAST(p_size + 6 AS VARCHAR) AS result FROM part")
@@ -303,8 +372,6 @@ add("agg30_linear_cka", lambda s, d: linear_cka(read(s, d, "embeddings").select(
 add("met09_vector_similarity", lambda s, d: (lambda v: v.alias("a").join(v.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id").alias("vec_id"), F.round(dot(F.col("a.embedding"), F.col("b.embedding")) / F.sqrt(dot(F.col("a.embedding"), F.col("a.embedding")) * dot(F.col("b.embedding"), F.col("b.embedding"))), 5).alias("f1")))(read(s, d, "embeddings")), "SELECT a.vec_id, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 5) AS f1 FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY a.vec_id")
 add("arr04_token_drop", lambda s, d: read(s, d, "benchmark").select("item_id", F.size(augment(T.plain_tokens(F.col("text")), F.col("item_id"), 0.2)).alias("n")))
 add("arr05_mixup_pairs", lambda s, d: mixup_pairs(read(s, d, "benchmark"), "item_id"))
-add("mix12_hard_negatives", lambda s, d: read(s, d, "embeddings").groupBy("label").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("vec_id").alias("h"), "vec_id"))), lambda x: x["vec_id"]), 1, 3).alias("negatives")))
-add("mix13_ratio_quotas", lambda s, d: s.createDataFrame([("calc", 0.5), ("date", 0.3), ("plain", 0.2)], "source string, weight double").select("source", F.floor(F.col("weight") * 101).cast("long").alias("quota")), "SELECT * FROM (VALUES ('calc', 50::BIGINT), ('date', 30::BIGINT), ('plain', 20::BIGINT)) t(source, quota)")
 add("tok03_byte_pair_encode", lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(T.plain_tokens(F.col("text"))).alias("w")).select("item_id", "w", F.array_join(encode_byte_pairs(F.col("w"), [("t", "h"), ("th", "e"), ("i", "n")]), " ").alias("pieces")))
 add("tok04_train_byte_pairs", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(train_byte_pairs(read(s, d, "benchmark").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt")), 5))], "rank int, a string, b string"))
 both("tok05_format_specials", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN '<|begin|>' WHEN 1 THEN '<|begin_of_text|>' WHEN 2 THEN '<s>' WHEN 3 THEN '<|im_start|>' ELSE '<bos>' END AS bos FROM {region}")

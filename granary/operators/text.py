@@ -222,7 +222,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flt04_pipeline": _each(lambda d: pipeline(d, clean_text, lambda x: x.where(F.size(T.split_words(F.col("text"))) >= 20), lambda x: x.where("source <> 'src0'")).groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars")), documents),
     "flt05_instruction_keep": _pairs(lambda p: p.select("conv_id", "turn", keep_instruction(F.col("reference"), F.col("candidate"), 3, 900).alias("keep"))),
     "flt06_emit_guard": _pairs(lambda p: p.where((F.length(T.as_text(F.col("reference"))) >= 3) & (F.length(T.as_text(F.col("candidate"))) >= 2)).select("conv_id", "turn")),
-    "flt08_must_contain": _each(lambda d: d.where(F.contains(F.col("text"), F.lit("@"))).orderBy("doc_id").limit(50).select("doc_id"), documents),
+    "flt08_must_contain": _each(lambda d: d.where(F.contains(F.col("text"), F.lit("@"))).select("doc_id"), documents),
     "str01_metric_tokens": _each(lambda d: d.select("doc_id", T.metric_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("joined")), documents),
     "str02_plain_tokens": _each(lambda d: d.select("doc_id", F.size(T.plain_tokens(F.col("text"))).cast("long").alias("n")), documents),
     "str03_opening_key": _each(lambda d: d.groupBy(T.opening_key(F.col("text"), 2).alias("opening")).agg(F.count("*").alias("docs")), documents),
@@ -276,13 +276,13 @@ ORACLES: dict[str, str] = {
     "flt04_pipeline": f"SELECT source, count(*) AS docs, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT source, {D.clean('text')} AS t FROM documents) WHERE t IS NOT NULL AND len({D.split('t')}) >= 20 AND source <> 'src0' GROUP BY source",
     "flt05_instruction_keep": f"{PAIRS} SELECT conv_id, turn, length(reference) BETWEEN 3 AND 900 AND length(candidate) BETWEEN 3 AND 900 AND NOT (contains(lower(reference || chr(10) || candidate), '<image') OR contains(lower(reference || chr(10) || candidate), '![') OR contains(lower(reference || chr(10) || candidate), 'http://') OR contains(lower(reference || chr(10) || candidate), 'https://')) AS keep FROM pairs",
     "flt06_emit_guard": f"{PAIRS} SELECT conv_id, turn FROM pairs WHERE length({D.strip('reference')}) >= 3 AND length({D.strip('candidate')}) >= 2",
-    "flt08_must_contain": "SELECT doc_id FROM documents WHERE contains(text, '@') ORDER BY doc_id LIMIT 50",
+    "flt08_must_contain": "SELECT doc_id FROM documents WHERE contains(text, '@')",
     "str01_metric_tokens": f"SELECT doc_id, len(t) AS n, array_to_string(t, ' ') AS joined FROM (SELECT doc_id, {D.metric_tokens('text')} AS t FROM documents)",
     "str02_plain_tokens": f"SELECT doc_id, len({D.plain_tokens('text')}) AS n FROM documents",
     "str03_opening_key": f"SELECT array_to_string(({D.split(D.replace('lower(text)', r'[^\p{L}\p{N}]+', ' '), ' ')})[1:2], ' ') AS opening, count(*) AS docs FROM documents GROUP BY 1",
     "str04_choice_answer": f"""SELECT doc_id, upper(coalesce(nullif(regexp_extract(x, {quoted(rf'(?i)(?:the[{S}]+)?answer[{S}]*(?:is|:)[{S}]*([A-D])(?:[^{W}]|$)')}, 1), ''), nullif(regexp_extract(x, '\\\\boxed\\{{([A-Da-d])\\}}', 1), ''),
         nullif(regexp_extract({D.strip('x')}, {quoted(rf'(?m)^([A-Da-d])[).{S}]')}, 1), ''), nullif(regexp_extract(x, '\\*\\*([A-Da-d])\\*\\*', 1), ''), list_extract(regexp_extract_all({D.replace("' ' || x || ' '", rf'([^{W}])', r'\1\1')}, {quoted(rf'[^{W}]([A-Da-d])[^{W}]')}, 1), -1))) AS answer FROM (SELECT doc_id, 'x ' || {_A} AS x FROM documents)""",
-    "str05_code_block": f"""SELECT doc_id, {D.strip("CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, '(?is)```(?:python|py)?[ \\t\\r\\f]*\\n(.*?)```', 1) ELSE x END")} AS code FROM (SELECT doc_id, '(?is)```(?:python|py)?[ \\t\\r\\f]*\\n(.*?)```' AS p, CASE WHEN doc_id % 2 = 0 THEN 'see' || chr(10) || '```python' || chr(10) || substr(text, 1, 30) || chr(10) || '```' || chr(10) || 'end ```py' || chr(10) || 'z```' ELSE substr(text, 1, 30) END AS x FROM documents)""",
+    "str05_code_block": f"""SELECT doc_id, {D.strip("CASE WHEN regexp_matches(x, p) THEN regexp_extract(x, '(?is)```(?:python|py)?[ \\t\\r\\f]*\\n(.*?)```', 1) ELSE x END")} AS code FROM (SELECT doc_id, '(?is)```(?:python|py)?[ \\t\\r\\f]*\\n(.*?)```' AS p, CASE WHEN doc_id % 2 = 0 THEN 'see' || chr(10) || '```python' || chr(10) || text || chr(10) || '```' || chr(10) || 'end ```py' || chr(10) || 'z```' ELSE text END AS x FROM documents)""",
     "str06_response_checks": f"""SELECT conv_id, turn, array_to_string(CASE WHEN {D.strip('text')} = '' THEN ['empty_response'] ELSE list_filter([
         CASE WHEN NOT (contains(lower(text), 'the') AND contains(lower(text), 'ing')) THEN 'missing_all' END, CASE WHEN NOT (contains(lower(text), 'tion') OR contains(lower(text), 'eau')) THEN 'missing_any' END,
         CASE WHEN NOT regexp_matches(text, '(^|[^0-9])42($|[^0-9])') THEN 'missing_number:42' END, CASE WHEN NOT regexp_matches(text, '(^|[^0-9])7($|[^0-9])') THEN 'missing_number:7' END,

@@ -127,3 +127,12 @@ def audit_exposures(examples: DataFrame, epochs: int, groups: dict[str, tuple[st
     goal = F.coalesce(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("group")], F.lit(0.0))
     out = counts.crossJoin(F.broadcast(total)).withColumns({"share": F.col("exposures") / F.col("total"), "target": goal})
     return out.withColumn("within", F.abs(F.col("share") - F.col("target")) <= tolerance).drop("total")
+
+
+def release_ready(manifest: Column) -> Column:
+    """Whether a release's manifest(quality_status, release_quality(ready), envelope, template_envelope) may go out.
+
+    It must have passed, be declared ready, and have its answers in one envelope, not in one of the data and one of the template.
+    """
+    twice = F.coalesce(manifest["envelope"], F.lit(False)) & F.coalesce(manifest["template_envelope"], F.lit(False))
+    return F.coalesce(manifest["quality_status"] == "passed", F.lit(False)) & F.coalesce(manifest["release_quality"]["ready"], F.lit(False)) & ~twice

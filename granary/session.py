@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import uuid
 
@@ -18,10 +19,30 @@ def guard(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that the cluster shares; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/granary-checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the folder that the cluster shares, removed when the driver ends; a local one only on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/granary-checkpoints"
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{base.rstrip('/')}/granary-tables-{app}"
+        atexit.register(release, spark)
+    return f"{_ROOTS[app]}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the session's scratch tables; results that still read them are void then."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop(spark.sparkContext.applicationId))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # nothing was written, or the session and its JVM are gone
+        pass
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:

@@ -60,16 +60,6 @@ def _document(s: SparkSession, d: str) -> DataFrame:
 add("src03_json_document", _document, "SELECT r_regionkey, r_name FROM region")
 
 
-def _directory(s: SparkSession, d: str) -> DataFrame:
-    path = scratch(s, "dir")
-    df = read(s, d, "benchmark")
-    df.where("item_id % 2 = 0").select(F.to_json(F.struct("text")).alias("value")).write.text(f"{path}/a.jsonl")
-    df.where("item_id % 2 = 1").select("text").write.text(f"{path}/b")
-    even = readers.json_lines(s, f"{path}/a.jsonl", "text string", "skip")
-    return even.unionByName(readers.text_lines(s, f"{path}/b", "*.txt")).select("text")
-
-
-add("src05_directory", _directory, "SELECT text FROM benchmark WHERE item_id % 2 = 0 UNION ALL " + f"SELECT {D.strip('x')} FROM (SELECT unnest(string_split(text, chr(10))) AS x FROM benchmark WHERE item_id % 2 = 1) WHERE {D.strip('x')} <> ''")
 add("src01_dispatch", lambda s, d: readers.load(s, as_json_lines(_docs(s, d), "dispatch"), _DOC).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM documents")
 
 
@@ -81,26 +71,11 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     return monitor.drain(stream, "src06_" + path[-14:-6], "append", scratch(s, "checkpoint"))
 
 
-add("src06_lazy_stream", _streamed, f"SELECT doc_id, len({D.plain_tokens('substr(text, 1, 200)')}) AS n FROM documents WHERE text <> ''")
+add("src06_lazy_stream", _streamed, f"SELECT doc_id, len({D.plain_tokens('text')}) AS n FROM documents WHERE text <> ''")
 add("src08_worker_shards", lambda s, d: readers.worker_slice(_docs(s, d).withColumn("shard", F.pmod("doc_id", F.lit(16))), F.col("shard"), 1, 4).select("doc_id", "shard"), "SELECT doc_id, doc_id % 16 AS shard FROM documents WHERE doc_id % 16 % 4 = 1")
 
 
-def _token_shards(s: SparkSession, d: str) -> DataFrame:
-    stream = corpus.stream_positions(_docs(s, d))
-    vocab = corpus.vocabulary(stream.groupBy("token").agg(F.count("*").alias("cnt")))
-    rows = stream.join(vocab, "token").select(F.pmod(F.xxhash64("source"), F.lit(1 << 30)).alias("shard"), "position", "token_id")
-    path = scratch(s, "shards")
-    readers.write_token_shards(rows, path, 70_000)
-    return readers.read_token_shards(s, path).groupBy("shard").agg(F.count("*").alias("tokens")).groupBy("tokens").agg(F.count("*").alias("shards"))
-
-
-_SHARDS = f"SELECT tokens, count(*) AS shards FROM (SELECT source, CAST(sum(len({D.plain_tokens('text')}) + 1) AS BIGINT) AS tokens FROM documents WHERE len({D.plain_tokens('text')}) > 0 GROUP BY source) GROUP BY tokens"
-add("src10_token_shards", _token_shards, _SHARDS)
-add("snk03_build_shards", _token_shards, _SHARDS)
-add("src12_validated_mixture", lambda s, d: (lambda sh, src: sh.groupBy("source").agg(F.sum("rows").alias("rows"), F.count("*").alias("files")).join(src, "source").select("source", "files", (F.col("rows") == F.col("declared")).alias("valid")))(corpus._shards(s, d), read(s, d, "documents").groupBy("source").agg(F.count("*").alias("declared"))), "SELECT source, count(DISTINCT doc_id // 20 % 8) AS files, true AS valid FROM documents GROUP BY source")
 add("src15_weighted_streams", lambda s, d: corpus.fair_queue(_docs(s, d).where("text <> ''").select("doc_id", "source"), corpus._weights(s, d), "doc_id", drain=False).groupBy("source").agg(F.count("*").alias("n")), corpus.ORACLES["mix03_stop_at_dry"].replace("count(*) AS taken", "count(*) AS n"))
-both("src16_indexed_shards", "SELECT source, count(*) AS examples, CAST(sum(n_chars) AS BIGINT) AS tokens, CAST(max(o) AS BIGINT) AS last_offset FROM (SELECT source, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM {documents}) x GROUP BY source")
-both("src18_mapped_fields", "SELECT text AS prompt, item_id AS example_id FROM {benchmark}")
 both("src19_projected_metadata", "SELECT doc_id AS example_id, lang, source FROM {documents}")
 
 
@@ -130,8 +105,8 @@ def _tar_rows(s: SparkSession, d: str, edit: bool) -> DataFrame:
     return samples.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "item_id")
 
 
-add("src20_tar_samples", lambda s, d: _tar_rows(s, d, False), "SELECT item_id, text FROM benchmark")
-add("src34_edit_pairs", lambda s, d: _tar_rows(s, d, True), "SELECT item_id, text FROM benchmark")
+add("src20_tar_samples", lambda s, d: _tar_rows(s, d, False).withColumn("image", F.hex("image")), "SELECT item_id, text, NULL::VARCHAR AS meta, '00000000' AS image FROM benchmark")
+add("src34_edit_pairs", lambda s, d: _tar_rows(s, d, True).withColumns({"source": F.hex("source"), "target": F.hex("target")}), "SELECT item_id, text, '73' AS source, '74' AS target FROM benchmark")
 
 
 def _box_files(s: SparkSession, d: str) -> DataFrame:
@@ -141,7 +116,7 @@ def _box_files(s: SparkSession, d: str) -> DataFrame:
     return readers.box_labels(s, path).groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum("cx"), 6).alias("cx"))
 
 
-add("src23_box_labels", _box_files, "SELECT CAST(l_suppkey % 4 AS INTEGER) AS class, count(*) AS n, round(sum(l_tax), 6) AS cx FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1")
+add("src23_box_labels", _box_files, "SELECT CAST(l_suppkey % 4 AS INTEGER) AS class, count(*) AS n, round(sum(l_tax), 6) AS cx FROM lineitem GROUP BY 1")
 add("src26_manifest", lambda s, d: s.read.schema("page_id long, url string").json(as_json_lines(read(s, d, "pages").select("page_id", "url"), "manifest")), "SELECT page_id, url FROM pages")
 
 
@@ -167,14 +142,11 @@ def _metrics(s: SparkSession, d: str) -> DataFrame:
 add("src30_last_metrics", _metrics, "SELECT * FROM (VALUES (0, 40.0::DOUBLE), (1, NULL::DOUBLE), (2, 60.0::DOUBLE), (3, 70.0::DOUBLE)) t(step, loss)")
 add("src31_synthetic", lambda s, d: s.range(1000).select("id", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(100)).alias("a"), F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(100)).alias("b")).withColumn("question", F.concat(F.lit("What is "), "a", F.lit(" + "), "b", F.lit("?"))).withColumn("answer", F.col("a") + F.col("b")))
 
-both("snk13_release_manifest", "SELECT p_name AS path, count(*) AS files, CAST(sum(p_size) AS BIGINT) AS bytes, SHA(p_name) AS sha256 FROM {part} GROUP BY p_name")
 add("snk16_audit_log", lambda s, d: (lambda p: ([read(s, d, "region").select(F.lit(kind).alias("event"), F.col("r_name").alias("description")).write.mode("append").json(p) for kind in ("start", "end")], s.read.schema("event string, description string").json(p))[1])(scratch(s, "audit")), "SELECT event, r_name AS description FROM region, (VALUES ('start'), ('end')) e(event)")
 add("arr01_slice_pad", lambda s, d: read(s, d, "benchmark").select("item_id", T.let(T.plain_tokens(F.col("text")), lambda t: F.array_join(F.concat(F.slice(t, 1, 6), F.array_repeat(F.lit("<pad>"), F.greatest(F.lit(8) - F.least(F.size(t), F.lit(6)), F.lit(0)))), " ")).alias("row")), f"SELECT item_id, array_to_string(list_concat(t[1:6], [('<pad>') FOR i IN range(8 - least(len(t), 6))]), ' ') AS row FROM (SELECT item_id, {D.plain_tokens('text')} AS t FROM benchmark)")
 add("arr03_pair_round_trip", lambda s, d: (lambda c: c.withColumns({"swap": F.col("code").bitwiseAND(F.lit(32)) > 0, "index": F.col("code").bitwiseAND(F.lit(31))}).select("index", "swap", "a", "b").groupBy("index", "swap").agg(F.count_distinct("a", "b").alias("pairs")))(routing.pair_codes(routing.affine_routes(s, 512, 8, 2), 8).where("a <> b")).where("pairs > 1").agg(F.count("*").alias("clashes")), "SELECT 0::BIGINT AS clashes")
 add("flt16_modality_dropout", lambda s, d: read(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("has")).withColumn("kept", F.filter("has", lambda m: F.pmod(F.xxhash64(m, "user_id"), F.lit(10)) >= 4)).select("user_id", F.when(F.size("kept") == 0, F.slice("has", 1, 1)).otherwise(F.col("kept")).alias("kept")))
 both("met19_regression_gate", "WITH r AS (SELECT u.conv_id, u.turn, coalesce(a.text, '') AS response FROM {conversations} u LEFT JOIN {conversations} a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'), f AS (SELECT *, response = '' OR length(response) < 40 AS failed FROM r) SELECT count(*) AS prompts, CAST(sum(CASE WHEN failed THEN 1 ELSE 0 END) AS BIGINT) AS failures, 1 - avg(CASE WHEN failed THEN 1e0 ELSE 0e0 END) >= 0.9e0 AS passed FROM f")
-both("pck12_relabel_counts", "SELECT count(*) AS examples, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS supervised, CAST(sum(length(text)) AS BIGINT) AS total FROM {conversations}")
-both("pck16_contracts", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'token_stream' WHEN 1 THEN 'batch' WHEN 2 THEN 'offline' ELSE 'examples' END AS contract, CASE r_regionkey WHEN 0 THEN 1 ELSE 0 END AS overlap FROM {region}")
 
 
 def admission(events: DataFrame, batch: int, timeout: float) -> DataFrame:
@@ -186,6 +158,5 @@ def admission(events: DataFrame, batch: int, timeout: float) -> DataFrame:
 
 add("stm05_admission", lambda s, d: admission(read(s, d, "events"), 8, 5.0).groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN r // 8 > 5 THEN 'FAILED' ELSE 'COMPLETED' END AS status, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events) GROUP BY 1")
 add("tok08_token_statistics", lambda s, d: read(s, d, "documents").groupBy("lang").agg(F.sum(F.size(T.plain_tokens(F.col("text")))).alias("tokens"), F.sum(F.length("text")).alias("chars")), f"SELECT lang, CAST(sum(len({D.plain_tokens('text')})) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
-add("src14_listing", lambda s, d: read(s, d, "pages").select("url").distinct(), "SELECT DISTINCT url FROM pages")
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

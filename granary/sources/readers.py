@@ -9,14 +9,17 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordering import numbered
+
 
 def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     reader = spark.read.option("lineSep", "\n")
@@ -90,36 +93,99 @@ def token_width(vocab: int) -> str:
 
 
 def write_token_shards(rows: DataFrame, path: str, vocab: int) -> None:
-    """rows(shard, position, token_id) as a table of shards: little-endian bytes, counts, largest id and digest of each.
+    """rows(shard, ids, ...) as a table of shards: little-endian bytes, counts, largest id and digest of each, other columns kept.
 
-    A shard is the unit of work and of a task's memory; an empty table raises.
+    A shard is a row, so its size is what the caller made it; a shard without tokens, or no shard at all, raises.
     """
     width = token_width(vocab)
+    keep = [f for f in rows.schema.fields if f.name != "ids"]
+    spec = T.StructType([*keep, *T._parse_datatype_string("format string, dtype string, n long, top long, data binary").fields])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf.sort_values("position")["token_id"].to_numpy()
-        data = ids.astype(width).tobytes()
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "format": [FORMAT], "dtype": [width], "n": [len(ids)], "top": [int(ids.max())], "data": [data]})
-
-    packed = rows.groupBy("shard").applyInPandas(run, "shard long, format string, dtype string, n long, top long, data binary")
-    if rows.limit(1).count() == 0:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [np.asarray(x, np.int64) for x in pdf["ids"]]
+            if any(not len(x) for x in held):
+                raise ValueError("a shard has no tokens")
+            yield pdf.drop(columns="ids").assign(format=FORMAT, dtype=width, n=[len(x) for x in held], top=[int(x.max()) for x in held], data=[x.astype(width).tobytes() for x in held])
+
+    packed = rows.select(*[f.name for f in keep], "ids").mapInPandas(run, spec)
+    packed.withColumns({"bytes": F.length("data").cast("long"), "sha256": F.sha2("data", 256)}).write.mode("overwrite").parquet(path)
+    if not rows.sparkSession.read.parquet(path).limit(1).count():
         raise ValueError("a shard has no tokens")
-    packed.withColumn("sha256", F.sha2("data", 256)).write.mode("overwrite").parquet(path)
+
+
+def _status() -> Column:
+    """ok, or what is wrong with a shard's own row."""
+    size = F.col("n") * F.when(F.col("dtype") == "<u2", 2).otherwise(4)
+    return F.when(F.col("format") != FORMAT, "format").when(F.length("data") != size, "size").when(F.sha2("data", 256) != F.col("sha256"), "digest").otherwise("ok")
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, position, token_id) of a table of shards; wrong formats, counts or digests raise."""
+    """(shard, ..., ids) of a table of shards; wrong formats, counts or digests raise."""
     shards = spark.read.parquet(path)
-    good = (F.col("format") == FORMAT) & (F.sha2("data", 256) == F.col("sha256")) & (F.length("data") == F.col("n") * F.when(F.col("dtype") == "<u2", 2).otherwise(4))
-    checked = shards.withColumn("data", F.when(good, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("broken shard "), F.col("shard"))).cast("binary")))
+    broken = F.raise_error(F.concat(F.lit("broken shard "), F.col("shard"), F.lit(": "), _status()))
+    checked = shards.withColumn("data", F.when(_status() == "ok", F.col("data")).otherwise(broken.cast("binary")))
+    keep = [f for f in shards.schema.fields if f.name not in {"format", "dtype", "n", "top", "data", "bytes", "sha256"}]
+    spec = T.StructType([*keep, T.StructField("ids", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for shard, dtype, data in zip(pdf["shard"], pdf["dtype"], pdf["data"], strict=True):
-                ids = np.frombuffer(data, dtype).astype(np.int64)
-                yield pd.DataFrame({"shard": shard, "position": np.arange(len(ids)), "token_id": ids})
+            ids = [np.frombuffer(data, dtype).astype(np.int64) for dtype, data in zip(pdf["dtype"], pdf["data"], strict=True)]
+            yield pdf.drop(columns=["dtype", "data"]).assign(ids=ids)
+
+    return checked.select(*[f.name for f in keep], "dtype", "data").mapInPandas(run, spec)
+
+
+LISTED = ("shard", "n", "top", "dtype", "bytes", "sha256")
+
+
+def shard_index(spark: SparkSession, path: str, *by: str) -> DataFrame:
+    """What a manifest says of each shard: (by..., shard, n, top, dtype, bytes, sha256); the tokens themselves aren't read."""
+    return spark.read.parquet(path).select(*by, *LISTED)
 
-    return checked.select("shard", "dtype", "data").mapInPandas(run, "shard long, position long, token_id long")
+
+def verify_shards(spark: SparkSession, path: str, index: DataFrame, *by: str) -> DataFrame:
+    """(by..., shard, status) of the shards in an index: ok, missing, or the first that differs of size and digest."""
+    held = spark.read.parquet(path).select(*by, "shard", F.length("data").cast("long").alias("_bytes"), F.sha2("data", 256).alias("_sha256"))
+    rows = index.join(held, [*by, "shard"], "left")
+    status = F.when(F.col("_bytes").isNull(), "missing").when(F.col("_bytes") != F.col("bytes"), "size").when(F.col("_sha256") != F.col("sha256"), "digest").otherwise("ok")
+    return rows.select(*by, "shard", status.alias("status"))
+
+
+def source_manifest(index: DataFrame, length: int, overlap: int = 1) -> DataFrame:
+    """(source, shards, rows, tokens, bytes, files): rows of `length` tokens; of a shard's tokens `overlap` are the next one's first."""
+    rows = F.floor((F.col("n") - overlap) / length)
+    return index.groupBy("source").agg(F.count("*").alias("shards"), F.sum(rows).alias("rows"), F.sum("n").alias("tokens"), F.sum("bytes").alias("bytes"))
+
+
+def manifest_faults(index: DataFrame, manifest: DataFrame, length: int, overlap: int = 1) -> DataFrame:
+    """(source, fault): a row for each rule that an index(source, shard, n, dtype, bytes) and a manifest(source, shards, rows) break."""
+    width = F.when(F.col("dtype") == "<u2", 2).otherwise(4)
+    counted = index.groupBy("source").agg(
+        F.count("*").alias("have"), F.count_distinct("shard").alias("names"), F.sum(F.floor((F.col("n") - overlap) / length)).alias("have_rows"),
+        F.sum(F.when(F.col("bytes") != F.col("n") * width, 1).otherwise(0)).alias("wrong"), F.sum(F.when((F.col("n") - overlap) % length != 0, 1).otherwise(0)).alias("ragged"),
+    )
+    both = manifest.select("source", "shards", "rows").join(counted, "source", "full")
+    faults = F.array_compact(F.array(
+        F.when(F.col("have").isNull(), "no shards"), F.when(F.col("shards").isNull(), "not listed"), F.when(F.col("names") < F.col("have"), "names repeat"),
+        F.when(F.col("have") != F.col("shards"), "listing incomplete"), F.when(F.col("have_rows") != F.col("rows"), "rows differ"), F.when(F.col("wrong") > 0, "bytes differ"), F.when(F.col("ragged") > 1, "tokens don't fit rows"),
+    ))
+    return both.select("source", F.explode(faults).alias("fault"))
+
+
+def validated_mixture(spark: SparkSession, path: str, manifest: DataFrame, length: int, overlap: int = 1) -> DataFrame:
+    """The shards (source, shard, ids) of a mixture whose manifest holds; a fault or a broken shard raises."""
+    found = manifest_faults(shard_index(spark, path, "source"), manifest, length, overlap).limit(20).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.source}: {r.fault}" for r in found))
+    return read_token_shards(spark, path)
+
+
+def fingerprint(index: DataFrame, *by: str) -> DataFrame:
+    """(by..., shards, fingerprint): a digest of what the index says, in the order of shards, without reading a token."""
+    line = F.concat_ws(":", F.col("shard").cast("string"), "dtype", F.col("n").cast("string"), F.col("top").cast("string"), "sha256")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("shard", line.alias("line")))), lambda x: x["line"]), "\n")
+    return index.groupBy(*by).agg(F.count("*").alias("shards"), F.sha2(lines, 256).alias("fingerprint"))
 
 
 # ---- samples in archives, box labels -------------------------------------------------------------------------------
@@ -165,11 +231,79 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def manifest(df: DataFrame, path: str) -> str:
-    """A JSON description of the files below a folder: name, bytes and digest of each, from Spark's own listing."""
-    rows = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return json.dumps([r.asDict() for r in listed.orderBy("path").collect()])
+def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, bytes, sha256) of the files below a folder, as a table: nothing of it comes to the driver.
+
+    A file's content passes through a task as one value, 2 GB at most.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return rows.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def release_manifest(spark: SparkSession, path: str, required: DataFrame, glob: str = "*") -> DataFrame:
+    """(name, files, bytes, sha256) of the folders of a release; required(name) that have no file raise.
+
+    The digest of a folder is that of its files' digests in order.
+    """
+    name = F.element_at(F.split(F.col("path"), "/"), -2)
+    files = file_manifest(spark, path, glob).withColumn("name", name)
+    listed = files.groupBy("name").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list("sha256")).alias("all"))
+    listed = listed.select("name", "files", "bytes", F.when(F.size("all") == 1, F.col("all")[0]).otherwise(F.sha2(F.array_join("all", ""), 256)).alias("sha256"))
+    lacking = required.join(listed, "name", "left_anti").limit(20).collect()
+    if lacking:
+        raise ValueError(f"missing: {sorted(r.name for r in lacking)}")
+    return listed
+
+
+def write_submission(predictions: DataFrame, paths: DataFrame, path: str) -> None:
+    """One CSV file (path, prediction) in the order of paths(index, path); it is one file because its order is what it says."""
+    rows = paths.join(predictions, "path", "left").orderBy("index").select("path", "prediction")
+    rows.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def read_submission(spark: SparkSession, path: str) -> DataFrame:
+    """(index, path, prediction) of a submission's lines, in their order."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("index", "line")).where("index > 0")
+    cells = F.split("line", ",(?=[^,]*$)")
+    return lines.select((F.col("index") - 1).cast("long").alias("index"), cells[0].alias("path"), cells[1].try_cast("int").alias("prediction"))
+
+
+def submission_faults(got: DataFrame, paths: DataFrame, classes: int) -> DataFrame:
+    """(index, fault): lines that are missing, too many, in another order, or not a class."""
+    both = paths.select("index", F.col("path").alias("want")).join(got, "index", "full")
+    fault = F.when(F.col("path").isNull(), "missing").when(F.col("want").isNull(), "too many").when(F.col("path") != F.col("want"), "order")
+    fault = fault.when(F.col("prediction").isNull() | ~F.col("prediction").between(0, classes - 1), "class")
+    return both.select("index", fault.alias("fault")).where("fault is not null")
+
+
+def coco_boxes(spark: SparkSession, path: str) -> DataFrame:
+    """(image_id, file_name, class, x, y, w, h) of a COCO document: images joined with annotations, category ids in order made dense."""
+    doc = spark.read.option("multiLine", "true").json(path)
+    images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name")
+    dense = doc.select(F.transform(F.array_sort("categories.id"), lambda c: c).alias("ids"))
+    boxes = doc.select(F.inline("annotations")).select("image_id", "category_id", "bbox")
+    # one array of category ids a document
+    known = boxes.crossJoin(F.broadcast(dense)).withColumn("class", (F.array_position("ids", F.col("category_id")) - 1).cast("int")).where("class >= 0")
+    return known.join(images, "image_id").select("image_id", "file_name", "class", *[F.col("bbox")[i].alias(c) for i, c in enumerate("xywh")])
+
+
+def indexed_examples(index: DataFrame, shards: DataFrame, template: str) -> DataFrame:
+    """(example_id, ids) of an index(example_id, shard, offset, n, template_id) over shards(shard, ids).
+
+    An example of another template, without its shard, or beyond its shard's end raises.
+    """
+    rows = index.join(shards, "shard", "left")
+    fault = F.when(F.col("template_id") != template, "another template").when(F.col("ids").isNull(), "no shard").when(F.col("offset") + F.col("n") > F.size("ids"), "beyond the shard")
+    wrong = F.raise_error(F.concat(F.lit("example "), F.col("example_id"), F.lit(": "), fault)).cast("array<bigint>")
+    return rows.select("example_id", F.when(fault.isNotNull(), wrong).otherwise(F.slice("ids", (F.col("offset") + 1).cast("int"), F.col("n").cast("int"))).alias("ids"))
+
+
+def listing(spark: SparkSession, path: str, attempts: int = 5) -> DataFrame:
+    """(path, bytes) of the files below a folder; the listing is asked for again when it fails, a few times."""
+    from ..records import with_retry
+
+    read = lambda: spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return with_retry(read, attempts).select("path", F.col("length").alias("bytes"))
 
 
 def csv_metrics(spark: SparkSession, path: str, schema: str, step: str) -> DataFrame:
@@ -222,3 +356,23 @@ def pairs_of(shards: DataFrame) -> DataFrame:
             yield pd.DataFrame(full, columns=["id", "source", "target", "text"])
 
     return shards.select("content").mapInPandas(run, "id string, source binary, target binary, text string")
+
+
+def pending(candidates: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """(name, step, place) of complete candidates(name, complete) that uploaded(name) lacks, by the number they end on, -1 without one."""
+    step = F.coalesce(F.regexp_extract("name", r"([0-9]+)$", 1).try_cast("long"), F.lit(-1).cast("long"))
+    rows = candidates.where("complete").select("name").distinct().join(uploaded.select("name"), "name", "left_anti").withColumn("step", step)
+    return numbered(rows, "step", "name", out="place")
+
+
+def cached_counts(spark: SparkSession, path: str, identity: dict[str, object], compute: Callable[[], DataFrame]) -> DataFrame:
+    """compute(), or what an earlier call left at path under the same identity; another identity replaces it."""
+    mark = json.dumps(identity, sort_keys=True)
+    try:
+        held = spark.read.parquet(path)
+        if held.limit(1).count() and not held.where(~F.col("_identity").eqNullSafe(F.lit(mark))).limit(1).count():
+            return held.drop("_identity")
+    except AnalysisException:  # nothing there yet
+        pass
+    compute().withColumn("_identity", F.lit(mark)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("_identity")

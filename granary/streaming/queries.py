@@ -24,6 +24,5 @@ BOOK.add("stm08_streaming_histogram", lambda s, d: _run(s, d, lambda e: monitor.
 BOOK.add("stm01_bounded_buffer", lambda s, d: _run(s, d, lambda e: monitor.bounded_buffer(e, "user_id", "value", 64, 4), "append"))
 BOOK.add("stm04_streaming_ewma", lambda s, d: _run(s, d, lambda e: monitor.running_mean(e, "user_id", "value"), "update"))
 BOOK.add("ext_streaming_windows", lambda s, d: _run(s, d, lambda e: monitor.tumbling(e.withColumn("ts", F.col("ts").cast("timestamp")), "ts").select(F.col("window.start").alias("day"), "event_type", "n"), "append"))
-BOOK.both("stm07_epochs", "SELECT item_id, r_regionkey AS epoch FROM {benchmark} CROSS JOIN {region} WHERE r_regionkey < 3")
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

@@ -1,8 +1,10 @@
+import hashlib
 import io
 import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from granary.sources import readers
 
@@ -44,16 +46,75 @@ def test_text_and_directories(spark, tmp_path):
 
 def test_token_shards_round_trip(spark, tmp_path):
     path = str(tmp_path / "shards")
-    data = [(i // 5, i % 5, i * 7000) for i in range(10)]
-    readers.write_token_shards(spark.createDataFrame(data, "shard long, position long, token_id long"), path, 70_000)
+    data = [("a", i, [j * 7000 for j in range(5 * i, 5 * i + 5)]) for i in range(2)]
+    readers.write_token_shards(spark.createDataFrame(data, "source string, shard long, ids array<long>"), path, 70_000)
     assert rows(readers.read_token_shards(spark, path)) == sorted(data, key=str)
+    assert [(r.n, r.top, r.bytes) for r in readers.shard_index(spark, path, "source").orderBy("shard").collect()] == [(5, 28_000, 20), (5, 63_000, 20)]
     assert readers.token_width(65_535) == "<u2" and readers.token_width(65_536) == "<u4"
-    broken = spark.read.parquet(path).withColumn("n", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(3).cast("long"))
-    broken.write.parquet(path + "-broken")
-    with pytest.raises(Exception, match="broken shard"):
-        readers.read_token_shards(spark, path + "-broken").collect()
-    with pytest.raises(ValueError):
-        readers.write_token_shards(spark.createDataFrame([], "shard long, position long, token_id long"), path, 10)
+    for column, value in (("n", F.lit(3).cast("long")), ("data", F.reverse("data")), ("format", F.lit("other"))):
+        spark.read.parquet(path).withColumn(column, value if column != "data" else F.unhex(F.reverse(F.hex("data")))).write.mode("overwrite").parquet(path + "-broken")
+        with pytest.raises(Exception, match="broken shard"):
+            readers.read_token_shards(spark, path + "-broken").collect()
+    spec = "source string, shard long, ids array<long>"
+    for bad in ([], [("a", 0, [])]):
+        with pytest.raises(Exception, match="no tokens"):
+            readers.write_token_shards(spark.createDataFrame(bad, spec), path + "-empty", 10)
+
+
+def test_manifest_faults_and_validated_mixture(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    data = [("a", 0, list(range(9))), ("a", 1, list(range(8, 13))), ("b", 0, list(range(5)))]
+    readers.write_token_shards(spark.createDataFrame(data, "source string, shard long, ids array<long>"), path, 100)
+    index = readers.shard_index(spark, path, "source")
+    manifest = readers.source_manifest(index, 4)
+    assert rows(manifest.select("source", "shards", "rows", "tokens", "bytes")) == [("a", 2, 3, 14, 28), ("b", 1, 1, 5, 10)]
+    assert rows(readers.validated_mixture(spark, path, manifest, 4)) == sorted(data, key=str)
+    faults = lambda i, m: sorted(map(tuple, readers.manifest_faults(i, m, 4).collect()))
+    assert faults(index, manifest) == []
+    assert faults(index.where("source = 'a'"), manifest) == [("b", "no shards")]
+    assert faults(index, manifest.where("source = 'a'")) == [("b", "not listed")]
+    assert faults(index.where("source = 'b' or shard = 0"), manifest) == [("a", "listing incomplete"), ("a", "rows differ")]
+    assert faults(index.withColumn("n", F.col("n") + 2), manifest) == [("a", "bytes differ"), ("a", "tokens don't fit rows"), ("b", "bytes differ")]
+    with pytest.raises(ValueError, match="no shards"):
+        readers.validated_mixture(spark, path, manifest.unionByName(manifest.limit(1).withColumn("source", F.lit("c"))), 4)
+
+
+def test_indexed_examples_refuse_what_does_not_fit(spark):
+    shards = spark.createDataFrame([(0, [1, 2, 3, 4])], "shard long, ids array<long>")
+    make = lambda *r: spark.createDataFrame([r], "example_id long, shard long, offset long, n long, template_id string")
+    assert readers.indexed_examples(make(7, 0, 1, 3, "t"), shards, "t").first().ids == [2, 3, 4]
+    for row, match in (((7, 0, 1, 4, "t"), "beyond"), ((7, 1, 0, 1, "t"), "no shard"), ((7, 0, 0, 1, "u"), "another template")):
+        with pytest.raises(Exception, match=match):
+            readers.indexed_examples(make(*row), shards, "t").collect()
+
+
+def test_submission_faults(spark, tmp_path):
+    paths = spark.createDataFrame([(0, "b/1"), (1, "a/2"), (2, "c/3")], "index long, path string")
+    path = str(tmp_path / "sub")
+    readers.write_submission(spark.createDataFrame([("a/2", 1), ("b/1", 0), ("c/3", 2)], "path string, prediction int"), paths, path)
+    assert rows(readers.read_submission(spark, path)) == [(0, "b/1", 0), (1, "a/2", 1), (2, "c/3", 2)]
+    got = spark.createDataFrame([(0, "a/2", 1), (1, "a/2", None), (3, "x", 0)], "index long, path string, prediction int")
+    assert rows(readers.submission_faults(got, paths, 3)) == [(0, "order"), (1, "class"), (2, "missing"), (3, "too many")]
+
+
+def test_pending_cache_and_release(spark, tmp_path):
+    have = spark.createDataFrame([("s-10", True), ("s-9", True), ("s-11", False), ("final", True), ("s-1", True)], "name string, complete boolean")
+    assert [tuple(r) for r in readers.pending(have, spark.createDataFrame([("s-1",)], "name string")).orderBy("place").collect()] == [("final", -1, 0), ("s-9", 9, 1), ("s-10", 10, 2)]
+    path = str(tmp_path / "cache")
+    for identity, n, want in (("a", 3, 3), ("a", 5, 3), ("b", 5, 5), ("a", 2, 2)):
+        assert readers.cached_counts(spark, path, {"id": identity}, lambda n=n: spark.range(n)).count() == want
+    (tmp_path / "r" / "x").mkdir(parents=True)
+    (tmp_path / "r" / "x" / "f.txt").write_text("abc")
+    got = readers.release_manifest(spark, str(tmp_path / "r"), spark.createDataFrame([("x",)], "name string")).first()
+    assert tuple(got) == ("x", 1, 3, hashlib.sha256(b"abc").hexdigest())
+    with pytest.raises(ValueError, match="missing"):
+        readers.release_manifest(spark, str(tmp_path / "r"), spark.createDataFrame([("y",)], "name string"))
+
+
+def test_coco_boxes(spark, tmp_path):
+    doc = {"images": [{"id": 5, "file_name": "f"}], "categories": [{"id": 9}, {"id": 2}], "annotations": [{"image_id": 5, "category_id": 9, "bbox": [1.0, 2.0, 3.0, 4.0]}, {"image_id": 6, "category_id": 2, "bbox": [1.0, 2.0, 3.0, 4.0]}, {"image_id": 5, "category_id": 4, "bbox": [1.0, 2.0, 3.0, 4.0]}]}
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    assert rows(readers.coco_boxes(spark, str(tmp_path / "c.json"))) == [(5, "f", 1, 1.0, 2.0, 3.0, 4.0)]
 
 
 def test_tar_samples(spark, tmp_path):
@@ -72,8 +133,8 @@ def test_box_labels(spark, tmp_path):
 
 def test_manifest(spark, tmp_path):
     readers.write_json_lines(spark.range(3), str(tmp_path / "out"))
-    listed = json.loads(readers.manifest(spark.range(1), str(tmp_path / "out")))
-    assert listed and all(set(x) == {"path", "bytes", "sha256"} for x in listed)
+    listed = readers.file_manifest(spark, str(tmp_path / "out"), "*.json")
+    assert listed.columns == ["path", "bytes", "sha256"] and listed.agg(F.sum("bytes")).first()[0] == 3 * len('{"id":0}\n')
 
 
 def test_metrics_paths_and_edit_pairs(spark, tmp_path):
