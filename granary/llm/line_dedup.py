@@ -95,24 +95,60 @@ class Lines:
         return shingle_hashes(self.points, start, end)
 
 
-def shingle_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit hashes, or 64-bit ones (wide), at all places of the given lines, laid end to end, and each line's first and last place."""
+_STEP = np.uint32(0x9E3779B1)
+
+
+def _finish(x: np.ndarray) -> np.ndarray:
+    """A 32-bit finaliser, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _laid(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines' points end to end, and each line's first place and length."""
     size = end - start
     base = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) + np.repeat(start - base, size)
-    points = points[at]
+    return points[np.arange(int(size.sum())) + np.repeat(start - base, size)], base, size
+
+
+def shingle_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes for signatures at all places of the given lines, laid end to end, and each line's first and last place."""
+    points, base, size = _laid(points, start, end)
+    n = len(points)
+    hashes = np.zeros(n, np.uint32)
+    if n >= WIDTH:
+        x = points[: n - WIDTH + 1].copy()
+        for j in range(1, WIDTH):
+            x *= _STEP
+            x += points[j : n - WIDTH + 1 + j]
+        hashes[: n - WIDTH + 1] = _finish(x)
+    short = np.flatnonzero(size < WIDTH)
+    if len(short):
+        x = size[short].astype(np.uint32)
+        for j in range(WIDTH - 1):
+            some = np.flatnonzero(size[short] > j)
+            x[some] = x[some] * _STEP + points[base[short[some]] + j]
+        hashes[base[short]] = _finish(x)
+    return hashes, base, np.where(size < WIDTH, base + 1, base + size - WIDTH + 1)
+
+
+def wide_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As shingle_hashes, of 64 bits for the exact check."""
+    points, base, size = _laid(points, start, end)
     sums = prefix_hash(points)
     inverse = powers(len(sums))[1]
-    cut = (lambda x: x) if wide else (lambda x: (x >> U64(32)).astype(np.uint32))
-    hashes = np.zeros(len(points), U64 if wide else np.uint32)
+    hashes = np.zeros(len(points), U64)
     if len(points) >= WIDTH:
-        hashes[: len(points) - WIDTH + 1] = cut(mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1]))
+        hashes[: len(points) - WIDTH + 1] = mix((sums[WIDTH:] - sums[:-WIDTH]) * inverse[: len(points) - WIDTH + 1])
     short = np.flatnonzero(size < WIDTH)
-    first, last = base, base + size
     if len(short):
-        value = (sums[last[short]] - sums[first[short]]) * inverse[first[short]] + size[short].astype(U64)
-        hashes[first[short]] = cut(mix(value))
-    return hashes, first, np.where(size < WIDTH, first + 1, last - WIDTH + 1)
+        first = base[short]
+        hashes[first] = mix((sums[first + size[short]] - sums[first]) * inverse[first] + size[short].astype(U64))
+    return hashes, base, np.where(size < WIDTH, base + 1, base + size - WIDTH + 1)
 
 
 def signatures(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -140,7 +176,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(start: np.ndarray, end: np.ndarray, points: int = 1 << 18) -> Iterator[slice]:
+def _chunks(start: np.ndarray, end: np.ndarray, points: int = 1 << 15) -> Iterator[slice]:
     """Lines in runs of about so many code points, so that the working arrays stay in cache."""
     total = np.cumsum(end - start)
     at = 0
@@ -183,10 +219,10 @@ def _scan_bands(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray])
                         seen.add(name)
             fresh = np.array(fresh, np.int64)
             start, end = found.start[fresh], found.end[fresh]
-            for part in _chunks(start, end):
-                held.append(band_keys(signatures(*found.shingles(start[part], end[part]))))
-                ids.append(found.ids[fresh[part]])
-                weight += len(held[-1])
+            if len(fresh):
+                held.append(band_keys(np.concatenate([signatures(*found.shingles(start[part], end[part])) for part in _chunks(start, end)])))
+                ids.append(found.ids[fresh])
+                weight += len(fresh)
             if weight > 1 << 16:
                 yield _packed(held, ids, parts, hot)
                 held, ids, weight = [], [], 0
@@ -299,7 +335,7 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
     points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
     out = []
     for part in _chunks(start, start + size):
-        hashes, first, last = shingle_hashes(points, start[part], (start + size)[part], True)
+        hashes, first, last = wide_hashes(points, start[part], (start + size)[part])
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             s = np.sort(hashes[a:b])
             keep = s[1:] != s[:-1]
@@ -323,7 +359,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").select("id", F.coalesce("root", "num").alias("root"))
     # the lines that have a copy; of each component the first one stays
     copied = written(lines.select("doc_id", "row", "line", "id").join(named, "id").select("doc_id", "row", "line", "root"), "copied")
-    keepers = copied.groupBy("root").agg(F.min(place).alias("keeper"))
+    keepers = written(copied.groupBy("root").agg(F.min(place).alias("keeper")), "keepers")
     return copied.join(keepers, "root").where(place != F.col("keeper")).groupBy("doc_id", "row").agg(F.collect_set("line").alias("dropped"))
 
 
