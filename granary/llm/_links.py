@@ -105,18 +105,19 @@ def _partnered(owner_size: np.ndarray, place: np.ndarray, cut: np.ndarray, size:
     return keep
 
 
-LIVE = "bucket long, half binary, n long"
+LIVE = "bucket long, half binary, n long, bsize long"
 
 
-def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Rows (bucket, id, n) of the keys that at least two fitting classes hold; equal member sets are one bucket.
+def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: int, hot: bool) -> DataFrame:
+    """Rows (bucket, id, n, bsize) of the keys that at least two fitting classes hold; equal member sets are one bucket.
 
-    classes: (id, num); a half id that two classes share stands for both.  The ids of the result are the numbers.
+    classes: (id, num); a half id that two classes share stands for both.  The ids of the result are the numbers; bsize is the
+    number of the bucket's members.  hot: whether any key is dealt by its owners, so that its members must be counted afterwards.
     """
 
-    def members(bucket: np.ndarray, owner: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def members(bucket: np.ndarray, owner: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         half = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(owner), [None, pa.py_buffer(owner.astype(">u8").tobytes())]).cast(pa.binary())
-        return pa.record_batch([pa.array(bucket), half, pa.array(n.astype(np.int64))], names=["bucket", "half", "n"])
+        return pa.record_batch([pa.array(bucket), half, pa.array(n.astype(np.int64)), pa.array(size)], names=["bucket", "half", "n", "bsize"])
 
     def shared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Buckets of keys whose entries are all here."""
@@ -156,7 +157,7 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 17), "right")))
             now = some[at:to]
             rows = np.arange(int(size[now].sum())) + np.repeat(cut[now] - np.cumsum(size[now]) + size[now], size[now])
-            yield members(np.repeat(group[now], size[now]), owner[rows], n[rows])
+            yield members(np.repeat(group[now], size[now]), owner[rows], n[rows], np.repeat(size[now], size[now]))
             at = to
 
     def dealt(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
         order = np.lexsort((owner, key))
         key, owner, n = key[order], owner[order], n[order]
         keep = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
-        yield members(mix(key[keep] + U64(0xD1342543DE82EF95)).view(np.int64), owner[keep], n[keep])
+        yield members(mix(key[keep] + U64(0xD1342543DE82EF95)).view(np.int64), owner[keep], n[keep], np.full(int(keep.sum()), -1))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -181,7 +182,13 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
             yield from (dealt if last[1] else shared)(held)
 
     found = entries.repartition(parts, "part").sortWithinPartitions("part", "split").mapInArrow(lean(reduce), LIVE).dropDuplicates(["bucket", "half"])
-    return found.join(classes.select(F.col("num").alias("id"), F.substring(F.col("id"), 1, 8).alias("half")), "half").drop("half")
+    out = written(found.join(classes.select(F.col("num").alias("id"), F.substring(F.col("id"), 1, 8).alias("half")), "half").drop("half"), "live")
+    if not hot:
+        return out
+    dealt_rows = out.where("bsize < 0").drop("bsize")
+    # written: above its own exchange the count would keep the join from splitting a hot bucket
+    sizes = written(dealt_rows.groupBy("bucket").agg(F.count("*").alias("bsize")).where("bsize > 1"), "sizes")
+    return written(out.where("bsize > 0").unionByName(dealt_rows.join(sizes, "bucket")), "live")
 
 
 #: From sizes, features, tile numbers and, for the second search, component numbers: positions of the pairs to verify.  Without
@@ -189,11 +196,8 @@ def live_buckets(entries: DataFrame, classes: DataFrame, parts: int, percent: in
 Search = Callable[[np.ndarray, list, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 
 
-def sized(live: DataFrame) -> tuple[DataFrame, bool]:
-    """live with bsize, the members of its bucket, without single ones; and whether any bucket is larger than a block."""
-    sizes = live.groupBy("bucket").agg(F.count("*").alias("bsize")).where("bsize > 1")
-    out = written(live.join(sizes, "bucket"), "tiles")
-    return out, bool(out.where(F.col("bsize") > BLOCK).limit(1).count())
+def _any_large(live: DataFrame) -> bool:
+    return bool(live.where(F.col("bsize") > BLOCK).limit(1).count())
 
 
 def _first_tiles(live: DataFrame, large: bool) -> DataFrame:
@@ -307,7 +311,8 @@ def _pairs(tiles: DataFrame, feature: DataFrame, search: Search, first: bool) ->
 #: The sorted distinct hashes of each text.
 Sets = Callable[[list[bytes]], list[np.ndarray]]
 #: Questions of a tile that are answered by searching the member's set, before an inverted list is made for the others.
-SEARCHED = 4
+SEARCHED = 12
+SLOTS = 1 << 13
 
 
 def components_of_sets(live: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -316,7 +321,7 @@ def components_of_sets(live: DataFrame, texts: DataFrame, sets: Sets, percent: i
     texts: (id, text) of every id.  Tiles are searched whole, with every member's
     overlaps, so the first search is the last one for buckets of one block.
     """
-    live, large = sized(live)
+    large = _any_large(live)
     links = written(_links_of_tiles(_first_tiles(live, large), texts, sets, percent, False), "links")
     comps = components(links)
     if not large:
@@ -359,6 +364,7 @@ def joined(held: list[np.ndarray], percent: int, group: np.ndarray | None = None
     every, place = np.concatenate(held), np.r_[0, np.cumsum(n)]
     group = np.arange(k) if group is None else group.copy()
     asked, out, inverted = np.zeros(k, bool), [], None
+    slot, mark = (every & U64(SLOTS - 1)).astype(np.int32), np.zeros(SLOTS, np.int8)
     for question in range(k):
         open_ = np.flatnonzero(~asked)
         sizes = np.bincount(group[open_], minlength=k)
@@ -368,9 +374,20 @@ def joined(held: list[np.ndarray], percent: int, group: np.ndarray | None = None
         asked[q] = True
         own = held[q]
         if question < SEARCHED:
-            at = np.searchsorted(own, every)
-            at[at == len(own)] = 0
-            common = np.add.reduceat((own[at] == every).view(np.int8), place[:-1], dtype=np.int64)
+            # hits of the low bits are at least the common ones; only sets that may be near are searched
+            mark[slot[place[q] : place[q + 1]]] = 1
+            common = np.add.reduceat(mark[slot], place[:-1], dtype=np.int64)
+            mark[slot[place[q] : place[q + 1]]] = 0
+            maybe = np.flatnonzero((100 * common >= percent * (n[q] + n - common)) & (group != group[q]))
+            if len(maybe):
+                some = every if 2 * len(maybe) > k else np.concatenate([held[i] for i in maybe])
+                at = np.searchsorted(own, some)
+                at[at == len(own)] = 0
+                hit = (own[at] == some).view(np.int8)
+                if some is every:
+                    common = np.add.reduceat(hit, place[:-1], dtype=np.int64)
+                else:
+                    common[maybe] = np.add.reduceat(hit, np.cumsum(n[maybe]) - n[maybe], dtype=np.int64)
         else:
             if inverted is None:
                 codes = np.unique(every, return_inverse=True)[1]
@@ -423,7 +440,7 @@ def resolve(live: DataFrame, feature: DataFrame, search: Search, verify: Callabl
     exhaustively, all pairs that are still in different components.  So no link between components is missed and no group
     emits all its pairs.
     """
-    live, large = sized(written(live, "live"))
+    large = _any_large(live)
     pairs = written(_pairs(_first_tiles(live, large), feature, search, True), "pairs")
     links = written(verify(pairs), "links")
     comps = components(links)

@@ -354,7 +354,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     classes = lines.groupBy("id").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
     classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
     parts = partitions_for(classes.count() * BANDS, 1_000_000, spark)
-    live = written(_links.live_buckets(_scan_bands(docs, parts, _hot_keys(lines)), classes, parts, 0), "live")
+    hot = _hot_keys(lines)
+    live = _links.live_buckets(_scan_bands(docs, parts, hot), classes, parts, 0, len(hot[0]) > 0)
     comps = _links.components_of_sets(live, _texts(docs, classes, live), line_sets, PERCENT).withColumnRenamed("id", "num")
     named = classes.join(comps, "num", "left").where("copies > 1 or root is not null").select("id", F.coalesce("root", "num").alias("root"))
     # the lines that have a copy; of each component the first one stays

@@ -241,10 +241,14 @@ def _levels(found: DataFrame) -> np.ndarray:
     return np.where(beyond > 6 * np.sqrt(usual) + 6, np.ceil(np.log2(np.maximum(beyond, 1))) + 1, 0).astype(np.uint8)
 
 
+def _salts() -> np.ndarray:
+    """Ranges that a shingle is dealt to by its level, the bits of its cell's count."""
+    return np.array([max(1, (1 << max(0, x - 1)) // _links.SPLIT) for x in range(64)], np.int64)
+
+
 def _entries(docs: DataFrame, levels: np.ndarray, width: int, percent: int, parts: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    # ranges that a shingle is dealt to by its level, the bits of its cell's count
-    salts = np.array([max(1, (1 << max(0, x - 1)) // _links.SPLIT) for x in range(64)], np.int64)
+    salts = _salts()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
@@ -305,7 +309,8 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     classes = written(rows.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("anchor"), F.first("point").alias("feature")).withColumn("num", F.monotonically_increasing_id()), "classes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = partitions_for(total * (100 - percent) // 100, 1_000_000, spark)
-    live = _links.live_buckets(_entries(docs, _levels(found), width, percent, parts), classes, parts, percent)
+    levels = _levels(found)
+    live = _links.live_buckets(_entries(docs, levels, width, percent, parts), classes, parts, percent, bool(_salts()[levels].max() > 1))
     comps = _links.resolve(live, classes.select(F.col("num").alias("id"), "feature"), searcher(percent), _verify(docs, classes, width, percent))
     comps = comps.withColumnRenamed("id", "num")
     named = classes.select("id", "num", "least").join(comps, "num", "left").withColumn("root", F.coalesce("root", "num"))
