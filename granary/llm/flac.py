@@ -6,7 +6,8 @@ predictor of order 2, residuals Rice-coded, and a seek table.  ``decode_streams`
 frames are found by their sync code, header checksum and running number; header CRC-8 and frame CRC-16 are verified; Rice
 residuals are decoded step by step for all frames of a group at once; predictors are undone likewise.  Data may spell a frame
 header: where a checksum or the digest of the samples then doesn't fit, the frames of that stream are walked by their coded
-lengths, which no data can feign.  ``pcm_blocks`` gives the decoded samples as rows with seekable sample offsets.
+lengths, which no data can feign.  ``pcm_blocks`` gives the decoded samples as rows with seekable sample offsets; the digest
+reads these.
 
 Null or empty text is a payload of 64 zero bytes.  Equal payloads give equal streams, whatever else is in the batch.  A row of
 any length is handled in groups of FRAMES frames, so memory doesn't follow the length of a text beyond a few copies of it.
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._core import column, lean, read_table, slices, text_buffer
 
@@ -588,20 +590,27 @@ def _groups(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator
             start = stop
 
 
-def pcm_blocks(media: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(doc_id, block, sample_offset, n_samples, pcm): the decoded samples of (doc_id, media) in blocks of signed bytes."""
+def pcm_blocks(media: DataFrame, block: int = 1 << 16, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., block, sample_offset, n_samples, pcm): the decoded samples of (doc_id, media) in blocks of signed bytes.
+
+    A stream's blocks follow each other in order, so what reads them without a shuffle meets them as one stream.
+    """
+    kept = [f for f in media.schema.fields if f.name in keep]
+    spec = T.StructType([T.StructField("doc_id", T.LongType()), *kept, *T._parse_datatype_string("block int, sample_offset long, n_samples long, pcm binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            rows = []
-            streams = column(batch, "media").to_pylist()
-            for doc, samples in zip(column(batch, "doc_id").to_pylist(), decode_streams(streams), strict=True):
-                for b, at in enumerate(range(0, len(samples), block)):
-                    part = samples[at : at + block]
-                    rows.append((doc, b, at, len(part), part.astype(np.int8).tobytes()))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "block", "sample_offset", "n_samples", "pcm"])
+            row, at, parts = [], [], []
+            for i, samples in enumerate(decode_streams(column(batch, "media").to_pylist())):
+                for start in range(0, len(samples), block):
+                    row.append(i)
+                    at.append(start)
+                    parts.append(samples[start : start + block].astype(np.int8).tobytes())
+            own = [column(batch, name).take(pa.array(row, pa.int64())) for name in ("doc_id", *(f.name for f in kept))]
+            numbers = [pa.array([x // block for x in at], pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in parts], pa.int64())]
+            yield pa.record_batch([*own, *numbers, pa.array(parts, pa.binary())], names=spec.names)
 
-    return media.select("doc_id", "media").where("media is not null").mapInArrow(lean(run), "doc_id long, block int, sample_offset long, n_samples long, pcm binary")
+    return media.select("doc_id", *(f.name for f in kept), "media").where("media is not null").mapInArrow(lean(run), spec)
 
 
 def features(samples: list[np.ndarray]) -> list[str]:
@@ -622,25 +631,34 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """What the stored streams hold, read back from their bytes."""
+    """What the stored streams hold, from the blocks of samples that they are decoded to."""
     names = [x.split()[0] for x in DIGEST.split(", ")]
+    carried = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches):
-            streams = column(batch, "media").to_pylist()
-            decoded = decode_streams(streams)
-            read = [(s.astype(np.int8).view(np.uint8) ^ 0x80).tobytes() for s in decoded]
-            columns = [
-                pa.array([len(x) for x in read], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in read]),
-                pa.array([zlib.crc32(x[-64:]) for x in read], pa.int64()),
-                pa.array([len(x) for x in streams], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in streams]),
-                pa.array(features(decoded)),
-            ]
-            yield pa.record_batch([column(batch, "doc_id"), column(batch, "n_bytes"), *columns], names=names)
-
-    return media.mapInArrow(lean(run), DIGEST)
+        held: list[tuple[tuple, list[np.ndarray]]] = []  # rows and their blocks; the last one may go on
+
+        def done(rows: list) -> pa.RecordBatch:
+            samples = [parts[0] if len(parts) == 1 else np.concatenate(parts) for _, parts in rows]
+            read = [(x.view(np.uint8) ^ 0x80).tobytes() for x in samples]
+            doc, n, size, digest = zip(*(own for own, _ in rows), strict=True)
+            columns = [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array([len(x) for x in read], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in read]), pa.array([zlib.crc32(x[-64:]) for x in read], pa.int64())]
+            return pa.record_batch([*columns, pa.array(size, pa.int64()), pa.array(digest), pa.array(features(samples))], names=names)
+
+        for batch in batches:
+            own = zip(*(column(batch, c).to_pylist() for c in carried), strict=True)
+            for row, number, pcm in zip(own, column(batch, "block").to_pylist(), column(batch, "pcm"), strict=True):
+                if not number:
+                    held.append((row, []))
+                held[-1][1].append(np.frombuffer(pcm.as_buffer(), np.int8))
+            if len(held) > 1:
+                yield done(held[:-1])
+                held = held[-1:]
+        if held:
+            yield done(held)
+
+    stored = media.withColumns({"media_bytes": F.length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return pcm_blocks(stored, keep=carried[1:]).mapInArrow(lean(run), DIGEST)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,5 +167,20 @@ def test_pcm_blocks(spark):
     assert whole.tobytes()[:4000] == b"abc " * 1000
 
 
+def test_digest_of_many_blocks_and_repeated_rows(spark, monkeypatch):
+    """Streams of several blocks, rows that repeat, and batches that end within a stream."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        text = "some words " * 30_000
+        docs = spark.createDataFrame([(1, text, "", ""), (1, text, "", ""), (2, "x", "", ""), (3, text + "y", "", "")], SCHEMA).coalesce(1)
+        got = flac.digest(flac.encode(docs)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for r, t in zip(got, [text, text, "x", text + "y"], strict=True):
+        payload = t.encode() + bytes(-len(t) % 64 or (64 if not t else 0))
+        assert (r.payload_bytes, r.payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.feature == flac.features([(np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int32)])[0]
+
+
 def test_empty_table(spark):
     assert flac.digest(flac.encode(spark.createDataFrame([], SCHEMA))).collect() == []
