@@ -12,7 +12,7 @@ from .. import twin as D
 from ..dual import Book
 from ..functions import text as T
 from ..session import materialised
-from .ordering import numbered
+from .ordering import numbered, numbered_within
 
 BOOK = Book()
 read = lambda spark, sf_dir, name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -157,8 +157,7 @@ def fair_queue(rows: DataFrame, sources: DataFrame, order: str, drain: bool = Tr
     Taking rows by (key, position) is the weighted fair queue; without drain it ends before the first row that a source which
     has run dry would have given.  sources: (source, weight, position), one row each.
     """
-    k = F.row_number().over(Window.partitionBy("source").orderBy(order)) - 1
-    out = rows.join(sources, "source").withColumn("k", k).withColumn("key", F.col("k") / F.col("weight"))
+    out = numbered_within(rows, ["source"], order, out="k").join(sources, "source").withColumn("key", F.col("k") / F.col("weight"))
     if drain:
         return out
     ends = rows.groupBy("source").agg(F.count("*").alias("n")).join(sources, "source", "right")
@@ -257,7 +256,7 @@ BOOK.add("srt03_tail_split", lambda s, d: _sized(s, d).groupBy("source").agg(F.s
 BOOK.add("pck05_next_fit", lambda s, d: next_fit(_sized(s, d).where("n > 0"), "source", "doc_id", "n", 2048).groupBy("source", "pack").agg(F.count("*").alias("items"), F.sum("n").alias("tokens")))
 BOOK.add("pck06_pad_collate", lambda s, d: _sized(s, d).withColumn("batch", F.floor(F.col("doc_id") / 16)).withColumn("width", F.max("n").over(Window.partitionBy("batch"))).select("doc_id", "batch", "n", (F.col("width") - F.col("n")).alias("padding")), f"{SIZED} SELECT doc_id, doc_id // 16 AS batch, n, max(n) OVER (PARTITION BY doc_id // 16) - n AS padding FROM sized")
 BOOK.add("pck09_keep_last", lambda s, d: _docs(s, d).select("doc_id", T.let(T.plain_tokens(F.col("text")), lambda t: F.array_join(F.slice(t, F.greatest(F.size(t) - 15, F.lit(1)), F.lit(16)), " ")).alias("tail")), f"SELECT doc_id, array_to_string(t[greatest(len(t) - 15, 1):], ' ') AS tail FROM (SELECT doc_id, {D.plain_tokens('text')} AS t FROM documents)")
-BOOK.add("srt11_length_batches", lambda s, d: _sized(s, d).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("n", "doc_id"))).select("doc_id", "source", F.floor((F.col("r") - 1) / 8).alias("batch")), f"{SIZED} SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY n, doc_id) - 1) // 8 AS batch FROM sized")
+BOOK.add("srt11_length_batches", lambda s, d: numbered_within(_sized(s, d), ["source"], "n", "doc_id", out="r").select("doc_id", "source", F.floor(F.col("r") / 8).alias("batch")), f"{SIZED} SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY n, doc_id) - 1) // 8 AS batch FROM sized")
 BOOK.both("pck14_source_exposures", "SELECT source, count(*) AS items, count(*) * 3 AS exposures, CAST(sum(count(*) * 3) OVER () AS BIGINT) AS total FROM {documents} GROUP BY source")
 
 # mixtures: weight of a source is falling with its position
@@ -292,7 +291,7 @@ BOOK.add("win09_shard_pick", lambda s, d: pick_shards(_shards(s, d), F.lit(25)),
 BOOK.both("win10_corrective_plan", f"WITH {_SH}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, file) AS r FROM shards), first AS (SELECT * FROM ranked WHERE r <= 4), kept AS (SELECT source, file, rows FROM first WHERE r > 2), burned AS (SELECT source, sum(rows) AS need FROM first WHERE r <= 2 GROUP BY source), fresh AS (SELECT f.source, f.file, least(f.rows, b.need - coalesce(sum(f.rows) OVER (PARTITION BY f.source ORDER BY f.score DESC, f.file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rows FROM ranked f JOIN burned b ON f.source = b.source WHERE f.r > 4) SELECT source, file, CAST(rows AS BIGINT) AS rows, 'kept' AS part FROM kept UNION ALL SELECT source, file, CAST(rows AS BIGINT), 'fresh' FROM fresh WHERE rows > 0")
 BOOK.add("mix08_replay_plan", lambda s, d: pick_shards(_shards(s, d), F.lit(25)).withColumn("pass", F.explode(F.sequence(F.lit(1), F.when(F.col("source") < "src5", 3).otherwise(1)))).groupBy("pass", "source").agg(F.sum("taken").alias("trained"), F.sum(F.when(F.col("pass") == 1, F.col("taken")).otherwise(0)).alias("fresh")), f"{_PICK} SELECT CAST(pass AS INTEGER) AS pass, source, CAST(sum(taken) AS BIGINT) AS trained, CAST(sum(CASE WHEN pass = 1 THEN taken ELSE 0 END) AS BIGINT) AS fresh FROM (SELECT *, unnest(range(1, CASE WHEN source < 'src5' THEN 4 ELSE 2 END)) AS pass FROM picked WHERE taken > 0) GROUP BY 1, 2")
 BOOK.both("mix09_replay_faults", f"WITH {_SH}, plan AS (SELECT source, file, rows + CASE WHEN file = 'shard-3' THEN 5 ELSE 0 END AS rows FROM shards UNION ALL SELECT 'nowhere', 'shard-0', 3), counted AS (SELECT p.source, p.file, p.rows, s.rows AS have FROM plan p LEFT JOIN shards s ON p.source = s.source AND p.file = s.file) SELECT source, file, CASE WHEN have IS NULL THEN 'unknown file' ELSE 'too many rows' END AS fault FROM counted WHERE have IS NULL OR rows > have")
-BOOK.add("mix10_replay_execution", lambda s, d: numbered(_docs(s, d).select("doc_id", "source").withColumns({"k": F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1, "n": F.count("*").over(Window.partitionBy("source"))}).withColumn("key", F.col("k") / F.col("n").cast("double")), "key", "source").where("position >= 40").select("doc_id", (F.col("position") + 1).alias("place")), "WITH q AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY k / CAST(n AS DOUBLE), source) AS place FROM q) SELECT doc_id, CAST(place AS BIGINT) AS place FROM o WHERE place > 40")
+BOOK.add("mix10_replay_execution", lambda s, d: (lambda docs: numbered(numbered_within(docs, ["source"], "doc_id", out="k").join(docs.groupBy("source").agg(F.count("*").cast("double").alias("n")), "source").withColumn("key", F.col("k") / F.col("n")), "key", "source"))(_docs(s, d).select("doc_id", "source")).where("position >= 40").select("doc_id", (F.col("position") + 1).alias("place")), "WITH q AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n FROM documents), o AS (SELECT doc_id, row_number() OVER (ORDER BY k / CAST(n AS DOUBLE), source) AS place FROM q) SELECT doc_id, CAST(place AS BIGINT) AS place FROM o WHERE place > 40")
 BOOK.add("mix11_parse_budget", lambda s, d: read(s, d, "nation").select("n_nationkey", parse_tokens(F.concat(F.col("n_nationkey"), F.substring(F.lit("kMbT_x"), F.pmod("n_nationkey", F.lit(6)).cast("int") + 1, 1))).alias("tokens")), "SELECT n_nationkey, CAST(CASE n_nationkey % 6 WHEN 0 THEN n_nationkey * 1e3 WHEN 1 THEN n_nationkey * 1e6 WHEN 2 THEN n_nationkey * 1e9 WHEN 3 THEN n_nationkey * 1e12 WHEN 4 THEN n_nationkey END AS BIGINT) AS tokens FROM nation")
 
 QUERIES, ORACLES = BOOK.queries, BOOK.oracles

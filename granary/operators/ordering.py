@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,18 @@ def numbered(df: DataFrame, *order: Column | str, out: str = "position") -> Data
     return ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], *order: Column | str, out: str = "position") -> DataFrame:
+    """Adds the row's position from 0 among the rows of its keys; few keys with most of the rows are spread like any others.
+
+    Rows are numbered over the whole table by (keys, order), and each key's first number is taken off: a row for each key.
+    """
+    rows = numbered(df, *keys, *order, out="_all")
+    first = rows.groupBy(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]).agg(F.min("_all").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    joined = rows.join(first, reduce(and_, same))
+    return joined.withColumn(out, F.col("_all") - F.col("_first")).drop("_all", "_first", *[f"_key_{i}" for i in range(len(keys))])
+
+
 def nearest_rank(df: DataFrame, value: str, fractions: dict[str, float], tie: str, half_even: bool = True) -> DataFrame:
     """One row with the value at index round((n - 1) * f) of the sorted values, or floor(n * f) without half_even."""
     total = df.count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..dual import Book
 from ..session import materialised
 from .corpus import running_total
-from .ordering import cut_of_hash, nearest_rank, numbered, zipped
+from .ordering import cut_of_hash, nearest_rank, numbered, zipped, numbered_within
 
 BOOK = Book()
 both, add = BOOK.both, BOOK.add
@@ -87,8 +87,8 @@ def surface_cap(rows: DataFrame, task: str, key: str, surface: str, cap: int, se
 
 def balance(rows: DataFrame, task: str, key: str, limit: int, seed: int = 42) -> DataFrame:
     """Round robin over tasks: all first rows by task name, then all second ones, to the limit; all rows if they are fewer."""
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(stable_order(seed, key)))
-    return rows.withColumn("_r", rank).orderBy("_r", task).limit(limit).drop("_r")
+    ranked = numbered_within(rows.withColumn("_o", stable_order(seed, key)), [task], "_o", out="_r")
+    return ranked.orderBy("_r", task).limit(limit).drop("_r", "_o")
 
 
 def deficit_quotas(counts: dict[str, int], weights: dict[str, float], limit: int, held: dict[str, int] | None = None) -> dict[str, int]:
@@ -110,8 +110,8 @@ def weighted_balance(rows: DataFrame, task: str, key: str, weights: dict[str, fl
     counts = {r[0]: r[1] for r in rows.groupBy(task).count().collect()}
     quotas = deficit_quotas(counts, weights, limit)
     quota = F.coalesce(F.create_map(*[F.lit(x) for t, q in quotas.items() for x in (t, q)])[F.col(task)], F.lit(0)) if quotas else F.lit(0)
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(stable_order(seed, key)))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= quota).drop("_r")
+    ranked = numbered_within(rows.withColumn("_o", stable_order(seed, key)), [task], "_o", out="_r")
+    return ranked.where(F.col("_r") < quota).drop("_r", "_o")
 
 
 def curriculum_stage(rows: DataFrame, retained: DataFrame | None, task: str, key: str, limit: int, seed: int = 42) -> DataFrame:
