@@ -91,6 +91,13 @@ def balance(rows: DataFrame, task: str, key: str, limit: int, seed: int = 42) ->
     return ranked.orderBy("_r", task).limit(limit).drop("_r", "_o")
 
 
+def with_replacement(rows: DataFrame, key: str, n: int, seed: int = 3) -> DataFrame:
+    """The rows that n draws with replacement hit, with draws, how often; the i-th draw is the row at hash(seed, i) mod their number."""
+    total = rows.count()
+    picks = rows.sparkSession.range(n if total else 0).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("position"))
+    return numbered(rows, key).join(picks.groupBy("position").agg(F.count("*").alias("draws")), "position").drop("position")
+
+
 def deficit_quotas(counts: dict[str, int], weights: dict[str, float], limit: int, held: dict[str, int] | None = None) -> dict[str, int]:
     """How many rows of each task to add, one at a time to the largest deficit, ties to the largest name; on counts only."""
     given = dict.fromkeys(counts, 0)
@@ -251,7 +258,7 @@ add("srt01_shuffle", lambda s, d: read(s, d, "documents").select("doc_id", F.xxh
 add("srt02_hash_split", lambda s, d: hash_split(read(s, d, "documents").select("doc_id"), "doc_id", 0.1), "SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || CAST(doc_id AS VARCHAR))) > CAST(floor(count(*) OVER () * (1 - 0.1::DOUBLE)) AS BIGINT) AS held FROM documents")
 both("srt04_block_shuffle", "SELECT doc_id, CAST(floor(doc_id / 100) AS BIGINT) AS block, SHA('7:' || CAST(doc_id AS STR)) AS place FROM {documents}")
 both("srt05_copy_n", "SELECT doc_id FROM {documents} WHERE source = 'src1' ORDER BY SHA('5:' || CAST(doc_id AS STR)) LIMIT 5")
-add("srt06_with_replacement", lambda s, d: s.range(500).select(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(50)).alias("pick")).groupBy("pick").count())
+add("srt06_with_replacement", lambda s, d: with_replacement(read(s, d, "documents").select("doc_id"), "doc_id", 500).select("doc_id", "draws"))
 add("srt07_epoch_order", lambda s, d: s.range(3).withColumnRenamed("id", "epoch").crossJoin(read(s, d, "benchmark").select("item_id")).select("epoch", "item_id", F.xxhash64("epoch", "item_id").alias("place")))
 both("srt08_stratified", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY SHA('8:' || CAST(doc_id AS STR))) AS r FROM {documents}) x WHERE r <= 10")
 both("srt09_pad_to_batches", "SELECT rnk, n, CAST(floor((n + 7) / 8) * 8 - n AS BIGINT) AS padding FROM (SELECT doc_id % 4 AS rnk, count(*) AS n FROM {documents} GROUP BY 1) x")
