@@ -25,9 +25,11 @@ EMAIL_ONCE = rf"(?:\G|(?<![{WORD}.-]))[{WORD}.-]++@[{WORD}.-]+\.[{WORD}]+"
 
 # Words that don't count as content.
 STOP_WORDS = (
-    "the and that this with from have has been were was are for not but what all can had her his one our out "
-    "their there they which will would your about also into more some than them then these when who how its may each"
-).split()
+    "the", "and", "that", "this", "with", "from", "have", "has", "been", "were", "was", "are", "for", "not", "but",
+    "what", "all", "can", "had", "her", "his", "one", "our", "out", "their", "there", "they", "which", "will", "would",
+    "your", "about", "also", "into", "more", "some", "than", "them", "then", "these", "when", "who", "how", "its",
+    "may", "each",
+)
 
 
 def strip(x: Column) -> Column:

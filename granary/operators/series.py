@@ -202,6 +202,7 @@ DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 def arithmetic_expression(x: Column) -> Column:
     """The arithmetic in a question without dates, reduced to digits and operators; null if there is none."""
     body = F.regexp_replace(T.strip(x), r"\?+$", "")
+    # What introduces a question's expression.
     cue = rf"(?i)(?:what is|calculate|compute|tell me|how much is|combien fait|calcule)[{S}]+(.+)$"
     body = F.when(F.regexp_like(body, F.lit(cue)), F.regexp_extract(body, cue, 1)).otherwise(body)
     bare = F.regexp_replace(body, r"[^0-9+\-*/().%]", "")
@@ -252,6 +253,7 @@ def date_answer(x: Column) -> Column:
     has = lambda *words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
     first, second = F.get(dates, F.lit(0)).try_cast("date"), F.get(dates, F.lit(1)).try_cast("date")
     number = F.regexp_extract(F.regexp_replace(x, DATE, ""), r"([+-]?[0-9]+)", 1).try_cast("int")
+    # The words that tell the kinds of date questions.
     return (
         F.when(has("day of the week", "weekday", "jour de la semaine"), F.date_format(first, "EEEE"))
         .when((F.size(dates) >= 2) & has("between", "difference", "from ", "entre", "différence"), F.date_diff(second, first).cast("string"))
