@@ -1,7 +1,7 @@
 """The corpus pipeline: quality, line dedup, near-duplicate documents, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-``documents``.  A stage's result is written and read again before the next one.
+``documents``, and no others that the table may have.  A stage's result is written and read again before the next one.
 """
 
 from __future__ import annotations
