@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import operator
 from collections.abc import Iterator
 
@@ -336,11 +337,61 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
     return F.aggregate(symbols, none, lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == a) & (x == b), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.lit(a + b)))).otherwise(F.concat(acc, F.array(x))))
 
 
-def encode_byte_pairs(word: Column, merges: list[tuple[str, str]]) -> Column:
-    symbols = F.filter(F.split(word, ""), lambda c: c != "")
-    for a, b in merges:
-        symbols = merge_pair(symbols, a, b)
-    return symbols
+def byte_letters() -> list[str]:
+    """A letter for each byte, as byte-level vocabularies spell them: printable ones stand for themselves, the rest from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(0x100 + rest.index(b)) for b in range(256)]
+
+
+def merges_of_file(path: str) -> list[tuple[str, str]]:
+    """The merges of a byte-pair vocabulary in the JSON form of the tokenizers library, best rank first."""
+    with open(path, encoding="utf-8") as file:
+        merges = json.load(file)["model"]["merges"]
+    return [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in merges]
+
+
+#: Words whose pieces a task keeps; beyond them it starts anew.
+REMEMBERED = 100_000
+
+
+def encode_byte_pairs(word: Column, merges: list[tuple[str, str]], end: str = "", byte_level: bool = False) -> Column:
+    """The pieces of a word: of all adjacent pairs the one of the best rank is merged wherever it stands, until none has a rank.
+
+    end is put to the last symbol; byte_level spells the word in byte letters first.  The ranks go with the task, so their
+    size is that of the vocabulary.  A null has null pieces, an empty word none.
+    """
+    ranks = {pair: i for i, pair in reversed(list(enumerate(merges)))}
+    letters = byte_letters()
+
+    def pieces(w: str) -> list[str]:
+        s = [letters[b] for b in w.encode()] if byte_level else list(w)
+        if s:
+            s[-1] += end
+        while len(s) > 1:
+            best = min(zip(s, s[1:], strict=False), key=lambda p: ranks.get(p, len(ranks)))
+            if best not in ranks:
+                break
+            out, i = [], 0
+            while i < len(s):
+                pair = i + 1 < len(s) and (s[i], s[i + 1]) == best
+                out.append(s[i] + s[i + 1] if pair else s[i])
+                i += 2 if pair else 1
+            s = out
+        return s
+
+    @F.pandas_udf("array<string>")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[str]] = {}
+        for words in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for w in words.dropna().unique():
+                if w not in known:
+                    known[w] = pieces(w)
+            yield words.map(known.get, na_action="ignore")
+
+    return encoded(word)
 
 
 # ---- queries -------------------------------------------------------------------------------------------------------
@@ -374,7 +425,17 @@ add("agg30_linear_cka", lambda s, d: linear_cka(read(s, d, "embeddings").select(
 add("met09_vector_similarity", lambda s, d: (lambda v: v.alias("a").join(v.alias("b"), F.expr("b.vec_id = a.vec_id + 1")).select(F.col("a.vec_id").alias("vec_id"), F.round(dot(F.col("a.embedding"), F.col("b.embedding")) / F.sqrt(dot(F.col("a.embedding"), F.col("a.embedding")) * dot(F.col("b.embedding"), F.col("b.embedding"))), 5).alias("f1")))(read(s, d, "embeddings")), "SELECT a.vec_id, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 5) AS f1 FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) a JOIN (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY a.vec_id")
 add("arr04_token_drop", lambda s, d: read(s, d, "benchmark").select("item_id", F.size(augment(T.plain_tokens(F.col("text")), F.col("item_id"), 0.2)).alias("n")))
 add("arr05_mixup_pairs", lambda s, d: mixup_pairs(read(s, d, "benchmark"), "item_id"))
-add("tok03_byte_pair_encode", lambda s, d: read(s, d, "benchmark").select("item_id", F.explode(T.plain_tokens(F.col("text"))).alias("w")).select("item_id", "w", F.array_join(encode_byte_pairs(F.col("w"), [("t", "h"), ("th", "e"), ("i", "n")]), " ").alias("pieces")))
+#: The public vocabulary whose merges tok03 encodes with.
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+def byte_pair_pieces(texts: DataFrame, key: str, merges: list[tuple[str, str]], end: str = "</w>") -> DataFrame:
+    """(key, w, pieces): a row for each word of each text, its pieces in byte letters with blanks between."""
+    words = texts.select(key, F.explode(T.plain_tokens(F.col("text"))).alias("w"))
+    return words.select(key, "w", F.array_join(encode_byte_pairs(F.col("w"), merges, end, True), " ").alias("pieces"))
+
+
+add("tok03_byte_pair_encode", lambda s, d: byte_pair_pieces(read(s, d, "benchmark"), "item_id", merges_of_file(VOCABULARY)))
 add("tok04_train_byte_pairs", lambda s, d: s.createDataFrame([(i, a, b) for i, (a, b) in enumerate(train_byte_pairs(read(s, d, "benchmark").select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt")), 5))], "rank int, a string, b string"))
 both("tok05_format_specials", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN '<|begin|>' WHEN 1 THEN '<|begin_of_text|>' WHEN 2 THEN '<s>' WHEN 3 THEN '<|im_start|>' ELSE '<bos>' END AS bos FROM {region}")
 both("tok07_format_by_name", "SELECT p_partkey, CASE WHEN lower(p_name) LIKE '%red%' THEN 'llama3' WHEN lower(p_name) LIKE '%blue%' THEN 'mistral' ELSE 'native' END AS style FROM {part}")
