@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dual import Book
 from ..session import materialised
+from . import measures
 from .corpus import running_total
 from .ordering import cut_of_hash, nearest_rank, numbered, zipped, numbered_within
 
@@ -181,6 +182,14 @@ def overlapping_boxes(boxes: DataFrame, side: float, least: float) -> DataFrame:
 
 # ---- joins ---------------------------------------------------------------------------------------------------------
 
+def _classes(s, d) -> DataFrame:
+    return read(s, d, "lineitem").select(F.pmod("l_suppkey", F.lit(4)).alias("class"), "l_extendedprice", "l_orderkey", "l_linenumber", (F.pmod("l_partkey", F.lit(3)) == 0).alias("tp"))
+
+
+def _routed(s, d) -> DataFrame:
+    return read(s, d, "lineitem").select(F.col("l_linenumber").alias("layer"), F.pmod("l_suppkey", F.lit(8)).alias("expert"))
+
+
 EX = "ex AS (SELECT d.doc_id, d.source AS task, d.lang AS mode, d.n_chars, l.quality, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id)"
 add("jon01_override_join", lambda s, d: override_join(read(s, d, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("lang")).alias("lang"), "source"), read(s, d, "labels").select("doc_id", "quality", F.lit("xx").alias("lang")), "doc_id"), "SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN d.lang END, CASE WHEN l.doc_id IS NOT NULL THEN 'xx' END) AS lang, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 add("jon02_exact_match", lambda s, d: exact_join_counts(read(s, d, "documents"), read(s, d, "labels"), "doc_id"), "SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS matched, count(*) FILTER (l.doc_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) AS unused FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
@@ -202,14 +211,14 @@ add("jon15_order_equality", lambda s, d: numbered(read(s, d, "pages").select("pa
 # ---- aggregates ----------------------------------------------------------------------------------------------------
 
 both("agg05_tokens_by_key", f"WITH {EX} SELECT task || ':' || mode AS loss_key, CAST(sum(n_chars) AS BIGINT) AS tokens FROM ex GROUP BY task || ':' || mode")
-both("agg06_loss_weights", f"WITH {EX}, t AS (SELECT task, CAST(sum(n_chars) AS BIGINT) AS tokens FROM ex GROUP BY task) SELECT task, tokens, round((1e0 / count(*) OVER ()) / (tokens / sum(tokens) OVER ()), 6) AS weight FROM t")
+add("agg06_loss_weights", lambda s, d: measures.loss_weights(read(s, d, "documents").withColumnRenamed("source", "task"), "task", "n_chars").select("task", "tokens", F.round("weight", 6).alias("weight")), f"WITH {EX}, t AS (SELECT task, CAST(sum(n_chars) AS BIGINT) AS tokens FROM ex GROUP BY task) SELECT task, tokens, round((1e0 / count(*) OVER ()) / (tokens / sum(tokens) OVER ()), 6) AS weight FROM t")
 both("agg08_expert_shares", "WITH c AS (SELECT l_suppkey % 16 AS expert, count(*) AS n FROM {lineitem} WHERE l_suppkey % 16 <> 5 GROUP BY 1), e AS (SELECT s_suppkey - 1 AS expert FROM {supplier} WHERE s_suppkey <= 16) SELECT e.expert, coalesce(c.n, 0) AS n, round(coalesce(c.n, 0) / sum(c.n) OVER (), 9) AS share, coalesce(c.n, 0) = 0 AS dead FROM e LEFT JOIN c ON c.expert = e.expert")
 both("agg09_finite_means", "SELECT l_returnflag, round(avg(CASE WHEN l_quantity <> 13 THEN l_tax END), 9) AS mean, round(sqrt(sum(l_discount * l_discount)), 6) AS norm FROM {lineitem} GROUP BY l_returnflag")
 _P = "p AS (SELECT l_orderkey AS id, l_suppkey % 7 AS label, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 7 ELSE l_suppkey % 7 END AS pred, l_linenumber AS subject, l_tax * 10e0 AS conf FROM {lineitem})"
 both("agg10_confusion_accuracy", f"WITH {_P}, c AS (SELECT label, avg(CASE WHEN pred = label THEN 1e0 ELSE 0e0 END) AS acc, count(*) AS n, sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS hit FROM p GROUP BY label) SELECT round(sum(hit) / sum(n), 9) AS top1, round(avg(acc), 9) AS macro FROM c")
 both("agg11_accuracy_by_subject", f"WITH {_P} SELECT subject, label, round(avg(CASE WHEN pred = label THEN 1e0 ELSE 0e0 END), 9) AS acc, count(*) AS n FROM p GROUP BY GROUPING SETS ((subject, label), (subject), ())")
 both("agg12_accuracy_by_category", f"WITH {_P} SELECT CASE WHEN subject IN (1, 2) THEN 'default' ELSE 'cat' || CAST(subject AS STR) END AS category, count(*) AS n, CAST(sum(CASE WHEN pred = label THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM p GROUP BY ROLLUP (CASE WHEN subject IN (1, 2) THEN 'default' ELSE 'cat' || CAST(subject AS STR) END)")
-both("agg13_choice_accuracy", "WITH c AS (SELECT l_orderkey AS ex, l_linenumber AS choice, l_extendedprice AS score, l_extendedprice / l_quantity AS norm FROM {lineitem}), r AS (SELECT ex, choice, row_number() OVER (PARTITION BY ex ORDER BY score DESC, choice) AS a, row_number() OVER (PARTITION BY ex ORDER BY norm DESC, choice) AS b FROM c) SELECT round(avg(CASE WHEN a = 1 THEN CASE WHEN choice = 1 + ex % 3 THEN 1e0 ELSE 0e0 END END), 9) AS acc, round(avg(CASE WHEN b = 1 THEN CASE WHEN choice = 1 + ex % 3 THEN 1e0 ELSE 0e0 END END), 9) AS acc_norm FROM r")
+add("agg13_choice_accuracy", lambda s, d: measures.choice_accuracy(read(s, d, "lineitem"), "l_orderkey", "l_linenumber", 1 + F.pmod("l_orderkey", F.lit(3)), acc=F.col("l_extendedprice"), acc_norm=F.col("l_extendedprice") / F.col("l_quantity")).select(F.round("acc", 9).alias("acc"), F.round("acc_norm", 9).alias("acc_norm")), "WITH c AS (SELECT l_orderkey AS ex, l_linenumber AS choice, l_extendedprice AS score, l_extendedprice / l_quantity AS norm FROM {lineitem}), r AS (SELECT ex, choice, row_number() OVER (PARTITION BY ex ORDER BY score DESC, choice) AS a, row_number() OVER (PARTITION BY ex ORDER BY norm DESC, choice) AS b FROM c) SELECT round(avg(CASE WHEN a = 1 THEN CASE WHEN choice = 1 + ex % 3 THEN 1e0 ELSE 0e0 END END), 9) AS acc, round(avg(CASE WHEN b = 1 THEN CASE WHEN choice = 1 + ex % 3 THEN 1e0 ELSE 0e0 END END), 9) AS acc_norm FROM r")
 both("agg14_mean_of_benchmarks", f"WITH {_P}, c AS (SELECT subject, avg(CASE WHEN pred = label THEN 1e0 ELSE 0e0 END) AS acc FROM p GROUP BY subject) SELECT round(avg(acc), 9) AS mean FROM c")
 both("agg15_token_accuracy", "SELECT round(avg(CASE WHEN l_partkey % 5 = l_suppkey % 5 THEN 1e0 ELSE 0e0 END), 9) AS acc, count(*) AS n FROM {lineitem} WHERE CASE WHEN l_linenumber = 3 THEN -100 ELSE l_linenumber END <> -100")
 both("agg16_perplexity", "SELECT l_returnflag, round(exp(sum(l_tax * l_quantity) / sum(l_quantity)), 6) AS ppl FROM {lineitem} GROUP BY l_returnflag")
@@ -222,15 +231,15 @@ _C = "c AS (SELECT c_nationkey AS class, count(*) AS n FROM {customer} GROUP BY
 add("agg22_effective_number", lambda s, d: effective_number_weights(read(s, d, "customer").groupBy(F.col("c_nationkey").alias("class")).agg(F.count("*").alias("n"))).select("class", "n", F.round("weight", 6).alias("weight")), f"WITH {_C}, r AS (SELECT class, n, (1 - 0.999::DOUBLE) / (1 - pow(0.999::DOUBLE, n)) AS raw FROM c) SELECT class, n, round(least(4.0::DOUBLE, greatest(0.25::DOUBLE, raw / avg(raw) OVER ())), 6) AS weight FROM r")
 add("agg23_class_weights", lambda s, d: weights_from_counts(read(s, d, "customer").groupBy(F.col("c_nationkey").alias("class")).agg(F.count("*").alias("n"))).select("class", F.round("weight", 6).alias("weight")), f"WITH {_C} SELECT class, round((1 / sqrt(n)) / avg(1 / sqrt(n)) OVER (), 6) AS weight FROM c")
 add("agg24_bounded_weights", lambda s, d: bounded_mean_one(weights_from_counts(read(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")), mode="inverse"), 0.5, 1.5).select("c_nationkey", "c_mktsegment", F.round("bounded", 4).alias("bounded")))
-both("agg25_sqrt_mixture", "SELECT source, round(sqrt(count(*)) / sum(sqrt(count(*))) OVER (), 9) AS weight FROM {documents} GROUP BY source")
+add("agg25_sqrt_mixture", lambda s, d: measures.power_mixture(read(s, d, "documents"), "source").select("source", F.round("weight", 9).alias("weight")), "SELECT source, round(sqrt(count(*)) / sum(sqrt(count(*))) OVER (), 9) AS weight FROM {documents} GROUP BY source")
 both("agg27_exact_match", "SELECT role, round(avg(CASE WHEN lower(trim(text)) = lower(trim(lag_text)) THEN 1e0 ELSE 0e0 END), 9) AS rate FROM (SELECT role, text, coalesce(lag(text) OVER (PARTITION BY role ORDER BY conv_id, turn), '') AS lag_text FROM {conversations}) x GROUP BY role")
-both("agg28_assignment_shares", "SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber), 9) AS share FROM {lineitem} GROUP BY l_linenumber, l_suppkey % 8")
-both("agg29_routing_entropy", "WITH s AS (SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n FROM {lineitem} GROUP BY 1, 2), t AS (SELECT layer, n / CAST(sum(n) OVER (PARTITION BY layer) AS DOUBLE) AS p FROM s) SELECT layer, round(-sum(p * ln(p)) / ln(8e0), 9) AS entropy FROM t GROUP BY layer")
-both("agg32_group_advantage", "WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey) AS diff, stddev_samp(l_quantity) OVER (PARTITION BY l_orderkey) AS sd FROM {lineitem}) SELECT l_orderkey, l_linenumber, round(diff / (sd + 1e-8), 5) AS advantage FROM g WHERE sd >= 1e-8")
+add("agg28_assignment_shares", lambda s, d: measures.shares(_routed(s, d), "layer", "expert").select("layer", "expert", "n", F.round("share", 9).alias("share")), "SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber), 9) AS share FROM {lineitem} GROUP BY l_linenumber, l_suppkey % 8")
+add("agg29_routing_entropy", lambda s, d: measures.routing_entropy(_routed(s, d), "layer", "expert", 8).select("layer", F.round("entropy", 9).alias("entropy")), "WITH s AS (SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n FROM {lineitem} GROUP BY 1, 2), t AS (SELECT layer, n / CAST(sum(n) OVER (PARTITION BY layer) AS DOUBLE) AS p FROM s) SELECT layer, round(-sum(p * ln(p)) / ln(8e0), 9) AS entropy FROM t GROUP BY layer")
+add("agg32_group_advantage", lambda s, d: measures.group_advantage(read(s, d, "lineitem"), "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", F.round("advantage", 5).alias("advantage")), "WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey) AS diff, stddev_samp(l_quantity) OVER (PARTITION BY l_orderkey) AS sd FROM {lineitem}) SELECT l_orderkey, l_linenumber, round(diff / (sd + 1e-8), 5) AS advantage FROM g WHERE sd >= 1e-8")
 both("agg33_serving_stats", "SELECT count(*) AS n, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS BIGINT) AS pending, CAST(sum(CASE WHEN event_type IN ('purchase', 'signup', 'logout') THEN 1 ELSE 0 END) AS BIGINT) AS completed, round(avg(CASE WHEN event_type = 'purchase' THEN value END), 6) AS latency FROM {events}")
-both("agg34_recall_metrics", "WITH l AS (SELECT l_orderkey AS row_id, l_linenumber AS token, l_quantity / 10e0 AS logit, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS target FROM {lineitem}), t AS (SELECT row_id, max(CASE WHEN token = target THEN logit END) AS want, max(CASE WHEN token <> target THEN logit END) AS best, max(logit) AS top, ln(sum(exp(logit))) AS lse FROM l GROUP BY row_id), k AS (SELECT l.row_id, sum(CASE WHEN l.logit > t.want THEN 1 ELSE 0 END) AS above FROM l JOIN t ON t.row_id = l.row_id GROUP BY l.row_id) SELECT round(avg(CASE WHEN above = 0 THEN 1e0 ELSE 0e0 END), 9) AS acc, round(avg(1e0 + above), 6) AS mean_rank, round(avg(want - best), 6) AS margin, round(avg(lse - want), 6) AS nll FROM t JOIN k ON k.row_id = t.row_id")
-both("agg36_info_nce", "WITH l AS (SELECT l_orderkey AS q, l_linenumber AS j, l_discount * 20e0 AS s FROM {lineitem}), t AS (SELECT q, max(CASE WHEN j = 1 THEN s END) AS pos, ln(sum(exp(s))) AS lse FROM l GROUP BY q) SELECT round(avg(lse - pos), 6) AS loss FROM t WHERE pos IS NOT NULL")
-both("agg38_topk_accuracy", "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS modality, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) SELECT modality, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS top1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 9) AS top5 FROM r GROUP BY modality")
+add("agg34_recall_metrics", lambda s, d: measures.recall_metrics(read(s, d, "lineitem").withColumn("first", F.min("l_linenumber").over(Window.partitionBy("l_orderkey"))), "l_orderkey", F.col("l_quantity") / 10.0, F.col("l_linenumber") == F.col("first")).select(F.round("acc", 9).alias("acc"), *[F.round(c, 6).alias(c) for c in ("mean_rank", "margin", "nll")]), "WITH l AS (SELECT l_orderkey AS row_id, l_linenumber AS token, l_quantity / 10e0 AS logit, min(l_linenumber) OVER (PARTITION BY l_orderkey) AS target FROM {lineitem}), t AS (SELECT row_id, max(CASE WHEN token = target THEN logit END) AS want, max(CASE WHEN token <> target THEN logit END) AS best, max(logit) AS top, ln(sum(exp(logit))) AS lse FROM l GROUP BY row_id), k AS (SELECT l.row_id, sum(CASE WHEN l.logit > t.want THEN 1 ELSE 0 END) AS above FROM l JOIN t ON t.row_id = l.row_id GROUP BY l.row_id) SELECT round(avg(CASE WHEN above = 0 THEN 1e0 ELSE 0e0 END), 9) AS acc, round(avg(1e0 + above), 6) AS mean_rank, round(avg(want - best), 6) AS margin, round(avg(lse - want), 6) AS nll FROM t JOIN k ON k.row_id = t.row_id")
+add("agg36_info_nce", lambda s, d: measures.info_nce(read(s, d, "lineitem"), "l_orderkey", F.col("l_discount") * 20.0, F.col("l_linenumber") == 1).select(F.round("loss", 6).alias("loss")), "WITH l AS (SELECT l_orderkey AS q, l_linenumber AS j, l_discount * 20e0 AS s FROM {lineitem}), t AS (SELECT q, max(CASE WHEN j = 1 THEN s END) AS pos, ln(sum(exp(s))) AS lse FROM l GROUP BY q) SELECT round(avg(lse - pos), 6) AS loss FROM t WHERE pos IS NOT NULL")
+add("agg38_topk_accuracy", lambda s, d: measures.top_k_accuracy(read(s, d, "lineitem").withColumn("modality", F.pmod("l_suppkey", F.lit(3))), "l_orderkey", "l_extendedprice", "l_linenumber", "modality", 1, 5).select("modality", F.round("top1", 9).alias("top1"), F.round("top5", 9).alias("top5")), "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS modality, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) SELECT modality, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS top1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 9) AS top5 FROM r GROUP BY modality")
 add("agg39_latency_summary", lambda s, d: nearest_rank(read(s, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_id").crossJoin(read(s, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"))), "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, max(CASE WHEN r = floor((n - 1) * 0.5e0 + 0.5e0) + 1 THEN value END) AS p50, max(CASE WHEN r = floor((n - 1) * 0.95e0 + 0.5e0) + 1 THEN value END) AS p95 FROM o")
 both("agg40_profiler_summary", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) SELECT event_type, max(CASE WHEN r = floor(n / 2e0) THEN value END) AS p50, max(CASE WHEN r = floor(n * 0.9e0) THEN value END) AS p90, max(CASE WHEN r = floor(n * 0.99e0) THEN value END) AS p99, round(stddev_samp(value), 6) AS sd FROM o GROUP BY event_type")
 
@@ -244,11 +253,11 @@ both("win05_plain_top", "SELECT doc_id FROM {documents} ORDER BY SHA('42:' || CA
 add("win06_curriculum", lambda s, d: (lambda rows: curriculum_stage(rows, curriculum_stage(rows.where("source < 'src5'"), None, "source", "doc_id", 30), "source", "doc_id", 80).select("doc_id"))(read(s, d, "documents").select("doc_id", "source")), "WITH o AS (SELECT doc_id, source, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents), a AS (SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h) AS r FROM o WHERE source < 'src5') ORDER BY r, source LIMIT 30), b AS (SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h) AS r FROM o WHERE doc_id NOT IN (SELECT doc_id FROM a)) ORDER BY r, source LIMIT 50) SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b")
 both("win07_first_argmax", "SELECT l_orderkey, CAST(l_linenumber AS INT) AS choice FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM {lineitem}) x WHERE r = 1")
 both("win08_promotion", "SELECT s_suppkey, s_acctbal FROM {supplier} WHERE s_acctbal > 0 ORDER BY s_nationkey DESC, s_acctbal DESC, s_suppkey LIMIT 1")
-both("win16_retrieval_rank", "WITH s AS (SELECT a.l_orderkey AS q, a.l_linenumber AS j, rank() OVER (PARTITION BY a.l_orderkey ORDER BY a.l_extendedprice DESC) AS r FROM {lineitem} a) SELECT round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS acc1, round(avg(1e0 / r), 9) AS mrr FROM s WHERE j = 1")
+add("win16_retrieval_rank", lambda s, d: measures.retrieval(read(s, d, "lineitem"), "l_orderkey", "l_extendedprice", F.col("l_linenumber") == 1).select(F.round("acc1", 9).alias("acc1"), F.round("mrr", 9).alias("mrr")), "WITH s AS (SELECT a.l_orderkey AS q, a.l_linenumber AS j, rank() OVER (PARTITION BY a.l_orderkey ORDER BY a.l_extendedprice DESC) AS r FROM {lineitem} a) SELECT round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS acc1, round(avg(1e0 / r), 9) AS mrr FROM s WHERE j = 1")
 both("win18_rolling_throughput", "SELECT event_id, user_id, round(100e0 / avg(value + 1) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS throughput FROM {events}")
 both("win19_early_stop", "WITH m AS (SELECT user_id, event_id, ts, value, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {events}), b AS (SELECT *, CASE WHEN best IS NULL OR value < best THEN 1 ELSE 0 END AS better FROM m), g AS (SELECT *, sum(better) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM b) SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) - 1 AS INT) AS stale FROM g")
-both("win21_nucleus", "WITH p AS (SELECT l_orderkey, l_linenumber, exp(l_quantity / 10e0) / sum(exp(l_quantity / 10e0)) OVER (PARTITION BY l_orderkey) AS p FROM {lineitem}), c AS (SELECT *, sum(p) OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT l_orderkey, l_linenumber, round(p, 6) AS p FROM c WHERE before < 0.9e0 - 1e-9")
-both("win22_banned_next", "WITH t AS (SELECT user_id, event_type AS x, lead(event_type) OVER w AS y, lead(event_type, 2) OVER w AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), last AS (SELECT user_id, max(CASE WHEN back = 2 THEN x END) AS a, max(CASE WHEN back = 1 THEN x END) AS b FROM t GROUP BY user_id) SELECT DISTINCT t.user_id, t.z AS banned FROM t JOIN last ON last.user_id = t.user_id AND t.x = last.a AND t.y = last.b WHERE t.z IS NOT NULL")
+add("win21_nucleus", lambda s, d: measures.nucleus(read(s, d, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_quantity") / 10.0, 0.9).select("l_orderkey", "l_linenumber", F.round("p", 6).alias("p")), "WITH p AS (SELECT l_orderkey, l_linenumber, exp(l_quantity / 10e0) / sum(exp(l_quantity / 10e0)) OVER (PARTITION BY l_orderkey) AS p FROM {lineitem}), c AS (SELECT *, sum(p) OVER (PARTITION BY l_orderkey ORDER BY p DESC, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - p AS before FROM p) SELECT l_orderkey, l_linenumber, round(p, 6) AS p FROM c WHERE before < 0.9e0 - 1e-9")
+add("win22_banned_next", lambda s, d: measures.banned_next(read(s, d, "events"), "user_id", ["ts", "event_id"], "event_type"), "WITH t AS (SELECT user_id, event_type AS x, lead(event_type) OVER w AS y, lead(event_type, 2) OVER w AS z, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), last AS (SELECT user_id, max(CASE WHEN back = 2 THEN x END) AS a, max(CASE WHEN back = 1 THEN x END) AS b FROM t GROUP BY user_id) SELECT DISTINCT t.user_id, t.z AS banned FROM t JOIN last ON last.user_id = t.user_id AND t.x = last.a AND t.y = last.b WHERE t.z IS NOT NULL")
 both("win29_latest_checkpoint", "SELECT o_custkey, max(o_orderkey) AS step FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey")
 both("win30_latest_step", "SELECT o_custkey, step FROM (SELECT o_custkey, CASE WHEN o_orderstatus = 'O' THEN o_orderkey + 7 ELSE o_orderkey END AS step, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM {orders}) x WHERE r = 1")
 
@@ -287,7 +296,7 @@ both("flt18_mosaic", "SELECT l_orderkey, l_linenumber, l_linenumber % 2 AS col,
 both("mth05_finite_parse", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'x' ELSE CAST(event_id AS STR) END AS DOUBLE) AS v FROM {events}")
 both("dat01_dates", "SELECT o_orderkey, CAST(dayofmonth(o_orderdate) AS BIGINT) AS day, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy, CAST(CAST(o_orderdate AS DATE) + INTERVAL 10 DAY AS DATE) AS later FROM {orders}")
 both("mth04_cosine_schedule", "SELECT p_partkey, round(0.5e0 * (1 + cos(pi() * p_size / 50e0)), 9) AS rate FROM {part}")
-both("mth03_softmax", "SELECT l_orderkey, l_linenumber, round(exp(l_quantity - max(l_quantity) OVER w) / sum(exp(l_quantity - 50e0)) OVER w * exp(max(l_quantity) OVER w - 50e0), 9) AS p FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey)")
+add("mth03_softmax", lambda s, d: measures.softmax(read(s, d, "lineitem"), "l_orderkey", F.col("l_quantity")).select("l_orderkey", "l_linenumber", F.round("p", 9).alias("p")), "SELECT l_orderkey, l_linenumber, round(exp(l_quantity - max(l_quantity) OVER w) / sum(exp(l_quantity - 50e0)) OVER w * exp(max(l_quantity) OVER w - 50e0), 9) AS p FROM {lineitem} WINDOW w AS (PARTITION BY l_orderkey)")
 
 # ---- artifacts and gates -------------------------------------------------------------------------------------------
 
@@ -296,8 +305,8 @@ both("snk15_supervision", "SELECT l_orderkey, CASE WHEN count(*) = 0 THEN 'empty
 both("snk18_retention", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS r FROM {orders} WHERE o_orderstatus <> 'P') x WHERE r > 3")
 both("snk19_cleanup_plan", "SELECT url FROM {pages} WHERE url LIKE 'http%' AND (SELECT count(*) FROM {pages} WHERE url = '') = 0")
 both("met21_ablation_deltas", "SELECT lang, round(avg(n_chars) - max(base), 6) AS delta FROM (SELECT lang, n_chars, (SELECT avg(n_chars) FROM {documents} WHERE lang = 'en') AS base FROM {documents}) x GROUP BY lang")
-both("win12_average_precision", "WITH o AS (SELECT l_suppkey % 4 AS class, row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS tp FROM {lineitem}), c AS (SELECT class, r, tp, sum(tp) OVER (PARTITION BY class ORDER BY r) AS hits, sum(tp) OVER (PARTITION BY class) AS total FROM o), e AS (SELECT class, tp, total, max(hits / CAST(r AS DOUBLE)) OVER (PARTITION BY class ORDER BY r DESC) AS envelope FROM c) SELECT class, round(sum(tp * envelope) / max(total), 9) AS ap FROM e GROUP BY class")
-both("win13_best_f1", "WITH o AS (SELECT l_suppkey % 4 AS class, row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS tp FROM {lineitem}), c AS (SELECT class, r, sum(tp) OVER (PARTITION BY class ORDER BY r) AS hits, sum(tp) OVER (PARTITION BY class) AS total FROM o) SELECT class, round(max(2e0 * hits / (r + total)), 9) AS f1 FROM c GROUP BY class")
+add("win12_average_precision", lambda s, d: (lambda l: measures.class_precision(l, "class", "l_extendedprice", ("l_orderkey", "l_linenumber"), F.col("tp")).select("class", F.round("ap", 9).alias("ap")))(_classes(s, d)), "WITH o AS (SELECT l_suppkey % 4 AS class, row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS tp FROM {lineitem}), c AS (SELECT class, r, tp, sum(tp) OVER (PARTITION BY class ORDER BY r) AS hits, sum(tp) OVER (PARTITION BY class) AS total FROM o), e AS (SELECT class, tp, total, max(hits / CAST(r AS DOUBLE)) OVER (PARTITION BY class ORDER BY r DESC) AS envelope FROM c) SELECT class, round(sum(tp * envelope) / max(total), 9) AS ap FROM e GROUP BY class")
+add("win13_best_f1", lambda s, d: (lambda l: measures.class_best_f1(l, "class", "l_extendedprice", ("l_orderkey", "l_linenumber"), F.col("tp")).select("class", F.round("f1", 9).alias("f1")))(_classes(s, d)), "WITH o AS (SELECT l_suppkey % 4 AS class, row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r, CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS tp FROM {lineitem}), c AS (SELECT class, r, sum(tp) OVER (PARTITION BY class ORDER BY r) AS hits, sum(tp) OVER (PARTITION BY class) AS total FROM o) SELECT class, round(max(2e0 * hits / (r + total)), 9) AS f1 FROM c GROUP BY class")
 both("mth02_iou", "SELECT l_orderkey, l_linenumber, round(greatest(0e0, 10 - abs(l_quantity - 20)) * 10 / (200 - greatest(0e0, 10 - abs(l_quantity - 20)) * 10), 9) AS iou FROM {lineitem}")
 
 # ---- extensions ----------------------------------------------------------------------------------------------------
