@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,7 +32,8 @@ def frequencies(docs: DataFrame, stride: int = 0, key: str = "doc_id") -> DataFr
     """(token, cnt) of the training part: every stride-th row is held out; exact 64-bit counts, summed map-side first."""
     if stride:
         docs = docs.where(F.pmod(F.col(key), F.lit(stride)) != 0)
-    return docs.select(F.explode(T.plain_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("cnt"))
+    words = docs.select(F.explode(F.split(F.lower("text"), rf"[{T.SPACE}]+")).alias("token")).where("token <> ''")  # plain_tokens, empty ones dropped as rows
+    return words.groupBy("token").agg(F.count("*").alias("cnt"))
 
 
 def vocabulary(counts: DataFrame, specials: int = 0) -> DataFrame:
@@ -79,13 +82,16 @@ def running_total(rows: DataFrame, keys: list[str], order: str, size: str, width
     """Adds the sum of size over all earlier rows of the same keys by order, an integer column.
 
     Two phases: totals of blocks of `width` order values are summed over blocks, rows only within their block, so that a key
-    that holds most of the rows is still spread over its blocks.
+    that holds most of the rows is still spread over its blocks.  Rows without a key are a key of their own.
     """
     blocked = rows.withColumn("_block", F.floor(F.col(order) / width))
     totals = blocked.groupBy(*keys, "_block").agg(F.sum(size).alias("_total"))
     base = F.coalesce(F.sum("_total").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = F.coalesce(F.sum(size).over(Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return blocked.join(totals.select(*keys, "_block", base.alias("_base")), [*keys, "_block"]).withColumn(out, F.col("_base") + inner).drop("_block", "_base")
+    by = [*keys, "_block"]
+    base = totals.select(*[F.col(k).alias(f"_by_{i}") for i, k in enumerate(by)], base.alias("_base"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_by_{i}")) for i, k in enumerate(by)])
+    return blocked.withColumn("_inner", inner).join(base, same).withColumn(out, F.col("_base") + F.col("_inner")).drop("_block", "_base", "_inner", *[f"_by_{i}" for i in range(len(by))])
 
 
 def laid_out(docs: DataFrame, eos: str | None = "<eos>", key: str = "doc_id") -> DataFrame:

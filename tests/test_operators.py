@@ -65,6 +65,12 @@ def test_running_total_over_blocks(spark):
         total += n
 
 
+def test_running_total_keeps_rows_without_a_key(spark):
+    rows = [(None if i % 3 else "a", i * 1000, i % 5) for i in range(40)]
+    got = {r.o: r.before for r in corpus.running_total(spark.createDataFrame(rows, "k string, o long, n long"), ["k"], "o", "n").collect()}
+    assert got == {o: sum(n for key, p, n in rows if key == k and p < o) for k, o, _ in rows}
+
+
 def test_mixture_faults(spark):
     make = lambda *rows: spark.createDataFrame(rows, "name string, weight double, dataset_id string, data_files string")
     assert corpus.mixture_faults(make(("a", 0.5, "x", None), ("b", 0.5, None, "y"))).count() == 0
