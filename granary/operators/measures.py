@@ -129,3 +129,28 @@ def class_best_f1(rows: DataFrame, label: str, score: str, ties: tuple[str, str]
     f1 = 2.0 * (F.col("before") + 1) / (F.col("position") + 1 + F.col("_t"))
     found = hits.join(total, F.col(label).eqNullSafe(F.col("_label"))).groupBy(label).agg(F.max(f1).alias("f1"))
     return rows.select(label).distinct().withColumnRenamed(label, "_all").join(found, F.col("_all").eqNullSafe(F.col(label)), "left").select(F.col("_all").alias(label), F.coalesce("f1", F.lit(0.0)).alias("f1"))
+
+
+def profile(rows: DataFrame, group: str, value: str, tie: str, **fractions: float) -> DataFrame:
+    """(group, <name>..., sd): the value at index floor(n * fraction) of each group's sorted values, and their sample deviation.
+
+    Values are ranked by ranges of the whole table, so that a group that has most of the rows is spread.
+    """
+    ranked = numbered_within(rows.select(group, value, tie), [group], value, tie)
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("_group")))
+    at = [F.max(F.when(F.col("position") == F.floor(F.col("_n") * f), F.col(value))).alias(name) for name, f in fractions.items()]
+    return ranked.groupBy(group).agg(*at, F.stddev_samp(value).alias("sd"))
+
+
+def following(rows: DataFrame, group: str, *order: str, value: str) -> DataFrame:
+    """Adds before, the value of the group's previous row; rows are placed by ranges, not gathered by group."""
+    placed = numbered_within(rows.select(group, *order, value), [group], *order)
+    earlier = placed.select(F.col(group).alias("_group"), (F.col("position") + 1).alias("_at"), F.col(value).alias("before"))
+    return placed.join(earlier, F.col(group).eqNullSafe(F.col("_group")) & (F.col("position") == F.col("_at")), "left").drop("_group", "_at", "position")
+
+
+def exact_match(rows: DataFrame, by: str, candidate: str, reference: str) -> DataFrame:
+    """(by, rate): the share of candidates that are their reference but for case and blanks around; a null is an empty text."""
+    norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    return rows.groupBy(by).agg(F.avg((norm(candidate) == norm(reference)).cast("double")).alias("rate"))

@@ -82,8 +82,9 @@ def stable_order(seed: int, key: str) -> Column:
 
 def surface_cap(rows: DataFrame, task: str, key: str, surface: str, cap: int, seed: int = 42) -> DataFrame:
     """At most cap rows of each task and surface, in pseudo-random order; blank surfaces aren't capped."""
+    blank = F.coalesce(F.col(surface), F.lit("")) == ""  # these pass beside the window, which keeps cap rows of a group map-side
     rank = F.row_number().over(Window.partitionBy(task, surface).orderBy(stable_order(seed, key)))
-    return rows.withColumn("_r", rank).where((F.coalesce(F.col(surface), F.lit("")) == "") | (F.col("_r") <= cap)).drop("_r")
+    return rows.where(blank).unionByName(rows.where(~blank).withColumn("_r", rank).where(F.col("_r") <= cap).drop("_r"))
 
 
 def balance(rows: DataFrame, task: str, key: str, limit: int, seed: int = 42) -> DataFrame:
@@ -232,7 +233,7 @@ add("agg22_effective_number", lambda s, d: effective_number_weights(read(s, d, "
 add("agg23_class_weights", lambda s, d: weights_from_counts(read(s, d, "customer").groupBy(F.col("c_nationkey").alias("class")).agg(F.count("*").alias("n"))).select("class", F.round("weight", 6).alias("weight")), f"WITH {_C} SELECT class, round((1 / sqrt(n)) / avg(1 / sqrt(n)) OVER (), 6) AS weight FROM c")
 add("agg24_bounded_weights", lambda s, d: bounded_mean_one(weights_from_counts(read(s, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")), mode="inverse"), 0.5, 1.5).select("c_nationkey", "c_mktsegment", F.round("bounded", 4).alias("bounded")))
 add("agg25_sqrt_mixture", lambda s, d: measures.power_mixture(read(s, d, "documents"), "source").select("source", F.round("weight", 9).alias("weight")), "SELECT source, round(sqrt(count(*)) / sum(sqrt(count(*))) OVER (), 9) AS weight FROM {documents} GROUP BY source")
-both("agg27_exact_match", "SELECT role, round(avg(CASE WHEN lower(trim(text)) = lower(trim(lag_text)) THEN 1e0 ELSE 0e0 END), 9) AS rate FROM (SELECT role, text, coalesce(lag(text) OVER (PARTITION BY role ORDER BY conv_id, turn), '') AS lag_text FROM {conversations}) x GROUP BY role")
+add("agg27_exact_match", lambda s, d: measures.exact_match(measures.following(read(s, d, "conversations"), "role", "conv_id", "turn", value="text"), "role", "text", "before").withColumn("rate", F.round("rate", 9)), "SELECT role, round(avg(CASE WHEN lower(trim(text)) = lower(trim(lag_text)) THEN 1e0 ELSE 0e0 END), 9) AS rate FROM (SELECT role, text, coalesce(lag(text) OVER (PARTITION BY role ORDER BY conv_id, turn), '') AS lag_text FROM {conversations}) x GROUP BY role")
 add("agg28_assignment_shares", lambda s, d: measures.shares(_routed(s, d), "layer", "expert").select("layer", "expert", "n", F.round("share", 9).alias("share")), "SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY l_linenumber), 9) AS share FROM {lineitem} GROUP BY l_linenumber, l_suppkey % 8")
 add("agg29_routing_entropy", lambda s, d: measures.routing_entropy(_routed(s, d), "layer", "expert", 8).select("layer", F.round("entropy", 9).alias("entropy")), "WITH s AS (SELECT l_linenumber AS layer, l_suppkey % 8 AS expert, count(*) AS n FROM {lineitem} GROUP BY 1, 2), t AS (SELECT layer, n / CAST(sum(n) OVER (PARTITION BY layer) AS DOUBLE) AS p FROM s) SELECT layer, round(-sum(p * ln(p)) / ln(8e0), 9) AS entropy FROM t GROUP BY layer")
 add("agg32_group_advantage", lambda s, d: measures.group_advantage(read(s, d, "lineitem"), "l_orderkey", "l_quantity").select("l_orderkey", "l_linenumber", F.round("advantage", 5).alias("advantage")), "WITH g AS (SELECT l_orderkey, l_linenumber, l_quantity - avg(l_quantity) OVER (PARTITION BY l_orderkey) AS diff, stddev_samp(l_quantity) OVER (PARTITION BY l_orderkey) AS sd FROM {lineitem}) SELECT l_orderkey, l_linenumber, round(diff / (sd + 1e-8), 5) AS advantage FROM g WHERE sd >= 1e-8")
@@ -241,7 +242,7 @@ add("agg34_recall_metrics", lambda s, d: measures.recall_metrics(read(s, d, "lin
 add("agg36_info_nce", lambda s, d: measures.info_nce(read(s, d, "lineitem"), "l_orderkey", F.col("l_discount") * 20.0, F.col("l_linenumber") == 1).select(F.round("loss", 6).alias("loss")), "WITH l AS (SELECT l_orderkey AS q, l_linenumber AS j, l_discount * 20e0 AS s FROM {lineitem}), t AS (SELECT q, max(CASE WHEN j = 1 THEN s END) AS pos, ln(sum(exp(s))) AS lse FROM l GROUP BY q) SELECT round(avg(lse - pos), 6) AS loss FROM t WHERE pos IS NOT NULL")
 add("agg38_topk_accuracy", lambda s, d: measures.top_k_accuracy(read(s, d, "lineitem").withColumn("modality", F.pmod("l_suppkey", F.lit(3))), "l_orderkey", "l_extendedprice", "l_linenumber", "modality", 1, 5).select("modality", F.round("top1", 9).alias("top1"), F.round("top5", 9).alias("top5")), "WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey % 3 AS modality, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS r FROM {lineitem}) SELECT modality, round(avg(CASE WHEN r = 1 THEN 1e0 ELSE 0e0 END), 9) AS top1, round(avg(CASE WHEN r <= 5 THEN 1e0 ELSE 0e0 END), 9) AS top5 FROM r GROUP BY modality")
 add("agg39_latency_summary", lambda s, d: nearest_rank(read(s, d, "events"), "value", {"p50": 0.5, "p95": 0.95}, "event_id").crossJoin(read(s, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"))), "WITH o AS (SELECT value, row_number() OVER (ORDER BY value, event_id) AS r, count(*) OVER () AS n FROM events) SELECT round(avg(value), 6) AS mean, max(CASE WHEN r = floor((n - 1) * 0.5e0 + 0.5e0) + 1 THEN value END) AS p50, max(CASE WHEN r = floor((n - 1) * 0.95e0 + 0.5e0) + 1 THEN value END) AS p95 FROM o")
-both("agg40_profiler_summary", "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) SELECT event_type, max(CASE WHEN r = floor(n / 2e0) THEN value END) AS p50, max(CASE WHEN r = floor(n * 0.9e0) THEN value END) AS p90, max(CASE WHEN r = floor(n * 0.99e0) THEN value END) AS p99, round(stddev_samp(value), 6) AS sd FROM o GROUP BY event_type")
+add("agg40_profiler_summary", lambda s, d: measures.profile(read(s, d, "events"), "event_type", "value", "event_id", p50=0.5, p90=0.9, p99=0.99).withColumn("sd", F.round("sd", 6)), "WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM {events}) SELECT event_type, max(CASE WHEN r = floor(n / 2e0) THEN value END) AS p50, max(CASE WHEN r = floor(n * 0.9e0) THEN value END) AS p90, max(CASE WHEN r = floor(n * 0.99e0) THEN value END) AS p99, round(stddev_samp(value), 6) AS sd FROM o GROUP BY event_type")
 
 # ---- windows and rankings ------------------------------------------------------------------------------------------
 

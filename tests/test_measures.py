@@ -92,3 +92,32 @@ def test_shares_and_mixtures(spark):
     assert sorted(r.advantage for r in M.group_advantage(groups, "g", "v").collect()) == [pytest.approx(-1 / 2**0.5), pytest.approx(1 / 2**0.5)]
     none = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "g string, e long")
     assert {(r.g, r.e): r.share for r in M.shares(none, "g", "e").collect()} == {(None, 1): 0.5, (None, 2): 0.5, ("a", 1): 1.0}
+
+
+def test_profiles_and_previous_rows(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "b", None]), i, float(rng.randrange(9)), rng.choice(["x", " X ", "y", None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i long, v double, t string").repartition(5)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[0]].append(r)
+    got = {r.g: r for r in M.profile(df, "g", "v", "i", low=0.0, mid=0.5, high=0.99).collect()}
+    assert set(got) == set(groups)
+    for g, members in groups.items():
+        order = sorted(r[2] for r in members)
+        assert (got[g].low, got[g].mid, got[g].high) == (order[0], order[len(order) // 2], order[int(len(order) * 0.99)])
+    before = {r.i: r.before for r in M.following(df, "g", "i", value="t").collect()}
+    want = {b[1]: a[3] if a else None for members in groups.values() for a, b in zip([None, *members], members, strict=False)}
+    assert before == want
+    clean = lambda x: (x or "").strip().lower()
+    rates = {r.g: r.rate for r in M.exact_match(M.following(df, "g", "i", value="t"), "g", "t", "before").collect()}
+    assert rates == {g: near(sum(clean(r[3]) == clean(want[r[1]]) for r in m) / len(m)) for g, m in groups.items()}
+    assert M.profile(df.where("false"), "g", "v", "i", mid=0.5).count() == 0
+
+
+def test_blank_surfaces_pass_the_cap(spark):
+    from granary.operators import relational
+
+    rows = [("t", i, ["s", "", None][i % 3]) for i in range(60)]
+    got = relational.surface_cap(spark.createDataFrame(rows, "task string, k long, surface string"), "task", "k", "surface", 4).collect()
+    assert collections.Counter(r.surface for r in got) == {"s": 4, "": 20, None: 20}
